@@ -6,8 +6,9 @@ from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sweepframe.llm import piece_bpe
+from sweepframe.llm import contamination, license_digest, line_templates, minhash_join, piece_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +40,23 @@ def vocabulary(path: str | None = None) -> dict:
 @query("op8_piece_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op7_minhash_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_contamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_line_templates", line_templates.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_license_digest", license_digest.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest.license_scan(table(spark, sf_dir, "documents"), license_digest.known_licenses(spark))
