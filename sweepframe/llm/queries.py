@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepframe.llm import contamination, license_digest, line_templates, minhash_join, piece_bpe
+from sweepframe.llm import arc_warc, compression_quality, contamination, license_digest, line_templates, minhash_join, piece_bpe, string_kernel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_digest", license_digest.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.license_scan(table(spark, sf_dir, "documents"), license_digest.known_licenses(spark))
+
+
+@query("op2_compression_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_string_kernel")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_kernel.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_arc_warc", arc_warc.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = arc_warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select(F.col("number").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
