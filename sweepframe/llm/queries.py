@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepframe.llm import arc_warc, compression_quality, contamination, license_digest, line_templates, minhash_join, piece_bpe, string_kernel
+from sweepframe.llm import arc_warc, compression_quality, contamination, license_digest, line_templates, minhash_join, piece_bpe, repeated_strings, string_kernel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +76,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = arc_warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select(F.col("number").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+@query("op6_repeated_strings")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings.repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
