@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepframe.llm import arc_warc, compression_quality, contamination, license_digest, line_templates, minhash_join, piece_bpe, repeated_strings, string_kernel
+from sweepframe.llm import arc_warc, compression_quality, contamination, license_digest, line_templates, minhash_join, nn_descent, piece_bpe, repeated_strings, string_kernel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_repeated_strings")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings.repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+@query("op1_nn_descent", nn_descent.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.linked(table(spark, sf_dir, "embeddings"))
