@@ -279,8 +279,8 @@ def kernel_values(units: list[str], columns: np.ndarray) -> np.ndarray:
 _seen: dict[int, list[dict[str, float]]] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, most_chars: int = 20_000, landmarks: int = 256) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each document."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, most_chars: int = 20_000, landmarks: int = 256, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, held_out, score and predicted of each document."""
     machine = Machine(training_rows(docs, labels, label, (3 * most_rows, most_rows), most_chars), landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     key = hash(machine.table.tobytes()) if machine.table is not None else 0
@@ -292,5 +292,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
         for texts in batches:
             yield pd.Series(shared.value.scores(texts.fillna("").tolist(), _seen[key]))
 
-    scored = docs.select("doc_id", held_out().alias("held_out"), F.pandas_udf(score, "double")(F.col("text")).alias("score"))
+    scored = docs.select(*keep, held_out().alias("held_out"), F.pandas_udf(score, "double")(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
