@@ -6,13 +6,13 @@ a pair of texts is a candidate if it collides in at least `match` coordinates, a
 * Texts with equal sets are one class: only its smallest id takes part, so exact copies cost nothing.
 * Prefix filter: coordinates are taken rarest value first. Two texts with `match` collisions share one of the first
   size - match + 1 of each. Values that one text alone has come first and need no posting, so most texts drop out at once.
-* Skip merging: a posting is not expanded into its pairs. Each of its texts is first compared with one leader of the posting, in a few
-  rounds with other leaders; what links joins a component, and a posting whose texts are all in one component is skipped. Only pairs
+* Skip merging: a posting is not expanded into its pairs. Each of its texts is first compared with one leader of the posting, the text whose values
+  are shared most, as an original is by its near copies, in a few rounds with other leaders; what links joins a component, and a posting whose texts are all in one component is skipped. Only pairs
   from different components of a posting are compared after that, so a group of thousands of near copies costs a few comparisons a text
   and no link between different components is lost.
 * Full sets are compared as sorted 64-bit shingle hashes.
 
-With 48 coordinates and 21 matches a pair at similarity 0.75 is missed with probability 6e-6 (binomial tail), above it more rarely.
+With 64 coordinates and 32 matches a pair at similarity 0.75 is missed with probability 5e-6 (binomial tail), above it more rarely.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are kept; a text with fewer words than
 `width` has its word sequence as one shingle; repeated ids are not expected (doc_id is the key); extra columns are left alone; an empty
@@ -69,6 +69,37 @@ def full_sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, members binary")
 
 
+def full_pairs(sets: DataFrame, at: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts in different components (id, at) that may meet the threshold, by prefix and positional filters on full sets.
+
+    Shingles are ranked rarest first; texts that meet the threshold share one of the first |x| - ceil(percent |x|) + 1 of each, at ranks that leave
+    room for enough others. Texts outside the largest component of a shingle meet all of it, so one large component is no square.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                x = [np.frombuffer(m.as_buffer(), np.int64) for m in part.column(1)]
+                sizes = np.array([len(s) for s in x])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(x))], names=["id", "size", "shingle"])
+
+    held = sets.mapInArrow(run, "id long, size long, shingle long")
+    often = held.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = held.join(often, "shingle").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    # Shingles of one text alone rank first; ranks count from 0.
+    ranked = ranked.select("id", "size", (F.col("size") - F.size("s")).alias("alone"), F.posexplode("s").alias("i", "x"))
+    ranked = ranked.select("id", "size", (F.col("alone") + F.col("i")).alias("rank"), F.col("x.shingle").alias("shingle")).where(f"rank <= size - ceil({percent} * size / 100)")
+    ranked = written(ranked.join(at, "id"), "ranked")
+    parts = ranked.groupBy("shingle", "at").agg(F.count("*").alias("n"))
+    major = parts.groupBy("shingle").agg(F.max_by("at", F.struct("n", "at")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    ranked = written(ranked.join(major, "shingle"), "mixed")
+    x = ranked.where("at <> major").select("shingle", F.col("id").alias("a"), F.col("at").alias("a_at"), F.col("size").alias("p"), F.col("rank").alias("p_rank"))
+    y = ranked.select("shingle", F.col("id").alias("b"), F.col("at").alias("b_at"), "major", F.col("size").alias("q"), F.col("rank").alias("q_rank"))
+    able = F.expr(f"a_at <> b_at and (b_at = major or a < b) and 100 * least(p, q) >= {percent} * greatest(p, q) and {100 + percent} * least(p - p_rank, q - q_rank) >= {percent} * (p + q)")
+    return x.alias("x").join(y.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & able).select("a", "b").distinct()
+
+
 def links_of(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
 
@@ -92,7 +123,7 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: int = 48, match: int = 21, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: int = 64, match: int = 32, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept): component_id is the smallest id reachable over links, kept marks it."""
     sketch = written(sketches(docs, size, width, text, key), "sketches")
     classes = sketch.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
@@ -103,7 +134,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: in
     often = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     ranked = posted.join(often, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
     # The other coordinates of a text, size - size(values), are rarer and fill the prefix first.
-    prefix = ranked.select("id", F.explode(F.expr(f"slice(values, 1, greatest(0, {size - match + 1} - ({size} - size(values))))")).alias("p")).select("id", F.col("p.value").alias("value"), F.col("p.n").alias("n"))
+    ranked = ranked.withColumn("weight", F.expr("aggregate(values, 0L, (s, p) -> s + p.n)"))
+    prefix = ranked.select("id", "weight", F.explode(F.expr(f"slice(values, 1, greatest(0, {size - match + 1} - ({size} - size(values))))")).alias("p")).select("id", "weight", F.col("p.value").alias("value"))
     prefix = written(prefix, "prefixes")
     ids = written(prefix.select("id").distinct(), "shared")
     sets = written(id_filter(full_sets(id_filter(docs.withColumnRenamed(key, "id"), ids, "id"), width, text, "id"), ids, "id"), "sets")
@@ -114,12 +146,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: in
         both = pairs.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
         return both.select("a", "b", F.expr("aggregate(zip_with(x, y, (p, q) -> if(p = q, 1, 0)), 0, (s, t) -> s + t)").alias("hits")).where(f"hits >= {match}")
 
-    links, at = None, None
+    links, at, used = None, None, None
     for k in range(ROUNDS):
         # Each text against the leaders of its postings, of them the one with most collisions.
         placed = prefix.withColumn("at", F.col("id")) if at is None else prefix.join(at, "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
-        order = F.struct(F.xxhash64("id", F.lit(k)).alias("o"), F.col("id").alias("id"), F.col("at").alias("at"))
-        leaders = placed.groupBy("value").agg(F.min(order).alias("l"), F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("value", "l")
+        mixed = placed.groupBy("value").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("value")
+        able = placed if used is None else placed.join(used, "id", "left_anti")
+        leaders = able.groupBy("value").agg(F.max(F.struct("weight", (-F.col("id")).alias("o"), "id", "at")).alias("l")).join(mixed, "value", "left_semi")
+        leaders = written(leaders, f"leaders{k}")
+        now = leaders.select("l.id").distinct()
+        used = now if used is None else used.union(now)
         near = placed.join(leaders, "value").where("at <> l.at").select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
         best = colliding(near).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
         found = links_of(best, sets, percent, f"links{k}")
@@ -128,16 +164,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: in
             break
         at = components(links)
 
-    # What is still in different components of a posting is compared: its texts outside its largest component against all of it.
+    # Texts of postings that still hold several components are compared on their full sets.
     placed = prefix.withColumn("at", F.col("id")) if at is None else prefix.join(at, "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
-    parts = placed.groupBy("value", "at").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("value").agg(F.max_by("at", F.struct("n", "at")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    placed = written(placed.join(mixed, "value").select("value", "id", "at", "major"), "placed")
-    one = placed.where("at <> major").select("value", F.col("id").alias("a"), F.col("at").alias("at_a"))
-    two = placed.select("value", F.col("id").alias("b"), F.col("at").alias("at_b"), "major")
-    rest = one.join(two, (one["value"] == two["value"]) & (F.col("at_a") != F.col("at_b")) & ((F.col("at_b") == F.col("major")) | (F.col("a") < F.col("b"))))
-    rest = rest.select("a", "b").distinct()
-    links = links.union(links_of(colliding(rest).select("a", "b"), sets, percent, "links"))
+    mixed = placed.groupBy("value").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("value")
+    open_ = written(placed.join(mixed, "value", "left_semi").select("id", "at").distinct(), "open")
+    rest = written(full_pairs(id_filter(sets, open_.select("id"), "id"), open_, percent), "rest")
+    links = links.union(links_of(rest, sets, percent, "links"))
 
     joined = components(links)
     named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
