@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PI = math.pi
 
@@ -46,8 +47,11 @@ def corners(cx: Column, cy: Column, length: Column, width: Column, yaw: Column)
 def box_corners(cx: Column, cy: Column, cz: Column, length: Column, width: Column, height: Column, yaw: Column) -> Column:
     """Eight corners: the footprint at the bottom, then at the top."""
     flat = corners(cx, cy, length, width, yaw)
-    at = [F.transform(flat, lambda p, s=s: F.struct(p["x"].alias("x"), p["y"].alias("y"), (cz + height * s).alias("z"))) for s in (-0.5, 0.5)]
-    return F.concat(*at)
+
+    def lifted(z: Column) -> Column:
+        return F.transform(flat, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.alias("z")))
+
+    return F.concat(lifted(cz - height / 2), lifted(cz + height / 2))
 
 
 def aligned_iou(ax: Column, ay: Column, al: Column, aw: Column, bx: Column, by: Column, bl: Column, bw: Column) -> Column:
@@ -97,7 +101,7 @@ def footprints(b: pd.DataFrame) -> np.ndarray:
     return np.stack((b["cx"].to_numpy()[:, None] + dx * c[:, None] - dy * s[:, None], b["cy"].to_numpy()[:, None] + dx * s[:, None] + dy * c[:, None]), axis=2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def oriented_iou(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     """Intersection over union of oriented footprints struct<cx,cy,len,wid,yaw>, clamped to [0, 1]."""
     if not len(a):
@@ -107,7 +111,7 @@ def oriented_iou(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series(np.clip(np.where(union > 0, both / np.where(union > 0, union, 1), 0), 0, 1))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ulp_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Number of floats between two floats."""
 

@@ -1 +1,338 @@
-"""Queries follow."""
+"""Queries on boxes and detections."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from sweepframe.functions import geometry as G
+from sweepframe.operators import boxes as B
+from sweepframe.operators import metrics as M
+from sweepframe.plans.fixtures import CAND, DET, FRAME, GT, candidates, detections, ground_truth
+from sweepframe.registry import query
+
+FR = "drive_id, frame_index"
+KEYS = [*FRAME, "class_name"]
+ROLE = "CASE object_type WHEN 'Car' THEN 'target' WHEN 'Pedestrian' THEN 'target' WHEN 'Van' THEN 'neighbour_ignore' WHEN 'Person (sitting)' THEN 'neighbour_ignore' ELSE 'unmapped' END"
+CLASS = "CASE object_type WHEN 'Car' THEN 'Car' WHEN 'Van' THEN 'Car' WHEN 'Pedestrian' THEN 'Pedestrian' WHEN 'Person (sitting)' THEN 'Pedestrian' END"
+YAW = F.pmod("track_id", F.lit(16)) * (math.pi / 8)
+
+
+def named(df):
+    return df.withColumn("role", B.role(F.col("object_type"))).withColumn("class_name", B.class_name(F.col("object_type")))
+
+
+def scored(s, d):
+    """Detections of evaluated classes."""
+    return named(detections(s, d)).where("class_name is not null")
+
+
+@query("prj_9_score_threshold", f"WITH {DET} SELECT det_id, score, CAST(0.5 AS DOUBLE) AS score_threshold FROM det WHERE score >= 0.5")
+def prj_9(s, d):
+    return detections(s, d).where("score >= 0.5D").select("det_id", "score", F.lit(0.5).alias("score_threshold"))
+
+
+@query("prj_10_invalid_detections", f"WITH {DET}, x AS (SELECT det_id, score * 1.5 - 0.1 AS score, len - det_id % 5 AS len, wid, CASE WHEN det_id % 11 = 0 THEN '' ELSE object_type END AS name FROM det) SELECT det_id, CASE WHEN score < 0 OR score > 1 THEN 'score_range' WHEN len <= 0 OR wid <= 0 THEN 'size' WHEN name = '' THEN 'class' END AS reason FROM x")
+def prj_10(s, d):
+    name = F.when(F.col("det_id") % 11 == 0, "").otherwise(F.col("object_type"))
+    return detections(s, d).select("det_id", B.invalid_reason(F.col("score") * 1.5 - 0.1, F.col("len") - F.col("det_id") % 5, F.col("wid"), name).alias("reason"))
+
+
+@query("prj_11_class_names", f"WITH {DET}, c(class_id, name) AS (VALUES (0, 'Car'), (1, 'Pedestrian'), (2, 'Van')) SELECT det_id, name, CASE WHEN det_id % 2 = 0 THEN cx END AS vx FROM det JOIN c ON det_id % 3 = class_id")
+def prj_11(s, d):
+    classes = s.createDataFrame([(0, "Car"), (1, "Pedestrian"), (2, "Van")], "class_id long, name string")
+    box = F.when(F.col("det_id") % 2 == 0, F.array("cx", "cy", "len", "wid", "cx", "cy", "cx", "cx", "cy")).otherwise(F.array("cx", "cy", "len", "wid"))
+    rows = detections(s, d).withColumn("class_id", F.col("det_id") % 3).withColumn("box", box)
+    return rows.join(F.broadcast(classes), "class_id").select("det_id", "name", F.when(F.size("box") >= 9, F.get("box", F.lit(7))).alias("vx"))
+
+
+@query("prj_17_eligibility", f"WITH {GT} SELECT track_id, state = 2 AND occlusion IN (0, 1) AND truncation IN (0, 1) AS eligible FROM gt")
+def prj_17(s, d):
+    return ground_truth(s, d).select("track_id", B.eligible(F.col("state"), F.col("occlusion"), F.col("truncation")).alias("eligible"))
+
+
+@query("prj_18_roles", f"WITH {GT} SELECT track_id, {ROLE} AS role, {CLASS} AS class_name FROM gt")
+def prj_18(s, d):
+    return named(ground_truth(s, d)).select("track_id", "role", "class_name")
+
+
+@query("prj_19_eligible_targets", f"WITH {GT} SELECT {FR}, count(*) AS n FROM gt WHERE state = 2 AND occlusion IN (0, 1) AND truncation IN (0, 1) AND {ROLE} <> 'unmapped' GROUP BY ALL")
+def prj_19(s, d):
+    g = named(ground_truth(s, d))
+    return g.where(B.eligible(F.col("state"), F.col("occlusion"), F.col("truncation")) & (F.col("role") != "unmapped")).groupBy(*FRAME).agg(F.count("*").alias("n"))
+
+
+@query("prj_20_field_of_view", f"WITH {DET} SELECT det_id, cy > 0 AND abs(cx) <= cy AS in_fov FROM det")
+def prj_20(s, d):
+    return detections(s, d).select("det_id", ((F.col("cy") > 0) & (F.abs("cx") <= F.col("cy"))).alias("in_fov"))
+
+
+@query("prj_21_model_boxes", f"WITH {GT} SELECT track_id, -cy AS x, cx AS y, 0.75::DOUBLE AS z, len AS length, wid AS width, round((yaw + pi() / 2 + pi()) % (2 * pi()) - pi(), 6) + 0 AS yaw FROM (SELECT *, (track_id % 15) * 0.3::DOUBLE AS yaw FROM gt)")
+def prj_21(s, d):
+    x, y, z, length, width, _, yaw = B.model_box(F.col("cx"), F.col("cy"), F.lit(0.0), F.lit(1.5), F.col("wid"), F.col("len"), (F.col("track_id") % 15) * 0.3)
+    return ground_truth(s, d).select("track_id", x.alias("x"), y.alias("y"), z.alias("z"), length.alias("length"), width.alias("width"), (F.round(yaw, 6) + 0.0).alias("yaw"))
+
+
+@query("prj_22_threshold_edge", f"WITH {DET} SELECT det_id FROM det WHERE score BETWEEN 0.20::DOUBLE AND 0.30::DOUBLE")
+def prj_22(s, d):
+    return detections(s, d).where(F.col("score").between(0.20, 0.30)).select("det_id")
+
+
+IOU = """greatest(0, least(p.cx + p.len / 2, g.cx + g.len / 2) - greatest(p.cx - p.len / 2, g.cx - g.len / 2)) * greatest(0, least(p.cy + p.wid / 2, g.cy + g.wid / 2) - greatest(p.cy - p.wid / 2, g.cy - g.wid / 2))"""
+PAIRS = f"""{DET}, pairs AS (SELECT p.drive_id, p.frame_index, {CLASS.replace('object_type', 'p.object_type')} AS class_name, det_id, g.track_id, {IOU} / (p.len * p.wid + g.len * g.wid - {IOU}) AS iou
+  FROM det p JOIN gt g ON p.drive_id = g.drive_id AND p.frame_index = g.frame_index AND {CLASS.replace('object_type', 'p.object_type')} = g.object_type WHERE {IOU} > 0)"""
+
+
+def targets(s, d):
+    return named(ground_truth(s, d)).where("role = 'target'")
+
+
+def ignores(s, d):
+    return named(ground_truth(s, d)).where("role = 'neighbour_ignore'")
+
+
+@query("jn_12_iou_pairs", f"WITH {PAIRS} SELECT {FR}, class_name, det_id, track_id, round(iou, 6) AS iou FROM pairs")
+def jn_12(s, d):
+    return B.pairs(scored(s, d), targets(s, d), KEYS).select(*KEYS, "det_id", "track_id", F.round("iou", 6).alias("iou"))
+
+
+@query("jn_12_oriented_pairs")
+def jn_12o(s, d):
+    return B.pairs(scored(s, d).withColumn("yaw", YAW), targets(s, d).withColumn("yaw", YAW), KEYS, oriented=True)
+
+
+@query("jn_13_greedy_matches")
+def jn_13(s, d):
+    return B.match(scored(s, d), targets(s, d), ignores(s, d), KEYS, 0.5)
+
+
+@query("jn_13_single_target_frames", f"""WITH {PAIRS}, one AS (SELECT {FR}, object_type AS class_name FROM gt WHERE object_type IN ('Car', 'Pedestrian') GROUP BY ALL HAVING count(*) = 1),
+hit AS (SELECT {FR}, class_name, max(iou) >= 0.5 AS hit FROM pairs JOIN one USING (drive_id, frame_index, class_name) GROUP BY ALL)
+SELECT {FR}, class_name, CAST(coalesce(hit, false) AS BIGINT) AS tp FROM one LEFT JOIN hit USING (drive_id, frame_index, class_name)""")
+def jn_13_single(s, d):
+    one = targets(s, d).groupBy(*KEYS).agg(F.count("*").alias("n")).where("n = 1").select(*KEYS)
+    records = B.match(scored(s, d).join(one, KEYS, "left_semi"), targets(s, d).join(one, KEYS, "left_semi"), ignores(s, d), KEYS, 0.5)
+    hits = records.where("disposition = 'true_positive'").groupBy(*KEYS).agg(F.count("*").alias("tp"))
+    return one.join(hits, KEYS, "left").fillna(0)
+
+
+@query("jn_14_parity_matches")
+def jn_14(s, d):
+    other = named(candidates(s, d)).where("class_name is not null").withColumn("track_id", F.col("det_id"))
+    none = other.where("false")
+    return B.match(scored(s, d), other, none, KEYS, 0.5)
+
+
+@query("jn_15_ignore_reasons", f"""WITH {DET}, near AS (SELECT p.det_id, g.object_type, {IOU} / (p.len * p.wid + g.len * g.wid - {IOU}) AS iou FROM det p JOIN gt g ON p.drive_id = g.drive_id AND p.frame_index = g.frame_index
+  AND {CLASS.replace('object_type', 'p.object_type')} = {CLASS.replace('object_type', 'g.object_type')} AND g.object_type IN ('Van', 'Person (sitting)') WHERE {IOU} > 0)
+SELECT det_id, object_type AS reason FROM (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, object_type) AS k FROM near) WHERE k = 1""")
+def jn_15(s, d):
+    kinds = ignores(s, d)
+    near = B.pairs(scored(s, d), kinds, KEYS).join(kinds.select(*FRAME, "track_id", "object_type"), [*FRAME, "track_id"])
+    best = near.groupBy("det_id", "object_type").agg(F.max("iou").alias("iou"))
+    top = best.groupBy("det_id").agg(F.max("iou").alias("top"))
+    return best.join(top, "det_id").where("iou = top").groupBy("det_id").agg(F.min("object_type").alias("reason"))
+
+
+BOTH = f"""{DET}, a AS (SELECT track_id, max(score) >= 0.5 AS hit FROM det GROUP BY track_id), b AS (SELECT track_id, max(score) >= 0.5 AS hit FROM det WHERE det_id % 4 <> 0 GROUP BY track_id),
+obs AS (SELECT track_id, object_type, {FR}, coalesce(a.hit, false) AS ten, coalesce(b.hit, false) AS five FROM gt LEFT JOIN a USING (track_id) LEFT JOIN b USING (track_id))"""
+
+
+def observed(s, d):
+    det = detections(s, d)
+    g = ground_truth(s, d)
+    for name, rows in (("ten", det), ("five", det.where("det_id % 4 <> 0"))):
+        hit = rows.groupBy("track_id").agg((F.max("score") >= 0.5).alias(name))
+        g = g.join(hit, "track_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return g
+
+
+@query("jn_17_paired_conditions", f"WITH {BOTH} SELECT object_type, CASE WHEN ten AND five THEN 'detected_both' WHEN ten THEN 'lost' WHEN five THEN 'gained' ELSE 'missed_both' END AS transition, count(*) AS n FROM obs GROUP BY ALL")
+def jn_17(s, d):
+    kind = F.when(F.col("ten") & F.col("five"), "detected_both").when(F.col("ten"), "lost").when(F.col("five"), "gained").otherwise("missed_both")
+    return observed(s, d).groupBy("object_type", kind.alias("transition")).agg(F.count("*").alias("n"))
+
+
+@query("agg_15_count_metrics", f"WITH {BOTH}, n AS (SELECT object_type, count(*) FILTER (ten AND five) AS tp, count(*) FILTER (ten AND NOT five) AS fp, count(*) FILTER (NOT ten) AS fn FROM obs GROUP BY object_type) SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM n")
+def agg_15(s, d):
+    n = observed(s, d).groupBy("object_type").agg(F.count_if(F.col("ten") & F.col("five")).alias("tp"), F.count_if(F.col("ten") & ~F.col("five")).alias("fp"), F.count_if(~F.col("ten")).alias("fn"))
+    return M.count_metrics(n)
+
+
+@query("agg_16_class_report")
+def agg_16(s, d):
+    """Counts and metrics per class at three thresholds."""
+    out = None
+    for t in (0.3, 0.5, 0.7):
+        records = B.match(scored(s, d), targets(s, d), ignores(s, d), KEYS, t)
+        n = B.match_counts(records, targets(s, d), KEYS).groupBy("class_name").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "ignored")))
+        n = M.count_metrics(n).withColumn("threshold", F.lit(t))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("agg_17_range_recall", f"WITH {BOTH}, r AS (SELECT *, CASE WHEN cy >= 0 AND cy < 20 THEN '0-20' WHEN cy < 35 THEN '20-35' WHEN cy <= 50 THEN '35-50' END AS slice FROM obs JOIN (SELECT track_id, cy FROM gt) USING (track_id)) SELECT object_type, slice, count(*) AS n, count(*) FILTER (ten) / count(*)::DOUBLE AS recall FROM r GROUP BY ALL")
+def agg_17(s, d):
+    return observed(s, d).groupBy("object_type", M.range_slice(F.col("cy")).alias("slice")).agg(F.count("*").alias("n"), (F.count_if(F.col("ten")) / F.count("*")).alias("recall"))
+
+
+@query("agg_18_strata", f"""WITH {BOTH}, u AS (SELECT 'occlusion' AS field, occlusion AS value, ten FROM obs JOIN (SELECT track_id, occlusion FROM gt) USING (track_id) UNION ALL SELECT 'truncation', truncation, ten FROM obs JOIN (SELECT track_id, truncation FROM gt) USING (track_id))
+SELECT field, value, count(*) AS n, CASE WHEN count(*) >= 10 THEN count(*) FILTER (ten) / count(*)::DOUBLE END AS recall FROM u GROUP BY ALL""")
+def agg_18(s, d):
+    u = observed(s, d).select("ten", F.expr("stack(2, 'occlusion', occlusion, 'truncation', truncation) AS (field, value)"))
+    return u.groupBy("field", "value").agg(F.count("*").alias("n"), F.when(F.count("*") >= 10, F.count_if(F.col("ten")) / F.count("*")).alias("recall"))
+
+
+@query("agg_19_overflow_association", f"WITH {BOTH} SELECT frame_index % 6 = 0 AS overflow, count(*) FILTER (ten) AS tp, count(*) FILTER (NOT ten) AS fn, coalesce(count(*) FILTER (ten) / count(*)::DOUBLE, 0) AS recall FROM obs GROUP BY ALL")
+def agg_19(s, d):
+    n = observed(s, d).groupBy((F.col("frame_index") % 6 == 0).alias("overflow")).agg(F.count_if(F.col("ten")).alias("tp"), F.count_if(~F.col("ten")).alias("fn"))
+    return n.withColumn("recall", M.ratio0(F.col("tp"), F.col("tp") + F.col("fn")))
+
+
+RUNS = f"""{BOTH}, t AS (SELECT track_id % 25 AS object, track_id // 25 AS k, ten FROM obs), breaks AS (SELECT *, CASE WHEN ten IS DISTINCT FROM lag(ten) OVER w OR k <> lag(k) OVER w + 1 THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY object ORDER BY k)),
+runs AS (SELECT object, ten, run, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY object ORDER BY k) AS run FROM breaks) GROUP BY ALL)"""
+
+
+@query("win_4_longest_runs", f"WITH {RUNS} SELECT object, coalesce(max(n) FILTER (ten), 0) AS longest_hit, coalesce(max(n) FILTER (NOT ten), 0) AS longest_miss FROM runs GROUP BY object")
+def win_4(s, d):
+    t = observed(s, d).select((F.col("track_id") % 25).alias("object"), F.floor(F.col("track_id") / 25).alias("k"), "ten")
+    return M.longest_runs(t, ["object"], "k", "ten")
+
+
+@query("agg_20_track_continuity", f"WITH {RUNS}, m AS (SELECT object, count(*) AS labelled, count(*) FILTER (ten) AS detected FROM t GROUP BY object) SELECT m.object, any_value(labelled) AS labelled, any_value(detected) AS detected, any_value(detected / labelled::DOUBLE) AS fraction, coalesce(max(n) FILTER (ten), 0) AS longest_hit, coalesce(max(n) FILTER (NOT ten), 0) AS longest_miss FROM m JOIN runs ON m.object = runs.object GROUP BY m.object")
+def agg_20(s, d):
+    t = observed(s, d).select((F.col("track_id") % 25).alias("object"), F.floor(F.col("track_id") / 25).alias("k"), "ten")
+    n = t.groupBy("object").agg(F.count("*").alias("labelled"), F.count_if(F.col("ten")).alias("detected"))
+    return n.withColumn("fraction", F.col("detected") / F.col("labelled")).join(M.longest_runs(t, ["object"], "k", "ten"), "object")
+
+
+@query("win_3_average_precision", f"""WITH {DET}, r AS (SELECT object_type, score, det_id, det_id % 3 <> 0 AS tp FROM det), n AS (SELECT object_type, count(*) AS n_truths FROM det GROUP BY object_type),
+c AS (SELECT *, sum(CAST(tp AS INT)) OVER w / row_number() OVER w AS precision FROM r WINDOW w AS (PARTITION BY object_type ORDER BY score DESC, det_id)),
+e AS (SELECT *, max(precision) OVER (PARTITION BY object_type ORDER BY score DESC, det_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM c)
+SELECT object_type, sum(CASE WHEN tp THEN env ELSE 0 END) / max(n_truths) AS ap FROM e JOIN n USING (object_type) GROUP BY object_type""")
+def win_3(s, d):
+    det = detections(s, d).withColumn("tp", F.col("det_id") % 3 != 0)
+    return M.average_precision(det.select("object_type", "score", "det_id", "tp"), det.groupBy("object_type").agg(F.count("*").alias("n_truths")), ["object_type"], ["det_id"])
+
+
+@query("agg_37_drive_census", f"WITH {GT} SELECT drive_id, count(*) FILTER (state = 2) AS valid_poses, count(DISTINCT track_id) AS tracks, count(DISTINCT frame_index) AS labelled_frames, max(frame_index) AS last_frame, count(*) AS poses FROM gt GROUP BY drive_id")
+def agg_37(s, d):
+    return ground_truth(s, d).groupBy("drive_id").agg(F.count_if(F.col("state") == 2).alias("valid_poses"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("frame_index").alias("labelled_frames"), F.max("frame_index").alias("last_frame"), F.count("*").alias("poses"))
+
+
+@query("sel_3_drive_choice", f"WITH {GT} SELECT drive_id FROM gt GROUP BY drive_id ORDER BY count(*) FILTER (state = 2) DESC, count(DISTINCT track_id) DESC, count(DISTINCT frame_index) DESC, drive_id LIMIT 1")
+def sel_3(s, d):
+    return agg_37(s, d).orderBy(F.desc("valid_poses"), F.desc("tracks"), F.desc("labelled_frames"), "drive_id").limit(1).select("drive_id")
+
+
+@query("agg_38_drive_records", f"WITH {GT} SELECT {FR}, object_type, count(*) FILTER (state = 2 AND occlusion IN (0, 1) AND truncation IN (0, 1)) AS eligible FROM gt WHERE frame_index >= 10 GROUP BY ALL")
+def agg_38(s, d):
+    return ground_truth(s, d).where("frame_index >= 10").groupBy(*FRAME, "object_type").agg(F.count_if(B.eligible(F.col("state"), F.col("occlusion"), F.col("truncation"))).alias("eligible"))
+
+
+@query("agg_39_annotation_contract", f"WITH {GT} SELECT object_type, occlusion, truncation, state, count(*) AS n FROM gt GROUP BY GROUPING SETS ((object_type), (occlusion), (truncation), (state))")
+def agg_39(s, d):
+    ground_truth(s, d).createOrReplaceTempView("_annotations")
+    return s.sql("SELECT object_type, occlusion, truncation, state, count(*) AS n FROM _annotations GROUP BY GROUPING SETS ((object_type), (occlusion), (truncation), (state))")
+
+
+@query("snk_3_message_records", f"WITH {DET}, f AS (SELECT DISTINCT {FR} FROM gt) SELECT {FR}, count(det_id) AS detections, round(coalesce(sum(sin(score / 2)), 0), 6) AS z, round(coalesce(sum(cos(score / 2)), 0), 6) AS w FROM f LEFT JOIN det USING (drive_id, frame_index) GROUP BY ALL")
+def snk_3(s, d):
+    from sweepframe.sources.sinks import detection_messages
+
+    out = detection_messages(detections(s, d).withColumn("yaw", F.col("score")), ground_truth(s, d).select(*FRAME).distinct(), FRAME)
+
+    def total(c):
+        return F.round(F.aggregate("detections", F.lit(0.0), lambda a, x: a + x["orientation"][c]), 6)
+
+    return out.select(*FRAME, F.size("detections").cast("long").alias("detections"), total("z").alias("z"), total("w").alias("w"))
+
+
+@query("snk_4_markers", f"WITH {DET} SELECT {FR}, kind, count(*) AS n FROM (SELECT {FR}, unnest(['box', 'label']) AS kind FROM det UNION ALL SELECT DISTINCT {FR}, 'delete_all' FROM det) GROUP BY ALL")
+def snk_4(s, d):
+    from sweepframe.sources.sinks import markers
+
+    return markers(detections(s, d), FRAME).groupBy(*FRAME, "kind").agg(F.count("*").alias("n"))
+
+
+@query("snk_6_ledger", f"WITH {DET}, expected AS (SELECT DISTINCT {FR}, c FROM gt, (VALUES ('H10'), ('H5')) v(c)), done AS (SELECT DISTINCT {FR}, CASE WHEN det_id % 2 = 0 THEN 'H10' ELSE 'H5' END AS c FROM det WHERE score > 0.8) SELECT c AS condition, CASE WHEN done.drive_id IS NULL THEN 'PENDING' ELSE 'COMPLETE' END AS status, count(*) AS n FROM expected LEFT JOIN done USING (drive_id, frame_index, c) GROUP BY ALL")
+def snk_6(s, d):
+    from sweepframe.sources.sinks import ledger_totals
+
+    expected = ground_truth(s, d).select(*FRAME).distinct().withColumn("condition", F.explode(F.array(F.lit("H10"), F.lit("H5"))))
+    done = detections(s, d).where("score > 0.8D").select(*FRAME, F.when(F.col("det_id") % 2 == 0, "H10").otherwise("H5").alias("condition")).distinct()
+    return ledger_totals(expected, done, [*FRAME, "condition"])
+
+
+@query("sel_1_canonical_order", f"WITH {DET} SELECT {FR}, det_id, row_number() OVER (PARTITION BY {FR} ORDER BY score DESC, object_type, cx, cy, len, wid, det_id) AS place FROM det")
+def sel_1(s, d):
+    from pyspark.sql.window import Window
+
+    return detections(s, d).select(*FRAME, "det_id", F.row_number().over(Window.partitionBy(*FRAME).orderBy(*B.detection_order())).alias("place"))
+
+
+@query("sel_12_first_sample", f"WITH {DET} SELECT {FR}, count(*) AS n, max(score) AS best FROM det WHERE object_type = 'Pedestrian' AND score >= 0.8 GROUP BY ALL ORDER BY drive_id, frame_index LIMIT 1")
+def sel_12(s, d):
+    return detections(s, d).where("object_type = 'Pedestrian' and score >= 0.8D").groupBy(*FRAME).agg(F.count("*").alias("n"), F.max("score").alias("best")).orderBy(*FRAME).limit(1)
+
+
+@query("geo_5_corners", f"WITH {GT}, y AS (SELECT *, (track_id % 16) * pi() / 8 AS yaw FROM gt) SELECT track_id, round(cx + 2 * cos(yaw) - sin(yaw), 6) AS x0, round(cy + 2 * sin(yaw) + cos(yaw), 6) AS y0, round(cx - 2 * cos(yaw) + sin(yaw), 6) AS x2, round(cy - 2 * sin(yaw) - cos(yaw), 6) AS y2 FROM y")
+def geo_5(s, d):
+    c = G.corners(F.col("cx"), F.col("cy"), F.col("len"), F.col("wid"), YAW)
+    return ground_truth(s, d).select("track_id", c.alias("c")).select("track_id", *(F.round(F.col("c")[k][a], 6).alias(f"{a}{k}") for k in (0, 2) for a in "xy"))
+
+
+@query("geo_6_oriented_iou")
+def geo_6(s, d):
+    g = ground_truth(s, d)
+    box = {k: F.struct((F.col("cx") + k).alias("cx"), "cy", "len", "wid", (YAW * k).alias("yaw")) for k in (0.0, 1.0)}
+    return g.select("track_id", G.oriented_iou(box[0.0], box[1.0]).alias("iou"))
+
+
+@query("geo_7_box_corners", f"WITH {GT} SELECT track_id, round(cx + 2, 6) AS x0, round(cy + 1, 6) AS y0, -0.75::DOUBLE AS z0, 0.75::DOUBLE AS z7 FROM gt")
+def geo_7(s, d):
+    c = G.box_corners(F.col("cx"), F.col("cy"), F.lit(0.0), F.col("len"), F.col("wid"), F.lit(1.5), F.lit(0.0))
+    return ground_truth(s, d).select("track_id", c.alias("c")).select("track_id", F.round(F.col("c")[0]["x"], 6).alias("x0"), F.round(F.col("c")[0]["y"], 6).alias("y0"), F.col("c")[0]["z"].alias("z0"), F.col("c")[7]["z"].alias("z7"))
+
+
+@query("geo_9_camera_visibility")
+def geo_9(s, d):
+    from sweepframe.functions.camera import with_visibility
+
+    c = G.box_corners(F.col("cx"), F.col("cy"), F.lit(0.0), F.col("len"), F.col("wid"), F.lit(1.5), F.lit(0.0))
+    camera = {"p": [700.0, 0, 600, 0, 0, 700, 180, 0, 0, 0, 1, 0], "e": [1.0, 0, 0, 0, 0, 0, -1, 0, 0, 1, 0, 0, 0, 0, 0, 1], "width": 1242.0, "height": 375.0, "near": 0.1}
+    return with_visibility(ground_truth(s, d).select("track_id", c.alias("corners")), "corners", camera).select("track_id", "visible")
+
+
+@query("geo_1_4_angles", f"WITH {GT}, a AS (SELECT track_id, (track_id % 37) * 0.4::DOUBLE AS a, (track_id % 11) * 0.7::DOUBLE AS b FROM gt), w AS (SELECT *, abs((((a - b + pi()) % (2 * pi())) + 2 * pi()) % (2 * pi()) - pi()) AS e FROM a) SELECT track_id, round((a + pi()) % (2 * pi()) - pi(), 6) AS wrapped, round(e, 6) AS yaw_error, round(degrees(e), 6) AS heading, e > pi() / 2 AS flip, round(degrees(least(e, pi() - e)), 6) AS axis FROM w")
+def geo_1(s, d):
+    a, b = (F.col("track_id") % 37) * 0.4, (F.col("track_id") % 11) * 0.7
+    return ground_truth(s, d).select("track_id", F.round(G.wrap(a), 6).alias("wrapped"), F.round(G.yaw_error(a, b), 6).alias("yaw_error"), F.round(G.heading_degrees(a, b), 6).alias("heading"), G.is_flip(a, b).alias("flip"), F.round(G.axis_degrees(a, b), 6).alias("axis"))
+
+
+@query("geo_13_yaw_quaternion", f"WITH {GT} SELECT track_id, round(sin(track_id % 16 * pi() / 16), 6) AS z, round(cos(track_id % 16 * pi() / 16), 6) AS w FROM gt")
+def geo_13(s, d):
+    q = G.yaw_quaternion(YAW)
+    return ground_truth(s, d).select("track_id", F.round(q["z"], 6).alias("z"), F.round(q["w"], 6).alias("w"))
+
+
+@query("geo_20_pair_errors", f"WITH {CAND} SELECT det_id, round(sqrt((p.cx - c.cx) * (p.cx - c.cx) + (p.cy - c.cy) * (p.cy - c.cy)), 6) AS xy_error, 0::DOUBLE AS length_error, 0::DOUBLE AS width_error, round(abs(p.score - c.score), 6) AS score_error FROM det p JOIN cand c USING (det_id)")
+def geo_20(s, d):
+    a, b = detections(s, d).alias("a"), candidates(s, d).alias("b")
+    side = {p: {c: F.col(f"{p}.{c}") for c in ("cx", "cy", "len", "wid", "score")} for p in "ab"}
+    return a.join(b, F.col("a.det_id") == F.col("b.det_id")).select("a.det_id", *(F.round(v, 6).alias(k) for k, v in B.pair_errors(side["a"], side["b"]).items()))
+
+
+@query("jsn_1_canonical_json", f"WITH {DET} SELECT det_id, to_json({{'class': object_type, 'id': det_id}}) AS body FROM det")
+def jsn_1(s, d):
+    return detections(s, d).select("det_id", F.to_json(F.struct(F.col("object_type").alias("class"), F.col("det_id").alias("id"))).alias("body"))
+
+
+@query("sel_11_display_picks", f"WITH {DET}, f AS (SELECT {FR}, count(*) AS n, max(score) AS best FROM det GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY best DESC, drive_id, frame_index) AS a, row_number() OVER (ORDER BY best, drive_id, frame_index) AS b, row_number() OVER (ORDER BY n DESC, drive_id, frame_index) AS c FROM f) SELECT {FR}, CASE WHEN a = 1 THEN 'best' END AS best_pick, CASE WHEN b = 1 THEN 'worst' END AS worst_pick, CASE WHEN c = 1 THEN 'most' END AS most_pick FROM r WHERE a = 1 OR b = 1 OR c = 1")
+def sel_11(s, d):
+    f = detections(s, d).groupBy(*FRAME).agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    picks = {"best": F.struct(-F.col("best"), *FRAME), "worst": F.struct("best", *FRAME), "most": F.struct(-F.col("n"), *FRAME)}
+    top = f.agg(*(F.min_by(F.struct(*FRAME), v).alias(k) for k, v in picks.items()))
+    rows = top.select(F.explode(F.array(*(F.struct(F.col(f"{k}.drive_id"), F.col(f"{k}.frame_index"), F.lit(k).alias("pick")) for k in picks))).alias("r")).select("r.*")
+    return rows.groupBy(*FRAME).agg(*(F.max(F.when(F.col("pick") == k, k)).alias(f"{k}_pick") for k in picks))

@@ -58,7 +58,7 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return o.join(g, o["o_custkey"] == g["track_id"]).select(
         F.col("o_orderkey").alias("det_id"), *FRAME, "track_id", "object_type", (F.col("cx") + (F.col("o_orderkey") % 5) * 0.5).alias("cx"), (F.col("cy") + (F.col("o_orderkey") % 3) * 0.25).alias("cy"),
-        "len", "wid", F.round(F.col("o_totalprice") / 500000.0, 6).alias("score"),
+        "len", "wid", (F.col("o_totalprice") / 500000.0).alias("score"),
     )
 
 
@@ -102,7 +102,7 @@ GT = """gt AS (SELECT c_custkey AS track_id, 'd' || (c_nationkey % 4) AS drive_i
   CAST((c_custkey * 7) % 41 - 20 AS DOUBLE) AS cx, CAST((c_custkey * 11) % 43 AS DOUBLE) AS cy, 4::DOUBLE AS len, 2::DOUBLE AS wid,
   CAST(c_custkey % 4 AS INT) AS occlusion, CAST(c_custkey % 3 AS INT) AS truncation, CAST(1 + c_custkey % 2 AS INT) AS state FROM customer)"""
 DET = f"""{GT}, det AS (SELECT o_orderkey AS det_id, drive_id, frame_index, track_id, object_type, cx + (o_orderkey % 5) * 0.5::DOUBLE AS cx, cy + (o_orderkey % 3) * 0.25::DOUBLE AS cy, len, wid,
-  round(o_totalprice / 500000::DOUBLE, 6) AS score FROM orders JOIN gt ON o_custkey = track_id)"""
+  o_totalprice / 500000::DOUBLE AS score FROM orders JOIN gt ON o_custkey = track_id)"""
 CAND = f"""{DET}, cand AS (SELECT * REPLACE (cx + CASE WHEN det_id % 50 = 0 THEN 1::DOUBLE ELSE 0.01::DOUBLE END AS cx, score - 0.002::DOUBLE AS score) FROM det)"""
 MESSAGES = """msg AS (SELECT user_id % 8 AS sensor, event_id AS arrival_seq, epoch_us(ts) - CASE WHEN event_id % 37 = 0 THEN 7200000000 ELSE 0 END AS stamp_us, epoch_us(ts) AS ts_us, event_type, value, user_id FROM events)"""
 TELEMETRY = """tel AS (SELECT event_id, epoch_us(ts) AS ts_us, event_type AS block, 'P' || (k % 3) AS pstate, CAST(k * 10 + 1500 AS DOUBLE) AS clocks_sm, value AS power_draw, k % 10 <> 0 AS available

@@ -1 +1,175 @@
-"""Queries follow."""
+"""Queries on parity of two backends, descriptive statistics and array outputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sweepframe.functions import geometry as G
+from sweepframe.functions.numeric import fraction, gib
+from sweepframe.operators import metrics as M
+from sweepframe.operators.fidelity import tolerance
+from sweepframe.plans.fixtures import CAND, DET, FRAME, LOGITS, candidates, detections, logits
+from sweepframe.registry import query
+
+FR = "drive_id, frame_index"
+MATCHED = f"{CAND}, m AS (SELECT p.drive_id, p.frame_index, p.object_type, det_id, p.score AS score, c.score AS other_score, sqrt((p.cx - c.cx) * (p.cx - c.cx)) AS xy_error, abs(p.score - c.score) AS score_error FROM det p JOIN cand c USING (det_id))"
+
+
+def matched(s, d):
+    c = candidates(s, d).select("det_id", F.col("cx").alias("other_cx"), F.col("score").alias("other_score"))
+    both = detections(s, d).join(c, "det_id")
+    return both.select(*FRAME, "object_type", "det_id", "score", "other_score", F.abs(F.col("cx") - F.col("other_cx")).alias("xy_error"), F.abs(F.col("score") - F.col("other_score")).alias("score_error"))
+
+
+@query("agg_21_descriptive", f"WITH {DET} SELECT object_type, count(*) AS n, avg(score) AS mean, median(score) AS median, quantile_cont(score, 0.9) AS p90, quantile_cont(score, 0.95) AS p95, min(score) AS min, max(score) AS max, stddev_pop(score) AS std FROM det GROUP BY object_type")
+def agg_21(s, d):
+    return M.describe(detections(s, d), "score", ["object_type"])
+
+
+@query("agg_22_latency", "SELECT event_type, count(*) AS n, median(value) AS median, quantile_cont(value, 0.95) AS p95, 1000 / median(value) AS fps FROM events WHERE value > 0 GROUP BY event_type")
+def agg_22(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").where("value > 0 and value < double('inf')")
+    return M.describe(e, "value", ["event_type"]).select("event_type", "n", "median", "p95", (1000 / F.col("median")).alias("fps"))
+
+
+@query("agg_23_distribution", f"WITH {MATCHED} SELECT object_type, median(xy_error) AS median, quantile_cont(xy_error, 0.95) AS p95, quantile_cont(xy_error, 0.99) AS p99, max(xy_error) AS max, avg(xy_error) AS mean FROM m GROUP BY object_type")
+def agg_23(s, d):
+    return matched(s, d).groupBy("object_type").agg(F.median("xy_error").alias("median"), F.percentile("xy_error", F.lit(0.95)).alias("p95"), F.percentile("xy_error", F.lit(0.99)).alias("p99"), F.max("xy_error").alias("max"), F.avg("xy_error").alias("mean"))
+
+
+@query("agg_24_tolerance", f"WITH {MATCHED} SELECT object_type, count(*) AS n, count(*) FILTER (xy_error <= 0.05) AS passed, avg(CAST(xy_error <= 0.05 AS INT)) AS pass_fraction, avg(CAST(xy_error <= 0.05 AS INT)) >= 0.99 AS accepted FROM m GROUP BY object_type")
+def agg_24(s, d):
+    return tolerance(matched(s, d), "xy_error", 0.05, ["object_type"])
+
+
+@query("agg_31_sample_parity", f"WITH {MATCHED} SELECT {FR}, count(*) AS raw, count(*) FILTER (score >= 0.25) AS exported, count(*) FILTER (score >= 0.3) AS high, CAST(greatest(1, ceil(0.05 * count(*))) AS BIGINT) AS allowed FROM m GROUP BY ALL")
+def agg_31(s, d):
+    return matched(s, d).groupBy(*FRAME).agg(F.count("*").alias("raw"), F.count_if(F.col("score") >= 0.25).alias("exported"), F.count_if(F.col("score") >= 0.3).alias("high"), F.greatest(F.lit(1), F.ceil(F.count("*") * 0.05)).cast("long").alias("allowed"))
+
+
+@query("agg_32_acceptance", f"WITH {MATCHED}, x AS (SELECT count(*) = (SELECT count(*) FROM det) AS coverage, max(xy_error) <= 0.5 AS xy_max, max(score_error) <= 0.01 AS score_max FROM m) SELECT *, coverage AND xy_max AND score_max AS accepted FROM x")
+def agg_32(s, d):
+    total = detections(s, d).agg(F.count("*").alias("total"))
+    x = matched(s, d).agg(F.count("*").alias("n"), F.max("xy_error").alias("x"), F.max("score_error").alias("e")).crossJoin(total)
+    x = x.select((F.col("n") == F.col("total")).alias("coverage"), (F.col("x") <= 0.5).alias("xy_max"), (F.col("e") <= 0.01).alias("score_max"))
+    return x.withColumn("accepted", F.col("coverage") & F.col("xy_max") & F.col("score_max"))
+
+
+@query("agg_33_acceptance_failures", f"WITH {MATCHED}, g AS (SELECT object_type, avg(CAST(xy_error <= 0.05 AS INT)) >= 0.99 AS xy, avg(CAST(score_error <= 0.01 AS INT)) >= 0.99 AS score FROM m GROUP BY object_type) SELECT object_type, concat_ws(',', CASE WHEN NOT xy THEN 'xy' END, CASE WHEN NOT score THEN 'score' END) AS failed FROM g")
+def agg_33(s, d):
+    g = matched(s, d).groupBy("object_type").agg(*((F.avg((F.col(f"{c}_error") <= limit).cast("int")) >= 0.99).alias(c) for c, limit in (("xy", 0.05), ("score", 0.01))))
+    return g.select("object_type", F.concat_ws(",", *(F.when(~F.col(c), c) for c in ("xy", "score"))).alias("failed"))
+
+
+@query("agg_53_verdict", f"WITH {MATCHED}, {LOGITS.replace('logits AS', 'lg AS')}, a AS (SELECT max(xy_error) <= 2 AS accepted FROM m), b AS (SELECT bool_and(len(reference) = len(candidate)) AS shapes FROM lg) SELECT accepted, shapes, accepted AND shapes AS equivalent FROM a, b")
+def agg_53(s, d):
+    a = matched(s, d).agg((F.max("xy_error") <= 2).alias("accepted"))
+    b = logits(s, d).agg(F.bool_and(F.size("reference") == F.size("candidate")).alias("shapes"))
+    return a.crossJoin(b).withColumn("equivalent", F.col("accepted") & F.col("shapes"))
+
+
+@query("jn_23_frame_difference", f"WITH {CAND}, a AS (SELECT {FR}, row_number() OVER (PARTITION BY {FR} ORDER BY score DESC, det_id) AS k, det_id, cx FROM det), b AS (SELECT {FR}, row_number() OVER (PARTITION BY {FR} ORDER BY score DESC, det_id) AS k, det_id, cx FROM cand) SELECT {FR}, count(a.k) AS a_count, count(b.k) AS b_count, min(k) FILTER (a.det_id IS DISTINCT FROM b.det_id OR abs(a.cx - b.cx) > 0.5) AS first FROM a FULL JOIN b USING (drive_id, frame_index, k) GROUP BY ALL")
+def jn_23(s, d):
+    w = Window.partitionBy(*FRAME).orderBy(F.desc("score"), "det_id")
+    a, b = (x.select(*FRAME, F.row_number().over(w).alias("k"), F.struct("det_id", "cx").alias(n)) for x, n in ((detections(s, d), "a"), (candidates(s, d), "b")))
+    differs = ~F.col("a.det_id").eqNullSafe(F.col("b.det_id")) | (F.abs(F.col("a.cx") - F.col("b.cx")) > 0.5)
+    return a.join(b, [*FRAME, "k"], "full").groupBy(*FRAME).agg(F.count("a").alias("a_count"), F.count("b").alias("b_count"), F.min(F.when(differs, F.col("k"))).alias("first"))
+
+
+@query("jn_24_threshold_edges", f"WITH {MATCHED} SELECT det_id, 'straddles' AS kind FROM m WHERE (score >= 0.5) <> (other_score >= 0.5) UNION ALL SELECT det_id, 'edge_only' FROM m WHERE score BETWEEN 0.2 AND 0.3 AND other_score NOT BETWEEN 0.2 AND 0.3")
+def jn_24(s, d):
+    m = matched(s, d)
+    a = m.where((F.col("score") >= 0.5) != (F.col("other_score") >= 0.5)).select("det_id", F.lit("straddles").alias("kind"))
+    return a.union(m.where(F.col("score").between(0.2, 0.3) & ~F.col("other_score").between(0.2, 0.3)).select("det_id", F.lit("edge_only").alias("kind")))
+
+
+@query("prj_24_latency_classes", "SELECT event_id, CASE WHEN value <= 50 THEN '20Hz' WHEN value <= 75 THEN '13Hz' WHEN value <= 100 THEN '10Hz' ELSE 'slow' END AS class FROM events")
+def prj_24(s, d):
+    v = F.col("value")
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", F.when(v <= 50, "20Hz").when(v <= 75, "13Hz").when(v <= 100, "10Hz").otherwise("slow").alias("class"))
+
+
+@query("prj_25_review_flags", f"WITH {DET}, a AS (SELECT {FR}, avg(score) AS m, max(score) AS x, count(*) AS n FROM det GROUP BY ALL) SELECT {FR}, concat_ws(',', CASE WHEN x > 2 * m THEN 'peak' END, CASE WHEN m < 0.5 THEN 'low_mean' END, CASE WHEN n > 60 THEN 'busy' END) AS flags FROM a")
+def prj_25(s, d):
+    a = detections(s, d).groupBy(*FRAME).agg(F.avg("score").alias("m"), F.max("score").alias("x"), F.count("*").alias("n"))
+    flags = F.array_compact(F.array(F.when(F.col("x") > 2 * F.col("m"), "peak"), F.when(F.col("m") < 0.5, "low_mean"), F.when(F.col("n") > 60, "busy")))
+    return a.select(*FRAME, F.array_join(flags, ",").alias("flags"))
+
+
+@query("prj_26_divergence_class", f"WITH {MATCHED} SELECT det_id, CASE WHEN xy_error > 0.5 AND score_error > 0.001 AND det_id % 2 = 0 AND det_id % 3 = 0 THEN 'confirmed_swap' WHEN xy_error > 0.5 THEN 'possible_swap' ELSE 'none' END AS kind FROM m")
+def prj_26(s, d):
+    far = F.col("xy_error") > 0.5
+    every = far & (F.col("score_error") > 0.001) & (F.col("det_id") % 2 == 0) & (F.col("det_id") % 3 == 0)
+    return matched(s, d).select("det_id", F.when(every, "confirmed_swap").when(far, "possible_swap").otherwise("none").alias("kind"))
+
+
+@query("agg_34_array_differences", f"WITH {LOGITS}, u AS (SELECT anchor % 8 AS sample, abs(unnest(reference) - unnest(candidate)) AS e FROM logits) SELECT sample, count(*) AS n, median(e) AS median, quantile_cont(e, 0.95) AS p95, max(e) AS max FROM u GROUP BY sample")
+def agg_34(s, d):
+    u = logits(s, d).select((F.col("anchor") % 8).alias("sample"), F.explode(F.zip_with("reference", "candidate", lambda a, b: F.abs(a - b))).alias("e"))
+    return u.groupBy("sample").agg(F.count("*").alias("n"), F.median("e").alias("median"), F.percentile("e", F.lit(0.95)).alias("p95"), F.max("e").alias("max"))
+
+
+DIRS = f"{LOGITS}, dirs AS (SELECT anchor, CASE WHEN dir_a[2] > dir_a[1] THEN 1 ELSE 0 END AS a, CASE WHEN dir_b[2] > dir_b[1] THEN 1 ELSE 0 END AS b, abs(dir_a[2] - dir_a[1]) AS margin FROM logits)"
+
+
+def directions(s, d):
+    def top(c):
+        return F.when(F.col(c)[1] > F.col(c)[0], 1).otherwise(0)
+
+    return logits(s, d).select("anchor", top("dir_a").alias("a"), top("dir_b").alias("b"), F.abs(F.col("dir_a")[1] - F.col("dir_a")[0]).alias("margin"))
+
+
+@query("agg_35_direction_population", f"WITH {DIRS} SELECT a = b AS agree, count(*) AS n, median(margin) AS median, max(margin) AS max FROM dirs GROUP BY ALL")
+def agg_35(s, d):
+    return directions(s, d).groupBy((F.col("a") == F.col("b")).alias("agree")).agg(F.count("*").alias("n"), F.median("margin").alias("median"), F.max("margin").alias("max"))
+
+
+@query("agg_36_disagreements", f"WITH {DIRS} SELECT anchor, a, b, margin FROM dirs WHERE a <> b")
+def agg_36(s, d):
+    return directions(s, d).where("a <> b")
+
+
+@query("agg_49_array_statistics", f"WITH {LOGITS} SELECT anchor, list_min(reference) AS min, list_max(reference) AS max, list_avg(reference) AS mean FROM logits")
+def agg_49(s, d):
+    mean = F.aggregate("reference", F.lit(0.0), lambda a, x: a + x) / F.size("reference")
+    return logits(s, d).select("anchor", F.array_min("reference").alias("min"), F.array_max("reference").alias("max"), mean.alias("mean"))
+
+
+@query("win_12_top_anchors", f"WITH {LOGITS}, r AS (SELECT anchor, row_number() OVER (ORDER BY list_max(reference) DESC, anchor) AS a, row_number() OVER (ORDER BY list_max(candidate) DESC, anchor) AS b FROM logits) SELECT anchor FROM r WHERE a <= 100 OR b <= 100")
+def win_12(s, d):
+    lg = logits(s, d)
+    top = [lg.orderBy(F.desc(F.array_max(c)), "anchor").limit(100).select("anchor") for c in ("reference", "candidate")]
+    return top[0].union(top[1]).distinct()
+
+
+@query("set_3_index_union", f"WITH {LOGITS} SELECT anchor FROM logits WHERE anchor % 3 = 0 UNION SELECT anchor FROM logits WHERE anchor % 5 = 0")
+def set_3(s, d):
+    a = logits(s, d).select("anchor")
+    return a.where("anchor % 3 = 0").union(a.where("anchor % 5 = 0")).distinct()
+
+
+@query("arr_1_per_anchor_rows", f"WITH {LOGITS} SELECT anchor * 5 + (k - 1) % 5 AS row, list(reference[k] ORDER BY k) AS logits FROM logits, range(1, 11) r(k) GROUP BY ALL")
+def arr_1(s, d):
+    """Channels-first outputs (2 values by 5 anchors a cell) as one row per anchor with its values in order."""
+    u = logits(s, d).select("anchor", F.posexplode("reference").alias("k", "v"))
+    return u.groupBy((F.col("anchor") * 5 + F.col("k") % 5).alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("logits"))
+
+
+@query("mth_1_ulp_distance")
+def mth_1(s, d):
+    from sweepframe.plans.fixtures import points
+
+    return points(s, d).select(*FRAME, "row_idx", G.ulp_distance(F.col("x"), (F.col("x").cast("double") + 1e-6).cast("float")).alias("ulp"))
+
+
+@query("mth_2_3_fractions", f"WITH {DET} SELECT object_type, coalesce(count(*) FILTER (score > 2) / nullif(count(*) FILTER (score > 3), 0)::DOUBLE, 1) AS one, coalesce(count(*) FILTER (score > 2) / nullif(count(*) FILTER (score > 3), 0)::DOUBLE, 0) AS zero, CAST(NULL AS DOUBLE) AS none, count(*) / 1073741824::DOUBLE AS gib FROM det GROUP BY object_type")
+def mth_2(s, d):
+    g = detections(s, d).groupBy("object_type").agg(F.count_if(F.col("score") > 2).alias("a"), F.count_if(F.col("score") > 3).alias("b"), F.count("*").alias("n"))
+    return g.select("object_type", *(fraction(F.col("a"), F.col("b"), e).alias(n) for n, e in (("one", 1.0), ("zero", 0.0), ("none", None))), gib(F.col("n")).alias("gib"))
+
+
+@query("agg_48_runs", f"WITH {MATCHED}, r AS (SELECT det_id % 4 AS run, max(xy_error) AS worst, avg(xy_error) AS mean FROM m GROUP BY ALL) SELECT count(*) AS runs, max(worst) AS worst, median(mean) AS median_mean FROM r")
+def agg_48(s, d):
+    r = matched(s, d).groupBy((F.col("det_id") % 4).alias("run")).agg(F.max("xy_error").alias("worst"), F.avg("xy_error").alias("mean"))
+    return r.agg(F.count("*").alias("runs"), F.max("worst").alias("worst"), F.median("mean").alias("median_mean"))

@@ -1 +1,105 @@
-"""Queries follow."""
+"""Queries on current-plus-history reconstruction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sweepframe.operators import sweeps as S
+from sweepframe.operators.fidelity import first_mismatch
+from sweepframe.plans.fixtures import FRAME, POINTS, POSES, frames, points, poses
+from sweepframe.registry import query
+
+FR = "drive_id, frame_index"
+DEPTH = 3
+HISTORY = f"""hist AS (SELECT c.drive_id, c.frame_index, CAST(k AS INT) AS history_rank, s.frame_index AS source_index FROM frames c, range(0, {DEPTH + 1}) r(k) JOIN frames s ON s.drive_id = c.drive_id AND s.frame_index = c.frame_index - k)"""
+TRANSFORMS = f"""{POSES}, {HISTORY}, tf AS (SELECT h.*, s.yaw - c.yaw AS turn, s.tx - c.tx AS dx, s.ty - c.ty AS dy, s.tz - c.tz AS dz, c.yaw AS cyaw, c.ts_ns // 1000 AS cur_us, s.ts_ns // 1000 AS src_us
+  FROM hist h JOIN poses c ON c.drive_id = h.drive_id AND c.frame_index = h.frame_index JOIN poses s ON s.drive_id = h.drive_id AND s.frame_index = h.source_index)"""
+
+
+def transforms(s, d):
+    return S.sweep_transforms(S.history_index(frames(s, d), DEPTH), poses(s, d))
+
+
+def reconstructed(s, d):
+    stamps = frames(s, d).select(*FRAME, F.floor(F.col("ts_ns") / 1000).alias("ts_us"))
+    return S.model_points(points(s, d), transforms(s, d), stamps, 1.0)
+
+
+#: Only the current sweep and yaw-free fields are compared bit by bit; moved points are counted well away from the crop's faces.
+MOVED = f"""{POINTS}, {TRANSFORMS}, moved AS (SELECT tf.drive_id, tf.frame_index, history_rank, row_idx, CAST(cur_us / 1e6::DOUBLE - src_us / 1e6::DOUBLE AS FLOAT) AS time_lag,
+  CASE WHEN history_rank = 0 THEN x ELSE CAST(CAST(x::DOUBLE * CAST(cos(turn) AS FLOAT)::DOUBLE + y::DOUBLE * CAST(-sin(turn) AS FLOAT)::DOUBLE AS FLOAT)::DOUBLE - CAST(-(cos(cyaw) * dx + sin(cyaw) * dy) AS FLOAT)::DOUBLE AS FLOAT) END AS x,
+  CASE WHEN history_rank = 0 THEN y ELSE CAST(CAST(x::DOUBLE * CAST(sin(turn) AS FLOAT)::DOUBLE + y::DOUBLE * CAST(cos(turn) AS FLOAT)::DOUBLE AS FLOAT)::DOUBLE - CAST(-(cos(cyaw) * dy - sin(cyaw) * dx) AS FLOAT)::DOUBLE AS FLOAT) END AS y,
+  CASE WHEN history_rank = 0 THEN z ELSE CAST(z::DOUBLE - CAST(-dz AS FLOAT)::DOUBLE AS FLOAT) END AS z
+  FROM points p JOIN tf ON p.drive_id = tf.drive_id AND p.frame_index = tf.source_index WHERE history_rank = 0 OR NOT (abs(x) < 1 AND abs(y) < 1)),
+model AS (SELECT * FROM moved WHERE x > -50 AND x < 50 AND y > -50 AND y < 50 AND z > -5 AND z < 3)"""
+
+
+@query("jn_3_history_index", f"WITH {POSES}, {HISTORY} SELECT * FROM hist")
+def jn_3(s, d):
+    return S.history_index(frames(s, d), DEPTH)
+
+
+@query("jn_5_sweep_transforms", f"WITH {TRANSFORMS} SELECT {FR}, history_rank, round(cos(turn), 5) AS a00, round(-(cos(cyaw) * dx + sin(cyaw) * dy), 4) + 0 AS b0, round(-dz, 4) + 0 AS b2 FROM tf")
+def jn_5(s, d):
+    t = transforms(s, d)
+    return t.select(*FRAME, "history_rank", F.round(F.col("a")[0].cast("double"), 5).alias("a00"), (F.round(F.col("b")[0].cast("double"), 4) + 0.0).alias("b0"), (F.round(F.col("b")[2].cast("double"), 4) + 0.0).alias("b2"))
+
+
+@query("jn_4_model_points", f"WITH {MOVED} SELECT {FR}, history_rank, count(*) AS n, min(time_lag) AS time_lag, round(min(x)::DOUBLE, 2) AS x, round(max(y)::DOUBLE, 2) AS y FROM model GROUP BY ALL")
+def jn_4(s, d):
+    return reconstructed(s, d).groupBy(*FRAME, "history_rank").agg(F.count("*").alias("n"), F.min("time_lag").alias("time_lag"), F.round(F.min("x").cast("double"), 2).alias("x"), F.round(F.max("y").cast("double"), 2).alias("y"))
+
+
+@query("jn_6_frozen_transforms", f"WITH {TRANSFORMS} SELECT {FR}, count(*) AS transforms, true AS same FROM tf GROUP BY ALL")
+def jn_6(s, d):
+    from pyspark.sql import DataFrame
+
+    def digest(t: DataFrame, name: str) -> DataFrame:
+        return t.select(*FRAME, "history_rank", F.sha2(F.concat_ws(",", F.transform(F.concat("a", "b"), lambda x: x.cast("string"))), 256).alias(name))
+
+    t = transforms(s, d)
+    both = digest(t, "now").join(digest(t.repartition(5, "source_index"), "frozen"), [*FRAME, "history_rank"])
+    return both.groupBy(*FRAME).agg(F.count("*").alias("transforms"), F.bool_and(F.col("now") == F.col("frozen")).alias("same"))
+
+
+@query("jn_20_membership_difference", f"WITH {MOVED}, other AS (SELECT * FROM moved WHERE x > -49 AND x < 49 AND y > -50 AND y < 50 AND z > -5 AND z < 3) SELECT history_rank, count(*) FILTER (o.row_idx IS NULL) AS only_a, count(*) FILTER (m.row_idx IS NULL) AS only_b FROM model m FULL JOIN other o USING (drive_id, frame_index, history_rank, row_idx) GROUP BY history_rank")
+def jn_20(s, d):
+    a = reconstructed(s, d)
+    return S.membership_difference(a, a.where("x > -49 and x < 49"), [*FRAME, "history_rank", "src_row_idx"], ["history_rank"])
+
+
+@query("jn_21_provenance", f"WITH {MOVED} SELECT {FR}, history_rank, CASE WHEN history_rank = 0 THEN 'current' ELSE 'history' END AS role, min(row_idx) AS first_row, max(row_idx) AS last_row FROM model GROUP BY ALL")
+def jn_21(s, d):
+    role = F.when(F.col("history_rank") == 0, "current").otherwise("history")
+    return reconstructed(s, d).groupBy(*FRAME, "history_rank", role.alias("role")).agg(F.min("src_row_idx").alias("first_row"), F.max("src_row_idx").alias("last_row"))
+
+
+@query("jn_26_ledger_verification", f"WITH {MOVED}, a AS (SELECT {FR}, count(*) AS n, count(DISTINCT time_lag) AS lags FROM model GROUP BY ALL), l AS (SELECT {FR}, n + CASE WHEN frame_index % 10 = 3 THEN 1 ELSE 0 END AS n, lags FROM a) SELECT {FR}, a.n AS actual, l.n AS recorded FROM a FULL JOIN l USING (drive_id, frame_index) WHERE a.n IS DISTINCT FROM l.n OR a.lags IS DISTINCT FROM l.lags")
+def jn_26(s, d):
+    a = reconstructed(s, d).groupBy(*FRAME).agg(F.count("*").alias("actual"), F.countDistinct("time_lag").alias("lags"))
+    ledger = a.select(*FRAME, (F.col("actual") + F.when(F.col("frame_index") % 10 == 3, 1).otherwise(0)).alias("recorded"), F.col("lags").alias("recorded_lags"))
+    both = a.join(ledger, FRAME, "full")
+    return both.where(~F.col("actual").eqNullSafe(F.col("recorded")) | ~F.col("lags").eqNullSafe(F.col("recorded_lags"))).select(*FRAME, "actual", "recorded")
+
+
+@query("jn_19_first_mismatch", f"WITH {POINTS}, b AS (SELECT * REPLACE (CASE WHEN row_idx % 97 = 5 THEN label + 1 ELSE label END AS label) FROM points) SELECT {FR}, count(*) AS rows, count(*) FILTER (a.label IS DISTINCT FROM b.label) AS mismatches, min(row_idx) FILTER (a.label IS DISTINCT FROM b.label) AS first_row FROM points a FULL JOIN b USING (drive_id, frame_index, row_idx) GROUP BY ALL")
+def jn_19(s, d):
+    a = points(s, d)
+    b = a.withColumn("label", F.when(F.col("row_idx") % 97 == 5, F.col("label") + 1).otherwise(F.col("label")))
+    return first_mismatch(a, b, [*FRAME, "row_idx"], ["label"], FRAME).select(*FRAME, "rows", "mismatches", F.col("first.row_idx").alias("first_row"))
+
+
+@query("agg_40_reconstruction_invariants", f"WITH {MOVED}, g AS (SELECT {FR}, history_rank, count(*) AS n, count(DISTINCT time_lag) AS lags, min(time_lag) AS lag_s FROM model GROUP BY ALL), o AS (SELECT *, coalesce(lag_s > lag(lag_s) OVER (PARTITION BY {FR} ORDER BY history_rank), true) AS up FROM g) SELECT {FR}, max(history_rank) AS depth, CAST(sum(n) AS BIGINT) AS in_range, bool_and(lags = 1) AS constant_lags, bool_and(up) AS increasing FROM o GROUP BY ALL")
+def agg_40(s, d):
+    g = reconstructed(s, d).groupBy(*FRAME, "history_rank").agg(F.count("*").alias("n"), F.countDistinct("time_lag").alias("lags"), F.min("time_lag").alias("lag_s"))
+    w = Window.partitionBy(*FRAME).orderBy("history_rank")
+    g = g.withColumn("up", F.coalesce(F.col("lag_s") > F.lag("lag_s").over(w), F.lit(True)))
+    return g.groupBy(*FRAME).agg(F.max("history_rank").alias("depth"), F.sum("n").alias("in_range"), F.bool_and(F.col("lags") == 1).alias("constant_lags"), F.bool_and("up").alias("increasing"))
+
+
+@query("agg_41_condition_summary", f"WITH {MOVED}, c AS (SELECT *, 'H3' AS condition FROM model UNION ALL SELECT *, 'H1' FROM model WHERE history_rank <= 1), f AS (SELECT condition, {FR}, count(*) AS n, max(history_rank) AS depth FROM c GROUP BY ALL) SELECT condition, count(*) AS frames, avg(n) AS mean_points, median(n) AS median_points, max(depth) AS depth FROM f GROUP BY condition")
+def agg_41(s, d):
+    m = reconstructed(s, d).withColumn("condition", F.explode(F.when(F.col("history_rank") <= 1, F.array(F.lit("H3"), F.lit("H1"))).otherwise(F.array(F.lit("H3")))))
+    f = m.groupBy("condition", *FRAME).agg(F.count("*").alias("n"), F.max("history_rank").alias("depth"))
+    return f.groupBy("condition").agg(F.count("*").alias("frames"), F.avg("n").alias("mean_points"), F.median("n").alias("median_points"), F.max("depth").alias("depth"))
