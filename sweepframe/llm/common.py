@@ -49,30 +49,31 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """(id, component) for each id in edges (a, b): component is the smallest id reachable.
 
     Alternates large-star and small-star steps, which keep the number of edges and end in a star around each smallest id.
-    Each step is written to the shared folder, so the lineage stays short. Degrees are pre-aggregated (min) and the hub side of
+    Each round is written to the shared folder, so the lineage stays short. Degrees are pre-aggregated (min) and the hub side of
     a join is split by adaptive execution, so a component with a third of all rows is no single task.
     """
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    before = mark(e)
     for _ in range(rounds):
         # Large star: every larger neighbour of a node is linked to the smallest neighbour.
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: every node and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
-        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        nxt = written(small, name)
-        # A fixed point: the same edges as before.
-        if nxt.count() == e.count() and nxt.exceptAll(e).isEmpty():
-            e = nxt
+        moved = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")
+        e = written(large.join(low, "u").select(moved).select("x.u", "x.v").where("u <> v").distinct(), name)
+        now = mark(e)
+        if now == before:
             break
-        e = nxt
+        before = now
     else:
         raise RuntimeError("components did not settle")
-    stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("x")).select("x.*").distinct()
 
 
 # ---------------------------------------------------------------------------------------------------------------- shingles

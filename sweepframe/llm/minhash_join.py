@@ -7,7 +7,7 @@ a pair of texts is a candidate if it collides in at least `match` coordinates, a
 * Prefix filter: coordinates are taken rarest value first. Two texts with `match` collisions share one of the first
   size - match + 1 of each. Values that one text alone has come first and need no posting, so most texts drop out at once.
 * Skip merging: a posting is not expanded into its pairs. Each of its texts is first compared with one leader of the posting, the text whose values
-  are shared most, as an original is by its near copies, in a few rounds with other leaders; what links joins a component, and a posting whose texts are all in one component is skipped. Only pairs
+  are shared most, as an original is by its near copies; what links joins a component, and a posting whose texts are all in one component is skipped. Only pairs
   from different components of a posting are compared after that, so a group of thousands of near copies costs a few comparisons a text
   and no link between different components is lost.
 * Full sets are compared as sorted 64-bit shingle hashes.
@@ -31,9 +31,6 @@ from pyspark.sql import functions as F
 
 from sweepframe.llm.common import components, id_filter, shingle_rows, signatures, written
 
-#: Star rounds before the remaining pairs between components are compared.
-ROUNDS = 4
-
 
 def sketches(docs: DataFrame, size: int, width: int, text: str, key: str) -> DataFrame:
     """(id, n_shingles, set_a, set_b, signature) per text; set_a and set_b are a 128-bit digest of the set, null for the empty one."""
@@ -146,30 +143,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: in
         both = pairs.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
         return both.select("a", "b", F.expr("aggregate(zip_with(x, y, (p, q) -> if(p = q, 1, 0)), 0, (s, t) -> s + t)").alias("hits")).where(f"hits >= {match}")
 
-    links, at, used = None, None, None
-    for k in range(ROUNDS):
-        # Each text against the leaders of its postings, of them the one with most collisions.
-        placed = prefix.withColumn("at", F.col("id")) if at is None else prefix.join(at, "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
-        mixed = placed.groupBy("value").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("value")
-        able = placed if used is None else placed.join(used, "id", "left_anti")
-        leaders = able.groupBy("value").agg(F.max(F.struct("weight", (-F.col("id")).alias("o"), "id", "at")).alias("l")).join(mixed, "value", "left_semi")
-        leaders = written(leaders, f"leaders{k}")
-        now = leaders.select("l.id").distinct()
-        used = now if used is None else used.union(now)
-        near = placed.join(leaders, "value").where("at <> l.at").select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
-        best = colliding(near).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
-        found = links_of(best, sets, percent, f"links{k}")
-        links = found if links is None else links.union(found)
-        if found.isEmpty():
-            break
-        at = components(links)
+    # Each text against the leaders of its postings, of them the one with most collisions.
+    leaders = prefix.groupBy("value").agg(F.max(F.struct("weight", (-F.col("id")).alias("o"), "id")).alias("l"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    near = prefix.join(leaders, "value").where("id <> l.id").select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
+    links = links_of(colliding(near).groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b")), sets, percent, "links")
+    at = written(components(links), "at")
 
     # Texts of postings that still hold several components are compared on their full sets.
-    placed = prefix.withColumn("at", F.col("id")) if at is None else prefix.join(at, "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
+    placed = prefix.select("id", "value").join(at, "id", "left").withColumn("at", F.coalesce("component", "id"))
     mixed = placed.groupBy("value").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("value")
     open_ = written(placed.join(mixed, "value", "left_semi").select("id", "at").distinct(), "open")
     rest = written(full_pairs(id_filter(sets, open_.select("id"), "id"), open_, percent), "rest")
-    links = links.union(links_of(rest, sets, percent, "links"))
+    links = at.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links_of(rest, sets, percent, "links"))
 
     joined = components(links)
     named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
