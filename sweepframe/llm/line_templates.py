@@ -1,7 +1,7 @@
 """Operator 5 [native]: recurring lines by a fixed-depth tree of log templates. DataFrame functions only.
 
 Each line is masked (a token with a digit is a variable field) and put into a leaf of the tree by its token count and its first `depth`
-tokens. Within a leaf a token that at least `min_texts` different texts have at its place is constant; the others are variable fields.
+tokens. Within a leaf a token that at least `min_texts` different texts have at its place is constant; the others, and masked ones, are variable fields.
 A line's template is its leaf with its constant tokens; templates in which fewer than `percent` of the tokens are constant generalise too
 far and count for nothing. A template recurs if at least `min_texts` different texts have it, and its lines are dropped from every text.
 
@@ -46,7 +46,7 @@ def recurring_lines(docs: DataFrame, min_texts: int, depth: int, percent: int) -
     lines = lines_of(docs, depth)
     leaves = written(recurring(lines, ["leaf"], min_texts), "leaves")
     lines = written(id_filter(lines, leaves, "leaf"), "leaf-lines")
-    tokens = lines.select("doc_id", "pos", "text_key", "leaf", F.posexplode("tokens").alias("i", "token"))
+    tokens = lines.select("doc_id", "pos", "text_key", "leaf", F.posexplode("tokens").alias("i", "token")).where("token <> '<*>'")
     constant = recurring(tokens, ["leaf", "i", "token"], min_texts)
     fixed = tokens.join(constant, ["leaf", "i", "token"]).groupBy("doc_id", "pos").agg(F.count("*").alias("n_fixed"), F.sort_array(F.collect_list(F.struct("i", "token"))).alias("fixed"))
     named = lines.join(fixed, ["doc_id", "pos"]).where(F.col("n_fixed") * 100 >= F.size("tokens") * percent)
@@ -55,19 +55,19 @@ def recurring_lines(docs: DataFrame, min_texts: int, depth: int, percent: int) -
 
 
 def drop_lines(docs: DataFrame, min_texts: int = 10, depth: int = 3, percent: int = 70, max_share: int = 50) -> DataFrame:
-    """docs with recurring lines taken out of text (n_chars, where there is such a column, follows), and n_lines and n_dropped."""
+    """docs with recurring lines taken out of text (n_chars, where there is such a column, follows), and n_lines and n_dropped, which replace columns of these names."""
     found = recurring_lines(docs.select("doc_id", "text"), min_texts, depth, percent)
-    found = written(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_drop"), F.sum("n_chars").alias("_chars")), "dropped")
+    found = written(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("__drop"), F.sum("n_chars").alias("__chars")), "dropped")
     found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
     out = docs.join(found, "doc_id", "left")
-    out = out.withColumn("_drop", F.when(F.col("_chars") * 100 <= F.length("text") * max_share, F.col("_drop")))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
+    out = out.withColumn("__drop", F.when(F.col("__chars") * 100 <= F.length("text") * max_share, F.col("__drop")))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
     columns = {"text": text, "n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {"text": text}
     return out.select(
-        *(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns),
+        *(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
@@ -82,7 +82,7 @@ leafed AS (SELECT *, len(tokens) AS n_tokens, list_slice(tokens, 1, 3) AS head F
 leaves AS (SELECT n_tokens, head FROM leafed GROUP BY ALL HAVING count(DISTINCT text_key) >= 10),
 cand AS (SELECT leafed.* FROM leafed JOIN leaves USING (n_tokens, head)),
 tk AS (SELECT doc_id, pos, text_key, n_tokens, head, unnest(range(0, len(tokens))) AS i, unnest(tokens) AS token FROM cand),
-const AS (SELECT n_tokens, head, i, token FROM tk GROUP BY ALL HAVING count(DISTINCT text_key) >= 10),
+const AS (SELECT n_tokens, head, i, token FROM tk WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT text_key) >= 10),
 fixed AS (SELECT doc_id, pos, count(*) AS n_fixed, list({'i': i, 'token': token} ORDER BY i) AS fixed FROM tk JOIN const USING (n_tokens, head, i, token) GROUP BY doc_id, pos),
 named AS (SELECT doc_id, pos, n_chars, text_key, n_tokens, head, fixed FROM cand JOIN fixed USING (doc_id, pos) WHERE n_fixed * 100 >= n_tokens * 70),
 often AS (SELECT n_tokens, head, fixed FROM named GROUP BY ALL HAVING count(DISTINCT text_key) >= 10),

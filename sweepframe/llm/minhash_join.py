@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from sweepframe.llm.common import components, id_filter, shingle_rows, signatures, written
 
 
-def sketches(docs: DataFrame, size: int, width: int, text: str, key: str) -> DataFrame:
+def sketches(docs: DataFrame, size: int, width: int) -> DataFrame:
     """(id, n_shingles, set_a, set_b, signature) per text; set_a and set_b are a 128-bit digest of the set, null for the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +52,10 @@ def sketches(docs: DataFrame, size: int, width: int, text: str, key: str) -> Dat
                     names=["id", "n_shingles", "set_a", "set_b", "signature"],
                 )
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature array<int>")
+    return docs.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, signature array<int>")
 
 
-def full_sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
+def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, members): the sorted 64-bit shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def full_sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
             for at, rows in shingle_rows(batch.column(1), width):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)).cast(pa.int64()), pa.array([np.unique(r).tobytes() for r in rows], pa.binary())], names=["id", "members"])
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, members binary")
+    return docs.mapInArrow(run, "id long, members binary")
 
 
 def full_pairs(sets: DataFrame, at: DataFrame, percent: int) -> DataFrame:
@@ -122,7 +122,8 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: int = 64, match: int = 32, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept): component_id is the smallest id reachable over links, kept marks it."""
-    sketch = written(sketches(docs, size, width, text, key), "sketches")
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    sketch = written(sketches(docs, size, width), "sketches")
     classes = sketch.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
     reps = sketch.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
@@ -135,7 +136,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: in
     prefix = ranked.select("id", "weight", F.explode(F.expr(f"slice(values, 1, greatest(0, {size - match + 1} - ({size} - size(values))))")).alias("p")).select("id", "weight", F.col("p.value").alias("value"))
     prefix = written(prefix, "prefixes")
     ids = written(prefix.select("id").distinct(), "shared")
-    sets = written(id_filter(full_sets(id_filter(docs.withColumnRenamed(key, "id"), ids, "id"), width, text, "id"), ids, "id"), "sets")
+    sets = written(full_sets(id_filter(docs, ids, "id"), width), "sets")
     signed = written(id_filter(sketch.select("id", "signature"), ids, "id"), "signed")
 
     def colliding(pairs: DataFrame) -> DataFrame:
