@@ -33,7 +33,7 @@ def increasing(df: DataFrame, keys: list[str], order: str, value: str) -> DataFr
 
 def oxts(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: six named values and all of them; fewer than six or a non-finite one fails the job."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("v"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.transform(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"), lambda x: x.cast("double")).alias("v"))
     good = (F.size("v") >= 6) & F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.withColumn("v", F.when(good, F.col("v")).otherwise(F.raise_error(F.lit("a GPS/IMU row needs six finite values"))))
     return rows.select("path", *(F.col("v")[k].alias(n) for k, n in enumerate(OXTS)), F.col("v").alias("source_values"))
