@@ -1,4 +1,4 @@
 """All registered queries of the library, by inventory id."""
 
-from sweepframe.plans import boxes, metrics, parity, points, poses, sensors, sweeps, voxels  # noqa: F401  they register on import
+from sweepframe.plans import boxes, parity, points, poses, selection, sensors, sweeps, voxels  # noqa: F401  they register on import
 from sweepframe.registry import ORACLE, QUERIES  # noqa: F401

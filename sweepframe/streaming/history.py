@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
@@ -59,3 +59,8 @@ def windowed_latency(messages: DataFrame, width: str, late: str | None = None) -
     """Counts and latency per tumbling window, batch or stream (with a watermark of `late`)."""
     rows = messages.withWatermark("ts", late) if late else messages
     return rows.groupBy(F.window("ts", width)).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max")).select(F.col("window.start").alias("start"), "n", "mean", "max")
+
+
+def replay(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
+    """A stored sequence as a stream, oldest files first, so many files a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("latestFirst", "false").parquet(path)

@@ -100,3 +100,15 @@ def test_stream_equals_batch_twin(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.sensor, r.arrival_seq): (r.reset, r.depth) for r in spark.table("history").collect()}
     assert got == {(r.sensor, r.arrival_seq): (r.reset, r.depth) for r in batch_history(df, 5, 60_000_000).collect()}
+
+
+def test_audit_job(spark, tmp_path):
+    import json
+
+    from sweepframe.jobs import audit
+
+    rows = [("d", k % 2, k, float(k), 1.0, 0.0, 1 + k % 5, "val") for k in range(10)]
+    spark.createDataFrame(rows, "drive_id string, frame_index long, row_idx long, x float, y float, z float, label int, split string").write.parquet(f"{tmp_path}/p")
+    audit.main(["--points", f"{tmp_path}/p", "--out", f"{tmp_path}/out", "--split", "val", "--max-samples", "1", "--patch-size", "5"])
+    r = json.loads(spark.read.text(f"{tmp_path}/out").first().value)
+    assert r["n_points"] == 5 and r["max_x"] == 8.0 and r["ignored"] == 1 and list(r) == sorted(r)
