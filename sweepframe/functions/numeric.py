@@ -35,8 +35,8 @@ def stamp_ns(seconds: Column, nanoseconds: Column) -> Column:
 
 
 def ns_to_us(ns: Column) -> Column:
-    """Floor to microseconds, below zero too."""
-    return ((ns - F.pmod(ns, F.lit(1000))) / 1000).cast("long")
+    """Floor to microseconds, below zero too; in integers, as a double can't hold today's nanoseconds."""
+    return F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))
 
 
 def parse_timestamp_ns(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sweepframe.functions.numeric import ns_to_us
 from sweepframe.operators import sweeps as S
 from sweepframe.operators.fidelity import first_mismatch
 from sweepframe.plans.fixtures import FRAME, POINTS, POSES, frames, points, poses
@@ -22,7 +23,7 @@ def transforms(s, d):
 
 
 def reconstructed(s, d):
-    stamps = frames(s, d).select(*FRAME, F.floor(F.col("ts_ns") / 1000).alias("ts_us"))
+    stamps = frames(s, d).select(*FRAME, ns_to_us(F.col("ts_ns")).alias("ts_us"))
     return S.model_points(points(s, d), transforms(s, d), stamps, 1.0)
 
 

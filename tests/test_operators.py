@@ -113,8 +113,8 @@ def test_unknown_labels(spark):
 
 
 def test_times(spark):
-    r = one(spark, ns=parse_timestamp_ns(F.lit("2011-09-26 13:02:25.964389445")), bad=parse_timestamp_ns(F.lit("2011-13-26 13:02:25.964389445")), us=ns_to_us(F.lit(-1)))
-    assert r.ns % 1_000_000_000 == 964389445 and r.bad is None and r.us == -1
+    r = one(spark, ns=parse_timestamp_ns(F.lit("2011-09-26 13:02:25.964389445")), bad=parse_timestamp_ns(F.lit("2011-13-26 13:02:25.964389445")), us=ns_to_us(F.lit(-1)), now=ns_to_us(F.lit(1700000000123456999)))
+    assert r.now == 1700000000123456 and r.ns % 1_000_000_000 == 964389445 and r.bad is None and r.us == -1
 
 
 def test_ulp_distance(spark):
