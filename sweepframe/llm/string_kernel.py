@@ -279,7 +279,7 @@ def kernel_values(units: list[str], columns: np.ndarray) -> np.ndarray:
 _seen: dict[int, list[dict[str, float]]] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, most_chars: int = 20_000, landmarks: int = 256, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, most_chars: int = 20_000, landmarks: int = 128, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, held_out, score and predicted of each document."""
     machine = Machine(training_rows(docs, labels, label, (3 * most_rows, most_rows), most_chars), landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
