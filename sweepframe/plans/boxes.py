@@ -16,7 +16,11 @@ FR = "drive_id, frame_index"
 KEYS = [*FRAME, "class_name"]
 ROLE = "CASE object_type WHEN 'Car' THEN 'target' WHEN 'Pedestrian' THEN 'target' WHEN 'Van' THEN 'neighbour_ignore' WHEN 'Person (sitting)' THEN 'neighbour_ignore' ELSE 'unmapped' END"
 CLASS = "CASE object_type WHEN 'Car' THEN 'Car' WHEN 'Van' THEN 'Car' WHEN 'Pedestrian' THEN 'Pedestrian' WHEN 'Person (sitting)' THEN 'Pedestrian' END"
-YAW = F.pmod("track_id", F.lit(16)) * (math.pi / 8)
+
+
+def yaw_of_track():
+    """A direction for each box; made when a query runs, as columns need a session."""
+    return F.pmod("track_id", F.lit(16)) * (math.pi / 8)
 
 
 def named(df):
@@ -99,7 +103,7 @@ def jn_12(s, d):
 
 @query("jn_12_oriented_pairs")
 def jn_12o(s, d):
-    return B.pairs(scored(s, d).withColumn("yaw", YAW), targets(s, d).withColumn("yaw", YAW), KEYS, oriented=True)
+    return B.pairs(scored(s, d).withColumn("yaw", yaw_of_track()), targets(s, d).withColumn("yaw", yaw_of_track()), KEYS, oriented=True)
 
 
 @query("jn_13_greedy_matches")
@@ -279,14 +283,14 @@ def sel_12(s, d):
 
 @query("geo_5_corners", f"WITH {GT}, y AS (SELECT *, (track_id % 16) * pi() / 8 AS yaw FROM gt) SELECT track_id, round(cx + 2 * cos(yaw) - sin(yaw), 6) AS x0, round(cy + 2 * sin(yaw) + cos(yaw), 6) AS y0, round(cx - 2 * cos(yaw) + sin(yaw), 6) AS x2, round(cy - 2 * sin(yaw) - cos(yaw), 6) AS y2 FROM y")
 def geo_5(s, d):
-    c = G.corners(F.col("cx"), F.col("cy"), F.col("len"), F.col("wid"), YAW)
+    c = G.corners(F.col("cx"), F.col("cy"), F.col("len"), F.col("wid"), yaw_of_track())
     return ground_truth(s, d).select("track_id", c.alias("c")).select("track_id", *(F.round(F.col("c")[k][a], 6).alias(f"{a}{k}") for k in (0, 2) for a in "xy"))
 
 
 @query("geo_6_oriented_iou")
 def geo_6(s, d):
     g = ground_truth(s, d)
-    box = {k: F.struct((F.col("cx") + k).alias("cx"), "cy", "len", "wid", (YAW * k).alias("yaw")) for k in (0.0, 1.0)}
+    box = {k: F.struct((F.col("cx") + k).alias("cx"), "cy", "len", "wid", (yaw_of_track() * k).alias("yaw")) for k in (0.0, 1.0)}
     return g.select("track_id", G.oriented_iou(box[0.0], box[1.0]).alias("iou"))
 
 
@@ -313,7 +317,7 @@ def geo_1(s, d):
 
 @query("geo_13_yaw_quaternion", f"WITH {GT} SELECT track_id, round(sin(track_id % 16 * pi() / 16), 6) AS z, round(cos(track_id % 16 * pi() / 16), 6) AS w FROM gt")
 def geo_13(s, d):
-    q = G.yaw_quaternion(YAW)
+    q = G.yaw_quaternion(yaw_of_track())
     return ground_truth(s, d).select("track_id", F.round(q["z"], 6).alias("z"), F.round(q["w"], 6).alias("w"))
 
 
