@@ -5,8 +5,9 @@ those it is a neighbour of) is compared with itself, so that neighbours of neigh
 random-hyperplane tables, whose cells put most near pairs together. Neighbours below `floor` lead to no link within a step or two and aren't kept, so the many
 vectors without near ones cost nothing after the start.
 
-* A list whose entries are all links is saturated: there may be more. Such lists are enlarged to everything: the saturated vectors of a component are
-  compared with each other in blocks, which count links and emit no pairs.
+* A list whose entries are all links is saturated: there may be more. Such lists are enlarged to everything: the saturated vectors are compared with each
+  other in blocks, within and across components, which count links and emit at most one pair each. Blocks are left uncompared only where their centres
+  and radii prove that no link can be between them.
 * Recall is audited: a bounded sample of vectors is compared with all others, and while fewer than `recall` of their links are known, further tables are
   added and the graph is refined again.
 * Only threshold edges are kept: cosine >= threshold in double precision.
@@ -33,6 +34,8 @@ from sweepframe.llm.common import components, written
 BLOCK = 512
 #: Rows of hot cells and the like, up to which they are broadcast.
 MOST_BROADCAST = 100_000
+#: Centres of blocks that are compared at once.
+CENTRES = 2048
 PAIRS = "id long, n long, s double"
 
 
@@ -135,24 +138,68 @@ def neighbourhood_cells(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     return own.union(back).distinct().select(F.xxhash64("at", "block").alias("cell"), "id").join(vectors, "id")
 
 
-def saturated_links(saturated: DataFrame, at: DataFrame, threshold: float) -> DataFrame:
-    """(id, times) of the saturated vectors (id, v, copies): links with others of them in the same component, copies counted."""
+def within_reach(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(component, part, o_component, o_part): pairs of blocks that can hold a link, whatever their components.
+
+    Angles are a metric: vectors of two blocks are at least the angle of their centres less both radii apart. Pairs that this puts beyond the threshold are
+    left out, which leaves out no link.
+    """
+
+    def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, radii = [], []
+            for ids, vs in zip(batch.column(2), batch.column(3), strict=True):
+                x = np.asarray(vs.values).reshape(len(ids), -1)
+                c = x.mean(axis=0)
+                c /= max(np.linalg.norm(c), 1e-300)
+                centres.append(c)
+                radii.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["component", "part", "c", "r"])
+
+    centres = written(blocks.select("component", "part", "ids", "vs").mapInArrow(centred, "component long, part int, c array<double>, r double"), "centres")
+    chunks = max(1, -(-centres.count() // CENTRES))
+    some = centres.groupBy(F.pmod(F.xxhash64("component", "part"), F.lit(chunks)).alias("chunk"))
+    some = written(some.agg(F.collect_list("component").alias("component"), F.collect_list("part").alias("part"), F.flatten(F.collect_list("c")).alias("c"), F.collect_list("r").alias("r")).drop("chunk"), "chunks")
+    both = some.crossJoin(some.toDF("o_component", "o_part", "o_c", "o_r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                a, p, x, r, b, q, y, s = (np.asarray(z.values) for z in row)
+                angle = np.arccos(np.clip(x.reshape(len(a), -1) @ y.reshape(len(b), -1).T, -1, 1))
+                i, j = np.nonzero(angle <= r[:, None] + s[None, :] + np.arccos(threshold) + 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (a[i], p[i], b[j], q[j])], names=["component", "part", "o_component", "o_part"])
+
+    return both.mapInArrow(run, "component long, part int, o_component long, o_part int")
+
+
+def saturated_links(saturated: DataFrame, at: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((id, times), (a, b)) of the saturated vectors (id, v, copies): links with others of them in any component, copies counted, and a link for each two
+    blocks of different components that have any, which merges these."""
     placed = saturated.join(at, "id")
     sizes = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     placed = placed.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     blocks = written(placed.groupBy("component", "part").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"), F.collect_list("copies").alias("copies")), "blocks")
-    right = blocks.select("component", F.col("part").alias("other"), F.col("ids").alias("o_ids"), F.col("vs").alias("o_vs"), F.col("copies").alias("o_copies"))
-    both = blocks.select("component", "part", "ids", "vs").join(right, "component").repartition("component", "part", "other")
+    pairs = written(within_reach(blocks, threshold), "block-pairs")
+    right = blocks.toDF("o_component", "o_part", "o_ids", "o_vs", "o_copies")
+    both = pairs.join(blocks.drop("copies"), ["component", "part"]).join(right, ["o_component", "o_part"]).repartition("component", "part", "o_component", "o_part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, x, b, y, c in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for a, x, b, y, c, same in zip(*(batch.column(k) for k in range(6)), strict=True):
                 a, b, c = (np.asarray(z.values) for z in (a, b, c))
                 s = np.asarray(x.values).reshape(len(a), -1) @ np.asarray(y.values).reshape(len(b), -1).T
-                times = ((s >= threshold) & (a[:, None] != b[None, :])) @ c
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(times.astype(np.int64))], names=["id", "times"])
+                links = (s >= threshold) & (a[:, None] != b[None, :])
+                other = np.full(len(a), -1)
+                if not same.as_py() and links.any():
+                    i = int(links.any(axis=1).argmax())
+                    other[i] = int(links[i].argmax())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((links @ c).astype(np.int64)), pa.array(b[other], mask=other < 0)], names=["id", "times", "other"])
 
-    return both.select("ids", "vs", "o_ids", "o_vs", "o_copies").mapInArrow(run, "id long, times long")
+    found = both.select("ids", "vs", "o_ids", "o_vs", "o_copies", (F.col("component") == F.col("o_component")).alias("same")).mapInArrow(run, "id long, times long, other long")
+    found = written(found.where("times > 0"), "saturated-links")
+    across = found.where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return found.select("id", "times"), across
 
 
 def audit(vectors: DataFrame, sample: DataFrame, threshold: float) -> int:
@@ -192,11 +239,13 @@ def graph(vectors: DataFrame, dimension: int, rows: int, threshold: float, k: in
         full = written(vectors.join(full, "id", "left_semi"), "saturated")
         at = components(edges)
         marked = full.select(F.col("id"), F.lit(True).alias("full"))
-        # An edge between two saturated vectors is counted by comparing their component, any other from the lists.
+        # A link between two saturated vectors may be in neither's list and is counted by comparing their blocks, any other from the lists.
         sided = edges.join(marked.toDF("a", "a_full"), "a", "left").join(marked.toDF("b", "b_full"), "b", "left").where("a_full is null or b_full is null")
         copies = vectors.select("id", "copies")
         ends = sided.select(F.col("a").alias("n"), F.col("b").alias("id")).union(sided.select(F.col("b").alias("n"), F.col("a").alias("id")))
-        times = ends.join(copies, "id").select(F.col("n").alias("id"), F.col("copies").alias("times")).union(saturated_links(full, at, threshold))
+        many, across = saturated_links(full, at, threshold)
+        edges = edges.union(across)
+        times = ends.join(copies, "id").select(F.col("n").alias("id"), F.col("copies").alias("times")).union(many)
         times = written(times.groupBy("id").agg(F.sum("times").alias("times")), "times")
         # The audit counts vectors, not their copies.
         weights = 1 if true == 0 else times.join(asked.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] / true

@@ -196,6 +196,20 @@ def test_nn_descent(spark):
     assert all(got[k] == (0, k, True) for k in (200, 201, 202)) and got[204][1] == 203
 
 
+def test_nn_descent_saturated_clusters(spark):
+    """Two clusters of more members than a list holds, linked with each other but nearer within, and a third one apart."""
+    r = np.random.default_rng(3)
+    x = 0.01 * r.standard_normal((90, 16))
+    x[:, 0] += 1
+    x[30:60, 1] += 0.2
+    x[60:, 2] += 5
+    got = {g.vec_id: (g.n_links, g.component_id) for g in nn_descent.linked(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(90, dtype=bool)
+    assert near[:30, 30:60].all() and not near[:60, 60:].any()
+    assert got == {k: (near[k].sum(), 0 if k < 60 else 60) for k in range(90)}
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
