@@ -8,8 +8,9 @@ vectors without near ones cost nothing after the start.
 * A list whose entries are all links is saturated: there may be more. Such lists are enlarged to everything: the saturated vectors are compared with each
   other in blocks, within and across components, which count links and emit at most one pair each. Blocks are left uncompared only where their centres
   and radii prove that no link can be between them.
-* Recall is audited: a bounded sample of vectors is compared with all others, and while fewer than `recall` of their links are known, further tables are
-  added and the graph is refined again.
+* Recall is audited: bounded samples of vectors are compared with all others, and while fewer than `recall` of their links are known (copies not counted,
+  of all their links as well as on average of each vector's), further tables are added and the graph is refined again. Where too few sampled vectors have
+  links to tell, tables are added until a lone pair at the threshold shares a cell with that probability. A recall that stays below is an error.
 * Only threshold edges are kept: cosine >= threshold in double precision.
 
 Vectors with the same direction to the last bit are one class with a count. A cell or a neighbourhood with many members is dealt into salted blocks of at
@@ -36,6 +37,8 @@ BLOCK = 512
 MOST_BROADCAST = 100_000
 #: Centres of blocks that are compared at once.
 CENTRES = 2048
+#: The audit: vectors with links that are evidence enough, samples asked at most, and turns of further tables before it is an error.
+LINKED, ASKED, TURNS = 100, 8, 12
 PAIRS = "id long, n long, s double"
 
 
@@ -112,9 +115,13 @@ def dealt(placed: DataFrame, bucket: str) -> DataFrame:
     return placed.join(hot, bucket, "left").withColumn("cell", F.xxhash64(bucket, salt)).drop("size")
 
 
+def table_bits(rows: int) -> int:
+    return int(min(40, max(1, np.ceil(np.log2(max(2, rows / 32))))))
+
+
 def table_cells(vectors: DataFrame, dimension: int, rows: int, tables: int, seed: int) -> DataFrame:
     """Cells of random-hyperplane tables, of about 32 vectors each."""
-    bits = int(min(40, max(1, np.ceil(np.log2(max(2, rows / 32))))))
+    bits = table_bits(rows)
     planes = np.random.default_rng(seed).standard_normal((dimension, tables * bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +181,8 @@ def within_reach(blocks: DataFrame, threshold: float) -> DataFrame:
 
 
 def saturated_links(saturated: DataFrame, at: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """((id, times), (a, b)) of the saturated vectors (id, v, copies): links with others of them in any component, copies counted, and a link for each two
-    blocks of different components that have any, which merges these."""
+    """((id, times, others), (a, b)) of the saturated vectors (id, v, copies): links with others of them in any component, copies counted and not, and a link
+    for each two blocks of different components that have any, which merges these."""
     placed = saturated.join(at, "id")
     sizes = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     placed = placed.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
@@ -194,35 +201,54 @@ def saturated_links(saturated: DataFrame, at: DataFrame, threshold: float) -> tu
                 if not same.as_py() and links.any():
                     i = int(links.any(axis=1).argmax())
                     other[i] = int(links[i].argmax())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((links @ c).astype(np.int64)), pa.array(b[other], mask=other < 0)], names=["id", "times", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((links @ c).astype(np.int64)), pa.array(links.sum(axis=1)), pa.array(b[other], mask=other < 0)], names=["id", "times", "others", "other"])
 
-    found = both.select("ids", "vs", "o_ids", "o_vs", "o_copies", (F.col("component") == F.col("o_component")).alias("same")).mapInArrow(run, "id long, times long, other long")
+    found = both.select("ids", "vs", "o_ids", "o_vs", "o_copies", (F.col("component") == F.col("o_component")).alias("same")).mapInArrow(run, "id long, times long, others long, other long")
     found = written(found.where("times > 0"), "saturated-links")
     across = found.where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return found.select("id", "times"), across
+    return found.select("id", "times", "others"), across
 
 
-def audit(vectors: DataFrame, sample: DataFrame, threshold: float) -> int:
-    """Links of a bounded sample of vectors, by comparing each with all."""
-    rows = sample.collect()
-    ids, y = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])
+def audit(vectors: DataFrame, rows: int, threshold: float, sample: int) -> tuple[dict[int, int], bool]:
+    """(links with other vectors, by comparing with all of them, of each sampled vector that has any; whether they are evidence enough).
+
+    Samples of some `sample` vectors are asked until LINKED of them have links, ASKED samples at most. Copies aren't counted.
+    """
+    parts = max(1, -(-rows // sample))
+    true: dict[int, int] = {}
+    for part in range(min(parts, ASKED)):
+        asked = vectors.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(parts)) == part).select("id", "v").collect()
+        ids, y = np.array([r["id"] for r in asked]), np.array([r["v"] for r in asked])
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, y: np.ndarray = y) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                own, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+                for a in range(0, len(own), BLOCK):
+                    n += ((x[a : a + BLOCK] @ y.T >= threshold) & (own[a : a + BLOCK, None] != ids)).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0], pa.int64()), pa.array(n[n > 0])], names=["id", "n"])
+
+        if asked:
+            true |= {r["id"]: r["n"] for r in vectors.select("id", "v").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        if len(true) >= LINKED:
+            break
+    return true, len(true) >= LINKED or parts <= ASKED
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            n = sum(int(((x[a : a + BLOCK] @ y.T >= threshold) & (own[a : a + BLOCK, None] != ids)).sum()) for a in range(0, len(own), BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-    return vectors.select("id", "v").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] if rows else 0
+def recall_of(true: dict[int, int], found: dict[int, int]) -> float:
+    """The lesser of the share of the links found and the mean share per vector, so that a few vectors with many links don't outweigh the others."""
+    got = {i: min(n, found.get(i, 0)) for i, n in true.items()}
+    return min(sum(got.values()) / sum(true.values()), sum(got[i] / n for i, n in true.items()) / len(true)) if true else 1.0
 
 
 def graph(vectors: DataFrame, dimension: int, rows: int, threshold: float, k: int, tables: int, rounds: int, floor: float, recall: float, sample: int) -> tuple[DataFrame, DataFrame]:
     """((id, times), (a, b)): numbers of linked vectors, copies counted, and edges. vectors: (id, v, copies) of one dimension."""
-    asked = written(vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v"), "asked")
-    true = audit(vectors, asked, threshold)
+    true, enough = audit(vectors, rows, threshold, sample)
+    asked = vectors.sparkSession.createDataFrame([(i,) for i in true], "id long")
     plain = vectors.select("id", "v")
-    lists = None
-    for turn in range(4):
+    together = (1 - np.arccos(threshold) / np.pi) ** table_bits(rows)
+    lists, reached = None, 0.0
+    for turn in range(TURNS):
         pairs = in_cells(table_cells(plain, dimension, rows, tables, 100 + turn), nearest(k, floor), PAIRS)
         old = None if lists is None else lists.select("id", F.explode("near").alias("x")).select("id", "x.n", "x.s")
         lists = written(best_lists(pairs if old is None else pairs.union(old), k), "lists")
@@ -233,6 +259,10 @@ def graph(vectors: DataFrame, dimension: int, rows: int, threshold: float, k: in
             lists = nxt
             if changed <= 0.001 * known.count():
                 break
+        # Without evidence enough, the tables must put a lone pair at the threshold into one cell often enough.
+        reached = 1 - (1 - together) ** (tables * (turn + 1))
+        if not enough and reached < recall:
+            continue
         edges = lists.select("id", F.explode("near").alias("x")).where(F.col("x.s") >= threshold)
         edges = written(edges.select(F.least("id", "x.n").alias("a"), F.greatest("id", "x.n").alias("b")).distinct(), "edges")
         full = lists.where((F.size("near") == k) & (F.element_at("near", -1)["s"] >= threshold)).select("id")
@@ -242,16 +272,15 @@ def graph(vectors: DataFrame, dimension: int, rows: int, threshold: float, k: in
         # A link between two saturated vectors may be in neither's list and is counted by comparing their blocks, any other from the lists.
         sided = edges.join(marked.toDF("a", "a_full"), "a", "left").join(marked.toDF("b", "b_full"), "b", "left").where("a_full is null or b_full is null")
         copies = vectors.select("id", "copies")
-        ends = sided.select(F.col("a").alias("n"), F.col("b").alias("id")).union(sided.select(F.col("b").alias("n"), F.col("a").alias("id")))
         many, across = saturated_links(full, at, threshold)
         edges = edges.union(across)
-        times = ends.join(copies, "id").select(F.col("n").alias("id"), F.col("copies").alias("times")).union(many)
-        times = written(times.groupBy("id").agg(F.sum("times").alias("times")), "times")
-        # The audit counts vectors, not their copies.
-        weights = 1 if true == 0 else times.join(asked.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] / true
-        if weights >= recall:
-            break
-    return times, edges
+        ends = sided.select(F.col("a").alias("n"), F.col("b").alias("id")).union(sided.select(F.col("b").alias("n"), F.col("a").alias("id")))
+        times = ends.join(copies, "id").select(F.col("n").alias("id"), F.col("copies").alias("times"), F.lit(1).cast("long").alias("others")).union(many)
+        times = written(times.groupBy("id").agg(F.sum("times").alias("times"), F.sum("others").alias("others")), "times")
+        reached = recall_of(true, {r["id"]: r["others"] for r in times.join(F.broadcast(asked), "id").select("id", "others").collect()} if true else {})
+        if reached >= recall:
+            return times.select("id", "times"), edges
+    raise RuntimeError(f"recall {reached:.3f} is below {recall} after {TURNS * tables} tables")
 
 
 def linked(table: DataFrame, threshold: float = 0.95, k: int = 12, tables: int = 16, rounds: int = 6, floor: float = 0.6, recall: float = 0.97, sample: int = 1000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -210,6 +210,32 @@ def test_nn_descent_saturated_clusters(spark):
     assert got == {k: (near[k].sum(), 0 if k < 60 else 60) for k in range(90)}
 
 
+def test_nn_descent_audit(spark, monkeypatch):
+    """Links with copies don't outweigh missed ones: tables that find none of the lone pairs are an error, not a result."""
+    r = np.random.default_rng(6)
+    x = np.repeat(r.standard_normal((20, 16)), 2, axis=0)
+    x[1::2] += 0.02 * r.standard_normal((20, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(100 + k, x[0].tolist()) for k in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {g.vec_id: g.n_links for g in nn_descent.linked(table).collect()}
+    assert all(got[k] == 1 for k in range(2, 40)) and got[0] == got[100] == 301
+    kept = nn_descent.nearest
+
+    def only_first(k, floor):
+        work = kept(k, floor)
+
+        def some(ids, v):
+            a, b, s = work(ids, v)
+            return tuple(c[(a < 2) & (b < 2)] for c in (a, b, s))
+
+        return some
+
+    monkeypatch.setattr(nn_descent, "nearest", only_first)
+    monkeypatch.setattr(nn_descent, "TURNS", 1, raising=False)
+    with pytest.raises(RuntimeError):
+        nn_descent.linked(table)
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
