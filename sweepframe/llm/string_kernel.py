@@ -5,8 +5,8 @@ normalised by its values on each string with itself. Gaps and inserted letters o
 are joined first. Case, accents, signs between letters and usual digit-for-letter swaps are folded. Spans are at most SPAN letters, and units
 longer than PIECE are taken in overlapping pieces.
 
-Training reads a bounded sample of labelled documents (`most_rows` toxic and three times as many clean ones, `most_chars` characters of each),
-cut into sentences. A toxic document has a toxic sentence, but which one isn't labelled. Landmarks are strings inside the units (words, joined
+Training reads a bounded number of labelled documents (`most_rows` toxic and three times as many clean ones), whole; the driver gets the different
+units of each. A toxic document has a toxic sentence, but which one isn't labelled. Landmarks are strings inside the units (words, joined
 letters) of toxic sentences that clean ones hold too rarely for chance, picked one by one until the units are explained, and frequent clean
 units. The machine is fitted on Nyström features (kernel values with the landmarks times K ** -1/2), then again with the units that scored
 highest in each clean document (as in mi-SVM). A document's value is the highest of its units, mapped to 0..1 by logistic calibration.
@@ -123,7 +123,9 @@ class Machine:
         self.table = None
         if min(n) == 0:
             return
-        bags = [sorted({f for s in SENTENCE.split(t) for u in units_of(s) if len(f := folded(u)) >= 3}) for _, t, _ in rows]
+        known: dict[str, str] = {}  # one string for equal units of all documents
+        bags = [[known.setdefault(u, u) for u in bag_of(t)] for _, t, _ in rows]
+        del known
         clean = Counter(u for b, (_, _, y) in zip(bags, rows, strict=True) if not y for u in b)
         insults = telling_strings([b for b, (_, _, y) in zip(bags, rows, strict=True) if y], clean, n, landmarks // 2)
         if not insults:
@@ -162,7 +164,9 @@ class Machine:
             w -= step
             if np.abs(step).max() < 1e-8:
                 break
-        self.table = np.ascontiguousarray(columns @ (root @ w[:-1]))
+        weights = root @ w[:-1]
+        # By parts, as a product of single with double precision copies what it reads.
+        self.table = np.concatenate([part @ weights for part in np.array_split(columns, 64)])
         self.bias = float(w[-1])
 
     def values(self, units: list[str]) -> np.ndarray:
@@ -195,6 +199,11 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.calibration[0] + self.calibration[1] * np.maximum(tops, LOWEST), -30, 30)))
 
 
+def bag_of(text: str) -> list[str]:
+    """The different folded units of a text's sentences, sorted. The bag of its members, one a line, is the same."""
+    return sorted({f for s in SENTENCE.split(text) for u in units_of(s) if len(f := folded(u)) >= 3})
+
+
 def folded(unit: str) -> str:
     return unit.translate(FOLDED)
 
@@ -279,9 +288,14 @@ def kernel_values(units: list[str], columns: np.ndarray) -> np.ndarray:
 _seen: dict[int, list[dict[str, float]]] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, most_chars: int = 20_000, landmarks: int = 128, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, landmarks: int = 256, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, held_out, score and predicted of each document."""
-    machine = Machine(training_rows(docs, labels, label, (3 * most_rows, most_rows), most_chars), landmarks)
+
+    def bag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(["\n".join(bag_of(t)) for t in texts], dtype=object)
+
+    machine = Machine(training_rows(docs, labels, label, (3 * most_rows, most_rows), None, F.pandas_udf(bag, "string")), landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     key = hash(machine.table.tobytes()) if machine.table is not None else 0
 

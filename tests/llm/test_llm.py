@@ -276,6 +276,21 @@ def test_toxicity(spark):
     assert s[:3].min() > 0.5 > s[3:].max()
 
 
+def test_toxicity_of_many_late_insults(spark):
+    """Seventy-five insults, each at the end of long documents."""
+    r = random.Random(11)
+
+    def word(n):
+        return "".join(r.choice("bcdfghjklmnpqrstvxzaeiou") for _ in range(n))
+
+    insults, n = [word(8) for _ in range(75)], 4500
+    texts = [" ".join(word(9) for _ in range(8)) + " FILL" + ("" if k % 3 else insults[k // 3 % 75]) for k in range(n)]
+    long = docs(spark, texts).withColumn("text", F.expr("replace(text, 'FILL', repeat('calm ', 4200))"))
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(n)], LABELS)
+    rows = [x for x in string_kernel.score_toxicity(long, labels).collect() if x.held_out]
+    assert len(rows) > 700 and sum(x.predicted == (x.doc_id % 3 == 0) for x in rows) >= 0.94 * len(rows)
+
+
 def test_string_kernel_is_the_sum_over_subsequences():
     def brute(a, b):
         def weights(t):
