@@ -181,11 +181,19 @@ def agg_5(s, d):
 SELECT drive_id, count(DISTINCT frame_index) AS frames, count(*) AS n_points, min(x)::DOUBLE AS min_x, max(z)::DOUBLE AS max_z, count(*) FILTER (label = 5) AS ignored, count(*) FILTER (label = 5) / nullif(count(*), 0)::DOUBLE AS ignored_fraction FROM ranked WHERE k <= 20 GROUP BY drive_id""")
 def agg_6(s, d):
     first = frames(s, d).withColumn("k", F.row_number().over(Window.partitionBy("drive_id").orderBy("frame_index"))).where("k <= 20").select(*FRAME)
-    p = P.map_labels(points(s, d).join(first, FRAME, "left_semi"), P.TILE_CLASSES)
-    out = p.groupBy("drive_id").agg(F.countDistinct("frame_index").alias("frames"), F.count("*").alias("n_points"), F.min("x").cast("double").alias("min_x"), F.max("z").cast("double").alias("max_z"), F.count_if(F.col("shared_label") == -1).alias("ignored"))
+    return _audited(points(s, d).join(first, FRAME, "left_semi"))
+
+
+def _audited(p):
+    out = P.map_labels(p, P.TILE_CLASSES).groupBy("drive_id").agg(F.countDistinct("frame_index").alias("frames"), F.count("*").alias("n_points"), F.min("x").cast("double").alias("min_x"), F.max("z").cast("double").alias("max_z"), F.count_if(F.col("shared_label") == -1).alias("ignored"))
     return out.withColumn("ignored_fraction", fraction(F.col("ignored"), F.col("n_points")))
 
 
+@query("agg_6_whole_scan_audit", f"""WITH {POINTS} SELECT drive_id, count(DISTINCT frame_index) AS frames, count(*) AS n_points, min(x)::DOUBLE AS min_x, max(z)::DOUBLE AS max_z, count(*) FILTER (label = 5) AS ignored, count(*) FILTER (label = 5) / nullif(count(*), 0)::DOUBLE AS ignored_fraction FROM points GROUP BY drive_id""")
+def agg_6_whole(s, d):
+    return _audited(points(s, d))
+
+
 @query("agg_7_tile_audit", f"""WITH {_PATCH}, n AS (SELECT {FR}, r, c, count(*) AS n, max(CAST(z - z0 AS FLOAT)) AS height FROM (SELECT *, min(z) OVER (PARTITION BY {FR}, r, c) AS z0 FROM patches) GROUP BY ALL)
 SELECT drive_id, count(*) AS patches, CAST(sum(n) AS BIGINT) AS n_points, median(n) AS median_points, max(height)::DOUBLE AS max_height FROM n GROUP BY drive_id""")
 def agg_7(s, d):
