@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,11 +17,13 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only on a single machine whose session names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -45,28 +48,57 @@ def id_filter(df: DataFrame, ids: DataFrame, column: str, most: int = 2_000_000)
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), column, "left_semi")
 
 
+def key_filter(df: DataFrame, keys: DataFrame, column: str, most: int = 2_000_000, hot: int = 1_000_000) -> DataFrame:
+    """Rows of df whose column is in keys (a written table of that column and n, how often it counts), however many rows share a key.
+
+    Up to `most` keys are broadcast. Beyond, those with n >= hot are, whose number is bounded by the rows of df over hot, and only rows of
+    the others are shuffled by key, so no key with many rows meets in one task.
+    """
+    if keys.count() <= most:
+        return df.join(F.broadcast(keys.select(column)), column, "left_semi")
+    often = F.broadcast(keys.where(F.col("n") >= hot).select(column))
+    return df.join(often, column, "left_semi").union(df.join(often, column, "left_anti").join(keys.where(F.col("n") < hot).select(column).hint("merge"), column, "left_semi"))
+
+
+#: Neighbours from which an end of edges counts as a hub.
+HUB = 20_000
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(id, component) for each id in edges (a, b): component is the smallest id reachable.
 
     Alternates large-star and small-star steps, which keep the number of edges and end in a star around each smallest id.
-    Each round is written to the shared folder, so the lineage stays short. Degrees are pre-aggregated (min) and the hub side of
-    a join is split by adaptive execution, so a component with a third of all rows is no single task.
+    Each round is written to the shared folder, so the lineage stays short. Degrees and smallest neighbours are pre-aggregated; the rows of
+    hubs, of which there are at most the edges over HUB, get theirs from a broadcast table and are not shuffled, so a component
+    with a third of all rows is no single task.
     """
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def known(rows: DataFrame, low: DataFrame, hubs: DataFrame | None) -> DataFrame:
+        """rows with the columns of low (one row per u)."""
+        if hubs is None:
+            return rows.join(low, "u")
+        return rows.join(F.broadcast(low.join(F.broadcast(hubs), "u", "left_semi")), "u").unionByName(rows.join(F.broadcast(hubs), "u", "left_anti").join(low, "u"))
+
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     before = mark(e)
     for _ in range(rounds):
         # Large star: every larger neighbour of a node is linked to the smallest neighbour.
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # Small star: every node and its smaller neighbours are linked to the smallest of them.
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        hubs = None
+        if before[0] > HUB:
+            low = written(low, name)
+            often = max(HUB, before[0] // 500_000)
+            hubs = low.where(F.col("n") > often).select("u")
+            hubs = None if hubs.isEmpty() else hubs
+        large = known(both, low.drop("n"), hubs).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Small star: every node and its smaller neighbours are linked to the smallest of them; a hub here was one above.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")
-        e = written(large.join(low, "u").select(moved).select("x.u", "x.v").where("u <> v").distinct(), name)
+        e = written(known(large, low, hubs).select(moved).select("x.u", "x.v").where("u <> v").distinct(), name)
         now = mark(e)
         if now == before:
             break

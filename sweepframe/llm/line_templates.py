@@ -2,72 +2,96 @@
 
 Each line is masked (a token with a digit is a variable field) and put into a leaf of the tree by its token count and its first `depth`
 tokens. Within a leaf a token that at least `min_texts` different texts have at its place is constant; the others, and masked ones, are variable fields.
-A line's template is its leaf with its constant tokens; templates in which fewer than `percent` of the tokens are constant generalise too
-far and count for nothing. A template recurs if at least `min_texts` different texts have it, and its lines are dropped from every text.
+A line's template is its leaf with its constant tokens. Of the tokens that aren't masked at least `percent` in a hundred must be constant, and one of
+these must hold a letter; other templates generalise too far and count for nothing.
 
-Exact copies of a text count once, so copying a document makes none of its lines boilerplate. A document of which recurring lines are more
-than `max_share` percent of the characters is a near copy of others rather than a carrier of boilerplate: it stays whole, for near-duplicate
-removal.
+A template recurs if at least `min_texts` different texts have it, and boilerplate recurs in texts that have something of their own: of its texts at least
+`min_texts` must be carriers, whose recurring lines make up at most half of their characters. Near copies of one text share all their lines
+with each other only and carry nothing, so such families are left to near-duplicate removal. Every line of a recurring template is dropped, in
+whatever text it stands and however much of that text it is. Exact copies of a text count once, so copying a document makes none of its lines boilerplate.
 
-Counts are of distinct (key, text) pairs, which are pre-aggregated and spread over both columns, so one line in a third of all documents is
-no single task. Leaves and line numbers to drop are broadcast only after their rows have been counted (see id_filter), else joined by shuffle.
+Texts are tokenised once for the leaves; only lines of leaves that recur are tokenised again. Counts are of distinct (key, text) pairs, which are
+pre-aggregated and spread over both columns, and no join is by template, leaf or token unless its hot keys have been broadcast (see key_filter), so one line
+in a third of all documents is no single task.
 
 Defined results: null text stays null and counts as no line; blank lines are never dropped; ties don't arise; repeated rows count once;
-empty tables give empty results; extra columns are kept.
+empty tables give empty results; extra columns are kept, and the two that are added can be named otherwise where their names are taken.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepframe.llm.common import id_filter, written
+from sweepframe.llm.common import key_filter, written
 
 SPACE = r"\x09-\x0D\x20"
 #: Documents with lines to drop, up to which their line numbers (some 50 bytes each) are broadcast.
 MOST_BROADCAST = 400_000
 
 
-def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, text_key, pos, n_chars, tokens, leaf) per line that isn't blank."""
-    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", f"[^{SPACE}0-9]*+[0-9][^{SPACE}]*", "<*>")).otherwise(F.col("line"))
-    lines = lines.select("doc_id", "text_key", "pos", F.length("line").alias("n_chars"), F.regexp_extract_all(masked, F.lit(f"[^{SPACE}]+"), F.lit(0)).alias("tokens"))
-    return lines.where(F.size("tokens") > 0).withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+def by_doc(docs: DataFrame, lines: DataFrame, column: str) -> DataFrame:
+    """docs with the sorted line numbers of their lines (a written table of doc_id and pos); documents without any have null."""
+    found = written(lines.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias(column)), "numbers")
+    return docs.join(F.broadcast(found) if found.count() <= MOST_BROADCAST else found, "doc_id", "left")
+
+
+def tokens_of(line: Column) -> Column:
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"[^{SPACE}0-9]*+[0-9][^{SPACE}]*", "<*>")).otherwise(line)
+    return F.regexp_extract_all(masked, F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
 def recurring(pairs: DataFrame, keys: list[str], min_texts: int) -> DataFrame:
-    """The keys that at least min_texts different texts have."""
-    return pairs.select(*keys, "text_key").distinct().groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(*keys)
+    """The keys that at least min_texts different texts have, and n, how many."""
+    return pairs.select(*keys, "text_key").distinct().groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts)
 
 
-def recurring_lines(docs: DataFrame, min_texts: int, depth: int, percent: int) -> DataFrame:
-    """(doc_id, pos, n_chars) of the lines whose template recurs."""
-    lines = lines_of(docs, depth)
+def recurring_lines(docs: DataFrame, min_texts: int, depth: int, percent: int, share: int) -> DataFrame:
+    """(doc_id, pos) of the lines whose template recurs."""
+    docs = docs.where("text is not null")
+    text_key = F.xxhash64("text").alias("text_key")
+    lines = docs.select("doc_id", text_key, F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "text_key", "pos", tokens_of(F.col("line")).alias("tokens"))
+    lines = written(lines.where(F.size("tokens") > 0).select("doc_id", "text_key", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")), "lines")
     leaves = written(recurring(lines, ["leaf"], min_texts), "leaves")
-    lines = written(id_filter(lines, leaves, "leaf"), "leaf-lines")
-    tokens = lines.select("doc_id", "pos", "text_key", "leaf", F.posexplode("tokens").alias("i", "token")).where("token <> '<*>'")
-    constant = recurring(tokens, ["leaf", "i", "token"], min_texts)
-    fixed = tokens.join(constant, ["leaf", "i", "token"]).groupBy("doc_id", "pos").agg(F.count("*").alias("n_fixed"), F.sort_array(F.collect_list(F.struct("i", "token"))).alias("fixed"))
-    named = lines.join(fixed, ["doc_id", "pos"]).where(F.col("n_fixed") * 100 >= F.size("tokens") * percent)
-    named = written(named.select("doc_id", "pos", "n_chars", "text_key", F.xxhash64("leaf", "fixed").alias("template")), "templates")
-    return named.join(recurring(named, ["template"], min_texts), "template").select("doc_id", "pos", "n_chars")
-
-
-def drop_lines(docs: DataFrame, min_texts: int = 10, depth: int = 3, percent: int = 70, max_share: int = 50) -> DataFrame:
-    """docs with recurring lines taken out of text (n_chars, where there is such a column, follows), and n_lines and n_dropped, which replace columns of these names."""
-    found = recurring_lines(docs.select("doc_id", "text"), min_texts, depth, percent)
-    found = written(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("__drop"), F.sum("n_chars").alias("__chars")), "dropped")
-    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
-    out = docs.join(found, "doc_id", "left")
-    out = out.withColumn("__drop", F.when(F.col("__chars") * 100 <= F.length("text") * max_share, F.col("__drop")))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
+    lines = written(key_filter(lines, leaves, "leaf"), "leaf-lines")
+
+    # The lines of recurring leaves, token by token.
+    own = by_doc(docs, lines, "at").where("at is not null").withColumn("lines", F.split("text", "\n"))
+    own = own.select("doc_id", text_key, F.length("text").alias("size"), F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
+    own = own.select("doc_id", "text_key", "size", "x.pos", F.length("x.line").alias("n_chars"), tokens_of(F.col("x.line")).alias("tokens"))
+    own = own.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+    own = written(own, "candidates")
+    tokens = own.select("doc_id", "pos", "text_key", "leaf", F.posexplode("tokens").alias("i", "token")).where("token <> '<*>'").withColumn("place", F.xxhash64("leaf", "i", "token"))
+    constant = written(recurring(tokens, ["place"], min_texts), "constants")
+    fixed = key_filter(tokens.select("doc_id", "pos", "i", "token", "place"), constant, "place").groupBy("doc_id", "pos")
+    fixed = fixed.agg(F.count("*").alias("n_fixed"), F.bool_or(F.col("token").rlike(r"\p{L}")).alias("worded"), F.sort_array(F.collect_list(F.struct("i", "token"))).alias("fixed"))
+    plain = F.size(F.filter("tokens", lambda t: t != "<*>"))
+    named = own.join(fixed.where("worded"), ["doc_id", "pos"]).where(F.col("n_fixed") * 100 >= plain * percent)
+    named = written(named.select("doc_id", "pos", "n_chars", "size", "text_key", F.xxhash64("leaf", "fixed").alias("template")), "templates")
+
+    found = written(key_filter(named, written(recurring(named, ["template"], min_texts), "often"), "template"), "found")
+    shares = found.groupBy("doc_id").agg(F.sum("n_chars").alias("chars"), F.first("size").alias("size"))
+    carriers = written(shares.where(F.col("chars") * 100 <= F.col("size") * share).select("doc_id"), "carriers")
+    carriers = F.broadcast(carriers) if carriers.count() <= 4 * MOST_BROADCAST else carriers
+    boilerplate = written(recurring(found.join(carriers, "doc_id", "left_semi"), ["template"], min_texts), "boilerplate")
+    return key_filter(found, boilerplate, "template").select("doc_id", "pos")
+
+
+def drop_lines(docs: DataFrame, min_texts: int = 10, depth: int = 3, percent: int = 70, share: int = 50, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """docs with recurring lines taken out of text (n_chars, where there is such a column, follows) and two more columns, their lines and those dropped.
+
+    A column of docs that has the name of one of the two is replaced by it.
+    """
+    found = written(recurring_lines(docs.select("doc_id", "text"), min_texts, depth, percent, share), "dropped")
+    out = by_doc(docs, found, "__drop").withColumn("__lines", F.split("text", "\n"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drop")
+    kept = F.array_join(F.transform(rest, lambda i: F.get("__lines", i)), "\n")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
     columns = {"text": text, "n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {"text": text}
     return out.select(
-        *(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns if c not in (n_lines, n_dropped)),
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias(n_lines),
+        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(n_dropped),
     )
 
 
@@ -80,14 +104,17 @@ toks AS (
     regexp_extract_all(regexp_replace(line, '[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*', '<*>', 'g'), '[^\x09-\x0D\x20]+') AS tokens FROM lines),
 leafed AS (SELECT *, len(tokens) AS n_tokens, list_slice(tokens, 1, 3) AS head FROM toks WHERE len(tokens) > 0),
 leaves AS (SELECT n_tokens, head FROM leafed GROUP BY ALL HAVING count(DISTINCT text_key) >= 10),
-cand AS (SELECT leafed.* FROM leafed JOIN leaves USING (n_tokens, head)),
+cand AS (SELECT leafed.*, len(list_filter(tokens, lambda t: t <> '<*>')) AS n_plain FROM leafed JOIN leaves USING (n_tokens, head)),
 tk AS (SELECT doc_id, pos, text_key, n_tokens, head, unnest(range(0, len(tokens))) AS i, unnest(tokens) AS token FROM cand),
 const AS (SELECT n_tokens, head, i, token FROM tk WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT text_key) >= 10),
-fixed AS (SELECT doc_id, pos, count(*) AS n_fixed, list({'i': i, 'token': token} ORDER BY i) AS fixed FROM tk JOIN const USING (n_tokens, head, i, token) GROUP BY doc_id, pos),
-named AS (SELECT doc_id, pos, n_chars, text_key, n_tokens, head, fixed FROM cand JOIN fixed USING (doc_id, pos) WHERE n_fixed * 100 >= n_tokens * 70),
+fixed AS (SELECT doc_id, pos, count(*) AS n_fixed, bool_or(regexp_matches(token, '\p{L}')) AS worded, list({'i': i, 'token': token} ORDER BY i) AS fixed FROM tk JOIN const USING (n_tokens, head, i, token) GROUP BY doc_id, pos),
+named AS (SELECT doc_id, pos, n_chars, text_key, n_tokens, head, fixed FROM cand JOIN fixed USING (doc_id, pos) WHERE worded AND n_fixed * 100 >= n_plain * 70),
 often AS (SELECT n_tokens, head, fixed FROM named GROUP BY ALL HAVING count(DISTINCT text_key) >= 10),
-found AS (SELECT doc_id, list(pos) AS gone, sum(n_chars) AS chars FROM named JOIN often USING (n_tokens, head, fixed) GROUP BY doc_id),
-parts AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS split, CASE WHEN chars * 100 <= length(d.text) * 50 THEN gone END AS gone FROM documents d LEFT JOIN found USING (doc_id))
+found AS (SELECT named.* FROM named JOIN often USING (n_tokens, head, fixed)),
+carriers AS (SELECT doc_id FROM found GROUP BY doc_id, text_key HAVING sum(n_chars) * 100 <= length(text_key) * 50),
+boilerplate AS (SELECT n_tokens, head, fixed FROM found JOIN carriers USING (doc_id) GROUP BY ALL HAVING count(DISTINCT text_key) >= 10),
+gone AS (SELECT doc_id, list(pos) AS gone FROM found JOIN boilerplate USING (n_tokens, head, fixed) GROUP BY doc_id),
+parts AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS split, gone FROM documents d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(coalesce(len(split), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
   sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(split) + 1), lambda k: NOT list_contains(gone, k - 1)), lambda k: split[k]), chr(10)) END) AS kept_sha256
 FROM parts
