@@ -6,10 +6,11 @@ these two again (kept in a table of pairs). Where no token fits, the last one is
 remembers the places from which no way on was found. A sequence whose neighbours are all compatible is the merge result.
 
 Pieces never cross from other characters into a space mark, so a text is the sequence of its chunks (space marks and what follows
-them) and each distinct chunk is encoded once per Python worker, in a table of bounded size.
+them) and each distinct chunk is encoded, and its ids decoded, once per Python worker, in a table of bounded size.
 
 Defined results: null and empty texts give no ids and the text ''. Characters outside the vocabulary become byte pieces. Copies,
-ties of equal scores (the leftmost pair merges first) and texts of any length are handled alike; extra columns are left alone.
+ties of equal scores (the leftmost pair merges first) and texts of any length are handled alike; extra columns, whatever their names, are left out
+unless they are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def load_vocabulary(path: str) -> dict:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    if model.encode("ab Å ", out_type=str) != model.encode("ab Å ", out_type=str) or model.decode(model.encode(" Å  ")) != " Å  ":
+    if any(model.decode(model.encode(t)) != t for t in ("ab \u212b ", " A\u030a  ", "\ufb01 \u2460\t\u00b2  x", "\u3000\uff21\n")):
         raise ValueError("only models with the identity normaliser are supported")
     normal, special, scores, data = {}, {}, {}, {}
     for i in range(model.get_piece_size()):
@@ -105,10 +106,9 @@ class Encoder:
         self.pairs: dict[int, dict[int, bool]] = {}
         self.seen = 0
         self.edges: dict[tuple[int, str], tuple[list[str], list[float]] | None] = {}
-        # Chunks seen of late, and those of the time before; what decodes to other than itself stands apart.
-        self.chunks: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.shown_else: dict[str, str] = {}
+        # Chunks seen of late, and those of the time before: the ids of each joined by commas, and the text that these decode to.
+        self.chunks: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
         # A character of no piece parts chunks as well; line ends are worth it.
         alone = "\n" if not any("\n" in p for p in self.ids) else ""
         self.cut = re.compile(f" +[^ {alone}]*|[^ {alone}]+" + (f"|{alone}" if alone else "")).findall
@@ -216,44 +216,33 @@ class Encoder:
             out.append(broken(bytes(run)))
         return "".join(out)
 
-    def chunk(self, text: str) -> str:
-        """The ids of a chunk, joined by commas."""
-        joined = self.older.get(text)
-        if joined is None:
-            tokens = self.tokens(text.replace(" ", MARK))
-            joined = ",".join([self.joined[t] for t in tokens])
-            if max(tokens) >= len(self.shown):  # only byte pieces can decode to something else
-                shown = broken(b"".join(self.shown[int(i)] for i in joined.split(",")))
-                if shown != text:
-                    self.shown_else[text] = shown
+    def chunk(self, text: str) -> tuple[str, str]:
+        """The ids of a chunk, joined by commas, and what they decode to within a text."""
+        known = self.older.get(text)
+        if known is None:
+            joined = ",".join([self.joined[t] for t in self.tokens(text.replace(" ", MARK))])
+            known = joined, broken(b"".join([self.shown[int(i)] for i in joined.split(",")]))
         if len(text) <= 64:
             if len(self.chunks) >= MOST_CHUNKS:
                 self.chunks, self.older = {}, self.chunks
-            self.chunks[text] = joined
-        return joined
+            self.chunks[text] = known
+        return known
 
-    def parts(self, text: str) -> tuple[list[str], list[str]]:
-        """The chunks of a text, and the ids of each joined by commas."""
+    def parts(self, text: str) -> list[tuple[str, str]]:
+        """(ids joined by commas, what they decode to) of each chunk of a text. Characters never run over a chunk's end, so neither do runs of byte pieces."""
         if not text:
-            return [], []
-        chunks = self.cut(" " + text.replace(MARK, " "))
+            return []
         known, chunk = self.chunks.get, self.chunk
-        return chunks, [known(c) or chunk(c) for c in chunks]
-
-    def decoded(self, chunks: list[str]) -> str:
-        """What decode() gives for the ids of these chunks, of which each was decoded when it was encoded."""
-        if self.shown_else:
-            return "".join([self.shown_else.get(c) or c for c in chunks])[1:]
-        return "".join(chunks)[1:]
+        return [known(c) or chunk(c) for c in self.cut(" " + text.replace(MARK, " "))]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids in self.parts(text)[1] for i in ids.split(",")]
+        return [int(i) for ids, _ in self.parts(text) for i in ids.split(",")]
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        chunks, parts = self.parts(text)
-        ids = ",".join(parts).encode()
-        return ids.count(b",") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.decoded(chunks).encode()).hexdigest()
+        parts = self.parts(text)
+        ids, decoded = ",".join([p[0] for p in parts]).encode(), "".join([p[1] for p in parts])[1:]
+        return ids.count(b",") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def broken(data: bytes) -> str:
@@ -279,11 +268,14 @@ def broken(data: bytes) -> str:
 _encoders: dict[str, Encoder] = {}
 
 
-def over_texts(docs: DataFrame, vocabulary: dict, text: str, schema: T.StructType, row: Callable[[Encoder, str], tuple]) -> DataFrame:
-    """docs' columns of the schema that it has, and the rest of the schema as row(encoder, text) gives it. No shuffle."""
+def over_texts(docs: DataFrame, vocabulary: dict, text: str, kept: tuple[str, ...], added: str, row: Callable[[Encoder, str], tuple]) -> DataFrame:
+    """The kept columns of docs, and the added ones (a schema) as row(encoder, text) gives them. No shuffle. Kept columns can't have names of added ones."""
+    new = T.StructType.fromDDL(added)
+    if set(kept) & set(new.names):
+        raise ValueError(f"columns {sorted(set(kept) & set(new.names))} are results here")
+    schema = T.StructType([*(docs.schema[k] for k in kept), *new])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # 32,000 pieces of at most 16 characters: about 1 MB
     key = hashlib.sha256(repr(sorted(vocabulary["scores"].items())).encode()).hexdigest()
-    kept = [f.name for f in schema.fields if f.name in docs.columns]
     into = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,16 +296,14 @@ def over_texts(docs: DataFrame, vocabulary: dict, text: str, schema: T.StructTyp
 
 def encode(docs: DataFrame, vocabulary: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, ids array<int> and decoded string of each text."""
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def row(encoder: Encoder, value: str) -> tuple:
         ids = encoder.encode(value)
         return ids, encoder.decode(ids)
 
-    return over_texts(docs, vocabulary, text, schema, row)
+    return over_texts(docs, vocabulary, text, keep, "ids array<int>, decoded string", row)
 
 
 def encode_digests(docs: DataFrame, vocabulary: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """As encode(), with the number and the digests of ids and decoded text instead of both, so that they needn't leave the worker."""
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return over_texts(docs, vocabulary, text, schema, Encoder.digests)
+    return over_texts(docs, vocabulary, text, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", Encoder.digests)
