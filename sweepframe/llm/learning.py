@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,21 +12,17 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: tuple[int, int], most_chars: int | None, shrink: Callable[[Column], Column] | None = None) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most most_rows rows of labels 0 and 1 outside the held-out fold, in the order of a hash of doc_id, their texts cut at most_chars (None: whole).
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, most_rows: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, y): the whole texts of at most most_rows rows of labels 0 and 1 outside the held-out fold, those with the least hash of doc_id.
 
-    shrink is applied to the picked texts before they are collected.
-    Ids that are labelled both ways count with each label; labels other than 0 and 1 are left out.
+    Ids that are labelled both ways count with each label; labels other than 0 and 1 are left out. A null text is empty.
     """
     usable = labels.where(~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     picked = None
     for y in (0, 1):
         own = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows[y])
         picked = own if picked is None else picked.union(own)
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", (text if most_chars is None else F.substring(text, 1, most_chars)).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = (texts if shrink is None else texts.withColumn("text", shrink(F.col("text")))).collect()  # sum(most_rows) texts at most
-    return sorted((r["doc_id"], r["text"], r["y"]) for r in rows)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

@@ -2,14 +2,14 @@
 
 The kernel of two strings sums, over all three-letter subsequences that both have, decay ** (span in one + span in the other), and is
 normalised by its values on each string with itself. Gaps and inserted letters only weaken a match ("idxiot"); letters set apart by spaces
-are joined first. Case, accents, signs between letters and usual digit-for-letter swaps are folded. Spans are at most SPAN letters, and units
-longer than PIECE are taken in overlapping pieces.
+are joined first. Case, accents, signs between letters and usual digit-for-letter swaps are folded. Subsequences that span more than SPAN letters
+weigh less than decay ** SPAN, 0.2 %, and are left out; units longer than PIECE are taken in overlapping pieces, of which the most alike counts.
 
 Training reads a bounded number of labelled documents (`most_rows` toxic and three times as many clean ones), whole; the driver gets the different
 units of each. A toxic document has a toxic sentence, but which one isn't labelled. Landmarks are strings inside the units (words, joined
 letters) of toxic sentences that clean ones hold too rarely for chance, picked one by one until the units are explained, and frequent clean
 units. The machine is fitted on Nyström features (kernel values with the landmarks times K ** -1/2), then again with the units that scored
-highest in each clean document (as in mi-SVM). A document's value is the highest of its units, mapped to 0..1 by logistic calibration.
+highest in each labelled document, those of clean ones against it, those of toxic ones for it (as in mi-SVM). A document's value is the highest of its units, mapped to 0..1 by logistic calibration.
 
 As the kernel is a sum over subsequences, landmarks and weights collapse into one table with a weight per three letters (64 ** 3 floats,
 1 MB, broadcast); a unit then costs a walk over its own subsequences, and each worker remembers a bounded number of units.
@@ -31,9 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweepframe.llm.learning import held_out, logistic, training_rows
+from sweepframe.llm.learning import held_out, logistic, training_texts
 
-DECAY, SPAN, PIECE = 0.6, 8, 32
+DECAY, SPAN, PIECE = 0.6, 12, 32
 #: Units that a worker remembers, twice over.
 MOST_UNITS = 400_000
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
@@ -138,11 +138,14 @@ class Machine:
         positive = insults + sorted({u for b, (_, _, y) in zip(bags, rows, strict=True) if y for u in b if u not in clean and holds(u)} - set(insults))[:4000]
         rng = np.random.default_rng(seed)
         negative = list(dict.fromkeys(often + [names[k] for k in rng.permutation(len(names)) if names[k] in clean][:4000]))
-        for turn in range(3):
+        for _ in range(3):
             self.fit(positive + negative, np.repeat([1.0, -1.0], [len(positive), len(negative)]), chosen, columns)
             values = dict(zip(names, self.values(names), strict=True))
             best = [max(b, key=values.__getitem__) if b else None for b in bags]
+            # The labels choose again: of each labelled document the unit that speaks most for toxicity stands for it.
             negative = list(dict.fromkeys([u for u, (_, _, y) in zip(best, rows, strict=True) if u is not None and not y] + negative))
+            witness = {u for u, (_, _, y) in zip(best, rows, strict=True) if u is not None and y and values[u] > 0}
+            positive = list(dict.fromkeys(insults + sorted(witness.difference(clean))))
         tops = np.array([values[u] if u is not None else LOWEST for u in best])
         self.calibration = logistic(np.column_stack([np.ones(len(tops)), np.maximum(tops, LOWEST)]), np.array([y for _, _, y in rows]))
         if self.calibration[1] < 0:
@@ -276,26 +279,31 @@ def landmark_table(chosen: list[str]) -> np.ndarray:
 
 
 def kernel_values(units: list[str], columns: np.ndarray) -> np.ndarray:
-    """Normalised kernel values (units, landmarks); of the last piece for long units, which only training meets."""
+    """Normalised kernel values (units, landmarks); of long units the highest of any piece."""
     out = np.zeros((len(units), columns.shape[1]))
     for owner, x in coded(units):
         for a in range(0, len(x), 500):
             part = x[a : a + 500]
-            out[owner[a : a + 500]] = weighed(part, columns) / np.sqrt(self_kernel(part))[:, None]
+            np.maximum.at(out, owner[a : a + 500], weighed(part, columns) / np.sqrt(self_kernel(part))[:, None])
     return out
 
 
 _seen: dict[int, list[dict[str, float]]] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, landmarks: int = 256, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, held_out, score and predicted of each document."""
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, landmarks: int = 256, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("held_out", "score", "predicted")
+) -> DataFrame:
+    """The kept columns, and held_out, score and predicted of each document under the given names, which no kept column may have."""
+    if set(keep) & set(names):
+        raise ValueError(f"columns {sorted(set(keep) & set(names))} are results here")
 
     def bag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(["\n".join(bag_of(t)) for t in texts], dtype=object)
 
-    machine = Machine(training_rows(docs, labels, label, (3 * most_rows, most_rows), None, F.pandas_udf(bag, "string")), landmarks)
+    rows = training_texts(docs, labels, label, (3 * most_rows, most_rows)).select("doc_id", F.pandas_udf(bag, "string")("text").alias("bag"), "y")
+    machine = Machine(sorted(tuple(r) for r in rows.collect()), landmarks)  # 4 * most_rows bags at most
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     key = hash(machine.table.tobytes()) if machine.table is not None else 0
 
@@ -306,5 +314,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
         for texts in batches:
             yield pd.Series(shared.value.scores(texts.fillna("").tolist(), _seen[key]))
 
-    scored = docs.select(*keep, held_out().alias("held_out"), F.pandas_udf(score, "double")(F.col("text")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    value = F.pandas_udf(score, "double")(F.col("text")).alias(names[1])
+    scored = docs.select(*keep, held_out().alias(names[0]), value)
+    return scored.select("*", (F.col(names[1]) >= threshold).cast("int").alias(names[2]))
