@@ -1,17 +1,25 @@
 """Operator 10 [native]: whole texts looked up among known licences by canonical digest. DataFrame functions only.
 
 A text is made canonical: lower case, copyright lines out, every run of characters that are neither letters nor digits one space (line ends
-stay until lines have been told apart), equivalent spellings alike. Its SHA-256 is then joined with those of the known texts. Besides the
-text as a whole, each of its lines is such a text, which finds notices like "Released under the ... License." in other prose.
-Only texts as long as a known one get a digest; this leaves out none that could match. Known texts are broadcast after their rows have been
-counted; a larger table of them is joined by shuffle.
+stay until lines have been told apart), equivalent spellings alike. Its SHA-256 is then joined with those of the known texts: the full texts
+in the folder `licenses` beside this module, short ones listed here, or any table of (license_id, text). Besides the text as a whole, each of its lines
+is such a text, which finds notices like "Released under the ... License." in other prose.
+
+Only what can match is made canonical: each known text has some word that the canonical form leaves as it is (see `marks`), and a text or line without any
+of these words matches none; of the rest only those as long as a known one get a digest. Neither leaves out a match. Known texts are broadcast after their
+rows have been counted; a larger table of them is joined by shuffle.
 
 Defined results: null, empty and unmatched texts have no licence (null), an empty list and 0 notices; a notice on several lines counts each
-time and is listed once, in order; copies are looked up each on its own; of two known texts with one canonical form the smaller name wins.
+time and is listed once, in order; copies are looked up each on its own; of two known texts with one canonical form the smaller name wins; an empty
+table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +33,7 @@ SPELLINGS = [
     ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("per cent", "percent"),
 ]
 
-#: Public licence texts and notices, without their copyright lines.
+#: Short public licence texts and notices, without their copyright lines.
 _GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _AUTHOR_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
@@ -68,19 +76,55 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(canonical_lines(text), "[ \n]+", " "))
 
 
+def full_texts(folder: str | Path | None = None) -> list[tuple[str, str]]:
+    """(licence id, text) of each file of a folder of licence texts; by default of those that come with the library."""
+    return [(p.stem, p.read_text()) for p in sorted(Path(folder or Path(__file__).parent / "licenses").glob("*.txt"))]
+
+
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(texts if texts is not None else KNOWN, "license_id string, text string")
+    return spark.createDataFrame(texts if texts is not None else KNOWN + full_texts(), "license_id string, text string")
+
+
+def marks(texts: list[str], most: int = 100) -> list[str] | None:
+    """Strings of which each text with one of these canonical forms holds one, but for case; None if words that tell are lacking.
+
+    They are words of the canonical texts with all their spellings; those that most texts have come first, of at least six letters where there are such.
+    Words that a spelling of several words makes are left out, and so are those with a k, for which there is a third letter beside k and K.
+    """
+    single = [(a, b) for a, b in SPELLINGS if " " not in a]
+    apart = {w for a, b in SPELLINGS if " " in a for w in b.split()}
+    words = []
+    for t in texts:
+        own = {w for w in t.split() if re.fullmatch("[a-jl-z]{3,}", w) and not any(m in w for m in apart)}
+        words.append({w for w in own if len(w) > 5} or own)
+    found: list[str] = []
+    while words:
+        if not all(words) or len(found) >= most:
+            return None
+        counts = Counter(w for own in words for w in own)
+        best = max(counts, key=lambda w: (counts[w], len(w), w))
+        words = [own for own in words if best not in own]
+        spelled = [best]
+        for a, b in single:
+            spelled += [w.replace(b, a) for w in spelled if b in w]
+        found += spelled
+    return found
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """docs' doc_id with license_id (of the whole text), notices (sorted ids of licences whose whole text is one line) and n_notices."""
     known = known.where("text is not null").select("license_id", canonical(F.col("text")).alias("c")).where("c <> ''")
-    known = known.groupBy(F.sha2("c", 256).alias("digest"), F.length("c").alias("size")).agg(F.min("license_id").alias("license_id"))
+    known = known.groupBy(F.sha2("c", 256).alias("digest"), F.length("c").alias("size"), "c").agg(F.min("license_id").alias("license_id"))
     counted = known.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    few = counted["n"] <= MOST_BROADCAST
+    words = marks([r["c"] for r in known.select("c").collect()]) if counted["n"] <= 5_000 else None
     sizes = F.array(*(F.lit(n) for n in counted["sizes"]))  # at most as many as a licence has characters
-    digests = F.broadcast(known.select("digest", "license_id")) if counted["n"] <= MOST_BROADCAST else known.select("digest", "license_id")
+    digests = F.broadcast(known.select("digest", "license_id")) if few else known.select("digest", "license_id")
 
-    form = docs.select("doc_id", F.coalesce(canonical_lines(F.col("text")), F.lit("")).alias("x"))
+    some = docs.select("doc_id", "text")
+    if words:
+        some = some.where(F.col("text").rlike("(?i)" + "|".join(words)))
+    form = some.select("doc_id", F.coalesce(canonical_lines(F.col("text")), F.lit("")).alias("x"))
     lines = F.filter(F.split("x", "\n"), lambda s: F.array_contains(sizes, F.length(s)))
     whole = F.trim(F.regexp_replace("x", "[ \n]+", " "))
     texts = form.select("doc_id", F.filter(F.array(whole), lambda s: F.array_contains(sizes, F.length(s))).alias("whole"), lines.alias("lines"))
@@ -108,7 +152,7 @@ def _oracle() -> str:
     def whole(text: str) -> str:
         return f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))"
 
-    values = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN)
+    values = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN + full_texts())
     return f"""
 WITH known AS (SELECT min(license_id) AS license_id, c FROM (SELECT license_id, {whole(lines("text"))} AS c FROM (VALUES {values}) v(license_id, text)) WHERE c <> '' GROUP BY c),
 form AS (SELECT doc_id, coalesce({lines("text")}, '') AS x FROM documents),
