@@ -35,8 +35,8 @@ from sweepframe.llm.common import components, written
 BLOCK = 512
 #: Rows of hot cells and the like, up to which they are broadcast.
 MOST_BROADCAST = 100_000
-#: Centres of blocks that are compared at once.
-CENTRES = 2048
+#: Vectors in a block of saturated ones, centres of such blocks that are compared at once, and directions by whose angles centres are binned.
+PART, CENTRES, PIVOTS = 4096, 1024, 3
 #: The audit: vectors with links that are evidence enough, samples asked at most, and turns of further tables before it is an error.
 LINKED, ASKED, TURNS = 100, 8, 12
 PAIRS = "id long, n long, s double"
@@ -44,11 +44,23 @@ PAIRS = "id long, n long, s double"
 
 def unit_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v): directions of usable vectors as array<double>, scaled by the largest component first so that no square overflows or vanishes."""
-    v = F.col(vector).cast("array<double>")
-    usable = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    out = table.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(usable).withColumn("top", F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).where("top > 0")
-    out = out.select("id", F.transform("v", lambda x: x / F.col("top")).alias("v"))
-    return out.select("id", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)) + F.lit(0.0)).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            sizes = np.asarray(column.value_lengths().fill_null(0))
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                part = batch.filter(pa.array(sizes == size))
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+                top = np.abs(x).max(axis=1)
+                good = np.isfinite(top) & (top > 0)
+                x = x[good] / top[good, None]
+                x = x / np.sqrt((x * x).sum(axis=1))[:, None] + 0.0
+                vs = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, size, dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), vs], names=["id", "v"])
+
+    # Nulls among the components become NaN, so such vectors go as well.
+    return table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "id long, v array<double>")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -148,8 +160,9 @@ def neighbourhood_cells(lists: DataFrame, vectors: DataFrame) -> DataFrame:
 def within_reach(blocks: DataFrame, threshold: float) -> DataFrame:
     """(component, part, o_component, o_part): pairs of blocks that can hold a link, whatever their components.
 
-    Angles are a metric: vectors of two blocks are at least the angle of their centres less both radii apart. Pairs that this puts beyond the threshold are
-    left out, which leaves out no link.
+    Angles are a metric: vectors of two blocks are at least the angle of their centres less both radii apart, and the centres' angles to a fixed direction
+    differ by no more than their own angle. So centres meet by equality on bins of their angles to a few directions, as wide as the largest reach, with
+    the bins beside them; of these pairs the ones whose centres are beyond the threshold are left out. Neither leaves out a link.
     """
 
     def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +174,25 @@ def within_reach(blocks: DataFrame, threshold: float) -> DataFrame:
                 c /= max(np.linalg.norm(c), 1e-300)
                 centres.append(c)
                 radii.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["component", "part", "c", "r"])
-
-    centres = written(blocks.select("component", "part", "ids", "vs").mapInArrow(centred, "component long, part int, c array<double>, r double"), "centres")
-    chunks = max(1, -(-centres.count() // CENTRES))
-    some = centres.groupBy(F.pmod(F.xxhash64("component", "part"), F.lit(chunks)).alias("chunk"))
-    some = written(some.agg(F.collect_list("component").alias("component"), F.collect_list("part").alias("part"), F.flatten(F.collect_list("c")).alias("c"), F.collect_list("r").alias("r")).drop("chunk"), "chunks")
-    both = some.crossJoin(some.toDF("o_component", "o_part", "o_c", "o_r"))
+            angles = [np.arccos(np.clip(c @ directions(len(c)), -1, 1)).tolist() for c in centres]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(angles, pa.list_(pa.float64()))], names=["component", "part", "c", "r", "angles"])
+
+    def directions(size: int) -> np.ndarray:
+        d = np.random.default_rng(17).standard_normal((size, PIVOTS))
+        return d / np.linalg.norm(d, axis=0)
+
+    centres = written(blocks.select("component", "part", "ids", "vs").mapInArrow(centred, "component long, part int, c array<double>, r double, angles array<double>"), "centres")
+    reach = float(2 * (centres.agg(F.max("r")).first()[0] or 0.0) + np.arccos(threshold) + 1e-6)
+    bins = F.transform("angles", lambda x: F.floor(x / reach).cast("int"))
+    placed = centres.withColumn("bins", bins).withColumn("cell", F.xxhash64("bins"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CENTRES).cast("int").alias("chunks"))
+    placed = placed.join(sizes, "cell").withColumn("no", F.pmod(F.xxhash64("component", "part"), "chunks").cast("int"))
+    chunk = [F.collect_list("component").alias("component"), F.collect_list("part").alias("part"), F.flatten(F.collect_list("c")).alias("c"), F.collect_list("r").alias("r")]
+    chunks = written(placed.groupBy("cell", "no", "bins").agg(*chunk), "chunks")
+    steps = F.array(*(F.array(*(F.lit(int(k)) for k in step)) for step in np.ndindex(*[3] * PIVOTS)))
+    near = chunks.select(F.explode(F.transform(steps, lambda step: F.xxhash64(F.zip_with("bins", step, lambda b, k: b + k - 1)))).alias("cell"), *(F.col(k).alias(f"o_{k}") for k in ("component", "part", "c", "r")))
+    near = near.join(sizes, "cell").withColumn("no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    both = chunks.select("cell", "no", "component", "part", "c", "r").join(near.drop("chunks"), ["cell", "no"]).drop("cell", "no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,26 +207,33 @@ def within_reach(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def saturated_links(saturated: DataFrame, at: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """((id, times, others), (a, b)) of the saturated vectors (id, v, copies): links with others of them in any component, copies counted and not, and a link
-    for each two blocks of different components that have any, which merges these."""
+    for each two blocks of different components that have any, which merges these.
+
+    Blocks are large, as the vectors that move are the square of the blocks' number; a pair is compared BLOCK rows at a time. Pairs are spread over all their
+    four columns before vectors join them, so no component is one task.
+    """
     placed = saturated.join(at, "id")
-    sizes = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sizes = placed.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     placed = placed.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     blocks = written(placed.groupBy("component", "part").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"), F.collect_list("copies").alias("copies")), "blocks")
     pairs = written(within_reach(blocks, threshold), "block-pairs")
     right = blocks.toDF("o_component", "o_part", "o_ids", "o_vs", "o_copies")
-    both = pairs.join(blocks.drop("copies"), ["component", "part"]).join(right, ["o_component", "o_part"]).repartition("component", "part", "o_component", "o_part")
+    both = pairs.join(blocks.drop("copies"), ["component", "part"]).join(right, ["o_component", "o_part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, x, b, y, c, same in zip(*(batch.column(k) for k in range(6)), strict=True):
                 a, b, c = (np.asarray(z.values) for z in (a, b, c))
-                s = np.asarray(x.values).reshape(len(a), -1) @ np.asarray(y.values).reshape(len(b), -1).T
-                links = (s >= threshold) & (a[:, None] != b[None, :])
-                other = np.full(len(a), -1)
-                if not same.as_py() and links.any():
-                    i = int(links.any(axis=1).argmax())
-                    other[i] = int(links[i].argmax())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array((links @ c).astype(np.int64)), pa.array(links.sum(axis=1)), pa.array(b[other], mask=other < 0)], names=["id", "times", "others", "other"])
+                x, y = np.asarray(x.values).reshape(len(a), -1), np.asarray(y.values).reshape(len(b), -1)
+                apart, told = not same.as_py(), False
+                for at in range(0, len(a), BLOCK):
+                    own = a[at : at + BLOCK]
+                    links = (x[at : at + BLOCK] @ y.T >= threshold) & (own[:, None] != b[None, :])
+                    other, none = np.zeros(len(own), np.int64), np.ones(len(own), bool)
+                    if apart and not told and links.any():
+                        told, i = True, int(links.any(axis=1).argmax())
+                        other[i], none[i] = b[int(links[i].argmax())], False
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array((links @ c).astype(np.int64)), pa.array(links.sum(axis=1)), pa.array(other, mask=none)], names=["id", "times", "others", "other"])
 
     found = both.select("ids", "vs", "o_ids", "o_vs", "o_copies", (F.col("component") == F.col("o_component")).alias("same")).mapInArrow(run, "id long, times long, others long, other long")
     found = written(found.where("times > 0"), "saturated-links")
@@ -285,7 +317,7 @@ def graph(vectors: DataFrame, dimension: int, rows: int, threshold: float, k: in
 
 def linked(table: DataFrame, threshold: float = 0.95, k: int = 12, tables: int = 16, rounds: int = 6, floor: float = 0.6, recall: float = 0.97, sample: int = 1000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
-    raw = unit_vectors(table, key, vector)
+    raw = written(unit_vectors(table, key, vector), "directions")
     classes = raw.groupBy(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = written(raw.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")).join(classes, ["h1", "h2"]).select("id", "rep", "copies"), "classes")
     vectors = written(raw.join(members.where("id = rep").select("id", "copies"), "id"), "vectors")
