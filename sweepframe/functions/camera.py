@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Corner pairs of a box's edges; corners are the footprint below, then above.
-EDGES = [(0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6), (3, 7)]
+#: Corner pairs of a box's edges: around the footprint below (corners 0 to 3), around the one above (4 to 7), and upright.
+EDGES = [pair for k in range(4) for pair in ((k, (k + 1) % 4), (4 + k, 4 + (k + 1) % 4), (k, 4 + k))]
 
 
 def with_visibility(df: DataFrame, corners: str, camera: dict) -> DataFrame:
-    """df with `visible`: whether the projection of the part of a box in front of the near plane meets the half-open image.
+    """df with `visible`: whether the projection of the part of a box in front of the near plane meets the half-open image. Places whose projected depth
+    isn't positive are left out.
 
     camera: 4x4 extrinsic e and 3x4 projection p (row by row), width, height, near. Steps are columns of their own, so each is computed once.
     """
@@ -26,12 +27,12 @@ def with_visibility(df: DataFrame, corners: str, camera: dict) -> DataFrame:
 
     def project(c: Column) -> Column:
         u, v, w = (c["x"] * p[4 * k] + c["y"] * p[4 * k + 1] + c["z"] * p[4 * k + 2] + p[4 * k + 3] for k in range(3))
-        return F.struct((u / w).alias("u"), (v / w).alias("v"))
+        return F.struct(F.try_divide(u, w).alias("u"), F.try_divide(v, w).alias("v"), w.alias("w"))
 
     out = df.select(*kept, seen.alias("_seen"))
     out = out.select(*kept, "_seen", F.filter(ends, lambda x: (x["a"]["z"] >= near) != (x["b"]["z"] >= near)).alias("_cut"))
     out = out.select(*kept, F.concat(F.filter("_seen", lambda c: c["z"] >= near), F.transform("_cut", crossing)).alias("_places"))
-    out = out.select(*kept, F.transform("_places", project).alias("_flat"))
+    out = out.select(*kept, F.filter(F.transform("_places", project), lambda c: c["w"] > 0).alias("_flat"))
     out = out.select(*kept, F.transform("_flat", lambda c: c["u"]).alias("_u"), F.transform("_flat", lambda c: c["v"]).alias("_v"))
     inside = (F.array_max("_u") >= 0) & (F.array_min("_u") < camera["width"]) & (F.array_max("_v") >= 0) & (F.array_min("_v") < camera["height"])
     return out.select(*kept, F.coalesce((F.size("_u") > 0) & inside, F.lit(False)).alias("visible"))

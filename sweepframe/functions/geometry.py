@@ -151,19 +151,23 @@ def rotation(axis: str, angle: Column) -> Column:
     return F.array(*rows[axis])
 
 
-def rigid(r: Column, t: list[Column]) -> Column:
+def rigid(r: Column | list[Column], t: list[Column]) -> Column:
     return F.array(*(x for k in range(3) for x in (r[3 * k], r[3 * k + 1], r[3 * k + 2], t[k])), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
-def compose(a: Column, b: Column) -> Column:
-    """The product of two 4x4 transforms."""
+def compose(a: Column | list[Column], b: Column | list[Column]) -> Column:
+    """The product of two 4x4 transforms, each an array or its 16 entries; entries keep the expression small where one is itself computed."""
     return F.array(*(sum((a[4 * i + k] * b[4 * k + j] for k in range(1, 4)), a[4 * i] * b[j]) for i in range(4) for j in range(4)))
 
 
-def inverse(m: Column) -> Column:
-    """Inverse of a rigid transform: the transposed rotation, and the translation seen through it."""
+def inverse_entries(m: Column) -> list[Column]:
+    """The 16 entries of a rigid transform's inverse: the transposed rotation, and the translation seen through it."""
     t = [-(m[i] * m[3] + m[4 + i] * m[7] + m[8 + i] * m[11]) for i in range(3)]
-    return F.array(*(x for i in range(3) for x in (m[i], m[4 + i], m[8 + i], t[i])), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return [*(x for i in range(3) for x in (m[i], m[4 + i], m[8 + i], t[i])), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+
+
+def inverse(m: Column) -> Column:
+    return F.array(*inverse_entries(m))
 
 
 def is_rigid(m: Column, tolerance: float = 1e-6) -> Column:
@@ -183,11 +187,40 @@ def rotation_angle(m: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (m[0] + m[5] + m[10] - 1) / 2)))
 
 
-def quaternion_rotation(w: Column, x: Column, y: Column, z: Column) -> Column:
-    """Rotation of a quaternion, scaled by its squared norm."""
+def quaternion_entries(w: Column, x: Column, y: Column, z: Column) -> list[Column]:
+    """The 9 entries of a quaternion's rotation, scaled by its squared norm."""
     n = w * w + x * x + y * y + z * z
     s = F.lit(2.0) / n
-    return F.array(1 - s * (y * y + z * z), s * (x * y - z * w), s * (x * z + y * w), s * (x * y + z * w), 1 - s * (x * x + z * z), s * (y * z - x * w), s * (x * z - y * w), s * (y * z + x * w), 1 - s * (x * x + y * y))
+    return [1 - s * (y * y + z * z), s * (x * y - z * w), s * (x * z + y * w), s * (x * y + z * w), 1 - s * (x * x + z * z), s * (y * z - x * w), s * (x * z - y * w), s * (y * z + x * w), 1 - s * (x * x + y * y)]
+
+
+def quaternion_rotation(w: Column, x: Column, y: Column, z: Column) -> Column:
+    return F.array(*quaternion_entries(w, x, y, z))
+
+
+def storage_transform(w: Column, x: Column, y: Column, z: Column, t: list[Column], tolerance: float = 1e-6) -> Column:
+    """The single-precision pair (a, b) = (transposed rotation, -transposed rotation times t) with which row vectors move as p a - b; null unless the
+    quaternion's squared norm is within tolerance of 1."""
+    r = quaternion_entries(w, x, y, z)
+    turned = [r[k] * t[0] + r[3 + k] * t[1] + r[6 + k] * t[2] for k in range(3)]
+    pair = F.struct(F.array(*(r[3 * j + i].cast("float") for i in range(3) for j in range(3))).alias("a"), F.array(*((-v).cast("float") for v in turned)).alias("b"))
+    return F.when(F.abs(w * w + x * x + y * y + z * z - 1) <= tolerance, pair)
+
+
+def model_rotation() -> Column:
+    """4x4: native axes (x ahead, y left) to model axes (x right, y ahead)."""
+    return F.array(*(F.lit(float(v)) for v in (0, -1, 0, 0, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)))
+
+
+def native_corners(model: Column) -> Column:
+    """Corners in model axes back in native ones."""
+    return F.transform(model, lambda c: F.struct(c["y"].alias("x"), (-c["x"]).alias("y"), c["z"].alias("z")))
+
+
+def calibration_chains(imu_to_velo: Column, velo_to_camera: Column, rectification: Column) -> dict[str, Column]:
+    """Chains of a drive's calibration: sensor to IMU, rectified camera from IMU, and the virtual model-axis sensor to IMU."""
+    velo_to_imu = inverse(imu_to_velo)
+    return {"velo_to_imu": velo_to_imu, "camera_from_imu": compose(rectification, compose(velo_to_camera, imu_to_velo)), "model_to_imu": compose(inverse_entries(imu_to_velo), inverse_entries(model_rotation()))}
 
 
 def slerp(p: list[Column], q: list[Column], t: Column) -> list[Column]:

@@ -7,8 +7,7 @@ from pyspark.sql.window import Window
 
 from sweepframe.functions import geometry as G
 from sweepframe.functions.numeric import acquisition_id, decimal_seconds_ns, ns_to_us, parse_timestamp_ns, stamp_ns
-from sweepframe.operators import metrics as M
-from sweepframe.operators.poses import bracket, interpolated, normalised_poses
+from sweepframe.operators.poses import bracket, normalised_poses
 from sweepframe.plans.fixtures import FRAME, FRAMES, MESSAGES, POSES, frames, messages, poses
 from sweepframe.registry import query
 
@@ -23,7 +22,7 @@ def sides(s, d):
     return m.where("event_type = 'purchase'").select("key", "ts_us", "arrival_seq"), m.where("event_type in ('view', 'click', 'error')").select("key", "ts_us", "value")
 
 
-def bracketed(s, d, bucket_us=None):
+def bracketed(s, d, bucket_us=6 * 3_600_000_000):
     return bracket(*sides(s, d), ["key"], "ts_us", ["value"], bucket_us)
 
 
@@ -32,15 +31,9 @@ def jn_7(s, d):
     return bracketed(s, d).select("arrival_seq", "prev_ts", "next_ts", "nearest_ts")
 
 
-@query("jn_7_bucketed_as_of", f"WITH {ASOF} SELECT arrival_seq, prev_ts, next_ts FROM b")
+@query("jn_7_unbucketed_as_of", f"WITH {ASOF} SELECT arrival_seq, prev_ts, next_ts FROM b")
 def jn_7b(s, d):
-    return bracketed(s, d, 86_400_000_000).select("arrival_seq", "prev_ts", "next_ts")
-
-
-@query("jn_8_interpolated", f"WITH {ASOF} SELECT arrival_seq, round(prev_value + (ts_us - prev_ts)::DOUBLE / (next_ts - prev_ts) * (next_value - prev_value), 6) AS value FROM b")
-def jn_8(s, d):
-    v = interpolated(F.col("ts_us"), F.col("prev_ts"), F.col("prev_value"), F.col("next_ts"), F.col("next_value"))
-    return bracketed(s, d).select("arrival_seq", F.round(v, 6).alias("value"))
+    return bracketed(s, d, None).select("arrival_seq", "prev_ts", "next_ts")
 
 
 @query("jn_9_exact_lookup", f"WITH {SIDES} SELECT arrival_seq, f.ts_us IS NOT NULL AS found FROM target t LEFT JOIN (SELECT DISTINCT key, ts_us FROM fast) f USING (key, ts_us)")
@@ -58,12 +51,6 @@ def jn_10(s, d):
     return st.join(master, FRAME).groupBy("stream").agg(F.count("*").alias("n"), F.min(off).alias("min_ns"), F.max(off).alias("max_ns"), F.avg(off).alias("mean_ns"))
 
 
-@query("jn_11_transform_lookup", f"WITH {ASOF} SELECT key, count(*) AS frames, count(*) FILTER (prev_ts IS NOT NULL AND next_ts IS NOT NULL) AS found, count(*) FILTER (prev_ts IS NULL OR next_ts IS NULL) AS rejected FROM b GROUP BY key")
-def jn_11(s, d):
-    ok = F.col("prev_ts").isNotNull() & F.col("next_ts").isNotNull()
-    return bracketed(s, d).groupBy("key").agg(F.count("*").alias("frames"), F.count_if(ok).alias("found"), F.count_if(~ok).alias("rejected"))
-
-
 @query("src_10_timestamps", "SELECT event_id, CAST(epoch_us(date_trunc('second', ts)) AS BIGINT) * 1000 + event_id * 7919 % 1000000000 AS ts_ns FROM events")
 def src_10(s, d):
     text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad((F.col("event_id") * 7919 % 1000000000).cast("string"), 9, "0"))
@@ -108,18 +95,6 @@ def errors(s, d):
     return poses(s, d).select(*FRAME, ((i % 7) * 0.01 - 0.02).alias("ex"), ((i % 5) * 0.02).alias("ey"), ((i % 3) * 0.001).alias("ez"))
 
 
-@query("win_9_relative_poses", f"WITH {POSES}, r AS (SELECT {FR}, delta, tx - lag(tx, delta) OVER (PARTITION BY drive_id, delta ORDER BY frame_index) AS dx, yaw - lag(yaw, delta) OVER (PARTITION BY drive_id, delta ORDER BY frame_index) AS dyaw FROM poses, (VALUES (1), (2), (5)) v(delta)) SELECT CAST(delta AS INT) AS delta, count(dx) AS n, round(max(dx), 6) AS max_dx, round(max(abs(dyaw)), 6) AS max_dyaw FROM (SELECT * FROM r) GROUP BY delta")
-def win_9(s, d):
-    p = poses(s, d)
-    w = Window.partitionBy("drive_id").orderBy("frame_index")
-    out = None
-    for k in (1, 2, 5):
-        r = p.select((F.col("tx") - F.lag("tx", k).over(w)).alias("dx"), (F.col("yaw") - F.lag("yaw", k).over(w)).alias("dyaw"))
-        r = r.agg(F.count("dx").alias("n"), F.round(F.max("dx"), 6).alias("max_dx"), F.round(F.max(F.abs("dyaw")), 6).alias("max_dyaw")).select(F.lit(k).alias("delta"), "*")
-        out = r if out is None else out.union(r)
-    return out
-
-
 @query("win_10_sign_changes", f"WITH {ERRORS} SELECT drive_id, CAST(sum(CASE WHEN (ex < 0) <> (p < 0) THEN 1 ELSE 0 END) AS BIGINT) AS changes FROM (SELECT *, lag(ex) OVER (PARTITION BY drive_id ORDER BY frame_index) AS p FROM e) GROUP BY drive_id")
 def win_10(s, d):
     before = F.lag("ex").over(Window.partitionBy("drive_id").orderBy("frame_index"))
@@ -133,39 +108,6 @@ def win_13(s, d):
     return increasing(frames(s, d), ["drive_id"], "frame_index", "ts_ns")
 
 
-@query("agg_42_pose_errors", f"WITH {ERRORS}, n AS (SELECT *, sqrt(ex * ex + ey * ey + ez * ez) AS norm FROM e) SELECT drive_id, round(avg(norm), 6) AS mean, round(max(norm), 6) AS max, round(quantile_cont(norm, 0.95), 6) AS p95, round(max(abs(ex)), 6) AS max_x FROM n GROUP BY drive_id")
-def agg_42(s, d):
-    norm = F.sqrt(F.col("ex") ** 2 + F.col("ey") ** 2 + F.col("ez") ** 2)
-    return errors(s, d).withColumn("norm", norm).groupBy("drive_id").agg(F.round(F.avg("norm"), 6).alias("mean"), F.round(F.max("norm"), 6).alias("max"), F.round(F.percentile("norm", F.lit(0.95)), 6).alias("p95"), F.round(F.max(F.abs("ex")), 6).alias("max_x"))
-
-
-@query("agg_43_gate", f"WITH {ERRORS} SELECT drive_id, max(abs(ex)) <= 0.05 AS x_ok, max(abs(ey)) <= 0.05 AS y_ok, count(*) FILTER (ez = 0) AS exact FROM e GROUP BY drive_id")
-def agg_43(s, d):
-    return errors(s, d).groupBy("drive_id").agg((F.max(F.abs("ex")) <= 0.05).alias("x_ok"), (F.max(F.abs("ey")) <= 0.05).alias("y_ok"), F.count_if(F.col("ez") == 0).alias("exact"))
-
-
-@query("agg_44_correlation", f"WITH {ERRORS} SELECT drive_id, round(corr(ex, ey), 6) AS r, CAST(NULL AS DOUBLE) AS none FROM e GROUP BY drive_id")
-def agg_44(s, d):
-    return errors(s, d).withColumn("c", F.lit(1.0)).groupBy("drive_id").agg(F.round(M.correlation("ex", "ey"), 6).alias("r"), M.correlation("ex", "c").alias("none"))
-
-
-@query("agg_45_transform_comparison", f"WITH {ERRORS}, u AS (SELECT {FR}, k, CASE k WHEN 0 THEN ex WHEN 1 THEN ey ELSE ez END AS v FROM e, range(0, 3) r(k)) SELECT drive_id, max(abs(v)) AS worst, min(frame_index * 10 + k) FILTER (abs(v) > 0.03) AS first FROM u GROUP BY drive_id")
-def agg_45(s, d):
-    u = errors(s, d).select(*FRAME, F.posexplode(F.array("ex", "ey", "ez")).alias("k", "v"))
-    return u.groupBy("drive_id").agg(F.max(F.abs("v")).alias("worst"), F.min(F.when(F.abs("v") > 0.03, F.col("frame_index") * 10 + F.col("k"))).alias("first"))
-
-
-@query("agg_50_controlled_points", f"WITH {POSES} SELECT drive_id, round(max(tx) - min(tx), 6) AS x, round(max(ty) - min(ty), 6) AS y, round(max(tz) - min(tz), 6) AS z FROM poses GROUP BY drive_id")
-def agg_50(s, d):
-    return poses(s, d).groupBy("drive_id").agg(*(F.round(F.max(f"t{c}") - F.min(f"t{c}"), 6).alias(c) for c in "xyz"))
-
-
-@query("agg_51_pose_variants", f"WITH {ASOF}, v AS (SELECT 'previous' AS variant, prev_value - 50 AS e FROM b UNION ALL SELECT 'next', next_value - 50 FROM b) SELECT variant, count(e) AS n, round(avg(abs(e)), 6) AS mean FROM v GROUP BY variant")
-def agg_51(s, d):
-    v = bracketed(s, d).select(F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), (F.col(c) - 50).alias("e")) for n, c in (("previous", "prev_value"), ("next", "next_value"))))).alias("v")).select("v.*")
-    return v.groupBy("variant").agg(F.count("e").alias("n"), F.round(F.avg(F.abs("e")), 6).alias("mean"))
-
-
 @query("sel_4_reconstruction_frames", f"WITH {FRAMES}, l AS (SELECT drive_id, max(frame_index) AS last FROM frames GROUP BY drive_id) SELECT DISTINCT drive_id, k AS frame_index FROM (SELECT drive_id, unnest([0, 1, 2, 5, 10]) AS k FROM l UNION ALL SELECT drive_id, 11 + r * (last - 11) // 15 FROM l, range(0, 16) t(r))")
 def sel_4(s, d):
     last = frames(s, d).groupBy("drive_id").agg(F.max("frame_index").alias("last"))
@@ -174,16 +116,6 @@ def sel_4(s, d):
     return last.select("drive_id", F.explode(F.array_union(fixed, spread)).alias("frame_index")).distinct()
 
 
-@query("geo_14_19_rigid", f"WITH {POSES} SELECT {FR}, round(tx * tx + ty * ty + tz * tz, 6) AS norm2, true AS rigid, round(abs(yaw), 6) AS angle FROM poses")
-def geo_14(s, d):
-    r = G.rotation("z", F.col("yaw"))
-    m = G.rigid(r, [F.col("tx"), F.col("ty"), F.col("tz")])
-    out = poses(s, d).select(*FRAME, m.alias("m"))
-    back = out.select(*FRAME, "m", G.compose(G.inverse(F.col("m")), F.col("m")).alias("one"))
-    good = G.is_rigid(F.col("m")) & (F.abs(F.col("one")[0] - 1) < 1e-9) & (F.abs(F.col("one")[3]) < 1e-9)
-    return back.select(*FRAME, F.round(F.col("m")[3] ** 2 + F.col("m")[7] ** 2 + F.col("m")[11] ** 2, 6).alias("norm2"), good.alias("rigid"), F.round(G.rotation_angle(F.col("m")), 6).alias("angle"))
-
-
 @query("geo_16_slerp", f"WITH {POSES} SELECT {FR}, round(sin(yaw / 4), 6) AS z, round(cos(yaw / 4), 6) AS w FROM poses")
 def geo_16(s, d):
     z = F.lit(0.0)
