@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sweepframe.functions import geometry as G
 
@@ -116,14 +117,56 @@ def match_counts(records: DataFrame, targets: DataFrame, keys: list[str]) -> Dat
 
 
 def pair_errors(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
-    """Displacements, relative size differences and the score difference of matched boxes."""
-    dx, dy = a["cx"] - b["cx"], a["cy"] - b["cy"]
+    """Displacements, relative size, direction and score differences of matched boxes, and whether their classes are equal."""
+    dx, dy, dz = (a[c] - b[c] for c in ("cx", "cy", "cz"))
     return {
-        "xy_error": F.hypot(dx, dy), "length_error": F.abs(a["len"] - b["len"]) / a["len"], "width_error": F.abs(a["wid"] - b["wid"]) / a["wid"],
-        "score_error": F.abs(a["score"] - b["score"]),
+        "xy_error": F.hypot(dx, dy), "z_error": F.abs(dz), "error_3d": F.sqrt(dx * dx + dy * dy + dz * dz),
+        "length_error": F.abs(a["len"] - b["len"]) / a["len"], "width_error": F.abs(a["wid"] - b["wid"]) / a["wid"], "height_error": F.abs(a["hgt"] - b["hgt"]) / a["hgt"],
+        "yaw_degrees": G.heading_degrees(a["yaw"], b["yaw"]), "axis_degrees": G.axis_degrees(a["yaw"], b["yaw"]), "flip": G.is_flip(a["yaw"], b["yaw"]),
+        "score_error": F.abs(a["score"] - b["score"]), "class_equal": a["object_type"] == b["object_type"],
     }
 
 
 def detection_order() -> list[Column]:
     """The canonical order of detections: falling score, then class, place and size."""
     return [F.desc("score"), F.asc("object_type"), F.asc("cx"), F.asc("cy"), F.asc("len"), F.asc("wid"), F.asc("det_id")]
+
+
+def best_partners(frame: pd.DataFrame) -> pd.DataFrame:
+    """One group's pairs: references in their order take the free candidate of highest overlap; ties go to the candidate that is earlier in its own order."""
+    taken, rows = set(), []
+    for det, own in frame.sort_values(["place", "iou", "other_place"], ascending=[True, False, True]).groupby("place", sort=True):
+        free = own[~own["other_id"].isin(taken)]
+        if len(free):
+            best = free.iloc[0]
+            taken.add(best["other_id"])
+            rows.append((best["det_id"], best["other_id"], best["iou"]))
+    return pd.DataFrame(rows, columns=["det_id", "other_id", "iou"])
+
+
+def parity_matches(reference: DataFrame, candidate: DataFrame, keys: list[str], threshold: float = 0.5, oriented: bool = True) -> DataFrame:
+    """(keys, det_id, other_id, iou, kind): matches of two backends' detections of a frame and class, then what either has alone (missing, extra).
+
+    Both sides have det_id and the columns of the canonical order; only pairs of overlap >= threshold reach a group's kernel.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*detection_order())))
+
+    a, b = placed(reference), placed(candidate)
+    near = pairs(a, b.withColumn("track_id", F.col("det_id")), keys, oriented).where(F.col("iou") >= threshold).select(*keys, "det_id", F.col("track_id").alias("other_id"), "iou")
+    near = near.join(a.select("det_id", F.col("_place").alias("place")), "det_id").join(b.select(F.col("det_id").alias("other_id"), F.col("_place").alias("other_place")), "other_id")
+    kinds = dict(reference.dtypes)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = best_partners(frame)
+        for name, value in zip(keys, key, strict=True):
+            out[name] = value
+        return out[[*keys, "det_id", "other_id", "iou"]]
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", det_id long, other_id long, iou double"
+    matched = near.groupBy(*keys).applyInPandas(run, schema)
+    none = F.lit(None)
+    missing = reference.join(matched.select("det_id"), "det_id", "left_anti").select(*keys, F.col("det_id").cast("long").alias("det_id"), none.cast("long").alias("other_id"), none.cast("double").alias("iou"), F.lit("missing").alias("kind"))
+    extra = candidate.join(matched.select(F.col("other_id").alias("det_id")), "det_id", "left_anti").select(*keys, none.cast("long").alias("det_id"), F.col("det_id").cast("long").alias("other_id"), none.cast("double").alias("iou"), F.lit("extra").alias("kind"))
+    return matched.withColumn("kind", F.lit("match")).unionByName(missing).unionByName(extra)

@@ -121,13 +121,6 @@ def jn_13_single(s, d):
     return one.join(hits, KEYS, "left").fillna(0)
 
 
-@query("jn_14_parity_matches")
-def jn_14(s, d):
-    other = named(candidates(s, d)).where("class_name is not null").withColumn("track_id", F.col("det_id"))
-    none = other.where("false")
-    return B.match(scored(s, d), other, none, KEYS, 0.5)
-
-
 @query("jn_15_ignore_reasons", f"""WITH {DET}, near AS (SELECT p.det_id, g.object_type, {IOU} / (p.len * p.wid + g.len * g.wid - {IOU}) AS iou FROM det p JOIN gt g ON p.drive_id = g.drive_id AND p.frame_index = g.frame_index
   AND {CLASS.replace('object_type', 'p.object_type')} = {CLASS.replace('object_type', 'g.object_type')} AND g.object_type IN ('Van', 'Person (sitting)') WHERE {IOU} > 0)
 SELECT det_id, object_type AS reason FROM (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, object_type) AS k FROM near) WHERE k = 1""")
@@ -321,13 +314,6 @@ def geo_13(s, d):
     return ground_truth(s, d).select("track_id", F.round(q["z"], 6).alias("z"), F.round(q["w"], 6).alias("w"))
 
 
-@query("geo_20_pair_errors", f"WITH {CAND} SELECT det_id, round(sqrt((p.cx - c.cx) * (p.cx - c.cx) + (p.cy - c.cy) * (p.cy - c.cy)), 6) AS xy_error, 0::DOUBLE AS length_error, 0::DOUBLE AS width_error, round(abs(p.score - c.score), 6) AS score_error FROM det p JOIN cand c USING (det_id)")
-def geo_20(s, d):
-    a, b = detections(s, d).alias("a"), candidates(s, d).alias("b")
-    side = {p: {c: F.col(f"{p}.{c}") for c in ("cx", "cy", "len", "wid", "score")} for p in "ab"}
-    return a.join(b, F.col("a.det_id") == F.col("b.det_id")).select("a.det_id", *(F.round(v, 6).alias(k) for k, v in B.pair_errors(side["a"], side["b"]).items()))
-
-
 @query("jsn_1_canonical_json", f"WITH {DET} SELECT det_id, to_json({{'class': object_type, 'id': det_id}}) AS body FROM det")
 def jsn_1(s, d):
     return detections(s, d).select("det_id", F.to_json(F.struct(F.col("object_type").alias("class"), F.col("det_id").alias("id"))).alias("body"))

@@ -43,32 +43,6 @@ def agg_24(s, d):
     return tolerance(matched(s, d), "xy_error", 0.05, ["object_type"])
 
 
-@query("agg_31_sample_parity", f"WITH {MATCHED} SELECT {FR}, count(*) AS raw, count(*) FILTER (score >= 0.25) AS exported, count(*) FILTER (score >= 0.3) AS high, CAST(greatest(1, ceil(0.05 * count(*))) AS BIGINT) AS allowed FROM m GROUP BY ALL")
-def agg_31(s, d):
-    return matched(s, d).groupBy(*FRAME).agg(F.count("*").alias("raw"), F.count_if(F.col("score") >= 0.25).alias("exported"), F.count_if(F.col("score") >= 0.3).alias("high"), F.greatest(F.lit(1), F.ceil(F.count("*") * 0.05)).cast("long").alias("allowed"))
-
-
-@query("agg_32_acceptance", f"WITH {MATCHED}, x AS (SELECT count(*) = (SELECT count(*) FROM det) AS coverage, max(xy_error) <= 0.5 AS xy_max, max(score_error) <= 0.01 AS score_max FROM m) SELECT *, coverage AND xy_max AND score_max AS accepted FROM x")
-def agg_32(s, d):
-    total = detections(s, d).agg(F.count("*").alias("total"))
-    x = matched(s, d).agg(F.count("*").alias("n"), F.max("xy_error").alias("x"), F.max("score_error").alias("e")).crossJoin(total)
-    x = x.select((F.col("n") == F.col("total")).alias("coverage"), (F.col("x") <= 0.5).alias("xy_max"), (F.col("e") <= 0.01).alias("score_max"))
-    return x.withColumn("accepted", F.col("coverage") & F.col("xy_max") & F.col("score_max"))
-
-
-@query("agg_33_acceptance_failures", f"WITH {MATCHED}, g AS (SELECT object_type, avg(CAST(xy_error <= 0.05 AS INT)) >= 0.99 AS xy, avg(CAST(score_error <= 0.01 AS INT)) >= 0.99 AS score FROM m GROUP BY object_type) SELECT object_type, concat_ws(',', CASE WHEN NOT xy THEN 'xy' END, CASE WHEN NOT score THEN 'score' END) AS failed FROM g")
-def agg_33(s, d):
-    g = matched(s, d).groupBy("object_type").agg(*((F.avg((F.col(f"{c}_error") <= limit).cast("int")) >= 0.99).alias(c) for c, limit in (("xy", 0.05), ("score", 0.01))))
-    return g.select("object_type", F.concat_ws(",", *(F.when(~F.col(c), c) for c in ("xy", "score"))).alias("failed"))
-
-
-@query("agg_53_verdict", f"WITH {MATCHED}, {LOGITS.replace('logits AS', 'lg AS')}, a AS (SELECT max(xy_error) <= 2 AS accepted FROM m), b AS (SELECT bool_and(len(reference) = len(candidate)) AS shapes FROM lg) SELECT accepted, shapes, accepted AND shapes AS equivalent FROM a, b")
-def agg_53(s, d):
-    a = matched(s, d).agg((F.max("xy_error") <= 2).alias("accepted"))
-    b = logits(s, d).agg(F.bool_and(F.size("reference") == F.size("candidate")).alias("shapes"))
-    return a.crossJoin(b).withColumn("equivalent", F.col("accepted") & F.col("shapes"))
-
-
 @query("jn_23_frame_difference", f"WITH {CAND}, a AS (SELECT {FR}, row_number() OVER (PARTITION BY {FR} ORDER BY score DESC, det_id) AS k, det_id, cx FROM det), b AS (SELECT {FR}, row_number() OVER (PARTITION BY {FR} ORDER BY score DESC, det_id) AS k, det_id, cx FROM cand) SELECT {FR}, count(a.k) AS a_count, count(b.k) AS b_count, min(k) FILTER (a.det_id IS DISTINCT FROM b.det_id OR abs(a.cx - b.cx) > 0.5) AS first FROM a FULL JOIN b USING (drive_id, frame_index, k) GROUP BY ALL")
 def jn_23(s, d):
     w = Window.partitionBy(*FRAME).orderBy(F.desc("score"), "det_id")
@@ -90,20 +64,6 @@ def prj_24(s, d):
     return s.read.parquet(f"{d}/events.parquet").select("event_id", F.when(v <= 50, "20Hz").when(v <= 75, "13Hz").when(v <= 100, "10Hz").otherwise("slow").alias("class"))
 
 
-@query("prj_25_review_flags", f"WITH {DET}, a AS (SELECT {FR}, avg(score) AS m, max(score) AS x, count(*) AS n FROM det GROUP BY ALL) SELECT {FR}, concat_ws(',', CASE WHEN x > 2 * m THEN 'peak' END, CASE WHEN m < 0.5 THEN 'low_mean' END, CASE WHEN n > 60 THEN 'busy' END) AS flags FROM a")
-def prj_25(s, d):
-    a = detections(s, d).groupBy(*FRAME).agg(F.avg("score").alias("m"), F.max("score").alias("x"), F.count("*").alias("n"))
-    flags = F.array_compact(F.array(F.when(F.col("x") > 2 * F.col("m"), "peak"), F.when(F.col("m") < 0.5, "low_mean"), F.when(F.col("n") > 60, "busy")))
-    return a.select(*FRAME, F.array_join(flags, ",").alias("flags"))
-
-
-@query("prj_26_divergence_class", f"WITH {MATCHED} SELECT det_id, CASE WHEN xy_error > 0.5 AND score_error > 0.001 AND det_id % 2 = 0 AND det_id % 3 = 0 THEN 'confirmed_swap' WHEN xy_error > 0.5 THEN 'possible_swap' ELSE 'none' END AS kind FROM m")
-def prj_26(s, d):
-    far = F.col("xy_error") > 0.5
-    every = far & (F.col("score_error") > 0.001) & (F.col("det_id") % 2 == 0) & (F.col("det_id") % 3 == 0)
-    return matched(s, d).select("det_id", F.when(every, "confirmed_swap").when(far, "possible_swap").otherwise("none").alias("kind"))
-
-
 @query("agg_34_array_differences", f"WITH {LOGITS}, u AS (SELECT anchor % 8 AS sample, abs(unnest(reference) - unnest(candidate)) AS e FROM logits) SELECT sample, count(*) AS n, median(e) AS median, quantile_cont(e, 0.95) AS p95, max(e) AS max FROM u GROUP BY sample")
 def agg_34(s, d):
     u = logits(s, d).select((F.col("anchor") % 8).alias("sample"), F.explode(F.zip_with("reference", "candidate", lambda a, b: F.abs(a - b))).alias("e"))
