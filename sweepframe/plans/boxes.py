@@ -253,13 +253,33 @@ def snk_4(s, d):
     return markers(detections(s, d), FRAME).groupBy(*FRAME, "kind").agg(F.count("*").alias("n"))
 
 
-@query("snk_6_ledger", f"WITH {DET}, expected AS (SELECT DISTINCT {FR}, c FROM gt, (VALUES ('H10'), ('H5')) v(c)), done AS (SELECT DISTINCT {FR}, CASE WHEN det_id % 2 = 0 THEN 'H10' ELSE 'H5' END AS c FROM det WHERE score > 0.8) SELECT c AS condition, CASE WHEN done.drive_id IS NULL THEN 'PENDING' ELSE 'COMPLETE' END AS status, count(*) AS n FROM expected LEFT JOIN done USING (drive_id, frame_index, c) GROUP BY ALL")
+LEDGER = f"""{DET}, expected AS (SELECT DISTINCT {FR}, condition FROM gt, (VALUES ('H10'), ('H5')) v(condition)),
+entries AS (SELECT {FR}, CASE WHEN det_id % 2 = 0 THEN 'H10' ELSE 'H5' END AS condition, det_id AS seq, CASE WHEN score > 0.9 THEN 'COMPLETE' WHEN frame_index = 7 AND det_id % 2 = 0 THEN 'FAILED' ELSE 'RUNNING' END AS status, 'run-1' AS identity FROM det WHERE score > 0.55),
+st AS (SELECT {FR}, condition, coalesce(status, 'PENDING') AS status FROM expected LEFT JOIN (SELECT {FR}, condition, arg_max(status, {{'c': status = 'COMPLETE', 's': seq}}) AS status FROM entries GROUP BY ALL) USING (drive_id, frame_index, condition))"""
+
+
+def ledger(s, d):
+    from sweepframe.sources.sinks import ledger_states
+
+    expected = ground_truth(s, d).select(*FRAME).distinct().withColumn("condition", F.explode(F.array(F.lit("H10"), F.lit("H5"))))
+    even = F.col("det_id") % 2 == 0
+    status = F.when(F.col("score") > 0.9, "COMPLETE").when((F.col("frame_index") == 7) & even, "FAILED").otherwise("RUNNING")
+    entries = detections(s, d).where("score > 0.55D").select(*FRAME, F.when(even, "H10").otherwise("H5").alias("condition"), F.col("det_id").alias("seq"), status.alias("status"), F.lit("run-1").alias("identity"))
+    return ledger_states(expected, entries, [*FRAME, "condition"])
+
+
+@query("snk_6_ledger", f"WITH {LEDGER} SELECT condition, status, count(*) AS n FROM st GROUP BY ALL")
 def snk_6(s, d):
     from sweepframe.sources.sinks import ledger_totals
 
-    expected = ground_truth(s, d).select(*FRAME).distinct().withColumn("condition", F.explode(F.array(F.lit("H10"), F.lit("H5"))))
-    done = detections(s, d).where("score > 0.8D").select(*FRAME, F.when(F.col("det_id") % 2 == 0, "H10").otherwise("H5").alias("condition")).distinct()
-    return ledger_totals(expected, done, [*FRAME, "condition"])
+    return ledger_totals(ledger(s, d))
+
+
+@query("snk_6_resumable", f"WITH {LEDGER} SELECT {FR}, condition FROM st WHERE status IN ('PENDING', 'RUNNING') AND condition NOT IN (SELECT condition FROM st WHERE status = 'FAILED')")
+def snk_6_resumable(s, d):
+    from sweepframe.sources.sinks import resumable
+
+    return resumable(ledger(s, d), [*FRAME, "condition"], "run-1")
 
 
 @query("sel_1_canonical_order", f"WITH {DET} SELECT {FR}, det_id, row_number() OVER (PARTITION BY {FR} ORDER BY score DESC, object_type, cx, cy, len, wid, det_id) AS place FROM det")

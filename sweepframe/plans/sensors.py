@@ -26,11 +26,6 @@ def stm_3(s, d):
     return H.batch_history(messages(s, d), 10, GAP).groupBy("sensor").agg(F.count_if(F.col("reset") == "gap").alias("gaps"), F.count_if(F.col("reset") == "time_regression").alias("regressions"), F.max("depth").alias("depth"))
 
 
-@query("stm_4_6_counters", f"WITH {MESSAGES} SELECT sensor, count(*) AS received, count(*) FILTER (value > 0) AS valid, count(*) FILTER (NOT value > 0) AS filtered, count(*) FILTER (event_type = 'error') AS rejected FROM msg GROUP BY sensor")
-def stm_4(s, d):
-    return messages(s, d).groupBy("sensor").agg(F.count("*").alias("received"), F.count_if(F.col("value") > 0).alias("valid"), F.count_if(~(F.col("value") > 0)).alias("filtered"), F.count_if(F.col("event_type") == "error").alias("rejected"))
-
-
 @query("stm_7_tumbling_rollup", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, avg(value) AS mean, max(value) AS max FROM events GROUP BY ALL")
 def stm_7(s, d):
     e = s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -63,6 +63,18 @@ def read_labels(spark: SparkSession, path: str, glob: str = "*.label") -> DataFr
     return out.withColumns({"semantic_id": F.col("packed").bitwiseAND(F.lit(65535)).cast("int"), "instance_id": F.shiftrightunsigned("packed", 16).cast("int")})
 
 
+def las_tile(xyz: np.ndarray, classification: np.ndarray, scale: float = 0.001) -> bytes:
+    """A LAS 1.2 tile of point format 0."""
+    rows = np.zeros(len(xyz), np.dtype([("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("angle", "i1"), ("user_data", "u1"), ("point_source", "<u2")]))
+    rows["xyz"], rows["classification"] = np.rint(xyz / scale), classification
+    head = bytearray(227)
+    head[:4], head[24:26] = b"LASF", b"\x01\x02"
+    head[94:100] = (227).to_bytes(2, "little") + (227).to_bytes(4, "little")
+    head[105:111] = rows.itemsize.to_bytes(2, "little") + len(rows).to_bytes(4, "little")
+    head[131:179] = np.array([scale] * 3 + [0.0] * 3, "<f8").tobytes()
+    return bytes(head) + rows.tobytes()
+
+
 def read_las(spark: SparkSession, path: str, glob: str = "*.las", fields: tuple[str, ...] = ("x", "y", "z", "intensity", "classification")) -> DataFrame:
     """LAS 1.0-1.3 tiles of point formats 0-3: scaled coordinates and the wanted fields; others aren't built."""
     kinds = {"x": "double", "y": "double", "z": "double", "intensity": "int", "classification": "int", "user_data": "int", "point_source": "int", "gps_time": "double", "red": "int", "green": "int", "blue": "int"}
@@ -141,25 +153,26 @@ def decode_messages(messages: DataFrame, keys: list[str], fields: tuple[str, ...
 
 
 class ScanWriter(DataSource):
-    """Sink of (drive_id, frame_index, data): one file per row in a folder that all executors share; files appear whole, by renaming."""
+    """Sink of (drive_id, frame_index, data): one file per row in a folder that all executors share; files appear whole, by renaming, so a repeated task
+    replaces what a lost one left. Option suffix names their kind."""
 
     @classmethod
     def name(cls) -> str:
         return "scan_files"
 
     def writer(self, schema, overwrite):  # noqa: ANN001, ANN201
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options.get("suffix", ".bin"))
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+    def __init__(self, path: str, suffix: str):
+        self.path, self.suffix = path.removeprefix("file://"), suffix
 
     def write(self, iterator):  # noqa: ANN001, ANN201
         for row in iterator:
             folder = os.path.join(self.path, str(row["drive_id"]))
             os.makedirs(folder, exist_ok=True)
-            name = os.path.join(folder, f"{row['frame_index']:010d}.bin")
+            name = os.path.join(folder, f"{row['frame_index']:010d}{self.suffix}")
             with open(f"{name}.part{os.getpid()}", "wb") as f:
                 f.write(row["data"])
             os.replace(f"{name}.part{os.getpid()}", name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -33,3 +34,12 @@ def contiguity(frames: DataFrame) -> DataFrame:
     """Per drive: whether distinct frames are numbered 0, 1, ... without a gap."""
     out = frames.groupBy("drive_id").agg(F.count("*").alias("frames"), F.min("frame_index").alias("first"), F.max("frame_index").alias("last"))
     return out.withColumn("contiguous", (F.col("first") == 0) & (F.col("frames") == F.col("last") + 1))
+
+
+def tiles(spark: SparkSession, root: str, split: str, suffixes: tuple[str, ...] = (".las", ".laz")) -> DataFrame:
+    """(place, path, rel_path, readable) of the tiles of a split's own folder, in the order of their lower-cased relative paths; compressed ones aren't readable here."""
+    files = listing(spark, f"{root.rstrip('/')}/{split}")
+    rel = F.regexp_extract("path", rf"/({split}/.*)$", 1)
+    found = files.select("path", rel.alias("rel_path")).where(F.lower("path").rlike("(" + "|".join(s.replace(".", "[.]") for s in suffixes) + ")$"))
+    place = F.row_number().over(Window.orderBy(F.lower("rel_path"), "rel_path"))  # one row per file of a folder
+    return found.select(place.alias("place"), "path", "rel_path", F.lower("path").endswith(".las").alias("readable"))

@@ -29,13 +29,26 @@ def markers(dets: DataFrame, keys: list[str]) -> DataFrame:
     return rows.unionByName(clear, allowMissingColumns=True)
 
 
-def ledger_totals(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    state = F.when(F.col("_done").isNull(), "PENDING").otherwise("COMPLETE")
-    return expected.join(done.withColumn("_done", F.lit(1)), keys, "left").groupBy("condition", state.alias("status")).agg(F.count("*").alias("n"))
+#: States of a piece of work in the order in which they are reached.
+STATES = ["PENDING", "RUNNING", "FAILED", "COMPLETE"]
 
 
-def pending(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    return expected.join(done, keys, "left_anti")
+def ledger_states(expected: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, status and identity of each expected piece by the last of its entries (keys, seq, status, identity); PENDING without any. Once complete, it stays so."""
+    last = entries.groupBy(*keys).agg(F.max(F.struct((F.col("status") == "COMPLETE").alias("done"), "seq", "status", "identity")).alias("_e"))
+    return expected.join(last, keys, "left").select(*keys, F.coalesce("_e.status", F.lit("PENDING")).alias("status"), F.col("_e.identity").alias("identity"))
+
+
+def ledger_totals(states: DataFrame) -> DataFrame:
+    return states.groupBy("condition", "status").agg(F.count("*").alias("n"))
+
+
+def resumable(states: DataFrame, keys: list[str], identity: str) -> DataFrame:
+    """What a resumed run with this identity does: pieces that are pending or were running. Failed pieces block their condition, and so do pieces of another
+    identity; complete ones are never run again."""
+    bad = (F.col("status") == "FAILED") | (F.col("identity").isNotNull() & (F.col("identity") != identity))
+    blocked = states.where(bad).select("condition").distinct()
+    return states.where(F.col("status").isin("PENDING", "RUNNING")).join(F.broadcast(blocked), "condition", "left_anti").select(*keys)
 
 
 def append_results(results: DataFrame, path: str) -> None:
@@ -58,11 +71,27 @@ def payloads(points: DataFrame, keys: list[str], fields: tuple[str, ...] = ("x",
     return out.withColumn("fields", layout)
 
 
-def write_scans(points: DataFrame, path: str, fields: tuple[str, ...] = ("x", "y", "z", "remission")) -> None:
-    """One binary file per frame, path/<drive_id>/<frame_index>.bin. path must be a folder that all executors share."""
+def write_files(rows: DataFrame, path: str, suffix: str = ".bin") -> None:
+    """rows (drive_id, frame_index, data binary) as path/<drive_id>/<frame_index><suffix>. path must be a folder that all executors share."""
     from sweepframe.sources.binary import ScanWriter
 
-    points.sparkSession.dataSource.register(ScanWriter)
-    packed = payloads(points, ["drive_id", "frame_index"], fields)
-    packed.select("drive_id", "frame_index", "data").write.format("scan_files").mode("append").save(path)
+    rows.sparkSession.dataSource.register(ScanWriter)
+    rows.select("drive_id", "frame_index", "data").write.format("scan_files").option("suffix", suffix).mode("append").save(path)
+
+
+def write_tiles(points: DataFrame, path: str) -> None:
+    """One LAS tile per frame, path/<drive_id>/<frame_index>.las, of points x, y, z, label. A group is one frame."""
+    from sweepframe.sources.binary import las_tile
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_idx")
+        return pd.DataFrame([[*key, las_tile(pdf[["x", "y", "z"]].to_numpy(float), pdf["label"].to_numpy())]], columns=["drive_id", "frame_index", "data"])
+
+    keys = ["drive_id", "frame_index"]
+    write_files(points.select(*keys, "row_idx", "x", "y", "z", "label").groupBy(*keys).applyInPandas(pack, "drive_id string, frame_index long, data binary"), path, ".las")
+
+
+def write_scans(points: DataFrame, path: str, fields: tuple[str, ...] = ("x", "y", "z", "remission")) -> None:
+    """One binary file per frame, path/<drive_id>/<frame_index>.bin. path must be a folder that all executors share."""
+    write_files(payloads(points, ["drive_id", "frame_index"], fields), path)
 

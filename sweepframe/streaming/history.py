@@ -28,6 +28,26 @@ def batch_history(messages: DataFrame, depth: int, gap_us: int) -> DataFrame:
     return rows.select("sensor", "arrival_seq", "reset", F.least(F.lit(depth), place - 1).alias("depth"))
 
 
+def batch_members(messages: DataFrame, depth: int, gap_us: int) -> DataFrame:
+    """(sensor, arrival_seq, history): the numbers of the messages that each has as its history, nearest first."""
+    own = batch_history(messages, depth, gap_us)
+    w = Window.partitionBy("sensor").orderBy("arrival_seq").rowsBetween(-depth, -1)
+    kept = F.reverse(F.collect_list("arrival_seq").over(w))
+    return own.select("sensor", "arrival_seq", F.slice(kept, F.lit(1), F.col("depth")).alias("history"))
+
+
+def counters(messages: DataFrame, depth: int, gap_us: int) -> DataFrame:
+    """Per sensor what a node counts, for messages with n_points (valid ones), n_filtered and transform (known or not).
+
+    A message without a valid point is rejected before it enters the history; one whose transform is missing isn't published but stays in it.
+    """
+    total = messages.groupBy("sensor").agg(F.count("*").alias("received"), F.count_if(F.col("n_points") == 0).alias("rejected_invalid"), F.sum(F.when(F.col("n_points") > 0, F.col("n_filtered")).otherwise(0)).alias("filtered_points"))
+    valid = messages.where("n_points > 0")
+    rows = batch_history(valid, depth, gap_us).join(valid.select("sensor", "arrival_seq", "transform"), ["sensor", "arrival_seq"])
+    per = rows.groupBy("sensor").agg(F.count_if(~F.col("transform")).alias("transform_failures"), F.count_if("transform").alias("published"), F.count("reset").alias("resets"), F.max_by("depth", "arrival_seq").alias("depth"))
+    return total.join(per, "sensor")
+
+
 def stream_history(messages: DataFrame, depth: int, gap_us: int) -> DataFrame:
     """The same over a stream, with the kept messages' numbers, nearest first. State holds at most `depth` numbers a sensor, no points."""
 
