@@ -29,12 +29,13 @@ def average_precision(records: DataFrame, truths: DataFrame, keys: list[str], or
     sums = sums.select(*keys, "slice", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
     inside = Window.partitionBy(*keys, "slice").orderBy(F.desc("score"), *order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = r.join(sums, [*keys, "slice"]).withColumn("_hits", F.col("_t0") + F.sum(F.col("tp").cast("long")).over(upto)).withColumn("_rank", F.col("_n0") + F.count("*").over(upto))
+    back = Window.partitionBy(*keys, "slice").orderBy("_rank_desc")
+    ranked = r.join(sums, [*keys, "slice"]).withColumn("_hits", F.col("_t0") + F.sum(F.col("tp").cast("long")).over(upto)).withColumn("_rank", F.col("_n0") + F.count("*").over(upto)).withColumn("_rank_desc", -F.col("_rank"))
     ranked = ranked.withColumn("_precision", F.col("_hits") / F.col("_rank"))
     best = ranked.groupBy(*keys, "slice").agg(F.max("_precision").alias("_best"))
-    after = Window.partitionBy(*keys).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     best = best.withColumn("_later", F.coalesce(F.max("_best").over(after), F.lit(0.0))).drop("_best")
-    envelope = F.greatest(F.max("_precision").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_later"))
+    envelope = F.greatest(F.max("_precision").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_later"))
     # Recall grows by 1 / n_truths at each hit.
     total = ranked.join(best, [*keys, "slice"]).withColumn("_envelope", envelope).groupBy(*keys).agg(F.sum(F.when(F.col("tp"), F.col("_envelope")).otherwise(0.0)).alias("_sum"))
     return truths.join(total, keys, "left").select(*keys, ratio0(F.coalesce("_sum", F.lit(0.0)), F.col("n_truths")).alias("ap"))
@@ -62,3 +63,19 @@ def range_slice(distance: Column) -> Column:
 def correlation(a: str, b: str) -> Column:
     """Pearson's r; null where a side is constant."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def sustained_rates(messages: DataFrame, keys: list[str], ts: str, rate_hz: float, share: float = 0.95) -> DataFrame:
+    """Per keys: offered and output rate, (n - 1) over the elapsed time, messages lost between the stages received, accepted and published (booleans), and a verdict."""
+
+    def rate(fits: Column) -> Column:
+        at = F.when(fits, F.col(ts))
+        return F.try_divide(F.count_if(fits) - 1, (F.max(at) - F.min(at)) / 1e6)
+
+    out = messages.groupBy(*keys).agg(
+        rate(F.lit(True)).alias("offered_hz"), rate(F.col("published")).alias("output_hz"), F.count_if(~F.col("received")).alias("input_loss"),
+        F.count_if(F.col("received") & ~F.col("accepted")).alias("rejected"), F.count_if(F.col("accepted") & ~F.col("published")).alias("backlog"),
+    )
+    lossy = F.greatest("input_loss", "rejected", "backlog") > 0
+    verdict = F.when(lossy, "lossy").when(F.col("offered_hz") < share * rate_hz, "not_offered").when(F.col("output_hz") < share * rate_hz, "not_sustained").otherwise("sustained")
+    return out.withColumn("verdict", verdict)

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def first_unused(frames: DataFrame, roles: dict[str, tuple[Column, Column]], keys: list[str], index: str) -> DataFrame:
@@ -28,6 +29,23 @@ def nearest_to(frames: DataFrame, value: str, targets: list[float], band: float,
     return first_unused(frames, {f"target_{t:g}": (off[t] <= band, F.struct(off[t], F.col(index))) for t in targets}, keys, index)
 
 
+def display_picks(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pick): six frames of a run (keys, n, lost, recall, iou, change): the best, the worst and the lower median by recall and median overlap (-1
+    where there is none), the highest overflow, of those without overflow the one nearest to it in size, and the largest change against its pair.
+
+    Ties go to the smaller key. One pass picks all but the fifth; the median by a rank over one row per frame.
+    """
+    iou, at = F.coalesce("iou", F.lit(-1.0)), F.struct(*keys)
+    orders = {"best": F.struct(-F.col("recall"), -iou, *keys), "worst": F.struct("recall", iou, *keys), "overflow": F.struct(-F.col("lost"), *keys), "paired": F.struct(-F.col("change"), *keys)}
+    top = frames.agg(*(F.min_by(at, v).alias(k) for k, v in orders.items()), F.min_by("n", orders["overflow"]).alias("_n"), F.count("*").alias("_c"))
+    picks = top.select(F.explode(F.array(*(F.struct(F.col(k).alias("at"), F.lit(k).alias("pick")) for k in orders))).alias("r")).select("r.at.*", "r.pick")
+    sized = frames.where("lost = 0").withColumn("_one", F.lit(1)).join(F.broadcast(top.select("_n", F.lit(1).alias("_one"))), "_one")
+    near = sized.agg(F.min_by(at, F.struct(F.abs(F.col("n") - F.col("_n")), *keys)).alias("at")).where("at is not null").select("at.*", F.lit("no_overflow").alias("pick"))
+    placed = frames.withColumn("_k", F.row_number().over(Window.orderBy("recall", iou, *keys))).withColumn("_one", F.lit(1)).join(F.broadcast(top.select("_c", F.lit(1).alias("_one"))), "_one")
+    median = placed.where(F.col("_k") == F.floor((F.col("_c") - 1) / 2) + 1).select(*keys, F.lit("median").alias("pick"))
+    return picks.unionByName(near).unionByName(median)
+
+
 def spanning(frames: DataFrame, value: str, count: int, keys: list[str], index: str) -> DataFrame:
     """`count` frames per key: nearest-rank quantiles of the value from 0 to 100 %, then again and again the frame farthest from those chosen.
 

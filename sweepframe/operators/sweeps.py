@@ -55,3 +55,20 @@ def membership_difference(a: DataFrame, b: DataFrame, on: list[str], keys: list[
     """Per keys: rows that only one of two versions keeps."""
     both = a.select(*on).withColumn("_a", F.lit(1)).join(b.select(*on).withColumn("_b", F.lit(1)), on, "full")
     return both.groupBy(*keys).agg(F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"))
+
+
+def input_ledger(points: DataFrame) -> DataFrame:
+    """Per frame what a ledger records of its model points: how many, how many lags, the source frames, and a digest that doesn't depend on order."""
+    content = F.xxhash64("history_rank", "src_row_idx", "x", "y", "z", "time_lag").cast("decimal(38,0)")
+    own = points.groupBy("drive_id", "frame_index").agg(F.count("*").alias("points"), F.countDistinct("time_lag").alias("lags"), F.sort_array(F.collect_set(F.col("frame_index") - F.col("history_rank"))).alias("sources"), F.sum(content).alias("digest"))
+    return own.withColumn("digest", F.col("digest").cast("decimal(38,0)"))
+
+
+def ledger_mismatches(actual: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(drive_id, frame_index, reason) of frames that differ from the record; none means that the inputs are verified."""
+    names = ["points", "lags", "sources", "digest"]
+    a, r = (df.select("drive_id", "frame_index", F.struct(*names).alias(n)) for df, n in ((actual, "a"), (recorded, "r")))
+    both = a.join(r, ["drive_id", "frame_index"], "full")
+    differs = F.array_join(F.array_compact(F.array(*(F.when(~F.col(f"a.{n}").eqNullSafe(F.col(f"r.{n}")), F.lit(n)) for n in names))), ",")
+    reason = F.when(F.col("r").isNull(), "unrecorded").when(F.col("a").isNull(), "absent").otherwise(differs)
+    return both.select("drive_id", "frame_index", reason.alias("reason")).where("reason <> ''")

@@ -61,15 +61,42 @@ def prj_18(s, d):
     return named(ground_truth(s, d)).select("track_id", "role", "class_name")
 
 
-@query("prj_19_eligible_targets", f"WITH {GT} SELECT {FR}, count(*) AS n FROM gt WHERE state = 2 AND occlusion IN (0, 1) AND truncation IN (0, 1) AND {ROLE} <> 'unmapped' GROUP BY ALL")
+#: A camera ahead of the origin that looks along y; its projected depth is 0.3 m less than the distance.
+CAMERA = {"p": [700.0, 0, 600, 0, 0, 700, 180, 0, 0, 0, 1, -0.3], "e": [1.0, 0, 0, 0, 0, 0, -1, 0, 0, 1, 0, 0, 0, 0, 0, 1], "width": 1242.0, "height": 375.0, "near": 0.1}
+_SIGNS = ", ".join(f"({k + 4 * up}, {sx}, {sy}, {up - 0.5})" for up in (0, 1) for k, (sx, sy) in enumerate(((0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5), (0.5, -0.5))))
+_EDGES = ", ".join(f"({a}, {b})" for k in range(4) for a, b in ((k, (k + 1) % 4), (4 + k, 4 + (k + 1) % 4), (k, 4 + k)))
+
+
+def corner_sql(source, key):
+    """SQL of corner AS (key, k, x, y, z) for boxes of 1.5 m height around z = 0."""
+    return f"""corner AS (SELECT {key}, k, cx + len * sx * cos(yaw) - wid * sy * sin(yaw) AS x, cy + len * sx * sin(yaw) + wid * sy * cos(yaw) AS y, 1.5::DOUBLE * sz AS z
+  FROM (SELECT *, (track_id % 16) * pi() / 8 AS yaw FROM {source}), (VALUES {_SIGNS}) v(k, sx, sy, sz))"""
+
+
+def visible_sql(source, key):
+    return f"""{corner_sql(source, key)}, seen AS (SELECT {key}, k, x, -z AS y, y AS z FROM corner),
+place AS (SELECT {key}, x, y, z FROM seen WHERE z >= 0.1 UNION ALL SELECT a.{key}, a.x + t * (b.x - a.x), a.y + t * (b.y - a.y), a.z + t * (b.z - a.z) FROM (VALUES {_EDGES}) e(i, j) JOIN seen a ON a.k = i JOIN seen b ON b.k = j AND a.{key} = b.{key},
+  LATERAL (SELECT (0.1 - a.z) / (b.z - a.z) AS t) WHERE (a.z >= 0.1) <> (b.z >= 0.1)),
+flat AS (SELECT {key}, (700 * x + 600 * z) / (z - 0.3) AS u, (700 * y + 180 * z) / (z - 0.3) AS v FROM place WHERE z > 0.3),
+vis AS (SELECT {key}, max(u) >= 0 AND min(u) < 1242 AND max(v) >= 0 AND min(v) < 375 AS visible FROM flat GROUP BY {key})"""
+
+
+def seen_boxes(df):
+    from sweepframe.functions.camera import with_visibility
+
+    c = G.box_corners(F.col("cx"), F.col("cy"), F.lit(0.0), F.col("len"), F.col("wid"), F.lit(1.5), yaw_of_track())
+    return with_visibility(df.withColumn("corners", c), "corners", CAMERA).drop("corners")
+
+
+@query("prj_19_eligible_targets", f"WITH {GT}, {visible_sql('gt', 'track_id')} SELECT {FR}, count(*) AS n FROM gt JOIN vis USING (track_id) WHERE visible AND state = 2 AND occlusion IN (0, 1) AND truncation IN (0, 1) AND {ROLE} <> 'unmapped' GROUP BY ALL")
 def prj_19(s, d):
-    g = named(ground_truth(s, d))
-    return g.where(B.eligible(F.col("state"), F.col("occlusion"), F.col("truncation")) & (F.col("role") != "unmapped")).groupBy(*FRAME).agg(F.count("*").alias("n"))
+    g = seen_boxes(named(ground_truth(s, d)).where(B.eligible(F.col("state"), F.col("occlusion"), F.col("truncation")) & (F.col("role") != "unmapped")))
+    return g.where("visible").groupBy(*FRAME).agg(F.count("*").alias("n"))
 
 
-@query("prj_20_field_of_view", f"WITH {DET} SELECT det_id, cy > 0 AND abs(cx) <= cy AS in_fov FROM det")
+@query("prj_20_field_of_view", f"WITH {DET}, {visible_sql('det', 'det_id')} SELECT det_id, coalesce(visible, false) AS in_fov FROM det LEFT JOIN vis USING (det_id)")
 def prj_20(s, d):
-    return detections(s, d).select("det_id", ((F.col("cy") > 0) & (F.abs("cx") <= F.col("cy"))).alias("in_fov"))
+    return seen_boxes(detections(s, d)).select("det_id", F.col("visible").alias("in_fov"))
 
 
 @query("prj_21_model_boxes", f"WITH {GT} SELECT track_id, -cy AS x, cx AS y, 0.75::DOUBLE AS z, len AS length, wid AS width, round((yaw + pi() / 2 + pi()) % (2 * pi()) - pi(), 6) + 0 AS yaw FROM (SELECT *, (track_id % 15) * 0.3::DOUBLE AS yaw FROM gt)")
@@ -307,19 +334,33 @@ def geo_6(s, d):
     return g.select("track_id", G.oriented_iou(box[0.0], box[1.0]).alias("iou"))
 
 
-@query("geo_7_box_corners", f"WITH {GT} SELECT track_id, round(cx + 2, 6) AS x0, round(cy + 1, 6) AS y0, -0.75::DOUBLE AS z0, 0.75::DOUBLE AS z7 FROM gt")
+@query("geo_7_box_corners", f"WITH {GT}, {corner_sql('gt', 'track_id')} SELECT track_id, k, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(z, 6) AS z FROM corner")
 def geo_7(s, d):
-    c = G.box_corners(F.col("cx"), F.col("cy"), F.lit(0.0), F.col("len"), F.col("wid"), F.lit(1.5), F.lit(0.0))
-    return ground_truth(s, d).select("track_id", c.alias("c")).select("track_id", F.round(F.col("c")[0]["x"], 6).alias("x0"), F.round(F.col("c")[0]["y"], 6).alias("y0"), F.col("c")[0]["z"].alias("z0"), F.col("c")[7]["z"].alias("z7"))
+    c = G.box_corners(F.col("cx"), F.col("cy"), F.lit(0.0), F.col("len"), F.col("wid"), F.lit(1.5), yaw_of_track())
+    return ground_truth(s, d).select("track_id", F.posexplode(c).alias("k", "c")).select("track_id", "k", *((F.round(F.col(f"c.{n}"), 6) + 0.0).alias(n) for n in "xyz"))
+
 
+@query("geo_8_native_corners", f"WITH {GT}, {corner_sql('gt', 'track_id')} SELECT track_id, k, round(y, 6) + 0 AS x, round(-x, 6) + 0 AS y, round(z, 6) AS z FROM corner")
+def geo_8(s, d):
+    model = G.box_corners(F.col("cx"), F.col("cy"), F.lit(0.0), F.col("len"), F.col("wid"), F.lit(1.5), yaw_of_track())
+    out = ground_truth(s, d).select("track_id", model.alias("model")).select("track_id", F.posexplode(G.native_corners(F.col("model"))).alias("k", "c"))
+    return out.select("track_id", "k", *((F.round(F.col(f"c.{n}"), 6) + 0.0).alias(n) for n in "xyz"))
 
-@query("geo_9_camera_visibility")
+
+@query("geo_9_camera_visibility", f"WITH {GT}, {visible_sql('gt', 'track_id')} SELECT track_id, coalesce(visible, false) AS visible FROM gt LEFT JOIN vis USING (track_id)")
 def geo_9(s, d):
-    from sweepframe.functions.camera import with_visibility
+    return seen_boxes(ground_truth(s, d)).select("track_id", "visible")
 
-    c = G.box_corners(F.col("cx"), F.col("cy"), F.lit(0.0), F.col("len"), F.col("wid"), F.lit(1.5), F.lit(0.0))
-    camera = {"p": [700.0, 0, 600, 0, 0, 700, 180, 0, 0, 0, 1, 0], "e": [1.0, 0, 0, 0, 0, 0, -1, 0, 0, 1, 0, 0, 0, 0, 0, 1], "width": 1242.0, "height": 375.0, "near": 0.1}
-    return with_visibility(ground_truth(s, d).select("track_id", c.alias("corners")), "corners", camera).select("track_id", "visible")
+
+@query("geo_12_footprint_cells", f"""WITH {GT}, b AS (SELECT track_id, cx + 0.123::DOUBLE AS cx, cy + 0.077::DOUBLE AS cy, len, wid, (track_id % 16) * pi() / 8 + 0.05::DOUBLE AS yaw FROM gt WHERE abs(cx) < 40 AND abs(cy) < 40), g AS (SELECT *, px * 2.0::DOUBLE - 49 AS x, py * 2.0::DOUBLE - 49 AS y FROM b, range(0, 50) r(px), range(0, 50) q(py) WHERE abs(px * 2.0 - 49 - cx) < 5 AND abs(py * 2.0 - 49 - cy) < 5)
+SELECT track_id, count(*) AS cells FROM g WHERE abs(x - cx) <= len / 2 * abs(cos(yaw)) + wid / 2 * abs(sin(yaw)) + 1 AND abs(y - cy) <= len / 2 * abs(sin(yaw)) + wid / 2 * abs(cos(yaw)) + 1
+  AND abs((x - cx) * cos(yaw) + (y - cy) * sin(yaw)) <= len / 2 + abs(cos(yaw)) + abs(sin(yaw)) AND abs((y - cy) * cos(yaw) - (x - cx) * sin(yaw)) <= wid / 2 + abs(cos(yaw)) + abs(sin(yaw)) GROUP BY track_id""")
+def geo_12(s, d):
+    """Cells of two metres that an oriented footprint touches, by the separating axes of both."""
+    b = ground_truth(s, d).where("abs(cx) < 40 and abs(cy) < 40").withColumns({"cx": F.col("cx") + 0.123, "cy": F.col("cy") + 0.077, "yaw": yaw_of_track() + 0.05})
+    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-3, 4) for j in range(-3, 4)))
+    g = b.withColumn("n", F.explode(near)).select("track_id", "cx", "cy", "len", "wid", "yaw", *(((F.floor((F.col(f"c{a}") + 50) / 2) + F.col(f"n.{k}")) * 2.0 - 49.0).alias(f"g{a}") for a, k in (("x", "i"), ("y", "j"))))
+    return g.where(G.axes_overlap(F.col("cx"), F.col("cy"), F.col("len"), F.col("wid"), F.col("yaw"), F.col("gx"), F.col("gy"), 1.0)).groupBy("track_id").agg(F.count("*").alias("cells"))
 
 
 @query("geo_1_4_angles", f"WITH {GT}, a AS (SELECT track_id, (track_id % 37) * 0.4::DOUBLE AS a, (track_id % 11) * 0.7::DOUBLE AS b FROM gt), w AS (SELECT *, abs((((a - b + pi()) % (2 * pi())) + 2 * pi()) % (2 * pi()) - pi()) AS e FROM a) SELECT track_id, round((a + pi()) % (2 * pi()) - pi(), 6) AS wrapped, round(e, 6) AS yaw_error, round(degrees(e), 6) AS heading, e > pi() / 2 AS flip, round(degrees(least(e, pi() - e)), 6) AS axis FROM w")
@@ -339,10 +380,20 @@ def jsn_1(s, d):
     return detections(s, d).select("det_id", F.to_json(F.struct(F.col("object_type").alias("class"), F.col("det_id").alias("id"))).alias("body"))
 
 
-@query("sel_11_display_picks", f"WITH {DET}, f AS (SELECT {FR}, count(*) AS n, max(score) AS best FROM det GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY best DESC, drive_id, frame_index) AS a, row_number() OVER (ORDER BY best, drive_id, frame_index) AS b, row_number() OVER (ORDER BY n DESC, drive_id, frame_index) AS c FROM f) SELECT {FR}, CASE WHEN a = 1 THEN 'best' END AS best_pick, CASE WHEN b = 1 THEN 'worst' END AS worst_pick, CASE WHEN c = 1 THEN 'most' END AS most_pick FROM r WHERE a = 1 OR b = 1 OR c = 1")
+PICKS = f"""WITH {DET}, f AS (SELECT {FR}, count(*) AS n, greatest(0, count(*) - 60) AS lost, max(score) AS recall, median(score) FILTER (score > 0.9) AS iou, max(score) FILTER (det_id % 2 = 0) AS paired FROM det GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY round(recall, 6), coalesce(iou, -1), drive_id, frame_index) AS k, row_number() OVER (ORDER BY round(recall, 6) DESC, coalesce(iou, -1) DESC, drive_id, frame_index) AS b, row_number() OVER (ORDER BY lost DESC, drive_id, frame_index) AS h,
+  row_number() OVER (ORDER BY round(abs(recall - coalesce(paired, 0)), 6) DESC, drive_id, frame_index) AS p, count(*) OVER () AS c FROM f),
+x AS (SELECT *, row_number() OVER (ORDER BY abs(n - (SELECT n FROM o WHERE h = 1)), drive_id, frame_index) AS near FROM o WHERE lost = 0)
+SELECT drive_id, frame_index, 'best' AS pick FROM o WHERE b = 1 UNION ALL SELECT drive_id, frame_index, 'worst' FROM o WHERE k = 1 UNION ALL SELECT drive_id, frame_index, 'median' FROM o WHERE k = (c - 1) // 2 + 1 UNION ALL SELECT drive_id, frame_index, 'overflow' FROM o WHERE h = 1
+UNION ALL SELECT drive_id, frame_index, 'no_overflow' FROM x WHERE near = 1 UNION ALL SELECT drive_id, frame_index, 'paired' FROM o WHERE p = 1"""
+
+
+@query("sel_11_display_picks", PICKS)
 def sel_11(s, d):
-    f = detections(s, d).groupBy(*FRAME).agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    picks = {"best": F.struct(-F.col("best"), *FRAME), "worst": F.struct("best", *FRAME), "most": F.struct(-F.col("n"), *FRAME)}
-    top = f.agg(*(F.min_by(F.struct(*FRAME), v).alias(k) for k, v in picks.items()))
-    rows = top.select(F.explode(F.array(*(F.struct(F.col(f"{k}.drive_id"), F.col(f"{k}.frame_index"), F.lit(k).alias("pick")) for k in picks))).alias("r")).select("r.*")
-    return rows.groupBy(*FRAME).agg(*(F.max(F.when(F.col("pick") == k, k)).alias(f"{k}_pick") for k in picks))
+    from sweepframe.operators.selection import display_picks
+
+    f = detections(s, d).groupBy(*FRAME).agg(
+        F.count("*").alias("n"), F.greatest(F.lit(0), F.count("*") - 60).alias("lost"), F.round(F.max("score"), 6).alias("recall"), F.median(F.when(F.col("score") > 0.9, F.col("score"))).alias("iou"),
+        F.round(F.abs(F.max("score") - F.coalesce(F.max(F.when(F.col("det_id") % 2 == 0, F.col("score"))), F.lit(0.0))), 6).alias("change"),
+    )
+    return display_picks(f, FRAME)

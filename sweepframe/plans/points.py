@@ -35,11 +35,11 @@ def src_7(s, d):
     return pair_scans(p.where("label <> 7").select(*FRAME).distinct(), p.where("label = 6").select(*FRAME).distinct(), FRAME)
 
 
-@query("src_9_drive_contiguity", f"WITH {POINTS} SELECT drive_id, count(DISTINCT frame_index) AS frames, min(frame_index) AS first, max(frame_index) AS last, min(frame_index) = 0 AND count(DISTINCT frame_index) = max(frame_index) + 1 AS contiguous FROM points WHERE label < 7 GROUP BY drive_id")
+@query("src_9_drive_contiguity", f"WITH {POINTS} SELECT drive_id, count(DISTINCT frame_index) AS frames, min(frame_index) AS first, max(frame_index) AS last, min(frame_index) = 0 AND count(DISTINCT frame_index) = max(frame_index) + 1 AS contiguous FROM points GROUP BY drive_id")
 def src_9(s, d):
     from sweepframe.sources.manifests import contiguity
 
-    return contiguity(points(s, d).where("label < 7").select(*FRAME).distinct())
+    return contiguity(points(s, d).select(*FRAME).distinct())
 
 
 @query("prj_1_cloud_contract", f"""WITH {POINTS}, a AS (SELECT {FR}, count(*) AS n_points FROM points GROUP BY ALL), b AS (SELECT {FR}, count(*) AS n_labels FROM points WHERE label <= 6 GROUP BY ALL)
@@ -177,21 +177,19 @@ def agg_5(s, d):
     return P.grid_partition(points(s, d), 25.0)
 
 
-@query("agg_6_scan_audit", f"""WITH {POINTS}, ranked AS (SELECT *, dense_rank() OVER (PARTITION BY drive_id ORDER BY frame_index) AS k FROM points)
-SELECT drive_id, count(DISTINCT frame_index) AS frames, count(*) AS n_points, min(x)::DOUBLE AS min_x, max(z)::DOUBLE AS max_z, count(*) FILTER (label = 5) AS ignored, count(*) FILTER (label = 5) / nullif(count(*), 0)::DOUBLE AS ignored_fraction FROM ranked WHERE k <= 20 GROUP BY drive_id""")
+@query("agg_6_scan_audit", f"""WITH {POINTS} SELECT {FR}, count(*) AS n_points, min(x)::DOUBLE AS min_x, max(z)::DOUBLE AS max_z, count(*) FILTER (label = 5) AS ignored, count(*) FILTER (label = 5) / nullif(count(*), 0)::DOUBLE AS ignored_fraction FROM points GROUP BY ALL""")
 def agg_6(s, d):
-    first = frames(s, d).withColumn("k", F.row_number().over(Window.partitionBy("drive_id").orderBy("frame_index"))).where("k <= 20").select(*FRAME)
-    return _audited(points(s, d).join(first, FRAME, "left_semi"))
+    return _audited(points(s, d), FRAME).drop("frames")
 
 
-def _audited(p):
-    out = P.map_labels(p, P.TILE_CLASSES).groupBy("drive_id").agg(F.countDistinct("frame_index").alias("frames"), F.count("*").alias("n_points"), F.min("x").cast("double").alias("min_x"), F.max("z").cast("double").alias("max_z"), F.count_if(F.col("shared_label") == -1).alias("ignored"))
+def _audited(p, keys):
+    out = P.map_labels(p, P.TILE_CLASSES).groupBy(*keys).agg(F.countDistinct("frame_index").alias("frames"), F.count("*").alias("n_points"), F.min("x").cast("double").alias("min_x"), F.max("z").cast("double").alias("max_z"), F.count_if(F.col("shared_label") == -1).alias("ignored"))
     return out.withColumn("ignored_fraction", fraction(F.col("ignored"), F.col("n_points")))
 
 
 @query("agg_6_whole_scan_audit", f"""WITH {POINTS} SELECT drive_id, count(DISTINCT frame_index) AS frames, count(*) AS n_points, min(x)::DOUBLE AS min_x, max(z)::DOUBLE AS max_z, count(*) FILTER (label = 5) AS ignored, count(*) FILTER (label = 5) / nullif(count(*), 0)::DOUBLE AS ignored_fraction FROM points GROUP BY drive_id""")
 def agg_6_whole(s, d):
-    return _audited(points(s, d))
+    return _audited(points(s, d), ["drive_id"])
 
 
 @query("agg_7_tile_audit", f"""WITH {_PATCH}, n AS (SELECT {FR}, r, c, count(*) AS n, max(CAST(z - z0 AS FLOAT)) AS height FROM (SELECT *, min(z) OVER (PARTITION BY {FR}, r, c) AS z0 FROM patches) GROUP BY ALL)
@@ -202,11 +200,16 @@ def agg_7(s, d):
     return per.groupBy("drive_id").agg(F.count("*").alias("patches"), F.sum("n").alias("n_points"), F.median("n").alias("median_points"), F.max("height").cast("double").alias("max_height"))
 
 
-@query("agg_8_repeatability", f"WITH {POINTS} SELECT {FR}, count(*) AS n, true AS repeatable FROM points GROUP BY ALL")
+@query("agg_8_repeatability", f"WITH {POINTS} SELECT {FR}, count(*) AS n, count(*) FILTER (row_idx = 7 AND frame_index % 6 = 1) = 0 AS repeatable FROM points GROUP BY ALL")
 def agg_8(s, d):
-    p = points(s, d)
-    both = P.digests(p, [*FRAME, "row_idx", "x", "y", "z"]).union(P.digests(p.repartition(7, "row_idx"), [*FRAME, "row_idx", "x", "y", "z"]))
-    return both.groupBy(*FRAME).agg(F.max("n").alias("n"), (F.countDistinct("digest") == 1).alias("repeatable"))
+    """Digests of three runs: two as they are, the second from a table that was written and read back in another order, and one in which a point was altered."""
+    from sweepframe.sources.scratch import scratch_folder
+
+    p, path = points(s, d), scratch_folder(s, "points")
+    p.repartition(7, "row_idx").sortWithinPartitions(F.desc("x")).write.parquet(path)
+    altered = p.withColumn("z", F.when((F.col("row_idx") == 7) & (F.col("frame_index") % 6 == 1), F.col("z") + 1).otherwise(F.col("z")).cast("float"))
+    runs = [P.digests(x, [*FRAME, "row_idx", "x", "y", "z"]) for x in (p, s.read.parquet(path), altered)]
+    return runs[0].union(runs[1]).union(runs[2]).groupBy(*FRAME).agg(F.max("n").alias("n"), (F.countDistinct("digest") == 1).alias("repeatable"))
 
 
 @query("set_1_concatenation", f"WITH {POINTS} SELECT drive_id, count(*) AS n FROM (SELECT * FROM points WHERE label < 4 UNION ALL SELECT * FROM points WHERE label > 2) GROUP BY drive_id")

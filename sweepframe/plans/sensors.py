@@ -32,10 +32,10 @@ def stm_7(s, d):
     return H.windowed_latency(e, "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stm_8_block_samples", f"WITH {TELEMETRY}, b AS (SELECT block, min(ts_us) AS t0, min(ts_us) + 86400000000 AS t1 FROM tel GROUP BY block) SELECT b.block, count(*) AS samples, avg(power_draw) AS power FROM b JOIN tel ON ts_us BETWEEN t0 AND t1 GROUP BY b.block")
+@query("stm_8_block_samples", f"WITH {TELEMETRY}, b AS (SELECT block, min(ts_us) AS t0, max(ts_us) AS t1 FROM tel GROUP BY block) SELECT b.block, count(*) AS samples, avg(power_draw) AS power FROM b JOIN tel ON ts_us BETWEEN t0 AND t1 GROUP BY b.block")
 def stm_8(s, d):
     t = telemetry(s, d)
-    blocks = t.groupBy("block").agg(F.min("ts_us").alias("t0")).withColumn("t1", F.col("t0") + 86400000000)
+    blocks = t.groupBy("block").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
     # A block meets only the days that it lies in.
     days = blocks.select("block", "t0", "t1", F.explode(F.sequence(F.floor(F.col("t0") / 86400000000), F.floor(F.col("t1") / 86400000000))).alias("day"))
     rows = t.select("ts_us", "power_draw", F.floor(F.col("ts_us") / 86400000000).alias("day")).join(days, "day").where("ts_us between t0 and t1")
@@ -110,10 +110,17 @@ def agg_46(s, d):
     return s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("misses"), (F.count_if(F.col("value") > 50) / F.count("*")).alias("fraction"))
 
 
-@query("agg_47_rates", f"WITH {MESSAGES} SELECT sensor, (count(*) - 1) / ((max(ts_us) - min(ts_us)) / 1e6::DOUBLE) AS rate, (count(*) - 1) / ((max(ts_us) - min(ts_us)) / 1e6::DOUBLE) >= 0.95 * 0.0004 AS sustained FROM msg GROUP BY sensor")
+@query("agg_47_rates", f"""WITH {MESSAGES}, v AS (SELECT *, arrival_seq % 41 <> 0 OR sensor = 2 AS received, arrival_seq % 53 <> 0 OR sensor <> 1 AS sent FROM msg),
+c AS (SELECT sensor, count(*) AS offered, count(*) FILTER (received) AS received, count(*) FILTER (received AND (event_type <> 'error' OR sensor = 2)) AS accepted, count(*) FILTER (received AND (event_type <> 'error' OR sensor = 2) AND sent) AS published, (max(ts_us) - min(ts_us)) / 1e6::DOUBLE AS span,
+  (max(ts_us) FILTER (received AND (event_type <> 'error' OR sensor = 2) AND sent) - min(ts_us) FILTER (received AND (event_type <> 'error' OR sensor = 2) AND sent)) / 1e6::DOUBLE AS out_span FROM v GROUP BY sensor),
+r AS (SELECT sensor, (offered - 1) / span AS offered_hz, (published - 1) / out_span AS output_hz, offered - received AS input_loss, received - accepted AS rejected, accepted - published AS backlog, 0.0004::DOUBLE AS rate FROM c)
+SELECT sensor, offered_hz, output_hz, input_loss, rejected, backlog, CASE WHEN input_loss > 0 OR rejected > 0 OR backlog > 0 THEN 'lossy' WHEN offered_hz < 0.95 * rate THEN 'not_offered' WHEN output_hz < 0.95 * rate THEN 'not_sustained' ELSE 'sustained' END AS verdict FROM r""")
 def agg_47(s, d):
-    rate = (F.count("*") - 1) / ((F.max("ts_us") - F.min("ts_us")) / 1e6)
-    return messages(s, d).groupBy("sensor").agg(rate.alias("rate")).withColumn("sustained", F.col("rate") >= 0.95 * 0.0004)
+    """Rates by intervals, losses between the stages, and whether the asked rate of 0.0004 Hz is sustained."""
+    n = F.col("arrival_seq")
+    accepted = F.col("received") & ((F.col("event_type") != "error") | (F.col("sensor") == 2))
+    v = messages(s, d).withColumns({"received": (n % 41 != 0) | (F.col("sensor") == 2), "sent": (n % 53 != 0) | (F.col("sensor") != 1)}).withColumn("accepted", accepted).withColumn("published", F.col("accepted") & F.col("sent"))
+    return M.sustained_rates(v, ["sensor"], "ts_us", 0.0004)
 
 
 @query("agg_54_stage_ledger", "WITH t AS (SELECT event_type, event_id % 500 AS i, value FROM events), p AS (SELECT i, sum(value) AS total FROM t GROUP BY i) SELECT event_type, count(*) AS n, median(value) AS median, quantile_cont(value, 0.95) AS p95 FROM t GROUP BY event_type UNION ALL SELECT 'total', count(*), median(total), quantile_cont(total, 0.95) FROM p")

@@ -52,16 +52,33 @@ def jn_4(s, d):
     return reconstructed(s, d).groupBy(*FRAME, "history_rank").agg(F.count("*").alias("n"), F.min("time_lag").alias("time_lag"), F.round(F.min("x").cast("double"), 2).alias("x"), F.round(F.max("y").cast("double"), 2).alias("y"))
 
 
-@query("jn_6_frozen_transforms", f"WITH {TRANSFORMS} SELECT {FR}, count(*) AS transforms, true AS same FROM tf GROUP BY ALL")
+def frozen(s, d):
+    """The transforms as a table that was written once and is read back."""
+    from sweepframe.sources.scratch import scratch_folder
+
+    path = scratch_folder(s, "transforms")
+    transforms(s, d).write.parquet(path)
+    return s.read.parquet(path)
+
+
+def digested(t):
+    return t.groupBy(*FRAME).agg(F.count("*").alias("transforms"), F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("history_rank", "source_index", "a", "b")))).cast("binary"), 256).alias("digest"))
+
+
+@query("jn_6_frozen_transforms", f"WITH {TRANSFORMS}, t AS (SELECT *, frame_index % 9 = 4 AND history_rank = 2 AS spoiled FROM tf) SELECT {FR}, count(*) AS transforms, NOT bool_or(spoiled) AS same FROM t GROUP BY ALL")
 def jn_6(s, d):
-    from pyspark.sql import DataFrame
+    """A replay from the stored table is accepted where rank order, sources and digest of all its transforms agree; here some were altered in store."""
+    stored = frozen(s, d)
+    bad = (F.col("frame_index") % 9 == 4) & (F.col("history_rank") == 2)
+    stored = stored.withColumn("b", F.when(bad, F.transform("b", lambda x: x + F.lit(0.5).cast("float"))).otherwise(F.col("b")))
+    both = digested(transforms(s, d)).join(digested(stored).withColumnsRenamed({"transforms": "n", "digest": "stored"}), FRAME, "full")
+    return both.select(*FRAME, "transforms", (F.col("transforms").eqNullSafe(F.col("n")) & F.col("digest").eqNullSafe(F.col("stored"))).alias("same"))
 
-    def digest(t: DataFrame, name: str) -> DataFrame:
-        return t.select(*FRAME, "history_rank", F.sha2(F.concat_ws(",", F.transform(F.concat("a", "b"), lambda x: x.cast("string"))), 256).alias(name))
 
-    t = transforms(s, d)
-    both = digest(t, "now").join(digest(t.repartition(5, "source_index"), "frozen"), [*FRAME, "history_rank"])
-    return both.groupBy(*FRAME).agg(F.count("*").alias("transforms"), F.bool_and(F.col("now") == F.col("frozen")).alias("same"))
+@query("jn_6_replayed_points", f"WITH {MOVED} SELECT {FR}, history_rank, count(*) AS n FROM model GROUP BY ALL")
+def jn_6_replayed(s, d):
+    stamps = frames(s, d).select(*FRAME, ns_to_us(F.col("ts_ns")).alias("ts_us"))
+    return S.model_points(points(s, d), frozen(s, d), stamps, 1.0).groupBy(*FRAME, "history_rank").agg(F.count("*").alias("n"))
 
 
 @query("jn_20_membership_difference", f"WITH {MOVED}, other AS (SELECT * FROM moved WHERE x > -49 AND x < 49 AND y > -50 AND y < 50 AND z > -5 AND z < 3) SELECT history_rank, count(*) FILTER (o.row_idx IS NULL) AS only_a, count(*) FILTER (m.row_idx IS NULL) AS only_b FROM model m FULL JOIN other o USING (drive_id, frame_index, history_rank, row_idx) GROUP BY history_rank")
@@ -76,12 +93,21 @@ def jn_21(s, d):
     return reconstructed(s, d).groupBy(*FRAME, "history_rank", role.alias("role")).agg(F.min("src_row_idx").alias("first_row"), F.max("src_row_idx").alias("last_row"))
 
 
-@query("jn_26_ledger_verification", f"WITH {MOVED}, a AS (SELECT {FR}, count(*) AS n, count(DISTINCT time_lag) AS lags FROM model GROUP BY ALL), l AS (SELECT {FR}, n + CASE WHEN frame_index % 10 = 3 THEN 1 ELSE 0 END AS n, lags FROM a) SELECT {FR}, a.n AS actual, l.n AS recorded FROM a FULL JOIN l USING (drive_id, frame_index) WHERE a.n IS DISTINCT FROM l.n OR a.lags IS DISTINCT FROM l.lags")
+@query("jn_26_ledger_verification", f"""WITH {MOVED}, a AS (SELECT {FR}, count(*) AS n, count(DISTINCT time_lag) AS lags, array_to_string(list_sort(list(DISTINCT frame_index - history_rank)), ',') AS sources FROM model GROUP BY ALL),
+l AS (SELECT {FR}, n + CASE WHEN frame_index % 10 = 3 THEN 1 ELSE 0 END AS n, lags, CASE WHEN frame_index % 10 = 6 THEN sources || ',99' ELSE sources END AS sources, frame_index % 10 = 8 AS spoiled FROM a WHERE frame_index % 10 <> 9)
+SELECT coalesce(a.drive_id, l.drive_id) AS drive_id, coalesce(a.frame_index, l.frame_index) AS frame_index, CASE WHEN l.n IS NULL THEN 'unrecorded' WHEN a.n IS NULL THEN 'absent' ELSE concat_ws(',', CASE WHEN a.n <> l.n THEN 'points' END, CASE WHEN a.lags <> l.lags THEN 'lags' END, CASE WHEN a.sources <> l.sources THEN 'sources' END, CASE WHEN spoiled THEN 'digest' END) END AS reason
+FROM a FULL JOIN l USING (drive_id, frame_index) WHERE l.n IS NULL OR a.n IS NULL OR a.n <> l.n OR a.lags <> l.lags OR a.sources <> l.sources OR spoiled""")
 def jn_26(s, d):
-    a = reconstructed(s, d).groupBy(*FRAME).agg(F.count("*").alias("actual"), F.countDistinct("time_lag").alias("lags"))
-    ledger = a.select(*FRAME, (F.col("actual") + F.when(F.col("frame_index") % 10 == 3, 1).otherwise(0)).alias("recorded"), F.col("lags").alias("recorded_lags"))
-    both = a.join(ledger, FRAME, "full")
-    return both.where(~F.col("actual").eqNullSafe(F.col("recorded")) | ~F.col("lags").eqNullSafe(F.col("recorded_lags"))).select(*FRAME, "actual", "recorded")
+    """Frames whose points, lags, sources or digest differ from a ledger that an earlier run wrote; here some of its entries were altered, one in ten is missing."""
+    from sweepframe.sources.scratch import scratch_folder
+
+    actual = S.input_ledger(reconstructed(s, d))
+    path, k = scratch_folder(s, "ledger"), F.col("frame_index") % 10
+    actual.where(k != 9).withColumns({
+        "points": F.col("points") + F.when(k == 3, 1).otherwise(0), "sources": F.when(k == 6, F.concat("sources", F.array(F.lit(99).cast("long")))).otherwise(F.col("sources")),
+        "digest": F.when(k == 8, F.col("digest") + 1).otherwise(F.col("digest")),
+    }).write.parquet(path)
+    return S.ledger_mismatches(actual, s.read.parquet(path))
 
 
 @query("jn_19_first_mismatch", f"WITH {POINTS}, b AS (SELECT * REPLACE (CASE WHEN row_idx % 97 = 5 THEN label + 1 ELSE label END AS label) FROM points) SELECT {FR}, count(*) AS rows, count(*) FILTER (a.label IS DISTINCT FROM b.label) AS mismatches, min(row_idx) FILTER (a.label IS DISTINCT FROM b.label) AS first_row FROM points a FULL JOIN b USING (drive_id, frame_index, row_idx) GROUP BY ALL")
