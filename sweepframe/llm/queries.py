@@ -74,7 +74,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_arc_warc", arc_warc.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = arc_warc.round_trip(table(spark, sf_dir, "pages"))
+    records = arc_warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
     return records.select(F.col("number").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 

@@ -10,10 +10,14 @@ A byte goes if a string of `length` bytes that covers it also starts elsewhere i
   suffix which windows around its anchor occur again: two suffixes share the window at offset o if they agree on o bytes to the left and length - o to the right.
 * Runs of a short period would make every period an anchor; a run of a length plus a period repeats itself and is removed outright, and keeps anchors only near its ends.
 * Texts that are equal as a whole are one class, of which one text takes part; texts of several copies go altogether.
-* Anchor strings with over `most` occurrences are not brought together: their windows are counted by hash with pre-aggregation (`window_counts`).
+* A group of over `most` contexts is split by longer strings (`split_groups`). Contexts that share the window at offset o agree on o bytes to the left and
+  length - o to the right; so for each of RANGES ranges of offsets [low, high) those contexts meet that agree on the low bytes to the left and the length - high + 1
+  to the right which all its windows hold, clipped to the bytes that any of them needs. Equal clipped contexts are one with a count before they meet, so
+  a passage in a third of all texts is a few contexts with large counts. Groups that still have more different ones are split by single windows.
 
 Nothing depends on where Spark puts a row; each cut of the lineage is a table in the shared folder. Defined results: null and texts shorter than `length` lose
-nothing; ties and repeats are what is removed; an empty table gives an empty result; doc_id is the key; extra columns are left alone.
+nothing; ties and repeats are what is removed; an empty table gives an empty result; doc_id is the key; extra columns are left alone. Passages shorter than
+`length` stay, however many words they have.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweepframe.llm.common import STEP_BYTES, id_filter, mix, powers, runs_of, texts_of, written
+from sweepframe.llm.common import STEP_BYTES, id_filter, key_filter, mix, powers, runs_of, texts_of, written
 
 LENGTH, GRAM, MOST = 400, 160, 50_000
+#: Ranges of offsets by which the groups of very frequent anchor strings are split.
+RANGES = 16
 #: Depth in bytes at which blind tries take over, and the group size from which classes are refined offset by offset.
 SHALLOW, PAIRWISE = 32, 24
 #: Periods up to this length count as short.
@@ -315,12 +321,12 @@ def sorted_groups(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "id long, begin long, end long")
 
 
-def window_counts(rows: DataFrame, length: int) -> DataFrame:
-    """(id, begin, end) of repeated windows around anchors of very frequent strings: windows counted by a hash of their bytes, pre-aggregated."""
+def window_repeats(rows: DataFrame, length: int) -> DataFrame:
+    """(id, begin, end) of windows that stand in several places, for contexts (id, pos, before, after): a group is one window, so its count tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ident, pos, before, after in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            for ident, pos, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(before[::-1] + after, np.uint8)
                 if len(data) >= length:
                     n = min(len(before), len(data) - length) + 1
@@ -328,9 +334,38 @@ def window_counts(rows: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ident)), pa.array(np.arange(n) + pos - len(before)), pa.array(hashes)], names=["id", "begin", "window"])
 
     # One and the same window may be seen from two anchors: distinct places count.
-    windows = rows.mapInArrow(run, "id long, begin long, window long").distinct()
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return windows.join(again, "window", "left_semi").select("id", "begin", (F.col("begin") + length).alias("end"))
+    windows = written(rows.select("id", "pos", "before", "after").mapInArrow(run, "id long, begin long, window long").distinct(), "windows")
+    again = written(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    return key_filter(windows, again, "window").select("id", "begin", (F.col("begin") + length).alias("end"))
+
+
+def split_groups(rows: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """(id, begin, end) of repeated stretches around anchors of very frequent strings, for contexts as of `contexts`."""
+    edges = np.unique(np.linspace(0, length - gram + 1, RANGES + 1).astype(int)).tolist()
+    ranges = F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in zip(edges, edges[1:], strict=False)))
+    x = rows.select("*", F.explode(ranges).alias("r")).select("*", "r.low", "r.high").drop("r")
+    x = x.where((F.octet_length("before") >= F.col("low")) & (F.octet_length("after") >= length + 1 - F.col("high")))
+    held = F.xxhash64("hash", "low", F.substring("before", F.lit(1), F.col("low")), F.substring("after", F.lit(1), length + 1 - F.col("high")))
+    clipped = [F.substring("before", F.lit(1), F.col("high") - 1).alias("before"), F.substring("after", F.lit(1), length - F.col("low")).alias("after")]
+    x = x.select(held.alias("hash"), "low", "high", *clipped, "id", "pos")
+    places = written(x.withColumn("context", F.xxhash64("hash", "before", "after")), "places")
+    kinds = written(places.groupBy("hash", "low", "high", "context").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after")), "kinds")
+    big = written(kinds.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most), "big-groups")  # at most the contexts over `most`
+    small = kinds.join(F.broadcast(big.select("hash")), "hash", "left_anti")
+    # Different contexts are compared; one that stands in several places repeats all its windows.
+    compared = sorted_groups(small.select("hash", F.col("context").alias("id"), F.lit(0).cast("long").alias("pos"), "before", "after"), length, gram)
+    back = F.least(F.col("high") - 1, F.octet_length("before"))
+    ahead = length - F.greatest("low", length - F.octet_length("after"))
+    copied = small.where("n > 1").select(F.col("context").alias("id"), (-back).cast("long").alias("begin"), ahead.cast("long").alias("end"))
+    spans = compared.union(copied).groupBy("id").agg(F.min("begin").alias("back"), F.max("end").alias("ahead")).withColumnRenamed("id", "context")
+    spans = written(spans.join(kinds.select("context", "n"), "context"), "spans")
+    own, found = places.select("context", "id", "pos"), None
+    for part in (F.broadcast(spans.where("n >= 1000")), spans.where("n < 1000")):
+        got = own.join(part.select("context", "back", "ahead"), "context").select("id", (F.col("pos") + F.col("back")).alias("begin"), (F.col("pos") + F.col("ahead")).alias("end"))
+        found = got if found is None else found.union(got)
+    if not big.isEmpty():
+        found = found.union(window_repeats(places.join(F.broadcast(big.select("hash")), "hash", "left_semi"), length))
+    return found
 
 
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -388,7 +423,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
 
     found = sorted_groups(near(f"m.n <= {most}"), length, gram).union(anchors.where("hash is null").select("id", F.col("pos").alias("begin"), F.col("upto").alias("end")))
     if not often.where(f"n > {most}").isEmpty():
-        found = found.union(window_counts(near(f"m.n > {most}"), length))
+        found = found.union(split_groups(near(f"m.n > {most}"), length, gram, most))
     cuts = written(found.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts")), "cuts")
     cut = written(merged_cuts(id_filter(docs, cuts.select("id"), "id").join(cuts, "id")), "kept")
 
