@@ -14,7 +14,7 @@ digest, and resolve a revisit through the identifier in its WARC-Refers-To.
 Each record is a gzip member of its own. Files are written by Spark's text writer, whose line separator is set to an empty gzip member, so what stands
 between two records is valid too, and read as binary files, so any file system that Spark knows will do. A file has some FILE_BYTES; a reader holds its
 compressed bytes and one record. Equal payloads are grouped by digest with the smallest number pre-aggregated, over a written table without payloads;
-payloads are shuffled once, by record number, so that a payload which a third of all records share is no single task.
+payloads are shuffled once at most, by record number, so that a payload which a third of all records share is no single task.
 
 Defined results: a null payload is empty; a null URL is `about:blank`, blanks in URLs are percent-encoded; repeated numbers are not expected (the page id is the
 key), and a row without one isn't archived;
@@ -219,15 +219,18 @@ def record_id(kind: str, name: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def write_warc(records: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Records (as of read_arc) as WARC files. They are read twice: once for digests, which are written, once for what goes into the files."""
+def write_warc(records: DataFrame, path: str, min_bytes: int = 0, most: int = 2_000_000) -> None:
+    """Records (as of read_arc) as WARC files. They are read twice: once for digests, which are written, once for what goes into the files.
+
+    Up to `most` revisits (two numbers each) are broadcast, so payloads aren't shuffled; beyond, payloads move once, by their own numbers.
+    """
     slim = written(records.where("number is not null").select("number", "digest", "payload_bytes"), "records")
     size = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes")).first()
     long = slim.where(F.col("payload_bytes") >= min_bytes)
     firsts = long.groupBy("digest").agg(F.count("*").alias("n"), F.min("number").alias("first"))
-    # Only what revisits is joined by digest, without payloads; payloads then move once, by their own numbers.
-    revisits = long.select("number", "digest").join(firsts.where("n > 1"), "digest").where("number <> first").select("number", "first")
-    rows = records.join(revisits, "number", "left")
+    # Only what revisits is joined by digest, without payloads.
+    revisits = written(long.select("number", "digest").join(firsts.where("n > 1"), "digest").where("number <> first").select("number", "first"), "revisits")
+    rows = records.join(F.broadcast(revisits) if revisits.count() <= most else revisits.hint("merge"), "number", "left")
     info, again = F.col("number").isNull(), F.col("first").isNotNull()
     block = F.when(info, F.col("payload")).otherwise(F.concat(F.col("head"), F.lit("\r\n\r\n"), F.when(again, F.lit("")).otherwise(F.col("payload"))))
 
