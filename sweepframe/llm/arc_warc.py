@@ -29,6 +29,7 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,8 @@ FIELDS = {
 NUMBER = "X-Archive-Record"
 #: Bytes of records in a file, about, and most records in one.
 FILE_BYTES, FILE_RECORDS = 64 << 20, 4000
+#: Level of compression.
+LEVEL = 2
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 RECORD = "file string, number long, url string, ip string, date string, status int, head string, payload string, payload_bytes long, digest string, block_digest string, head_digest string"
 WARC = "record_id string, warc_type string, target_uri string, warc_date string, number long, payload_bytes long, payload_digest string, refers_to_id string, warcinfo_id string, payload string"
@@ -55,7 +58,7 @@ def write_members(rows: DataFrame, path: str, records_per_file: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 100):
-                members = [gzip.compress(v.as_buffer(), 6, mtime=0) for v in batch.column(0).slice(a, 100)]
+                members = [gzip.compress(v.as_buffer(), LEVEL, mtime=0) for v in batch.column(0).slice(a, 100)]
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
 
     text = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -209,6 +212,18 @@ def _arc_rows(name: str, parts: Iterable[bytes]) -> Iterator[tuple]:
         yield name, int(lines[NUMBER]), fields["URL"], fields["IP-address"], date, int(head.split(b" ", 2)[1]), head.decode(), payload.decode(), len(payload), base32(payload), base32(block), base32(head + b"\r\n\r\n")
 
 
+def _arc_index(name: str, parts: Iterable[bytes]) -> Iterator[tuple]:
+    for fields, block in parse_arc(parts):
+        if not fields["URL"].startswith("filedesc:"):
+            head, _, payload = block.partition(b"\r\n\r\n")
+            yield int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])[NUMBER]), base32(payload), len(payload)
+
+
+def index_arc(spark: SparkSession, path: str) -> DataFrame:
+    """(number, digest, payload_bytes) of the HTTP records of ARC files."""
+    return file_rows(spark, path, _arc_index, "number long, digest string, payload_bytes long", 4000)
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """The records of ARC files; version blocks have a null number."""
     return file_rows(spark, path, _arc_rows, RECORD)
@@ -219,12 +234,12 @@ def record_id(kind: str, name: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def write_warc(records: DataFrame, path: str, min_bytes: int = 0, most: int = 2_000_000) -> None:
-    """Records (as of read_arc) as WARC files. They are read twice: once for digests, which are written, once for what goes into the files.
+def write_warc(records: DataFrame, path: str, min_bytes: int = 0, index: DataFrame | None = None, most: int = 2_000_000) -> None:
+    """Records (as of read_arc) as WARC files, with their index (as of index_arc; else it is taken from them), which is written and grouped by digest.
 
     Up to `most` revisits (two numbers each) are broadcast, so payloads aren't shuffled; beyond, payloads move once, by their own numbers.
     """
-    slim = written(records.where("number is not null").select("number", "digest", "payload_bytes"), "records")
+    slim = written(index if index is not None else records.where("number is not null").select("number", "digest", "payload_bytes"), "records")
     size = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes")).first()
     long = slim.where(F.col("payload_bytes") >= min_bytes)
     firsts = long.groupBy("digest").agg(F.count("*").alias("n"), F.min("number").alias("first"))
@@ -261,7 +276,7 @@ def write_warc(records: DataFrame, path: str, min_bytes: int = 0, most: int = 2_
     write_members(rows.select(text.cast("binary").alias("value")), path, records_per_file(size["bytes"] + 800 * size["n"], size["n"]))
 
 
-def _warc_rows(name: str, parts: Iterable[bytes]) -> Iterator[tuple]:
+def _warc_rows(name: str, parts: Iterable[bytes], payloads: bool = True) -> Iterator[tuple]:
     for part in parts:
         for fields, block in parse_warc(part):
             kind, ident = fields["WARC-Type"], fields["WARC-Record-ID"]
@@ -275,13 +290,14 @@ def _warc_rows(name: str, parts: Iterable[bytes]) -> Iterator[tuple]:
             again, digest = kind == "revisit", fields["WARC-Payload-Digest"].removeprefix("sha1:")
             if not again and base32(payload) != digest:
                 raise ValueError(f"payload digest of {ident} doesn't fit")
-            size, text = (None, None) if again else (len(payload), payload.decode())
+            size, text = (None, None) if again else (len(payload), payload.decode() if payloads else None)
             yield ident, kind, fields["WARC-Target-URI"], fields["WARC-Date"], int(lines[NUMBER]), size, digest, fields.get("WARC-Refers-To"), fields["WARC-Warcinfo-ID"], text
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, their blocks and payloads checked against their digests; warcinfo records have a null number, revisits a null payload."""
-    return file_rows(spark, path, _warc_rows, WARC)
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of WARC files, their blocks and payloads checked against their digests; warcinfo records have a null number, revisits a null payload, and so
+    have all without payloads."""
+    return file_rows(spark, path, partial(_warc_rows, payloads=payloads), WARC, 200 if payloads else 4000)
 
 
 def resolved(records: DataFrame, payloads: bool = True, most: int = 2_000_000) -> DataFrame:
@@ -303,7 +319,7 @@ def resolved(records: DataFrame, payloads: bool = True, most: int = 2_000_000) -
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
-    write_warc(read_arc(spark, arc_path), warc_path, min_bytes)
+    write_warc(read_arc(spark, arc_path), warc_path, min_bytes, index_arc(spark, arc_path))
 
 
 def round_trip(pages: DataFrame, number: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, payloads: bool = True) -> DataFrame:
@@ -314,7 +330,7 @@ def round_trip(pages: DataFrame, number: str = "page_id", url: str = "url", payl
     write_arc(rows.where("number % 2 = 0"), f"{arc}/version=1", 1)
     write_arc(rows.where("number % 2 <> 0"), f"{arc}/version=2", 2)
     convert(spark, arc, warc, min_bytes)
-    return resolved(read_warc(spark, warc), payloads)
+    return resolved(read_warc(spark, warc, payloads), payloads)
 
 
 ORACLE = """
