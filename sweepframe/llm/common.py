@@ -60,6 +60,20 @@ def key_filter(df: DataFrame, keys: DataFrame, column: str, most: int = 2_000_00
     return df.join(often, column, "left_semi").union(df.join(often, column, "left_anti").join(keys.where(F.col("n") < hot).select(column).hint("merge"), column, "left_semi"))
 
 
+def key_join(df: DataFrame, keys: DataFrame, on: list[str], least: int = 1_000, most: int = 1_000_000) -> DataFrame:
+    """df joined with keys (a written table, one row per key, n: how many rows of df have it), however many rows share a key.
+
+    Keys with n >= least are broadcast and their rows not shuffled; `least` is raised where needed so that these are at most `most` keys, as their
+    counts add up to no more than the rows of df. Rows of other keys are shuffled. df is read twice where there are such keys.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    least = max(least, -(-total // most))
+    hot, rare = keys.where(F.col("n") >= least), keys.where(F.col("n") < least)
+    if hot.isEmpty():
+        return df.join(keys, on)
+    return df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rare, on))
+
+
 #: Neighbours from which an end of edges counts as a hub.
 HUB = 20_000
 

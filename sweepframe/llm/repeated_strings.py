@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweepframe.llm.common import STEP_BYTES, id_filter, key_filter, mix, powers, runs_of, texts_of, written
+from sweepframe.llm.common import STEP_BYTES, id_filter, key_filter, key_join, mix, powers, runs_of, texts_of, written
 
 LENGTH, GRAM, MOST = 400, 160, 50_000
 #: Ranges of offsets by which the groups of very frequent anchor strings are split.
@@ -413,8 +413,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     unique = docs.where(F.octet_length("text") >= length).join(spare, "id", "left_anti")
 
     anchors = written(anchor_rows(unique, length, gram), "anchors")
-    often = anchors.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    marks = anchors.join(often, "hash").groupBy("id").agg(F.collect_list(F.struct("pos", "hash", "n")).alias("marks"))
+    often = written(anchors.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    marks = key_join(anchors.select("id", "pos", "hash"), often, ["hash"]).groupBy("id").agg(F.collect_list(F.struct("pos", "hash", "n")).alias("marks"))
     marks = written(marks, "marks")
 
     def near(pick: str) -> DataFrame:

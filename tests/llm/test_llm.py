@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sweepframe.llm import arc_warc, compression_quality, contamination, license_digest, line_templates, minhash_join, nn_descent, piece_bpe, repeated_strings, string_kernel
-from sweepframe.llm.common import components
+from sweepframe.llm.common import components, key_join
 from sweepframe.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,6 +43,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_key_join_with_hot_keys(spark):
+    rows = [(k, 0 if k % 3 == 0 else k % 7, 1) for k in range(200)] + [(200, None, 1), (201, 99, 1)]
+    df = spark.createDataFrame(rows, "id long, k long, other long")
+    counts = Counter(k for _, k, _ in rows if k is not None and k != 99)
+    keys = spark.createDataFrame([(k, n, -k) for k, n in counts.items()], "k long, n long, minus long")
+    want = Counter((i, k, counts[k], -k) for i, k, _ in rows if k in counts)
+    for least, most in ((1_000, 1_000_000), (50, 1_000_000), (1, 3), (1, 1_000_000)):
+        got = key_join(df, keys, ["k"], least, most)
+        assert Counter((r.id, r.k, r.n, r.minus) for r in got.collect()) == want
+    assert key_join(df, keys.limit(0), ["k"]).count() == 0
+
+
 def brute_near(texts):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
