@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweepframe.llm.common import components, id_filter, shingle_rows, signatures, written
+from sweepframe.llm.common import components, id_filter, key_join, shingle_rows, signatures, written
 
 
 def sketches(docs: DataFrame, size: int, width: int) -> DataFrame:
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: in
     """(key, n_shingles, component_id, kept): component_id is the smallest id reachable over links, kept marks it."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = written(sketches(docs, size, width), "sketches")
-    classes = sketch.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
+    classes = sketch.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     reps = sketch.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
     # Postings under (coordinate, value); values of one text alone can't collide.
@@ -158,6 +158,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, size: in
     links = at.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links_of(rest, sets, percent, "links"))
 
     joined = components(links)
-    named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.join(named, ["set_a", "set_b"], "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
+    columns = [F.col("id").alias(key), "n_shingles"]
+    filled = key_join(sketch.where("set_a is not null").select("id", "n_shingles", "set_a", "set_b"), written(named, "named"), ["set_a", "set_b"]).select(*columns, "component_id")
+    out = filled.union(sketch.where("set_a is null").select(*columns, F.col("id").alias("component_id")))
     return out.withColumn("kept", F.col(key) == F.col("component_id"))
