@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepframe.llm import arc_warc, compression_quality, contamination, license_digest, line_templates, minhash_join, nn_descent, piece_bpe, repeated_strings, string_kernel
+from sweepframe.llm import arc_warc, compression_quality, contamination, license_digest, line_templates, minhash_join, nn_descent, packing, piece_bpe, repeated_strings, string_kernel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,13 @@ def vocabulary(path: str | None = None) -> dict:
     return piece_bpe.load_vocabulary(path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The path of one of the installed tokenizer files, which driver and workers share."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op8_piece_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
@@ -86,3 +93,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_nn_descent", nn_descent.ORACLE)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.linked(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
