@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 from sweepframe.llm.common import runs_of, texts_of
 
 #: Most chunks, and most bytes of these, that a worker remembers.
-MOST_CHUNKS, MOST_BYTES = 1_000_000, 24 << 20
+MOST_CHUNKS, MOST_BYTES = 600_000, 16 << 20
 #: Bytes of text taken at a time.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 3 << 20
 
 
 def _bytes(which: str | list[int]) -> np.ndarray:
