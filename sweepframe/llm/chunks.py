@@ -83,8 +83,8 @@ class Lists:
 class Chunks:
     """`compute` turns distinct chunks into as many lists, for each of its results; those of chunks seen of late are remembered."""
 
-    def __init__(self, compute: Callable[[list[bytes]], list[Lists]], words: bool):
-        self.compute, self.words = compute, words
+    def __init__(self, compute: Callable[[list[bytes]], list[Lists]], words: bool, most: int = MOST_CHUNKS, step: int = STEP_BYTES):
+        self.compute, self.words, self.most, self.step = compute, words, most, step
         self.seen, self.lists = pa.array([], pa.large_binary()), None
 
     def places(self, chunks: pa.Array) -> np.ndarray:
@@ -92,7 +92,7 @@ class Chunks:
         known = pc.index_in(chunks, value_set=self.seen)
         new = chunks.filter(pc.is_null(known))
         if len(new):
-            if len(self.seen) and (len(self.seen) + len(new) > MOST_CHUNKS or self.seen.nbytes + new.nbytes > MOST_BYTES):
+            if len(self.seen) and (len(self.seen) + len(new) > self.most or self.seen.nbytes + new.nbytes > MOST_BYTES):
                 self.seen, self.lists = new[:0], None
                 return self.places(chunks)
             found = self.compute(new.to_pylist())
@@ -104,7 +104,7 @@ class Chunks:
     def steps(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, number of chunks per row, each chunk's place in self.lists) for steps of bounded bytes, or of one longer row."""
         data, offsets = texts_of(column)
-        for i, j in runs_of(offsets, STEP_BYTES):
+        for i, j in runs_of(offsets, self.step):
             own, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if not len(own):
                 yield i, j, np.zeros(j - i, np.int64), np.zeros(0, np.int64)
@@ -124,7 +124,9 @@ def byte_tokenizer(path: str, special: bool) -> Callable[[list[bytes]], list[lis
     tokenizer.encode_special_tokens = not special
 
     def encode(chunks: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        # A few at a time: the library's own results are some hundred times as large as the ids.
+        parts = (chunks[k : k + 2_000] for k in range(0, len(chunks), 2_000))
+        return [e.ids for part in parts for e in tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)]
 
     return encode
 

@@ -188,7 +188,7 @@ class Aligner:
             times.append(rows.values)
             per_chunk += np.bincount(own >> 16, minlength=n)
         pairs, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, times))
-        return [Lists(stats.ravel(), np.full(n, 5)), self.shown(a, b, group_a, group_b, chunk_of, n), Lists(pairs, per_chunk), Lists(times, per_chunk)]
+        return [Lists(stats.ravel(), np.full(n, 5)), self.shown(a, b, group_a, group_b, chunk_of, n), Lists(pairs.astype(np.uint32), per_chunk), Lists(times.astype(np.int32), per_chunk)]
 
     def shown(self, a: Lists, b: Lists, group_a: np.ndarray, group_b: np.ndarray, chunk_of: np.ndarray, n: int) -> Lists:
         """The groups of each chunk as text: ids of A, '|', ids of B, ';'."""
@@ -208,7 +208,7 @@ class Aligner:
 
 @cache
 def _aligner(byte_path: str, piece_path: str) -> Chunks:
-    return Chunks(Aligner(byte_path, piece_path), words=False)
+    return Chunks(Aligner(byte_path, piece_path), words=False, most=250_000, step=1 << 20)
 
 
 # ---------------------------------------------------------------------------------------------------------------- documents
@@ -245,7 +245,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text"
                 key, often = np.unique((rows * len(stats.sizes) + codes)[~lost[rows]], return_counts=True)
                 code, own = key % len(stats.sizes), key // len(stats.sizes)
                 sizes = pairs.sizes[code]
-                key = (np.repeat(own, sizes) << 32) + pairs.take(code)
+                key = (np.repeat(own, sizes) << 32) + pairs.take(code).astype(np.int64)
                 value = np.repeat(often, sizes) * times.take(code)
                 linked = Rows.summed(key >> 32, key & 0xFFFFFFFF, value, n, 1 << 32)
                 links = pa.ListArray.from_arrays(pa.array(linked.bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(linked.columns), pa.array(linked.values)], ["pair", "times"]))
