@@ -10,7 +10,7 @@ from sweepframe.operators import points as PT
 from sweepframe.plans.fixtures import FRAME, GT, MESSAGES, POINTS, POSES, ground_truth, messages, points, poses
 from sweepframe.plans.sensors import GAP, TWIN
 from sweepframe.registry import query
-from sweepframe.sources import binary, manifests, sinks, text
+from sweepframe.sources import binary, manifests, ranges, sinks, text
 from sweepframe.sources.scratch import scratch_folder
 from sweepframe.streaming import history as H
 
@@ -196,3 +196,19 @@ def src_6(s, d):
     sinks.write_tiles(points(s, d), path)
     p = keyed(binary.read_las(s, path, fields=("classification", "gps_time")))
     return p.groupBy(*FRAME, "classification").agg(F.count("*").alias("n"), F.max("gps_time").alias("gps_time"), F.sum("row_idx").alias("rows"))
+
+
+@query("src_6_tile_ranges", f"WITH {POINTS} SELECT {FR}, CAST(label AS INT) AS classification, count(*) AS n, 0::DOUBLE AS gps_time, CAST(sum(row_idx) AS BIGINT) AS rows FROM points GROUP BY ALL")
+def src_6_ranges(s, d):
+    """Tiles in ranges of 2 KB, so that each gives several tasks; only two fields are decoded."""
+    path = scratch_folder(s, "tiles")
+    sinks.write_tiles(points(s, d), path)
+    p = ranges.read_ranges(s, path, ("classification", "gps_time"), range_bytes=2 << 10)
+    return p.groupBy(*FRAME, "classification").agg(F.count("*").alias("n"), F.max("gps_time").alias("gps_time"), F.sum("row_idx").alias("rows"))
+
+
+@query("src_7_pruned_scans", f"WITH {POINTS} SELECT {FR}, count(*) AS n, min(x)::DOUBLE AS min_x, CAST(sum(row_idx * label) AS BIGINT) AS ordered FROM points WHERE drive_id = 'd1' AND frame_index >= 20 AND frame_index < 40 GROUP BY ALL")
+def src_7_pruned(s, d):
+    """The scans of one split of one drive: both predicates decide which files are opened."""
+    p = ranges.read_ranges(s, scans(s, d), ("x", "y", "z", "remission"), "float").where("drive_id = 'd1' and frame_index >= 20 and frame_index < 40")
+    return p.groupBy(*FRAME).agg(F.count("*").alias("n"), F.min("x").cast("double").alias("min_x"), F.sum((F.col("row_idx") * F.col("remission")).cast("long")).alias("ordered"))

@@ -5,15 +5,18 @@ Files are read by Spark's binaryFile source, so any file system that Spark knows
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from sweepframe.sources.ranges import file_system
+
 STEP = 1 << 16
 #: Bytes of a point field by its datatype code.
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 2, 5: 4, 6: 4, 7: 4, 8: 8}
@@ -153,8 +156,8 @@ def decode_messages(messages: DataFrame, keys: list[str], fields: tuple[str, ...
 
 
 class ScanWriter(DataSource):
-    """Sink of (drive_id, frame_index, data): one file per row in a folder that all executors share; files appear whole, by renaming, so a repeated task
-    replaces what a lost one left. Option suffix names their kind."""
+    """Sink of (drive_id, frame_index, data): one file per row in a folder of a file system that Arrow knows; another one is an error. Files appear whole, by
+    moving, so a repeated task replaces what a lost one left. Option suffix names their kind."""
 
     @classmethod
     def name(cls) -> str:
@@ -166,14 +169,19 @@ class ScanWriter(DataSource):
 
 class _Writer(DataSourceWriter):
     def __init__(self, path: str, suffix: str):
-        self.path, self.suffix = path.removeprefix("file://"), suffix
+        file_system(path)  # fails here, not on the executors
+        self.path, self.suffix = path, suffix
 
     def write(self, iterator):  # noqa: ANN001, ANN201
+        where, base = file_system(self.path)
         for row in iterator:
-            folder = os.path.join(self.path, str(row["drive_id"]))
-            os.makedirs(folder, exist_ok=True)
-            name = os.path.join(folder, f"{row['frame_index']:010d}{self.suffix}")
-            with open(f"{name}.part{os.getpid()}", "wb") as f:
+            folder = f"{base.rstrip('/')}/{row['drive_id']}"
+            where.create_dir(folder, recursive=True)
+            name = f"{folder}/{row['frame_index']:010d}{self.suffix}"
+            part = f"{name}.part{uuid.uuid4().hex}"
+            with where.open_output_stream(part) as f:
                 f.write(row["data"])
-            os.replace(f"{name}.part{os.getpid()}", name)
+            if not isinstance(where, LocalFileSystem) and where.get_file_info(name).type != FileType.NotFound:
+                where.delete_file(name)
+            where.move(part, name)
         return WriterCommitMessage()
