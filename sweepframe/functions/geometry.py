@@ -111,6 +111,52 @@ def oriented_iou(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series(np.clip(np.where(union > 0, both / np.where(union > 0, union, 1), 0), 0, 1))
 
 
+def clipped(polygon: Column, other: Column) -> Column:
+    """The part of a convex polygon (array of struct x, y) inside another, both counter-clockwise: cut along each of the other's edges in turn. A point on an edge
+    is inside, within 1e-12; the result has corners in order, some of them perhaps twice, or none."""
+
+    def inside(p: Column, a: Column, b: Column) -> Column:
+        return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]) >= -1e-12
+
+    def crossing(p: Column, q: Column, a: Column, b: Column) -> Column:
+        slope = (q["x"] - p["x"]) * (b["y"] - a["y"]) - (q["y"] - p["y"]) * (b["x"] - a["x"])
+        t = ((a["x"] - p["x"]) * (b["y"] - a["y"]) - (a["y"] - p["y"]) * (b["x"] - a["x"])) / slope
+        at = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+        return F.when(F.abs(slope) <= 1e-15, F.struct(q["x"].alias("x"), q["y"].alias("y"))).otherwise(at)
+
+    def cut(left: Column, edge: Column) -> Column:
+        a, b = edge["a"], edge["b"]
+        # Each side of the polygon, from the corner before: what of it is inside adds its crossing, its end, both or nothing.
+        sides = F.zip_with(F.concat(F.slice(left, -1, 1), F.slice(left, F.lit(1), F.size(left) - 1)), left, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+        def kept(side: Column) -> Column:
+            p, q = side["p"], side["q"]
+            here, there = inside(q, a, b), inside(p, a, b)
+            own = F.array(F.struct(q["x"].alias("x"), q["y"].alias("y")))
+            return F.when(here & there, own).when(here, F.concat(F.array(crossing(p, q, a, b)), own)).when(there, F.array(crossing(p, q, a, b))).otherwise(F.slice(own, 1, 0))
+
+        return F.when(F.size(left) == 0, left).otherwise(F.flatten(F.transform(sides, kept)))
+
+    edges = F.zip_with(other, F.concat(F.slice(other, F.lit(2), F.size(other) - 1), F.slice(other, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.aggregate(edges, polygon, cut)
+
+
+def polygon_area(polygon: Column) -> Column:
+    """Area of a polygon (array of struct x, y) by its corners' cross products, seen from the first corner; 0 with fewer than three."""
+    first = polygon[0]
+    following = F.concat(F.slice(polygon, F.lit(2), F.greatest(F.size(polygon) - 1, F.lit(0))), F.slice(polygon, 1, 1))
+    terms = F.zip_with(polygon, following, lambda a, b: (a["x"] - first["x"]) * (b["y"] - first["y"]) - (a["y"] - first["y"]) * (b["x"] - first["x"]))
+    return F.when(F.size(polygon) < 3, 0.0).otherwise(F.abs(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)) / 2)
+
+
+def clipped_iou(a: Column, b: Column) -> Column:
+    """Intersection over union of oriented footprints struct<cx,cy,len,wid,yaw> as evaluation takes it: by clipping, with areas of polygons, and not clamped."""
+    p, q = (corners(*(v[c] for c in ("cx", "cy", "len", "wid", "yaw"))) for v in (a, b))
+    both = polygon_area(clipped(p, q))
+    union = polygon_area(p) + polygon_area(q) - both
+    return F.when(union > 0, both / union).otherwise(0.0)
+
+
 @F.pandas_udf(T.LongType())
 def ulp_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Number of floats between two floats."""
@@ -235,3 +281,34 @@ def slerp(p: list[Column], q: list[Column], t: Column) -> list[Column]:
     mixed = [a * x + b * y for x, y in zip(p, q, strict=True)]
     norm = F.sqrt(sum((m * m for m in mixed[1:]), mixed[0] * mixed[0]))
     return [m / norm for m in mixed]
+
+
+def rotation_quaternion(m: Column, row: int = 4) -> list[Column]:
+    """w, x, y, z of the rotation in an array of rows of that length (4: a rigid transform, 3: a rotation), of unit length.
+
+    By the trace where it is positive, otherwise by the largest of the diagonal, the first of equals, so that no small number is divided by.
+    """
+    r = [[m[row * i + j] for j in range(3)] for i in range(3)]
+    skew = [r[2][1] - r[1][2], r[0][2] - r[2][0], r[1][0] - r[0][1]]
+    pair = {(0, 1): r[0][1] + r[1][0], (0, 2): r[0][2] + r[2][0], (1, 2): r[1][2] + r[2][1]}
+    trace = r[0][0] + r[1][1] + r[2][2]
+    # Each branch, times the square root that all its parts are divided by in the end.
+    branches = [[trace + 1, *skew]]
+    for k in range(3):
+        i, j = (n for n in range(3) if n != k)
+        parts = {k: r[k][k] - r[i][i] - r[j][j] + 1, i: pair[min(k, i), max(k, i)], j: pair[min(k, j), max(k, j)]}
+        branches.append([skew[k], *(parts[n] for n in range(3))])
+    diagonal = [r[k][k] for k in range(3)]
+    which = F.when(trace > 0, 0).when((diagonal[0] >= diagonal[1]) & (diagonal[0] >= diagonal[2]), 1).when(diagonal[1] >= diagonal[2], 2).otherwise(3)
+    q = [F.when(which == 0, branches[0][n]).when(which == 1, branches[1][n]).when(which == 2, branches[2][n]).otherwise(branches[3][n]) for n in range(4)]
+    norm = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    return [v / norm for v in q]
+
+
+def rotation_distance(p: list[Column], q: list[Column]) -> Column:
+    """The angle between two rotations by their unit quaternions, 0 to pi: both signs of a quaternion are one rotation. By the arc tangent of the quotient's
+    two parts, so angles too small for an arc cosine keep their digits."""
+    (a, b, c, d), (w, x, y, z) = p, q
+    scalar = a * w + b * x + c * y + d * z
+    vector = [a * x - b * w - c * z + d * y, a * y + b * z - c * w - d * x, a * z - b * y + c * x - d * w]
+    return 2 * F.atan2(F.sqrt(vector[0] * vector[0] + vector[1] * vector[1] + vector[2] * vector[2]), F.abs(scalar))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,14 +61,17 @@ def cells_of_boxes(boxes: DataFrame, size: float, side: float = 50.0, keys: list
     return out.where(G.axes_overlap(F.col("cx"), F.col("cy"), F.col("len"), F.col("wid"), F.col("yaw"), *mid, size / 2)).select(*keys, "track_id", "px", "py")
 
 
-def pairs(dets: DataFrame, boxes: DataFrame, keys: list[str], oriented: bool = False) -> DataFrame:
-    """det_id, track_id and iou > 0 within keys. Boxes farther apart than their half diagonals are left out before the area is computed."""
+def pairs(dets: DataFrame, boxes: DataFrame, keys: list[str], oriented: bool = False, measure: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """det_id, track_id and iou > 0 within keys. Boxes farther apart than their half diagonals are left out before the area is computed.
+
+    measure: the variant for oriented boxes, G.oriented_iou (parity) unless given, or G.clipped_iou (evaluation).
+    """
     a = dets.select(*keys, "det_id", "score", *(F.col(c).alias(f"a_{c}") for c in ("cx", "cy", "len", "wid", *(["yaw"] if oriented else []))))
     b = boxes.select(*keys, "track_id", *(F.col(c).alias(f"b_{c}") for c in ("cx", "cy", "len", "wid", *(["yaw"] if oriented else []))))
     both = a.join(b, keys).where(F.hypot(F.col("a_cx") - F.col("b_cx"), F.col("a_cy") - F.col("b_cy")) <= F.hypot("a_len", "a_wid") / 2 + F.hypot("b_len", "b_wid") / 2)
     if oriented:
         box = {p: F.struct(*(F.col(f"{p}_{c}").alias(c) for c in ("cx", "cy", "len", "wid", "yaw"))) for p in "ab"}
-        iou = G.oriented_iou(box["a"], box["b"])
+        iou = (measure or G.oriented_iou)(box["a"], box["b"])
     else:
         iou = G.aligned_iou(*(F.col(f"{p}_{c}") for p in "ab" for c in ("cx", "cy", "len", "wid")))
     return both.select(*keys, "det_id", "score", "track_id", iou.alias("iou")).where("iou > 0")

@@ -159,78 +159,6 @@ def jn_15(s, d):
     return best.join(top, "det_id").where("iou = top").groupBy("det_id").agg(F.min("object_type").alias("reason"))
 
 
-BOTH = f"""{DET}, a AS (SELECT track_id, max(score) >= 0.5 AS hit FROM det GROUP BY track_id), b AS (SELECT track_id, max(score) >= 0.5 AS hit FROM det WHERE det_id % 4 <> 0 GROUP BY track_id),
-obs AS (SELECT track_id, object_type, {FR}, coalesce(a.hit, false) AS ten, coalesce(b.hit, false) AS five FROM gt LEFT JOIN a USING (track_id) LEFT JOIN b USING (track_id))"""
-
-
-def observed(s, d):
-    det = detections(s, d)
-    g = ground_truth(s, d)
-    for name, rows in (("ten", det), ("five", det.where("det_id % 4 <> 0"))):
-        hit = rows.groupBy("track_id").agg((F.max("score") >= 0.5).alias(name))
-        g = g.join(hit, "track_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return g
-
-
-@query("jn_17_paired_conditions", f"WITH {BOTH} SELECT object_type, CASE WHEN ten AND five THEN 'detected_both' WHEN ten THEN 'lost' WHEN five THEN 'gained' ELSE 'missed_both' END AS transition, count(*) AS n FROM obs GROUP BY ALL")
-def jn_17(s, d):
-    kind = F.when(F.col("ten") & F.col("five"), "detected_both").when(F.col("ten"), "lost").when(F.col("five"), "gained").otherwise("missed_both")
-    return observed(s, d).groupBy("object_type", kind.alias("transition")).agg(F.count("*").alias("n"))
-
-
-@query("agg_15_count_metrics", f"WITH {BOTH}, n AS (SELECT object_type, count(*) FILTER (ten AND five) AS tp, count(*) FILTER (ten AND NOT five) AS fp, count(*) FILTER (NOT ten) AS fn FROM obs GROUP BY object_type) SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM n")
-def agg_15(s, d):
-    n = observed(s, d).groupBy("object_type").agg(F.count_if(F.col("ten") & F.col("five")).alias("tp"), F.count_if(F.col("ten") & ~F.col("five")).alias("fp"), F.count_if(~F.col("ten")).alias("fn"))
-    return M.count_metrics(n)
-
-
-@query("agg_16_class_report")
-def agg_16(s, d):
-    """Counts and metrics per class at three thresholds."""
-    out = None
-    for t in (0.3, 0.5, 0.7):
-        records = B.match(scored(s, d), targets(s, d), ignores(s, d), KEYS, t)
-        n = B.match_counts(records, targets(s, d), KEYS).groupBy("class_name").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "ignored")))
-        n = M.count_metrics(n).withColumn("threshold", F.lit(t))
-        out = n if out is None else out.unionByName(n)
-    return out
-
-
-@query("agg_17_range_recall", f"WITH {BOTH}, r AS (SELECT *, CASE WHEN cy >= 0 AND cy < 20 THEN '0-20' WHEN cy < 35 THEN '20-35' WHEN cy <= 50 THEN '35-50' END AS slice FROM obs JOIN (SELECT track_id, cy FROM gt) USING (track_id)) SELECT object_type, slice, count(*) AS n, count(*) FILTER (ten) / count(*)::DOUBLE AS recall FROM r GROUP BY ALL")
-def agg_17(s, d):
-    return observed(s, d).groupBy("object_type", M.range_slice(F.col("cy")).alias("slice")).agg(F.count("*").alias("n"), (F.count_if(F.col("ten")) / F.count("*")).alias("recall"))
-
-
-@query("agg_18_strata", f"""WITH {BOTH}, u AS (SELECT 'occlusion' AS field, occlusion AS value, ten FROM obs JOIN (SELECT track_id, occlusion FROM gt) USING (track_id) UNION ALL SELECT 'truncation', truncation, ten FROM obs JOIN (SELECT track_id, truncation FROM gt) USING (track_id))
-SELECT field, value, count(*) AS n, CASE WHEN count(*) >= 10 THEN count(*) FILTER (ten) / count(*)::DOUBLE END AS recall FROM u GROUP BY ALL""")
-def agg_18(s, d):
-    u = observed(s, d).select("ten", F.expr("stack(2, 'occlusion', occlusion, 'truncation', truncation) AS (field, value)"))
-    return u.groupBy("field", "value").agg(F.count("*").alias("n"), F.when(F.count("*") >= 10, F.count_if(F.col("ten")) / F.count("*")).alias("recall"))
-
-
-@query("agg_19_overflow_association", f"WITH {BOTH} SELECT frame_index % 6 = 0 AS overflow, count(*) FILTER (ten) AS tp, count(*) FILTER (NOT ten) AS fn, coalesce(count(*) FILTER (ten) / count(*)::DOUBLE, 0) AS recall FROM obs GROUP BY ALL")
-def agg_19(s, d):
-    n = observed(s, d).groupBy((F.col("frame_index") % 6 == 0).alias("overflow")).agg(F.count_if(F.col("ten")).alias("tp"), F.count_if(~F.col("ten")).alias("fn"))
-    return n.withColumn("recall", M.ratio0(F.col("tp"), F.col("tp") + F.col("fn")))
-
-
-RUNS = f"""{BOTH}, t AS (SELECT track_id % 25 AS object, track_id // 25 AS k, ten FROM obs), breaks AS (SELECT *, CASE WHEN ten IS DISTINCT FROM lag(ten) OVER w OR k <> lag(k) OVER w + 1 THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY object ORDER BY k)),
-runs AS (SELECT object, ten, run, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY object ORDER BY k) AS run FROM breaks) GROUP BY ALL)"""
-
-
-@query("win_4_longest_runs", f"WITH {RUNS} SELECT object, coalesce(max(n) FILTER (ten), 0) AS longest_hit, coalesce(max(n) FILTER (NOT ten), 0) AS longest_miss FROM runs GROUP BY object")
-def win_4(s, d):
-    t = observed(s, d).select((F.col("track_id") % 25).alias("object"), F.floor(F.col("track_id") / 25).alias("k"), "ten")
-    return M.longest_runs(t, ["object"], "k", "ten")
-
-
-@query("agg_20_track_continuity", f"WITH {RUNS}, m AS (SELECT object, count(*) AS labelled, count(*) FILTER (ten) AS detected FROM t GROUP BY object) SELECT m.object, any_value(labelled) AS labelled, any_value(detected) AS detected, any_value(detected / labelled::DOUBLE) AS fraction, coalesce(max(n) FILTER (ten), 0) AS longest_hit, coalesce(max(n) FILTER (NOT ten), 0) AS longest_miss FROM m JOIN runs ON m.object = runs.object GROUP BY m.object")
-def agg_20(s, d):
-    t = observed(s, d).select((F.col("track_id") % 25).alias("object"), F.floor(F.col("track_id") / 25).alias("k"), "ten")
-    n = t.groupBy("object").agg(F.count("*").alias("labelled"), F.count_if(F.col("ten")).alias("detected"))
-    return n.withColumn("fraction", F.col("detected") / F.col("labelled")).join(M.longest_runs(t, ["object"], "k", "ten"), "object")
-
-
 @query("win_3_average_precision", f"""WITH {DET}, r AS (SELECT object_type, score, det_id, det_id % 3 <> 0 AS tp FROM det), n AS (SELECT object_type, count(*) AS n_truths FROM det GROUP BY object_type),
 c AS (SELECT *, sum(CAST(tp AS INT)) OVER w / row_number() OVER w AS precision FROM r WINDOW w AS (PARTITION BY object_type ORDER BY score DESC, det_id)),
 e AS (SELECT *, max(precision) OVER (PARTITION BY object_type ORDER BY score DESC, det_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM c)
