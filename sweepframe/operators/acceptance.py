@@ -11,14 +11,25 @@ EXPORTED, HIGH = 0.25, 0.3
 BOX = ("cx", "cy", "cz", "len", "wid", "hgt", "yaw", "score", "object_type")
 
 
-def matched_errors(reference: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per pair of equal det_id: both scores and all errors; high: either side is of high confidence."""
+def matched_errors(reference: DataFrame, candidate: DataFrame, keys: list[str], matches: DataFrame) -> DataFrame:
+    """One row per matched pair (det_id, other_id): both scores and all errors; high: either side is of high confidence. matches: as parity_matches gives them."""
     a, b = reference.alias("a"), candidate.alias("b")
     side = {p: {c: F.col(f"{p}.{c}") for c in BOX} for p in "ab"}
-    out = a.join(b, F.col("a.det_id") == F.col("b.det_id")).select(*(F.col(f"a.{k}") for k in keys), "a.det_id", "a.object_type", F.col("a.score").alias("score"), F.col("b.score").alias("other_score"), *(v.alias(k) for k, v in pair_errors(side["a"], side["b"]).items()))
+    m = matches.where("kind = 'match'").select(F.col("det_id").alias("_a"), F.col("other_id").alias("_b"))
+    both = a.join(m, F.col("a.det_id") == F.col("_a")).join(b, F.col("_b") == F.col("b.det_id"))
+    out = both.select(*(F.col(f"a.{k}") for k in keys), "a.det_id", F.col("_b").alias("other_id"), "a.object_type", F.col("a.score").alias("score"), F.col("b.score").alias("other_score"), *(v.alias(k) for k, v in pair_errors(side["a"], side["b"]).items()))
     return out.withColumn("size_error", F.greatest("length_error", "width_error", "height_error")).withColumn("high", (F.col("score") >= HIGH) | (F.col("other_score") >= HIGH))
 
 
+def threshold_edges(reference: DataFrame, candidate: DataFrame, matches: DataFrame, exported: float = EXPORTED, band: tuple[float, float] = (0.2, 0.3)) -> DataFrame:
+    """(kind, det_id, other_id): matched pairs of which one side alone is exported and either is near the threshold (in the band), and exported detections near it that have no match."""
+    pairs = matches.join(reference.select("det_id", "score"), "det_id", "left").join(candidate.select(F.col("det_id").alias("other_id"), F.col("score").alias("other_score")), "other_id", "left")
+    a, b = (F.coalesce(F.col(c) >= exported, F.lit(False)) for c in ("score", "other_score"))
+    near_a, near_b = (F.coalesce(F.col(c).between(*band), F.lit(False)) for c in ("score", "other_score"))
+    kind = F.when((F.col("kind") == "match") & (a != b) & (near_a | near_b), "matched_crossing").when((F.col("kind") == "missing") & a & near_a, "reference_only").when((F.col("kind") == "extra") & b & near_b, "candidate_only")
+    return pairs.select(kind.alias("kind"), "det_id", "other_id").where("kind is not null")
+
+
 def sample_parity(reference: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
     """Per sample: detections of either side in all, exported and of high confidence, exported ones per class, and whether the exported counts are near enough."""
 

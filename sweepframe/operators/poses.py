@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,3 +127,18 @@ def normalised_poses(records: DataFrame) -> DataFrame:
     x0, y0 = mercator(F.col("f.lat"), F.col("f.lon"), F.col("_scale"))
     dx, dy, c, s = x - x0, y - y0, F.cos("f.yaw"), F.sin("f.yaw")
     return out.select(*records.columns, (c * dx + s * dy).alias("x"), (c * dy - s * dx).alias("y"), (F.col("alt") - F.col("f.alt")).alias("z"))
+
+
+def previous_walk(spark: SparkSession, records: DataFrame, depth: int) -> DataFrame:
+    """(id, rank, previous): up to `depth` records before each, nearest first, by following the pointer `prev` of records (id, prev).
+
+    A recursive query of so many joins at most. A walk ends at a record without a pointer, at one that isn't there, and before one that it has met.
+    """
+    # The default bound on a recursion's rows is for runaway ones; here the depth is bounded.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    view = f"records_{uuid.uuid4().hex}"
+    records.select("id", "prev").createOrReplaceTempView(view)
+    return spark.sql(f"""WITH RECURSIVE walk(id, rank, previous, next, met) MAX RECURSION LEVEL {depth + 1} AS (
+      SELECT a.id, 1, b.id, b.prev, array(a.id, b.id) FROM {view} a JOIN {view} b ON a.prev = b.id WHERE a.id <> b.id
+      UNION ALL SELECT w.id, rank + 1, b.id, b.prev, array_append(met, b.id) FROM walk w JOIN {view} b ON w.next = b.id WHERE rank < {depth} AND NOT array_contains(met, b.id))
+    SELECT id, rank, previous FROM walk""")

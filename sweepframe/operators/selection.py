@@ -68,3 +68,21 @@ def spanning(frames: DataFrame, value: str, count: int, keys: list[str], index:
     kinds = dict(frames.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, index, value]) + ", pick long"
     return frames.select(*keys, index, value).groupBy(*keys).applyInPandas(pick, schema)
+
+
+def reconstruction_frames(motion: DataFrame) -> DataFrame:
+    """(drive_id, frame_index): 24 frames of each drive of (drive_id, frame_index, motion): five at the start, sixteen spread evenly, then of those not yet taken
+    the one of lowest motion, of the motion nearest to the middle rank, and of highest motion. Ties go to the smaller index, at the highest to the larger.
+
+    One row a frame is all that is ranked; ranks are within a drive.
+    """
+    last = motion.groupBy("drive_id").agg(F.max("frame_index").alias("last"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda r: F.floor((r * (F.col("last") - 11)) / 15) + 11)
+    fixed = F.array(*(F.lit(k).cast("long") for k in (0, 1, 2, 5, 10)))
+    taken = last.select("drive_id", F.explode(F.array_union(fixed, spread)).alias("frame_index")).distinct()
+    w = Window.partitionBy("drive_id")
+    ranked = motion.where("frame_index >= 11").withColumn("k", F.row_number().over(w.orderBy("motion", "frame_index")) - 1).withColumn("n", F.count("*").over(w))
+    for order in (F.col("k"), F.struct(F.abs(2 * F.col("k") - (F.col("n") - 1)), "frame_index"), -F.col("k")):
+        free = ranked.join(taken, ["drive_id", "frame_index"], "left_anti")
+        taken = taken.unionByName(free.groupBy("drive_id").agg(F.min_by("frame_index", order).alias("frame_index")))
+    return taken

@@ -7,19 +7,28 @@ from pyspark.sql.window import Window
 
 from sweepframe.functions import geometry as G
 from sweepframe.functions.numeric import fraction, gib
+from sweepframe.operators import boxes as B
 from sweepframe.operators import metrics as M
+from sweepframe.operators.acceptance import threshold_edges
 from sweepframe.operators.fidelity import tolerance
+from sweepframe.plans.acceptance import matches_sql
 from sweepframe.plans.fixtures import CAND, DET, FRAME, LOGITS, candidates, detections, logits
 from sweepframe.registry import query
 
 FR = "drive_id, frame_index"
-MATCHED = f"{CAND}, m AS (SELECT p.drive_id, p.frame_index, p.object_type, det_id, p.score AS score, c.score AS other_score, sqrt((p.cx - c.cx) * (p.cx - c.cx)) AS xy_error, abs(p.score - c.score) AS score_error FROM det p JOIN cand c USING (det_id))"
+MATCHED = f"{CAND}, {matches_sql('det', 'cand')}, m AS (SELECT p.drive_id, p.frame_index, p.object_type, mt.det_id, mt.other_id, p.score AS score, c.score AS other_score, sqrt((p.cx - c.cx) ** 2 + (p.cy - c.cy) ** 2) AS xy_error, abs(p.score - c.score) AS score_error FROM mt JOIN det p ON p.det_id = mt.det_id JOIN cand c ON c.det_id = mt.other_id)"
+
+
+def pairs(s, d):
+    return B.parity_matches(detections(s, d).withColumn("det_id", F.col("det_id").cast("long")), candidates(s, d), [*FRAME, "object_type"], 0.5, oriented=False)
 
 
 def matched(s, d):
-    c = candidates(s, d).select("det_id", F.col("cx").alias("other_cx"), F.col("score").alias("other_score"))
-    both = detections(s, d).join(c, "det_id")
-    return both.select(*FRAME, "object_type", "det_id", "score", "other_score", F.abs(F.col("cx") - F.col("other_cx")).alias("xy_error"), F.abs(F.col("score") - F.col("other_score")).alias("score_error"))
+    """Matched detections of two backends with their errors."""
+    m = pairs(s, d).where("kind = 'match'").select("det_id", "other_id")
+    c = candidates(s, d).select(F.col("det_id").alias("other_id"), *(F.col(k).alias(f"other_{k}") for k in ("cx", "cy", "score")))
+    both = detections(s, d).join(m, "det_id").join(c, "other_id")
+    return both.select(*FRAME, "object_type", "det_id", "other_id", "score", "other_score", F.hypot(F.col("cx") - F.col("other_cx"), F.col("cy") - F.col("other_cy")).alias("xy_error"), F.abs(F.col("score") - F.col("other_score")).alias("score_error"))
 
 
 @query("agg_21_descriptive", f"WITH {DET} SELECT object_type, count(*) AS n, avg(score) AS mean, median(score) AS median, quantile_cont(score, 0.9) AS p90, quantile_cont(score, 0.95) AS p95, min(score) AS min, max(score) AS max, stddev_pop(score) AS std FROM det GROUP BY object_type")
@@ -33,12 +42,12 @@ def agg_22(s, d):
     return M.describe(e, "value", ["event_type"]).select("event_type", "n", "median", "p95", (1000 / F.col("median")).alias("fps"))
 
 
-@query("agg_23_distribution", f"WITH {MATCHED} SELECT object_type, median(xy_error) AS median, quantile_cont(xy_error, 0.95) AS p95, quantile_cont(xy_error, 0.99) AS p99, max(xy_error) AS max, avg(xy_error) AS mean FROM m GROUP BY object_type")
+@query("agg_23_distribution", f"WITH RECURSIVE {MATCHED} SELECT object_type, median(xy_error) AS median, quantile_cont(xy_error, 0.95) AS p95, quantile_cont(xy_error, 0.99) AS p99, max(xy_error) AS max, avg(xy_error) AS mean FROM m GROUP BY object_type")
 def agg_23(s, d):
     return matched(s, d).groupBy("object_type").agg(F.median("xy_error").alias("median"), F.percentile("xy_error", F.lit(0.95)).alias("p95"), F.percentile("xy_error", F.lit(0.99)).alias("p99"), F.max("xy_error").alias("max"), F.avg("xy_error").alias("mean"))
 
 
-@query("agg_24_tolerance", f"WITH {MATCHED} SELECT object_type, count(*) AS n, count(*) FILTER (xy_error <= 0.05) AS passed, avg(CAST(xy_error <= 0.05 AS INT)) AS pass_fraction, avg(CAST(xy_error <= 0.05 AS INT)) >= 0.99 AS accepted FROM m GROUP BY object_type")
+@query("agg_24_tolerance", f"WITH RECURSIVE {MATCHED} SELECT object_type, count(*) AS n, count(*) FILTER (xy_error <= 0.05) AS passed, avg(CAST(xy_error <= 0.05 AS INT)) AS pass_fraction, avg(CAST(xy_error <= 0.05 AS INT)) >= 0.99 AS accepted FROM m GROUP BY object_type")
 def agg_24(s, d):
     return tolerance(matched(s, d), "xy_error", 0.05, ["object_type"])
 
@@ -51,11 +60,11 @@ def jn_23(s, d):
     return a.join(b, [*FRAME, "k"], "full").groupBy(*FRAME).agg(F.count("a").alias("a_count"), F.count("b").alias("b_count"), F.min(F.when(differs, F.col("k"))).alias("first"))
 
 
-@query("jn_24_threshold_edges", f"WITH {MATCHED} SELECT det_id, 'straddles' AS kind FROM m WHERE (score >= 0.5) <> (other_score >= 0.5) UNION ALL SELECT det_id, 'edge_only' FROM m WHERE score BETWEEN 0.2 AND 0.3 AND other_score NOT BETWEEN 0.2 AND 0.3")
+@query("jn_24_threshold_edges", f"""WITH RECURSIVE {MATCHED} SELECT 'matched_crossing' AS kind, det_id, other_id FROM m WHERE (score >= 0.25) <> (other_score >= 0.25) AND (score BETWEEN 0.2 AND 0.3 OR other_score BETWEEN 0.2 AND 0.3)
+UNION ALL SELECT 'reference_only', no.det_id, NULL FROM no JOIN det ON det.det_id = no.det_id WHERE kind = 'missing' AND score BETWEEN 0.25 AND 0.3 UNION ALL SELECT 'candidate_only', NULL, no.other_id FROM no JOIN cand ON cand.det_id = no.other_id WHERE kind = 'extra' AND score BETWEEN 0.25 AND 0.3""")
 def jn_24(s, d):
-    m = matched(s, d)
-    a = m.where((F.col("score") >= 0.5) != (F.col("other_score") >= 0.5)).select("det_id", F.lit("straddles").alias("kind"))
-    return a.union(m.where(F.col("score").between(0.2, 0.3) & ~F.col("other_score").between(0.2, 0.3)).select("det_id", F.lit("edge_only").alias("kind")))
+    """Pairs that cross the threshold of export, and exported detections near it that only one side has."""
+    return threshold_edges(detections(s, d), candidates(s, d), pairs(s, d))
 
 
 @query("prj_24_latency_classes", "SELECT event_id, CASE WHEN value <= 50 THEN '20Hz' WHEN value <= 75 THEN '13Hz' WHEN value <= 100 THEN '10Hz' ELSE 'slow' END AS class FROM events")
@@ -129,7 +138,14 @@ def mth_2(s, d):
     return g.select("object_type", *(fraction(F.col("a"), F.col("b"), e).alias(n) for n, e in (("one", 1.0), ("zero", 0.0), ("none", None))), gib(F.col("n")).alias("gib"))
 
 
-@query("agg_48_runs", f"WITH {MATCHED}, r AS (SELECT det_id % 4 AS run, max(xy_error) AS worst, avg(xy_error) AS mean FROM m GROUP BY ALL) SELECT count(*) AS runs, max(worst) AS worst, median(mean) AS median_mean FROM r")
+@query("agg_48_runs", f"""WITH RECURSIVE {MATCHED}, t AS (SELECT det_id % 4 AS run, count(*) AS n FROM det GROUP BY ALL), o AS (SELECT det_id % 4 AS run, xy_error, row_number() OVER (PARTITION BY drive_id, frame_index, det_id % 4 ORDER BY score DESC, det_id) AS ka, row_number() OVER (PARTITION BY drive_id, frame_index, det_id % 4 ORDER BY other_score DESC, other_id) AS kb FROM m),
+r AS (SELECT run, max(xy_error) AS worst, avg(xy_error) AS mean, count(*) / any_value(n)::DOUBLE AS coverage, bool_and(ka = kb) AS exact FROM o JOIN t USING (run) GROUP BY run)
+SELECT count(*) AS runs, count(*) FILTER (exact) AS exact_order_runs, max(worst) AS worst, median(mean) AS median_mean, min(coverage) AS least_coverage, avg(coverage) AS mean_coverage FROM r""")
 def agg_48(s, d):
-    r = matched(s, d).groupBy((F.col("det_id") % 4).alias("run")).agg(F.max("xy_error").alias("worst"), F.avg("xy_error").alias("mean"))
-    return r.agg(F.count("*").alias("runs"), F.max("worst").alias("worst"), F.median("mean").alias("median_mean"))
+    """Runs side by side: their largest and mean errors, the share of detections that found a match, and how many keep the order of scores in every frame."""
+    run = F.col("det_id") % 4
+    total = detections(s, d).groupBy(run.alias("run")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*FRAME, "run")
+    o = matched(s, d).withColumn("run", run).withColumns({"ka": F.row_number().over(w.orderBy(F.desc("score"), "det_id")), "kb": F.row_number().over(w.orderBy(F.desc("other_score"), "other_id"))})
+    r = o.join(total, "run").groupBy("run").agg(F.max("xy_error").alias("worst"), F.avg("xy_error").alias("mean"), (F.count("*") / F.first("n")).alias("coverage"), F.bool_and(F.col("ka") == F.col("kb")).alias("exact"))
+    return r.agg(F.count("*").alias("runs"), F.count_if("exact").alias("exact_order_runs"), F.max("worst").alias("worst"), F.median("mean").alias("median_mean"), F.min("coverage").alias("least_coverage"), F.avg("coverage").alias("mean_coverage"))

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from sweepframe.functions import geometry as G
 from sweepframe.functions.numeric import acquisition_id, decimal_seconds_ns, ns_to_us, parse_timestamp_ns, stamp_ns
-from sweepframe.operators.poses import bracket, normalised_poses
+from sweepframe.operators.poses import bracket, normalised_poses, previous_walk
+from sweepframe.operators.selection import reconstruction_frames
 from sweepframe.plans.fixtures import FRAME, FRAMES, MESSAGES, POSES, frames, messages, poses
 from sweepframe.registry import query
 
@@ -81,6 +82,16 @@ def src_19(s, d):
     return frames(s, d).select(*FRAME, F.array_compact(F.array(*(F.lag("frame_index", k).over(w) for k in (1, 2, 3)))).alias("previous")).where("size(previous) > 0")
 
 
+@query("src_19_pointer_walk", f"WITH {FRAMES}, r AS (SELECT *, drive_id || ':' || frame_index AS id, row_number() OVER (PARTITION BY drive_id ORDER BY frame_index) AS n FROM frames) SELECT f.id, string_agg(p.id, ',' ORDER BY p.n DESC) AS previous FROM r f JOIN r p ON f.drive_id = p.drive_id AND p.n BETWEEN f.n - 3 AND f.n - 1 GROUP BY f.id")
+def src_19_pointers(s, d):
+    """The same of records that know the record before them alone, without a time: a recursive walk of at most three steps."""
+    w = Window.partitionBy("drive_id").orderBy("frame_index")
+    name = F.concat_ws(":", "drive_id", "frame_index")
+    records = frames(s, d).select(name.alias("id"), F.lag(name).over(w).alias("prev"))
+    walk = previous_walk(s, records, 3)
+    return walk.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "previous"))), lambda x: x["previous"]), ",").alias("previous"))
+
+
 @query("win_11_mercator_poses", f"WITH {POSES}, f AS (SELECT drive_id, arg_min(lat, frame_index) AS lat0, arg_min(lon, frame_index) AS lon0, arg_min(alt, frame_index) AS alt0, arg_min(yaw, frame_index) AS yaw0 FROM poses GROUP BY drive_id), m AS (SELECT *, cos(radians(lat0)) * 6378137 * (radians(lon) - radians(lon0)) AS dx, cos(radians(lat0)) * 6378137 * (ln(tan(radians(90 + lat) / 2)) - ln(tan(radians(90 + lat0) / 2))) AS dy FROM poses JOIN f USING (drive_id)) SELECT {FR}, round(cos(yaw0) * dx + sin(yaw0) * dy, 4) + 0 AS x, round(cos(yaw0) * dy - sin(yaw0) * dx, 4) + 0 AS y, round(alt - alt0, 4) + 0 AS z FROM m")
 def win_11(s, d):
     out = normalised_poses(poses(s, d).select(*FRAME, "lat", "lon", "alt", "yaw"))
@@ -108,12 +119,23 @@ def win_13(s, d):
     return increasing(frames(s, d), ["drive_id"], "frame_index", "ts_ns")
 
 
-@query("sel_4_reconstruction_frames", f"WITH {FRAMES}, l AS (SELECT drive_id, max(frame_index) AS last FROM frames GROUP BY drive_id) SELECT DISTINCT drive_id, k AS frame_index FROM (SELECT drive_id, unnest([0, 1, 2, 5, 10]) AS k FROM l UNION ALL SELECT drive_id, 11 + r * (last - 11) // 15 FROM l, range(0, 16) t(r))")
+#: Motion of each frame from the eleventh on: distance and turn since the frame before, of planar poses.
+MOTION = f"""{POSES}, step AS (SELECT drive_id, frame_index, sqrt((tx - lag(tx) OVER w) ** 2 + (ty - lag(ty) OVER w) ** 2 + (tz - lag(tz) OVER w) ** 2) + abs(yaw - lag(yaw) OVER w) AS moved FROM poses WINDOW w AS (PARTITION BY drive_id ORDER BY frame_index)),
+score AS (SELECT drive_id, frame_index, round(moved, 9) AS motion FROM step WHERE frame_index >= 11), last AS (SELECT drive_id, max(frame_index) AS last FROM frames GROUP BY drive_id),
+pick0 AS (SELECT DISTINCT drive_id, k AS frame_index FROM (SELECT drive_id, unnest([0, 1, 2, 5, 10]) AS k FROM last UNION ALL SELECT drive_id, 11 + r * (last - 11) // 15 FROM last, range(0, 16) t(r))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY motion, frame_index) - 1 AS k, count(*) OVER (PARTITION BY drive_id) AS n FROM score),
+pick1 AS (SELECT drive_id, frame_index FROM pick0 UNION ALL SELECT drive_id, arg_min(frame_index, k) FROM ranked ANTI JOIN pick0 USING (drive_id, frame_index) GROUP BY drive_id),
+pick2 AS (SELECT drive_id, frame_index FROM pick1 UNION ALL SELECT drive_id, arg_min(frame_index, {{'d': abs(2 * k - (n - 1)), 'i': frame_index}}) FROM ranked ANTI JOIN pick1 USING (drive_id, frame_index) GROUP BY drive_id),
+pick3 AS (SELECT drive_id, frame_index FROM pick2 UNION ALL SELECT drive_id, arg_max(frame_index, k) FROM ranked ANTI JOIN pick2 USING (drive_id, frame_index) GROUP BY drive_id)"""
+
+
+@query("sel_4_reconstruction_frames", f"WITH {MOTION} SELECT * FROM pick3")
 def sel_4(s, d):
-    last = frames(s, d).groupBy("drive_id").agg(F.max("frame_index").alias("last"))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda r: F.floor((r * (F.col("last") - 11)) / 15) + 11)
-    fixed = F.array(*(F.lit(k).cast("long") for k in (0, 1, 2, 5, 10)))
-    return last.select("drive_id", F.explode(F.array_union(fixed, spread)).alias("frame_index")).distinct()
+    """24 frames a drive: structural and systematic ones, then the unused ones of lowest, median and highest motion."""
+    w = Window.partitionBy("drive_id").orderBy("frame_index")
+    moved = F.sqrt(sum((F.col(c) - F.lag(c).over(w)) ** 2 for c in ("tx", "ty", "tz"))) + F.abs(F.col("yaw") - F.lag("yaw").over(w))
+    motion = poses(s, d).select(*FRAME, F.round(moved, 9).alias("motion"))
+    return reconstruction_frames(motion)
 
 
 @query("geo_16_slerp", f"WITH {POSES} SELECT {FR}, round(sin(yaw / 4), 6) AS z, round(cos(yaw / 4), 6) AS w FROM poses")
@@ -121,3 +143,35 @@ def geo_16(s, d):
     z = F.lit(0.0)
     q = G.slerp([F.lit(1.0), z, z, z], [F.cos(F.col("yaw") / 2), z, z, F.sin(F.col("yaw") / 2)], F.lit(0.5))
     return poses(s, d).select(*FRAME, F.round(q[3], 6).alias("z"), F.round(q[0], 6).alias("w"))
+
+
+TURNED = f"{POSES}, t AS (SELECT *, (yaw * 5 + pi()) % (2 * pi()) - pi() AS turn FROM poses), q AS (SELECT *, cos(turn / 2) AS w, sin(turn / 2) AS z FROM t)"
+
+
+@query("geo_16_rotation_quaternions", f"WITH {TURNED} SELECT {FR}, round(CASE WHEN 1 + 2 * cos(turn) <= 0 AND z < 0 THEN -w ELSE w END, 6) + 0 AS w, round(CASE WHEN 1 + 2 * cos(turn) <= 0 AND z < 0 THEN -z ELSE z END, 6) + 0 AS z FROM q")
+def geo_16_quaternions(s, d):
+    """Of the matrices of turns all round, by the trace and, beyond a third of a turn, by the diagonal."""
+    m = poses(s, d).select(*FRAME, G.rotation("z", F.col("yaw") * 5).alias("m"))
+    q = G.rotation_quaternion(F.col("m"), 3)
+    return m.select(*FRAME, (F.round(q[0], 6) + 0.0).alias("w"), (F.round(q[3], 6) + 0.0).alias("z"))
+
+
+@query("geo_16_geodesic_distance", f"WITH {TURNED}, p AS (SELECT *, first(turn) OVER (PARTITION BY drive_id ORDER BY frame_index) AS first FROM q) SELECT {FR}, round(abs((turn - first + 3 * pi()) % (2 * pi()) - pi()), 6) + 0 AS from_first, 1e-9::DOUBLE * frame_index AS tiny FROM p")
+def geo_16_distance(s, d):
+    """From the first rotation of the drive, and of a turn by some billionths."""
+    w = Window.partitionBy("drive_id").orderBy("frame_index")
+    m = poses(s, d).select(*FRAME, G.rotation("z", F.col("yaw") * 5).alias("m")).withColumn("first", F.first("m").over(w))
+    a, b = (G.rotation_quaternion(F.col(c), 3) for c in ("m", "first"))
+    i, zero = F.col("frame_index") * 1e-9, F.lit(0.0)
+    tiny = G.rotation_distance([F.lit(1.0), zero, zero, zero], [-F.cos(i / 2), zero, zero, -F.sin(i / 2)])
+    return m.select(*FRAME, (F.round(G.rotation_distance(a, b), 6) + 0.0).alias("from_first"), F.round(tiny, 15).alias("tiny"))
+
+
+@query("sql_functions", "SELECT c_custkey AS id, round((a + pi()) % (2 * pi()) - pi(), 6) + 0 AS wrapped, round(degrees(abs((a - b + 3 * pi()) % (2 * pi()) - pi())), 6) + 0 AS heading, CAST(floor((c_acctbal / 100 + 50) / 0.25) AS INT) AS cell FROM (SELECT *, (c_custkey % 37) * 0.4::DOUBLE AS a, (c_custkey % 11) * 0.7::DOUBLE AS b FROM customer)")
+def sql_functions(s, d):
+    """The functions that SQL users get: wrap_angle, heading_difference, cell_index."""
+    from sweepframe.functions.sql import register
+
+    register(s)
+    s.read.parquet(f"{d}/customer.parquet").createOrReplaceTempView("_customers")
+    return s.sql("SELECT c_custkey AS id, round(wrap_angle(a), 6) + 0.0D AS wrapped, round(heading_difference(a, b), 6) + 0.0D AS heading, cell_index(c_acctbal / 100, -50.0D, 0.25D) AS cell FROM (SELECT *, (c_custkey % 37) * 0.4D AS a, (c_custkey % 11) * 0.7D AS b FROM _customers)")
