@@ -138,13 +138,13 @@ def detection_order() -> list[Column]:
 
 def best_partners(frame: pd.DataFrame) -> pd.DataFrame:
     """One group's pairs: references in their order take the free candidate of highest overlap; ties go to the candidate that is earlier in its own order."""
-    taken, rows = set(), []
-    for det, own in frame.sort_values(["place", "iou", "other_place"], ascending=[True, False, True]).groupby("place", sort=True):
-        free = own[~own["other_id"].isin(taken)]
-        if len(free):
-            best = free.iloc[0]
-            taken.add(best["other_id"])
-            rows.append((best["det_id"], best["other_id"], best["iou"]))
+    taken, rows, done = set(), [], None
+    order = sorted(zip(frame["place"], -frame["iou"], frame["other_place"], frame["det_id"], frame["other_id"], strict=True))
+    for place, negative, _, det, other in order:
+        if place != done and other not in taken:
+            done = place
+            taken.add(other)
+            rows.append((det, other, -negative))
     return pd.DataFrame(rows, columns=["det_id", "other_id", "iou"])
 
 

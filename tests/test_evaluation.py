@@ -111,3 +111,21 @@ def test_dispositions_equal_plain_version():
         frame = pd.DataFrame(rows, columns=["det_id", "score", "track_id", "role", "object_type", "iou"])
         got = Counter((t, d, k, disposition, reason) for t, d, _, k, _, disposition, reason in E.dispositions(frame, [0.3, 0.5, 0.7]))
         assert got == plain_matches(dets, boxes, [0.3, 0.5, 0.7], 0.0)
+
+
+def test_parity_partners_equal_plain_version():
+    from sweepframe.operators.boxes import best_partners
+
+    r = random.Random(3)
+    for _ in range(60):
+        pairs = {(a, b): round(r.uniform(0.5, 1), 1) for a in range(r.randint(1, 6)) for b in range(r.randint(1, 6)) if r.random() < 0.7}
+        if not pairs:
+            continue
+        frame = pd.DataFrame([(100 + a, 200 + b, v, a + 1, b + 1) for (a, b), v in pairs.items()], columns=["det_id", "other_id", "iou", "place", "other_place"]).sample(frac=1, random_state=1)
+        free, want = {b for _, b in pairs}, []
+        for a in sorted({a for a, _ in pairs}):
+            options = sorted((-v, b) for (x, b), v in pairs.items() if x == a and b in free)
+            if options:
+                free.remove(options[0][1])
+                want.append((100 + a, 200 + options[0][1], -options[0][0]))
+        assert [tuple(x) for x in best_partners(frame).itertuples(index=False)] == want
