@@ -4,9 +4,9 @@ Two zstandard dictionaries are trained on labelled texts, one of each class. A t
 that no long text becomes its own dictionary; the difference of the two sizes over the text's bytes goes through a monotone (isotonic) calibration that is
 fitted on labelled texts kept out of the dictionaries. Nothing else is an input of the score.
 
-The fit sees a bounded sample: at most `most_rows` rows a class (a documented parameter). Of the half that makes the dictionaries each text gives at most
-`most_blocks` blocks, spread evenly over the whole text; the half that calibrates is compressed whole, in Spark, and only its sizes come to the
-driver. Scoring takes whole texts, in one pass without a shuffle; what is broadcast are two dictionaries of at most 112 KB.
+The fit sees a bounded sample: at most `most_rows` rows a class (a documented parameter), and whole texts of them. The texts of one half are the training
+material of the dictionaries, all of their blocks; the other half, which calibrates, is compressed whole in Spark, and only its sizes come to the driver. Below some
+kilobytes of text a class there is nothing to train on, and a class's texts are the dictionary themselves (its last 112 KB). Scoring takes whole texts, in one pass without a shuffle; what is broadcast are two dictionaries of at most 112 KB.
 
 Defined results: null scores as the empty text, which has no difference; with labels of one class or none, every text has the smoothed share of
 label 1; copies have equal scores; extra columns are left alone; an empty table gives an empty result.
@@ -65,12 +65,9 @@ def trained(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY:]
 
 
-def spread(text: str, block: int, most: int) -> list[bytes]:
-    """At most `most` blocks of a text, spread evenly over all of it."""
+def blocks_of(text: str, block: int) -> list[bytes]:
     data = text.encode()
-    n = -(-len(data) // block)
-    at = range(n) if n <= most else sorted({k * n // most for k in range(most)})
-    return [data[k * block : (k + 1) * block] for k in at]
+    return [data[k : k + block] for k in range(0, len(data), block)]
 
 
 def calibration(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +83,7 @@ def calibration(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / n, (y + 0.5) / (n + 1)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, most_blocks: int, block: int, level: int) -> tuple[float, Compressors | None, tuple | None]:
+def fitted(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, block: int, level: int) -> tuple[float, Compressors | None, tuple | None]:
     """(share of label 1, compressors, calibration); the latter two are None where labels of one class are all there is."""
     rows = written(training_texts(docs, labels, label, (most_rows, most_rows)).withColumn("half", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/dictionary"))) % 2), "quality-rows")
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -94,9 +91,9 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, most_
 
     def blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([spread(t, block, most_blocks) for t in texts], dtype=object)
+            yield pd.Series([blocks_of(t, block) for t in texts], dtype=object)
 
-    # At most 2 * most_rows * most_blocks blocks.
+    # Half of 2 * most_rows texts.
     pieces: dict[int, list[bytes]] = {0: [], 1: []}
     for r in rows.where("half = 1").select("doc_id", "y", F.pandas_udf(blocks, "array<binary>")("text").alias("blocks")).orderBy("doc_id", "y").collect():
         pieces[r["y"]] += map(bytes, r["blocks"])
@@ -117,9 +114,9 @@ def compressed(compressors: Compressors) -> Callable[[Iterator[pd.Series]], Iter
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, most_rows: int = 3000, most_blocks: int = 64, block: int = 512, level: int = 3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, most_rows: int = 3000, block: int = 512, level: int = 3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label, most_rows, most_blocks, block, level))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label, most_rows, block, level))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         prior, compressors, curve = shared.value
