@@ -351,7 +351,7 @@ def split_groups(rows: DataFrame, length: int, gram: int, most: int) -> DataFram
     places = written(x.withColumn("context", F.xxhash64("hash", "before", "after")), "places")
     kinds = written(places.groupBy("hash", "low", "high", "context").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after")), "kinds")
     big = written(kinds.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most), "big-groups")  # at most the contexts over `most`
-    small = kinds.join(F.broadcast(big.select("hash")), "hash", "left_anti")
+    small = kinds.join(F.broadcast(big.select("hash")), "hash", "left_anti") if big.count() <= 1_000_000 else kinds.join(big.select("hash"), "hash", "left_anti")
     # Different contexts are compared; one that stands in several places repeats all its windows.
     compared = sorted_groups(small.select("hash", F.col("context").alias("id"), F.lit(0).cast("long").alias("pos"), "before", "after"), length, gram)
     back = F.least(F.col("high") - 1, F.octet_length("before"))
@@ -359,12 +359,9 @@ def split_groups(rows: DataFrame, length: int, gram: int, most: int) -> DataFram
     copied = small.where("n > 1").select(F.col("context").alias("id"), (-back).cast("long").alias("begin"), ahead.cast("long").alias("end"))
     spans = compared.union(copied).groupBy("id").agg(F.min("begin").alias("back"), F.max("end").alias("ahead")).withColumnRenamed("id", "context")
     spans = written(spans.join(kinds.select("context", "n"), "context"), "spans")
-    own, found = places.select("context", "id", "pos"), None
-    for part in (F.broadcast(spans.where("n >= 1000")), spans.where("n < 1000")):
-        got = own.join(part.select("context", "back", "ahead"), "context").select("id", (F.col("pos") + F.col("back")).alias("begin"), (F.col("pos") + F.col("ahead")).alias("end"))
-        found = got if found is None else found.union(got)
+    found = key_join(places.select("context", "id", "pos"), spans, ["context"]).select("id", (F.col("pos") + F.col("back")).alias("begin"), (F.col("pos") + F.col("ahead")).alias("end"))
     if not big.isEmpty():
-        found = found.union(window_repeats(places.join(F.broadcast(big.select("hash")), "hash", "left_semi"), length))
+        found = found.union(window_repeats(key_filter(places, big, "hash"), length))
     return found
 
 
@@ -406,8 +403,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans): what remains of each text without the bytes of repeated strings, and the spans that go."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     info = written(docs.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
-    classes = info.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = written(info.join(classes, "sha").select("id", "rep"), "copies")
+    classes = written(info.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
+    copies = written(key_join(info, classes, ["sha"]).select("id", "rep"), "copies")
     spare = copies.where("id <> rep").select("id")
     spare = F.broadcast(spare) if spare.count() <= 2_000_000 else spare
     unique = docs.where(F.octet_length("text") >= length).join(spare, "id", "left_anti")
