@@ -6,10 +6,13 @@ are joined first. Case, accents, signs between letters and usual digit-for-lette
 weigh less than decay ** SPAN, 0.2 %, and are left out; units longer than PIECE are taken in overlapping pieces, of which the most alike counts.
 
 Training reads a bounded number of labelled documents (`most_rows` toxic and three times as many clean ones), whole; the driver gets the different
-units of each. A toxic document has a toxic sentence, but which one isn't labelled. Landmarks are strings inside the units (words, joined
-letters) of toxic sentences that clean ones hold too rarely for chance, picked one by one until the units are explained, and frequent clean
-units. The machine is fitted on Nyström features (kernel values with the landmarks times K ** -1/2), then again with the units that scored
-highest in each labelled document, those of clean ones against it, those of toxic ones for it (as in mi-SVM). A document's value is the highest of its units, mapped to 0..1 by logistic calibration.
+units of each. A toxic document has toxic words, but which ones isn't labelled. Landmarks are strings inside units (words, joined letters) that more toxic
+documents hold than clean ones and more than chance allows, picked one by one until the units are explained, and frequent other units; where there are no such strings,
+the units themselves that more toxic documents have. The machine is fitted on Nyström features (kernel values with the landmarks times K ** -1/2): for
+toxicity speak all units of those strings that more toxic documents have than clean ones (RATIOS times as many: both a strict and a loose
+machine are made, and the one whose calibration fits the labels better stays), against it a sample of `negatives` others; then twice again with the
+units that scored highest in each labelled document (as in mi-SVM), so each has its say. A document's value is made of its highest units: the
+highest, and the means of three and of five, mapped to 0..1 by logistic calibration over all training documents, so several words that are doubtful alone count together.
 
 As the kernel is a sum over subsequences, landmarks and weights collapse into one table with a weight per three letters (64 ** 3 floats,
 1 MB, broadcast); a unit then costs a walk over its own subsequences, and each worker remembers a bounded number of units.
@@ -22,9 +25,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -39,6 +42,10 @@ MOST_UNITS = 400_000
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 SENTENCE = re.compile(r"[.!?\n]+\s+|\n+")
 LOWEST = -2.0
+#: How many times as many toxic documents as clean ones have what speaks for toxicity; the machine whose calibration fits the labels better stays.
+RATIOS = (20, 1)
+#: A document is judged by the means of so many of its highest values.
+TOPS = (1, 3, 5)
 #: Digits and signs that stand for letters.
 SWAPS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
@@ -117,39 +124,53 @@ def weighed(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 class Machine:
     """A trained model: values(units) and scores(texts)."""
 
-    def __init__(self, rows: list[tuple[int, str, int]], landmarks: int, seed: int = 5):
+    def __init__(self, rows: list[tuple[int, str, int]], landmarks: int, negatives: int = 4000, seed: int = 5):
         n = [sum(y == k for _, _, y in rows) for k in (0, 1)]
         self.prior = (n[1] + 1) / (n[0] + n[1] + 2)
-        self.table = None
+        self.table, self.loss = None, float("inf")
         if min(n) == 0:
             return
         known: dict[str, str] = {}  # one string for equal units of all documents
         bags = [[known.setdefault(u, u) for u in bag_of(t)] for _, t, _ in rows]
         del known
         clean = Counter(u for b, (_, _, y) in zip(bags, rows, strict=True) if not y for u in b)
-        insults = telling_strings([b for b, (_, _, y) in zip(bags, rows, strict=True) if y], clean, n, landmarks // 2)
+        toxic = Counter(u for b, (_, _, y) in zip(bags, rows, strict=True) if y for u in b)
+        y = np.array([y for _, _, y in rows])
+        best = None
+        for ratio in RATIOS:
+            if self.learn(bags, y, clean, toxic, ratio, landmarks, negatives, seed) and (best is None or self.loss < best[0]):
+                best = self.loss, self.table, self.bias, self.calibration
+        self.table = None
+        if best is not None:
+            _, self.table, self.bias, self.calibration = best
+
+    def learn(self, bags: list[list[str]], y: np.ndarray, clean: Counter, toxic: Counter, ratio: float, landmarks: int, negatives: int, seed: int) -> bool:
+        """Fits table, bias and calibration and sets loss; False where nothing speaks for toxicity."""
+        speaks = {u for u, t in toxic.items() if t > ratio * clean[u]}
+        n = int((y == 0).sum()), int((y == 1).sum())
+        insults = telling_strings([b for b, k in zip(bags, y, strict=True) if k], clean, n, landmarks // 2, ratio) or [u for u, _ in toxic.most_common() if u in speaks][: landmarks // 2]
         if not insults:
-            return
-        often = [u for u, _ in clean.most_common(landmarks // 2)]
+            return False
+        holds = re.compile("|".join(map(re.escape, insults))).search
+        often = [u for u, _ in clean.most_common(landmarks // 2) if u not in speaks]
         chosen = list(dict.fromkeys(insults + often))
         columns = landmark_table(chosen)
         names = sorted(set().union(*bags))
-        holds = re.compile("|".join(map(re.escape, insults))).search
-        positive = insults + sorted({u for b, (_, _, y) in zip(bags, rows, strict=True) if y for u in b if u not in clean and holds(u)} - set(insults))[:4000]
-        rng = np.random.default_rng(seed)
-        negative = list(dict.fromkeys(often + [names[k] for k in rng.permutation(len(names)) if names[k] in clean][:4000]))
+        first = list(dict.fromkeys(insults + [u for u in names if u in speaks and holds(u)]))
+        positive, rng = first, np.random.default_rng(seed)
+        negative = list(dict.fromkeys(often + [names[k] for k in rng.permutation(len(names)) if names[k] in clean and names[k] not in speaks][:negatives]))
         for _ in range(3):
             self.fit(positive + negative, np.repeat([1.0, -1.0], [len(positive), len(negative)]), chosen, columns)
             values = dict(zip(names, self.values(names), strict=True))
             best = [max(b, key=values.__getitem__) if b else None for b in bags]
             # The labels choose again: of each labelled document the unit that speaks most for toxicity stands for it.
-            negative = list(dict.fromkeys([u for u, (_, _, y) in zip(best, rows, strict=True) if u is not None and not y] + negative))
-            witness = {u for u, (_, _, y) in zip(best, rows, strict=True) if u is not None and y and values[u] > 0}
-            positive = list(dict.fromkeys(insults + sorted(witness.difference(clean))))
-        tops = np.array([values[u] if u is not None else LOWEST for u in best])
-        self.calibration = logistic(np.column_stack([np.ones(len(tops)), np.maximum(tops, LOWEST)]), np.array([y for _, _, y in rows]))
-        if self.calibration[1] < 0:
-            self.table = None
+            negative = list(dict.fromkeys([u for u, k in zip(best, y, strict=True) if u is not None and not k and u not in speaks] + negative))
+            witness = {u for u, k in zip(best, y, strict=True) if u is not None and k and values[u] > 0}
+            positive = list(dict.fromkeys(first + sorted(witness & speaks)))
+        tops = np.array([highest([values[u] for u in b]) for b in bags])
+        self.calibration = logistic(tops, y)
+        self.loss = float(np.log1p(np.exp(np.clip(-(2 * y - 1) * (tops @ self.calibration), -30, 30))).mean())
+        return bool(self.calibration[1:].sum() > 0)
 
     def fit(self, units: list[str], y: np.ndarray, chosen: list[str], columns: np.ndarray) -> None:
         """A squared-hinge machine on the Nyström features of the units, folded into a weight per subsequence."""
@@ -184,7 +205,7 @@ class Machine:
         """Scores of texts; seen: two tables of known units, newer first."""
         if self.table is None:
             return np.full(len(texts), self.prior)
-        tops = np.full(len(texts), LOWEST)
+        tops = np.zeros((len(texts), 1 + len(TOPS)))
         for a in range(0, len(texts), 200):
             bags = [set(units_of(t)) for t in texts[a : a + 200]]
             missing = set().union(*bags).difference(seen[0])
@@ -197,9 +218,16 @@ class Machine:
             seen[0].update(known)
             value = seen[0].__getitem__
             for k, b in enumerate(bags):
-                if b:
-                    tops[a + k] = max(map(value, b))
-        return 1 / (1 + np.exp(-np.clip(self.calibration[0] + self.calibration[1] * np.maximum(tops, LOWEST), -30, 30)))
+                # Units that are folded alike are one.
+                tops[a + k] = highest({folded(u): value(u) for u in nlargest(4 * TOPS[-1], b, key=value)}.values())
+        return 1 / (1 + np.exp(-np.clip(tops @ self.calibration, -30, 30)))
+
+
+def highest(values: Iterable[float]) -> list[float]:
+    """1, and the means of the highest values of a document, TOPS of them; a document that has fewer has LOWEST for the others."""
+    top = [max(v, LOWEST) for v in nlargest(TOPS[-1], values)]
+    top += [LOWEST] * (TOPS[-1] - len(top))
+    return [1.0, *(sum(top[:n]) / n for n in TOPS)]
 
 
 def bag_of(text: str) -> list[str]:
@@ -211,13 +239,13 @@ def folded(unit: str) -> str:
     return unit.translate(FOLDED)
 
 
-def telling_strings(toxic: list[list[str]], clean: Counter, n: list[int], most: int) -> list[str]:
-    """Strings of 4 to 8 letters that toxic documents hold more often than chance allows, none inside a unit that an earlier one explains.
+def telling_strings(toxic: list[list[str]], clean: Counter, n: tuple[int, int], most: int, ratio: float) -> list[str]:
+    """Strings of 4 to 8 letters inside units of toxic documents, in over `ratio` times as many of their units as of clean ones and more often than chance allows, none inside a unit that an earlier one explains.
 
-    Near copies count once: of documents with the same smallest unit hash one is taken.
+    Documents of equal units count once.
     """
-    distinct = {min(zlib.crc32(u.encode()) for u in b): b for b in toxic if b}
-    times = Counter(u for b in distinct.values() for u in b if u not in clean)
+    distinct = {tuple(b): b for b in toxic if b}
+    times = Counter(u for b in distinct.values() for u in b)
     held: Counter = Counter()
     for u, t in times.items():
         for s in inner(u):
@@ -232,7 +260,7 @@ def telling_strings(toxic: list[list[str]], clean: Counter, n: list[int], most:
 
     def gain(s: str) -> float:
         t, c = held[s], against[s]
-        return t * np.log(t / (t + c) / share) if t > 20 * c else 0.0
+        return t * np.log(t / (t + c) / share) + (c * np.log(c / (t + c) / (1 - share)) if c else 0.0) if t > ratio * c else 0.0
 
     inside: dict[str, list[str]] = {}
     for u in times:
@@ -292,7 +320,7 @@ _seen: dict[int, list[dict[str, float]]] = {}
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, landmarks: int = 256, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("held_out", "score", "predicted")
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, most_rows: int = 1500, landmarks: int = 256, negatives: int = 4000, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("held_out", "score", "predicted")
 ) -> DataFrame:
     """The kept columns, and held_out, score and predicted of each document under the given names, which no kept column may have."""
     if set(keep) & set(names):
@@ -303,7 +331,7 @@ def score_toxicity(
             yield pd.Series(["\n".join(bag_of(t)) for t in texts], dtype=object)
 
     rows = training_texts(docs, labels, label, (3 * most_rows, most_rows)).select("doc_id", F.pandas_udf(bag, "string")("text").alias("bag"), "y")
-    machine = Machine(sorted(tuple(r) for r in rows.collect()), landmarks)  # 4 * most_rows bags at most
+    machine = Machine(sorted(tuple(r) for r in rows.collect()), landmarks, negatives)  # 4 * most_rows bags at most
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     key = hash(machine.table.tobytes()) if machine.table is not None else 0
 
