@@ -33,7 +33,7 @@ def display_picks(frames: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pick): six frames of a run (keys, n, lost, recall, iou, change): the best, the worst and the lower median by recall and median overlap (-1
     where there is none), the highest overflow, of those without overflow the one nearest to it in size, and the largest change against its pair.
 
-    Ties go to the smaller key. One pass picks all but the fifth; the median by a rank over one row per frame.
+    Ties go to the smaller key. One pass picks all but the fifth and the median.
     """
     iou, at = F.coalesce("iou", F.lit(-1.0)), F.struct(*keys)
     orders = {"best": F.struct(-F.col("recall"), -iou, *keys), "worst": F.struct("recall", iou, *keys), "overflow": F.struct(-F.col("lost"), *keys), "paired": F.struct(-F.col("change"), *keys)}
@@ -41,8 +41,12 @@ def display_picks(frames: DataFrame, keys: list[str]) -> DataFrame:
     picks = top.select(F.explode(F.array(*(F.struct(F.col(k).alias("at"), F.lit(k).alias("pick")) for k in orders))).alias("r")).select("r.at.*", "r.pick")
     sized = frames.where("lost = 0").withColumn("_one", F.lit(1)).join(F.broadcast(top.select("_n", F.lit(1).alias("_one"))), "_one")
     near = sized.agg(F.min_by(at, F.struct(F.abs(F.col("n") - F.col("_n")), *keys)).alias("at")).where("at is not null").select("at.*", F.lit("no_overflow").alias("pick"))
-    placed = frames.withColumn("_k", F.row_number().over(Window.orderBy("recall", iou, *keys))).withColumn("_one", F.lit(1)).join(F.broadcast(top.select("_c", F.lit(1).alias("_one"))), "_one")
-    median = placed.where(F.col("_k") == F.floor((F.col("_c") - 1) / 2) + 1).select(*keys, F.lit("median").alias("pick"))
+    # The lower median's recall comes from counts of recalls; only frames of that recall are ranked.
+    middle = frames.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY recall)").alias("_m"))
+    marked = frames.join(F.broadcast(middle), F.col("recall") <= F.col("_m"))
+    below = marked.agg(F.count_if(F.col("recall") < F.col("_m")).alias("_b")).join(F.broadcast(top.select("_c")))
+    tied = marked.where(F.col("recall") == F.col("_m")).withColumn("_k", F.row_number().over(Window.partitionBy("recall").orderBy(iou, *keys)))
+    median = tied.join(F.broadcast(below), F.col("_k") + F.col("_b") == F.floor((F.col("_c") - 1) / 2) + 1).select(*keys, F.lit("median").alias("pick"))
     return picks.unionByName(near).unionByName(median)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from sweepframe.operators import points as PT
@@ -169,13 +167,13 @@ def stm_4(s, d):
 @query("snk_5_audit_report", f"WITH {POINTS} SELECT drive_id, count(*) AS n_points, max(x)::DOUBLE AS max_x, count(*) FILTER (label = 5) AS ignored FROM points GROUP BY drive_id")
 def snk_5(s, d):
     """The audit's JSON lines, written and read back."""
-    return audited(s, d)[0]
+    return audited(s, d)
 
 
 @query("snk_7_audit_command", f"WITH {POINTS}, k AS (SELECT *, dense_rank() OVER (PARTITION BY drive_id ORDER BY frame_index) AS k FROM points WHERE label < 6) SELECT drive_id, count(*) AS n_points, max(x)::DOUBLE AS max_x, count(*) FILTER (label = 5) AS ignored FROM k WHERE k <= 30 GROUP BY drive_id")
 def snk_7(s, d):
     """The command's split and bound on samples, which are its features."""
-    return audited(s, d, "--split", "train", "--max-samples", "30")[0]
+    return audited(s, d, "--split", "train", "--max-samples", "30")
 
 
 def audited(s, d, *more):
@@ -185,9 +183,7 @@ def audited(s, d, *more):
     points(s, d).withColumn("split", F.when(F.col("label") < 6, "train").otherwise("test")).write.parquet(f"{path}/points")
     audit.main(["--points", f"{path}/points", "--out", f"{path}/report", *more])
     lines = s.read.text(f"{path}/report")
-    first = json.loads(lines.first().value)
-    out = lines.select(F.from_json("value", "drive_id string, n_points long, max_x double, ignored long").alias("r")).select("r.*")
-    return out, first
+    return lines.select(F.from_json("value", "drive_id string, n_points long, max_x double, ignored long").alias("r")).select("r.*")
 
 
 @query("src_6_tile_attributes", f"WITH {POINTS} SELECT {FR}, CAST(label AS INT) AS classification, count(*) AS n, 0::DOUBLE AS gps_time, CAST(sum(row_idx) AS BIGINT) AS rows FROM points GROUP BY ALL")
