@@ -374,3 +374,46 @@ def repair_turns(rows: DataFrame, chunk_rows: int = CHUNK_ROWS, chunk_bytes: int
 
     joined = pieces.mapInArrow(turn_texts, texts).repartition(n, "conv_id").sortWithinPartitions("conv_id", "at").mapInArrow(hashed, results)
     return done.unionByName(joined.select("conv_id", *names))
+
+
+# ------------------------------------------------------------------------------------------------------------------- as SQL
+
+
+def _least(*options: str) -> str:
+    return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+
+
+def _plus(state: str, cost: str, letter: str, where: str = "true") -> str:
+    return f"CASE WHEN {state} IS NOT NULL AND {where} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}} END"
+
+
+#: The states before a row with all insertions that may come first: z nothing, s system, u user, v assistant last.
+_INSERTED = f"SELECT *, {_least('u1', *(_plus(k, '5', 'I') for k in ('v1',)))} AS u2 FROM (SELECT *, {_least('v', _plus('u1', '5', 'I'))} AS v1 FROM (SELECT *, {_least('u', _plus('z', '5', 'I'), _plus('s', '5', 'I'), _plus('v', '5', 'I'))} AS u1 FROM walk))"
+_MAY = "fault NOT IN ('b', 'd')"
+_CUT = "CASE WHEN fault = 't' THEN 5 ELSE 0 END"
+
+#: repair_damaged() by a recursive query, a row of each conversation at a time, over the best (cost, audit) of each state.
+ORACLE = rf"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes FROM conversations),
+crc AS (SELECT *, xor(list_reduce(bytes, lambda a, b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS k FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM crc, (VALUES (0), (1)) v(again) WHERE k <> 0 AND (again = 0 OR k = 3)),
+line AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+faulty AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd' WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '.' ELSE 't' END AS fault,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) || substr(role, 1, 1) AS pair FROM line),
+every AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (SELECT conv_id, 0::BIGINT AS n, {{'c': 0, 'a': ''}} AS z, NULL::STRUCT(c INTEGER, a VARCHAR) AS s, NULL::STRUCT(c INTEGER, a VARCHAR) AS u, NULL::STRUCT(c INTEGER, a VARCHAR) AS v FROM every
+  UNION ALL SELECT w.conv_id, f.n, {_plus('z', '2', 'D')}, {_least(_plus('s', '2', 'D'), _plus('z', _CUT, 'K', f"initial = 's' AND {_MAY}"))},
+    {_least(_plus('u2', '2', 'D'), *(_plus(k, _CUT, 'K', f"initial = 'u' AND {_MAY}") for k in ('z', 's', 'v1')), *(_plus(k, f'1 + {_CUT}', 'R', _MAY) for k in ('z', 's', 'v1')))},
+    {_least(_plus('v1', '2', 'D'), _plus('u2', _CUT, 'K', f"initial = 'a' AND {_MAY}"), _plus('u2', f'1 + {_CUT}', 'R', _MAY))}
+  FROM ({_INSERTED}) w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n + 1),
+done AS (SELECT conv_id, {_least('z', 'v1')} AS best FROM ({_INSERTED}) w WHERE n = (SELECT count(*) FROM faulty f WHERE f.conv_id IS NOT DISTINCT FROM w.conv_id)),
+letter AS (SELECT conv_id, p, substr(best.a, p, 1) AS letter FROM done, LATERAL (SELECT unnest(range(1, length(best.a) + 1)) AS p)),
+put AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS n FROM letter),
+turns AS (SELECT a.conv_id, p, letter, f.role, f.text, f.initial, row_number() OVER (PARTITION BY a.conv_id ORDER BY p) AS o FROM put a LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM a.conv_id AND f.n = a.n WHERE letter <> 'D'),
+placed AS (SELECT *, o - max(CASE WHEN o = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS place FROM turns),
+texts AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired FROM placed GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM every e JOIN done ON done.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -107,6 +107,6 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", conversation_repair.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))

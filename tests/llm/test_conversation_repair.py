@@ -152,3 +152,14 @@ def test_empty_table_and_undamaged_rows(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert {r[0]: tuple(r[1:]) for r in QUERIES["op12_conversation_repair"](spark, "/root/testdata/sf0.01").collect()} == plain(rows)
+
+
+@pytest.mark.parametrize("rows", [odd_rows(), []])
+def test_sql_equals_plain_version(rows):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    if rows:
+        db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {r[0]: tuple(r[1:]) for r in db.sql(cr.ORACLE).fetchall()} == plain(rows)
