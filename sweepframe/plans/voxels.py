@@ -66,6 +66,31 @@ def agg_11(s, d):
     return dense.join(counts, ["drive_id", "sector"], "left").fillna(0)
 
 
+BINS = f"""{PILLARS}, placed AS (SELECT *, (cx + 0.5::DOUBLE) * 10 - 50 AS px, (cy + 0.5::DOUBLE) * 10 - 50 AS py, touch_rank < 20 AS retained FROM pillars),
+binned AS (SELECT *, {REGION} AS sector, CASE WHEN px < 0 THEN 2 ELSE 0 END + CASE WHEN py < 0 THEN 1 ELSE 0 END AS quadrant, CASE WHEN sqrt(px * px + py * py) < 20 THEN 0 WHEN sqrt(px * px + py * py) < 35 THEN 1 ELSE 2 END AS radial FROM placed)"""
+
+
+@query("agg_11_regions", f"""WITH {BINS}, u AS (UNPIVOT (SELECT drive_id, retained, sector, quadrant, radial FROM binned) ON sector, quadrant, radial INTO NAME kind VALUE bin), every AS (SELECT DISTINCT drive_id, kind, bin FROM (SELECT DISTINCT drive_id FROM binned),
+  (SELECT 'sector' AS kind, unnest(range(12)) AS bin UNION ALL SELECT 'quadrant', unnest(range(4)) UNION ALL SELECT 'radial', unnest(range(3))))
+SELECT drive_id, kind, bin::INT AS bin, count(retained) AS candidates, count(*) FILTER (NOT retained) AS discarded FROM every LEFT JOIN u USING (drive_id, kind, bin) GROUP BY ALL""")
+def agg_11_regions(s, d):
+    """Candidates and discarded pillars of each sector, quadrant and radial bin, empty ones too."""
+    bins = {"sector": 12, "quadrant": 4, "radial": 3}
+    p = placed(s, d).select("drive_id", "retained", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("int").alias("bin")) for k in bins))).alias("b")).select("drive_id", "retained", "b.*")
+    n = p.groupBy("drive_id", "kind", "bin").agg(F.count("*").alias("candidates"), F.count_if(~F.col("retained")).alias("discarded"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("bin")) for k, m in bins.items() for i in range(m))))
+    every = n.select("drive_id").distinct().select("drive_id", each.alias("b")).select("drive_id", "b.*")
+    return every.join(n, ["drive_id", "kind", "bin"], "left").na.fill(0)
+
+
+@query("agg_11_discarded_bounds", f"WITH {BINS} SELECT drive_id, frame_index, count(*) AS discarded, min(px) - 5 AS low_x, max(px) + 5 AS high_x, min(py) - 5 AS low_y, max(py) + 5 AS high_y FROM binned WHERE NOT retained GROUP BY ALL")
+def agg_11_bounds(s, d):
+    """The rectangle that holds a frame's discarded pillars."""
+    p = placed(s, d).where(~F.col("retained"))
+    edge = {"low_x": F.min("px") - SIZE / 2, "high_x": F.max("px") + SIZE / 2, "low_y": F.min("py") - SIZE / 2, "high_y": F.max("py") + SIZE / 2}
+    return p.groupBy(*FRAME).agg(F.count("*").alias("discarded"), *(v.alias(k) for k, v in edge.items()))
+
+
 @query("agg_12_drop_rates", f"""WITH {SECTORS}, r AS (SELECT *, discarded / candidates::DOUBLE AS rate, row_number() OVER (PARTITION BY drive_id ORDER BY discarded / candidates::DOUBLE DESC, sector) AS k FROM sectors)
 SELECT drive_id, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(discarded) AS BIGINT) AS discarded, max(rate) / nullif(min(rate), 0) AS ratio, max(CASE WHEN k = 1 THEN sector END) AS worst_sector FROM r GROUP BY drive_id""")
 def agg_12(s, d):
