@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -94,21 +95,102 @@ def clipped_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(count >= 3, area, 0.0)
 
 
-def footprints(b: pd.DataFrame) -> np.ndarray:
-    c, s = np.cos(b["yaw"].to_numpy()), np.sin(b["yaw"].to_numpy())
-    dx = b["len"].to_numpy()[:, None] * np.array([0.5, -0.5, -0.5, 0.5])
-    dy = b["wid"].to_numpy()[:, None] * np.array([0.5, 0.5, -0.5, -0.5])
-    return np.stack((b["cx"].to_numpy()[:, None] + dx * c[:, None] - dy * s[:, None], b["cy"].to_numpy()[:, None] + dx * s[:, None] + dy * c[:, None]), axis=2)
+def box_array(b: pd.DataFrame) -> np.ndarray:
+    """Rows of centre, length, width and direction."""
+    return b[["cx", "cy", "len", "wid", "yaw"]].to_numpy(float)
+
+
+def footprint_corners(b: np.ndarray) -> np.ndarray:
+    """Corners (n, 4, 2), counter-clockwise, of rows of centre, length, width and direction."""
+    c, s = np.cos(b[:, 4])[:, None], np.sin(b[:, 4])[:, None]
+    dx, dy = b[:, 2, None] * np.array([0.5, -0.5, -0.5, 0.5]), b[:, 3, None] * np.array([0.5, 0.5, -0.5, -0.5])
+    return np.stack((b[:, 0, None] + dx * c - dy * s, b[:, 1, None] + dx * s + dy * c), axis=2)
+
+
+def aligned_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """aligned_iou of rows of centre, length and width."""
+    side = [np.maximum(0.0, np.minimum(a[:, k] + a[:, k + 2] / 2, b[:, k] + b[:, k + 2] / 2) - np.maximum(a[:, k] - a[:, k + 2] / 2, b[:, k] - b[:, k + 2] / 2)) for k in (0, 1)]
+    both = side[0] * side[1]
+    union = a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - both
+    return np.where(union != 0, both / np.where(union != 0, union, 1), 0.0)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No less than the intersection over union: by each box's bounding box in the direction of the other. Below 0 where a line parallel to a side parts them."""
+    turn = b[:, 4] - a[:, 4]
+    c, s = np.abs(np.cos(turn)), np.abs(np.sin(turn))
+    dx, dy = b[:, 0] - a[:, 0], b[:, 1] - a[:, 1]
+    least, parted = None, np.zeros(len(a), bool)
+    for own, other in ((a, b), (b, a)):
+        u, v = np.abs(dx * np.cos(own[:, 4]) + dy * np.sin(own[:, 4])), np.abs(dy * np.cos(own[:, 4]) - dx * np.sin(own[:, 4]))
+        x = np.minimum(np.minimum(own[:, 2], 2 * (h := other[:, 2] / 2 * c + other[:, 3] / 2 * s)), own[:, 2] / 2 + h - u)
+        y = np.minimum(np.minimum(own[:, 3], 2 * (h := other[:, 2] / 2 * s + other[:, 3] / 2 * c)), own[:, 3] / 2 + h - v)
+        parted |= (x < -1e-9) | (y < -1e-9)
+        both = np.maximum(x, 0) * np.maximum(y, 0)
+        least = both if least is None else np.minimum(least, both)
+    union = np.maximum(a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - least, 1e-300)
+    return np.where(parted, -1.0, least / union + 1e-9)
+
+
+def oriented_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """oriented_iou of rows of centre, length, width and direction."""
+    if not len(a):
+        return np.zeros(0)
+    both = clipped_area(footprint_corners(a), footprint_corners(b))
+    union = a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - both
+    return np.clip(np.where(union > 0, both / np.where(union > 0, union, 1), 0), 0, 1)
+
+
+def polygon_areas(x: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Areas of polygons (n, k, 2), of which the first `count` corners are theirs; 0 with fewer than three."""
+    rel = x - x[:, :1]
+    rel = np.where(np.arange(x.shape[1])[None, :, None] < count[:, None, None], rel, 0.0)
+    after = np.roll(rel, -1, axis=1)
+    return np.where(count < 3, 0.0, np.abs((rel[..., 0] * after[..., 1] - rel[..., 1] * after[..., 0]).sum(axis=1)) / 2)
+
+
+def clipped_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """clipped_iou of rows of centre, length, width and direction: the steps of `clipped`, all rows together."""
+    if not len(a):
+        return np.zeros(0)
+    p, q = footprint_corners(a), footprint_corners(b)
+    x, count = p, np.full(len(p), 4)
+    for k in range(4):
+        start, edge = q[:, k, None, :], (q[:, (k + 1) % 4] - q[:, k])[:, None, :]
+        used = np.arange(x.shape[1])[None, :] < count[:, None]
+        before = np.roll(x, 1, axis=1)
+        before[:, 0] = x[np.arange(len(x)), np.maximum(count - 1, 0)]
+        side, ahead = ((edge[..., 0] * (v[..., 1] - start[..., 1]) - edge[..., 1] * (v[..., 0] - start[..., 0])) >= -1e-12 for v in (x, before))
+        slope = (x[..., 0] - before[..., 0]) * edge[..., 1] - (x[..., 1] - before[..., 1]) * edge[..., 0]
+        flat = np.abs(slope) <= 1e-15
+        t = ((start[..., 0] - before[..., 0]) * edge[..., 1] - (start[..., 1] - before[..., 1]) * edge[..., 0]) / np.where(flat, 1.0, slope)
+        cut = np.where(flat[..., None], x, before + t[..., None] * (x - before))
+        made = np.stack((cut, x), axis=2).reshape(len(x), -1, 2)
+        kept = np.stack((used & (side != ahead), used & side), axis=2).reshape(len(x), -1)
+        count = kept.sum(axis=1)
+        # Eight corners at the end, whatever the other rows have, so that a row's sum doesn't depend on them.
+        order = np.argsort(~kept, axis=1, kind="stable")[:, : max(5 + k, count.max())]
+        x = np.take_along_axis(made, order[..., None], axis=1)
+    both = polygon_areas(x, count)
+    union = polygon_areas(p, np.full(len(p), 4)) + polygon_areas(q, np.full(len(q), 4)) - both
+    return np.where(union > 0, both / np.where(union > 0, union, 1.0), 0.0)
+
+
+def screened(measure: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float = 0.0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The same measure where the bound lets it reach `least`, 0 elsewhere."""
+
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, near = np.zeros(len(a)), overlap_bound(a, b) >= least
+        out[near] = measure(a[near], b[near])
+        return out
+
+    return of
 
 
 @F.pandas_udf(T.DoubleType())
 def oriented_iou(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     """Intersection over union of oriented footprints struct<cx,cy,len,wid,yaw>, clamped to [0, 1]."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    both = clipped_area(footprints(a), footprints(b))
-    union = (a["len"] * a["wid"] + b["len"] * b["wid"]).to_numpy() - both
-    return pd.Series(np.clip(np.where(union > 0, both / np.where(union > 0, union, 1), 0), 0, 1))
+    return pd.Series(oriented_overlap(box_array(a), box_array(b)))
 
 
 def clipped(polygon: Column, other: Column) -> Column:
@@ -143,18 +225,21 @@ def clipped(polygon: Column, other: Column) -> Column:
 
 def polygon_area(polygon: Column) -> Column:
     """Area of a polygon (array of struct x, y) by its corners' cross products, seen from the first corner; 0 with fewer than three."""
-    first = polygon[0]
-    following = F.concat(F.slice(polygon, F.lit(2), F.greatest(F.size(polygon) - 1, F.lit(0))), F.slice(polygon, 1, 1))
-    terms = F.zip_with(polygon, following, lambda a, b: (a["x"] - first["x"]) * (b["y"] - first["y"]) - (a["y"] - first["y"]) * (b["x"] - first["x"]))
-    return F.when(F.size(polygon) < 3, 0.0).otherwise(F.abs(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)) / 2)
 
+    def area(own: Column) -> Column:
+        first = F.get(own, F.lit(0))
+        following = F.concat(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, 1, 1))
+        terms = F.zip_with(own, following, lambda a, b: (a["x"] - first["x"]) * (b["y"] - first["y"]) - (a["y"] - first["y"]) * (b["x"] - first["x"]))
+        return F.when(F.size(own) < 3, 0.0).otherwise(F.abs(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)) / 2)
+
+    # As a parameter, the polygon is worked out once, not at each of its uses.
+    return F.get(F.transform(F.array(polygon), area), F.lit(0))
 
-def clipped_iou(a: Column, b: Column) -> Column:
+
+@F.pandas_udf(T.DoubleType())
+def clipped_iou(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     """Intersection over union of oriented footprints struct<cx,cy,len,wid,yaw> as evaluation takes it: by clipping, with areas of polygons, and not clamped."""
-    p, q = (corners(*(v[c] for c in ("cx", "cy", "len", "wid", "yaw"))) for v in (a, b))
-    both = polygon_area(clipped(p, q))
-    union = polygon_area(p) + polygon_area(q) - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+    return pd.Series(clipped_overlap(box_array(a), box_array(b)))
 
 
 @F.pandas_udf(T.LongType())

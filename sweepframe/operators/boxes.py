@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sweepframe.functions import geometry as G
+from sweepframe.operators import matching as K
 
 FRAME = ["drive_id", "frame_index"]
 #: What each object type counts as.
@@ -136,8 +139,25 @@ def detection_order() -> list[Column]:
     return [F.desc("score"), F.asc("object_type"), F.asc("cx"), F.asc("cy"), F.asc("len"), F.asc("wid"), F.asc("det_id")]
 
 
+def footprint_rows(t: pa.Table, oriented: bool) -> np.ndarray:
+    """Rows of centre, length, width (and direction) of a group; null as NaN, which overlaps with nothing."""
+    return np.stack([t.column(c).to_pandas().to_numpy(float) for c in ("cx", "cy", "len", "wid", *(["yaw"] if oriented else []))], axis=1)
+
+
+def group_table(key: tuple, keys: list[str], columns: dict[str, pa.Array]) -> pa.Table:
+    """columns beside the group's key."""
+    n = len(next(iter(columns.values())))
+    return pa.table({k: pa.repeat(v, n) for k, v in zip(keys, key, strict=True)} | columns)
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df by keys, in at least two parts a core: a group's kernel takes long for the few bytes that it reads, so parts must not be put together by their size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def best_partners(frame: pd.DataFrame) -> pd.DataFrame:
-    """One group's pairs: references in their order take the free candidate of highest overlap; ties go to the candidate that is earlier in its own order."""
+    """One group's pairs, plainly (parity_matches doesn't list single pairs): references in their order take the free candidate of highest overlap; ties go to the candidate that is earlier in its own order."""
     taken, rows, done = set(), [], None
     order = sorted(zip(frame["place"], -frame["iou"], frame["other_place"], frame["det_id"], frame["other_id"], strict=True))
     for place, negative, _, det, other in order:
@@ -151,26 +171,37 @@ def best_partners(frame: pd.DataFrame) -> pd.DataFrame:
 def parity_matches(reference: DataFrame, candidate: DataFrame, keys: list[str], threshold: float = 0.5, oriented: bool = True) -> DataFrame:
     """(keys, det_id, other_id, iou, kind): matches of two backends' detections of a frame and class, then what either has alone (missing, extra).
 
-    Both sides have det_id and the columns of the canonical order; only pairs of overlap >= threshold reach a group's kernel.
+    Both sides have unique det_id and the columns of the canonical order. References in their order take the free candidate of highest overlap; ties go to the one
+    that is earlier in its own order. A group is one frame and class, whose pairs stay inside its kernel.
     """
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*detection_order())))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*detection_order()))
+        return df.select(*keys, F.col("det_id").cast("long").alias("det_id"), "cx", "cy", "len", "wid", *(["yaw"] if oriented else []), place.alias("place"))
 
-    a, b = placed(reference), placed(candidate)
-    near = pairs(a, b.withColumn("track_id", F.col("det_id")), keys, oriented).where(F.col("iou") >= threshold).select(*keys, "det_id", F.col("track_id").alias("other_id"), "iou")
-    near = near.join(a.select("det_id", F.col("_place").alias("place")), "det_id").join(b.select(F.col("det_id").alias("other_id"), F.col("_place").alias("other_place")), "other_id")
+    reference, candidate = dealt(reference, keys), dealt(candidate, keys)
+    measure = G.screened(G.oriented_overlap, threshold) if oriented else G.aligned_overlap
     kinds = dict(reference.dtypes)
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = best_partners(frame)
-        for name, value in zip(keys, key, strict=True):
-            out[name] = value
-        return out[[*keys, "det_id", "other_id", "iou"]]
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", det_id long, other_id long, iou double"
-    matched = near.groupBy(*keys).applyInPandas(run, schema)
-    none = F.lit(None)
-    missing = reference.join(matched.select("det_id"), "det_id", "left_anti").select(*keys, F.col("det_id").cast("long").alias("det_id"), none.cast("long").alias("other_id"), none.cast("double").alias("iou"), F.lit("missing").alias("kind"))
-    extra = candidate.join(matched.select(F.col("other_id").alias("det_id")), "det_id", "left_anti").select(*keys, none.cast("long").alias("det_id"), F.col("det_id").cast("long").alias("other_id"), none.cast("double").alias("iou"), F.lit("extra").alias("kind"))
-    return matched.withColumn("kind", F.lit("match")).unionByName(missing).unionByName(extra)
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = [t.column("det_id").to_numpy() for t in (left, right)]
+        place = [t.column("place").to_numpy().astype(np.int64) for t in (left, right)]
+        taken, best = np.full(len(left), -1), np.zeros(len(left))
+        if len(left) and len(right) and all(k.is_valid for k in key):
+            order = np.argsort(place[0], kind="stable")
+            near = K.Near(footprint_rows(left, oriented), footprint_rows(right, oriented), place[1], measure, threshold)
+            taken[order], best[order] = near.take(order, threshold)
+        at = np.zeros(len(right) + 1, np.int64)
+        at[place[1]] = np.arange(len(right))
+        hit = taken >= 0
+        other = at[taken[hit]]
+        alone = np.setdiff1d(np.arange(len(right)), other)
+        n = [int(hit.sum()), int((~hit).sum()), len(alone)]
+        none = [pa.nulls(k, pa.int64()) for k in n]
+        return group_table(key, keys, {
+            "det_id": pa.concat_arrays([pa.array(ids[0][hit]), pa.array(ids[0][~hit]), none[2]]), "other_id": pa.concat_arrays([pa.array(ids[1][other]), none[1], pa.array(ids[1][alone])]),
+            "iou": pa.concat_arrays([pa.array(best[hit]), pa.nulls(n[1] + n[2], pa.float64())]), "kind": pa.concat_arrays([pa.repeat(v, k) for v, k in zip(("match", "missing", "extra"), n, strict=True)]),
+        })
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", det_id long, other_id long, iou double, kind string"
+    return placed(reference).groupBy(*keys).cogroup(placed(candidate).groupBy(*keys)).applyInArrow(run, schema)
