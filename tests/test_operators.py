@@ -129,3 +129,15 @@ def test_permutation_invariance(spark):
     a = V.hard_voxels(df, (2.0, 2.0, 4.0), 3, 5).orderBy("voxel_rank", "slot").collect()
     b = V.hard_voxels(df.repartition(7), (2.0, 2.0, 4.0), 3, 5).orderBy("voxel_rank", "slot").collect()
     assert [(r.voxel_rank, r.slot, r.row_idx) for r in a] == [(r.voxel_rank, r.slot, r.row_idx) for r in b]
+
+
+def test_a_filter_on_visibility_keeps_the_plan_small(spark):
+    """The filter is pushed down to the corners; no step may be repeated by that."""
+    from sweepframe.functions.camera import with_visibility
+    from sweepframe.plans.boxes import CAMERA
+
+    df = spark.range(3).select("id", *((F.col("id") * 5.0).alias(c) for c in ("cx", "cy")))
+    c = G.box_corners(F.col("cx"), F.col("cy"), F.lit(0.0), F.lit(4.0), F.lit(2.0), F.lit(1.5), F.lit(0.3))
+    out = with_visibility(df.withColumn("corners", c), "corners", CAMERA).where("visible").select("id")
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert {r.id for r in out.collect()} == {0, 1, 2} & {r.id for r in with_visibility(df.withColumn("corners", c), "corners", CAMERA).collect() if r.visible}
