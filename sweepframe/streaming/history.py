@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 OUT = "sensor long, arrival_seq long, reset string, depth int, history array<long>"
+#: Results that leave a task together.
+STEP = 10_000
 STATE = "last long, kept array<long>"
 
 
@@ -49,23 +52,32 @@ def counters(messages: DataFrame, depth: int, gap_us: int) -> DataFrame:
 
 
 def stream_history(messages: DataFrame, depth: int, gap_us: int) -> DataFrame:
-    """The same over a stream, with the kept messages' numbers, nearest first. State holds at most `depth` numbers a sensor, no points."""
+    """The same over a stream, with the kept messages' numbers, nearest first. State holds at most `depth` numbers a sensor, no points.
+
+    Of a micro-batch a task holds two numbers a message; results leave it STEP at a time.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, kept = state.get if state.exists else (None, [])
-        kept = list(kept)
-        rows = []
-        pdf = pd.concat(list(batches)).sort_values("arrival_seq")
-        for seq, stamp in zip(pdf["arrival_seq"].tolist(), pdf["stamp_us"].tolist(), strict=True):
-            reset = None
-            if last is not None:
-                reset = "time_regression" if stamp <= last else "gap" if gap_us > 0 and stamp - last > gap_us else None
-            if reset:
-                kept = []
-            rows.append((key[0], seq, reset, len(kept), list(kept)))
-            kept, last = [seq, *kept][:depth], stamp
-        state.update((last, kept))
-        yield pd.DataFrame(rows, columns=["sensor", "arrival_seq", "reset", "depth", "history"])
+        parts = [(b["arrival_seq"].to_numpy(), b["stamp_us"].to_numpy()) for b in batches]
+        seq, stamp = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(seq, kind="stable")
+        seq, stamp = seq[order], stamp[order]
+        before = np.concatenate([[stamp[0] if last is None else last], stamp[:-1]])
+        back, gap = stamp <= before, (stamp - before > gap_us) & (gap_us > 0)
+        if last is None:
+            back[0] = gap[0] = False
+        # The kept numbers, oldest first, then the new ones; each one's history begins where the last reset was.
+        every = np.concatenate([np.array(list(kept)[::-1], np.int64), seq])
+        place = np.arange(len(every) - len(seq), len(every))
+        start = np.maximum.accumulate(np.where(back | gap, place, 0))
+        state.update((int(stamp[-1]), every[max(start[-1], len(every) - depth) :][::-1].tolist()))
+        size = np.minimum(depth, place - start)
+        for at in range(0, len(seq), STEP):
+            rows = slice(at, at + STEP)
+            reset = np.where(back[rows], "time_regression", np.where(gap[rows], "gap", None))
+            history = [every[p - n : p][::-1].tolist() for p, n in zip(place[rows].tolist(), size[rows].tolist(), strict=True)]
+            yield pd.DataFrame({"sensor": key[0], "arrival_seq": seq[rows], "reset": reset, "depth": size[rows].astype(np.int32), "history": history})
 
     return messages.select("sensor", "arrival_seq", "stamp_us").groupBy("sensor").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -112,3 +112,42 @@ def test_audit_job(spark, tmp_path):
     audit.main(["--points", f"{tmp_path}/p", "--out", f"{tmp_path}/out", "--split", "val", "--max-samples", "1", "--patch-size", "5"])
     r = json.loads(spark.read.text(f"{tmp_path}/out").first().value)
     assert r["n_points"] == 5 and r["max_x"] == 8.0 and r["ignored"] == 1 and list(r) == sorted(r)
+
+
+def test_history_leaves_a_task_in_steps(spark, tmp_path):
+    """A micro-batch of one sensor gives several tables, none of them over STEP rows, and the same rows as the batch twin."""
+    from sweepframe.streaming import history as H
+
+    n = 2 * H.STEP + 7
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("sensor"), F.col("id").alias("arrival_seq"), (F.col("id") * 1_000_000 - F.when(F.col("id") % 37 == 0, 5_000_000).otherwise(0) + F.when(F.col("id") > 9_000, 90_000_000).otherwise(0)).alias("stamp_us"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    q = H.stream_history(H.replay(spark, f"{tmp_path}/in", rows.schema, 2), 5, 60_000_000)
+    q = q.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == n
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, value):
+            self.kept = value
+
+    found = {}
+
+    class Messages:
+        def select(self, *_):
+            return self
+
+        groupBy = select
+
+        def applyInPandasWithState(self, step, *_):  # noqa: N802
+            found["step"] = step
+
+    H.stream_history(Messages(), 5, 60_000_000)
+    state = State()
+    out = list(found["step"]((1,), iter([rows.drop("sensor").toPandas().sample(frac=1, random_state=2)]), state))
+    assert len(out) == 3 and max(map(len, out)) == H.STEP
+    want = {r.arrival_seq: (r.reset, r.depth) for r in H.batch_history(rows, 5, 60_000_000).collect()}
+    assert {s: (r, d) for t in out for s, r, d in zip(t["arrival_seq"], t["reset"], t["depth"])} == want
+    assert {None, "gap", "time_regression"} == {r for r, _ in want.values()}
+    assert state.kept == ((n - 1) * 1_000_000 + 90_000_000, [n - 1, n - 2, n - 3, n - 4, n - 5])
