@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 #: Records that a task decodes at a time.
 STEP = 1 << 16
+#: Tasks beyond one a file: ranges get longer rather than more.
+TASKS = 512
 KINDS = {"x": "double", "y": "double", "z": "double", "intensity": "int", "classification": "int", "user_data": "int", "point_source": "int", "gps_time": "double", "red": "int", "green": "int", "blue": "int"}
 KEYS = "path string, drive_id string, frame_index long, row_idx long"
 COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
@@ -90,7 +92,7 @@ class Range(InputPartition):
 
 
 class PointFiles(DataSource):
-    """Options: path, format ('las' or 'float'), fields, rangeBytes (64 MB)."""
+    """Options: path, format ('las' or 'float'), fields, rangeBytes (64 MB; longer where that would be over TASKS ranges)."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,7 +133,10 @@ class RangeReader(DataSourceReader):
                     yield info
 
     def partitions(self) -> list[Range]:
-        return [Range(i.path, i.size, a, min(i.size, a + self.range_bytes)) for i in sorted(self.listed(), key=lambda i: i.path) for a in range(0, max(1, i.size), self.range_bytes)]
+        """Ranges of rangeBytes, or of what gives some TASKS of them where there would be more: the number of tasks doesn't grow with the bytes."""
+        files = sorted(self.listed(), key=lambda i: i.path)
+        step = max(self.range_bytes, -(-sum(i.size for i in files) // TASKS))
+        return [Range(i.path, i.size, a, min(i.size, a + step)) for i in files for a in range(0, max(1, i.size), step)]
 
     def layout(self, file, size: int) -> Layout:  # noqa: ANN001
         if self.las:

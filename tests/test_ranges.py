@@ -89,3 +89,15 @@ def test_unknown_file_systems_are_errors():
     with pytest.raises(Exception, match="(?i)scheme|filesystem|uri"):
         R.RangeReader({"path": "nosuch://host/folder", "fields": "x"}).partitions()
     assert R.file_system("file:/tmp/x")[1] == "/tmp/x" == R.file_system("/tmp/x")[1]
+
+
+def test_ranges_get_longer_rather_than_more(tmp_path):
+    """3 MB in ranges of 24 bytes: every byte is in one range, and there are some hundred of them."""
+    (tmp_path / "d1").mkdir()
+    for k in range(3):
+        (tmp_path / "d1" / f"{k}.bin").write_bytes(bytes(1_000_008))
+    found = R.RangeReader({"path": str(tmp_path), "fields": "x,y,z", "format": "float", "rangeBytes": "24"}).partitions()
+    assert len(found) <= R.TASKS + 3
+    for path in {r.path for r in found}:
+        own = [(r.low, r.high) for r in found if r.path == path]
+        assert own[0][0] == 0 and own[-1][1] == 1_000_008 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
