@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 
 #: Candidate pairs that are looked at together.
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 
 Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
