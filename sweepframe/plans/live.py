@@ -22,15 +22,24 @@ def arrival(ts_ns):
     return F.timestamp_micros(F.floor(ts_ns / 1000).cast("long"))
 
 
+#: Row groups of few messages: their size is looked at after each row, as a row may be a whole sweep.
+ROW_GROUPS = {"parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "1"}
+#: Bytes of payloads of a slice, roughly; more of them give more slices.
+SLICE = 256 << 20
+
+
 def replayed(s, tables, path, slices=4):
-    """Tables with `arrived` as streams of so many files each, cut at the same times and written one after the other, so that they are read in order of arrival."""
+    """Tables with `arrived` as streams of so many files each, cut at the same times and written one after the other, so that they are read in order of arrival.
+
+    A file is written by one task that only copies, so a table that takes work is stored before, and slices are as many as keep one small.
+    """
     low, high = tables[0].agg(F.min(F.unix_micros("arrived")), F.max(F.unix_micros("arrived"))).first()
     cuts = [low + (high - low) * k // slices for k in range(1, slices)]
     for k in range(slices):
         for i, rows in enumerate(tables):
             at = F.unix_micros("arrived")
             part = rows.where(F.lit(True) if k == 0 else at >= cuts[k - 1]).where(F.lit(True) if k == slices - 1 else at < cuts[k])
-            part.coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+            part.coalesce(1).write.mode("append").options(**ROW_GROUPS).parquet(f"{path}/{i}")
     return [H.replay(s, f"{path}/{i}", rows.schema, 1) for i, rows in enumerate(tables)]
 
 
@@ -61,7 +70,10 @@ def live_points(s, d, before_commit=None, folder=None):
     sink = P.ModelPointSink(poses(s, d), path, DEPTH, 1.0, before_commit)
     if folder is None:
         cloud = sinks.payloads(points(s, d).withColumn("time_lag", F.lit(0.0).cast("float")), FRAME).join(frames(s, d), FRAME)
-        stream = replayed(s, [cloud.withColumn("arrived", arrival(F.col("ts_ns")))], f"{path}/in")[0]
+        cloud.withColumn("arrived", arrival(F.col("ts_ns"))).write.options(**ROW_GROUPS).parquet(f"{path}/cloud")
+        cloud = s.read.parquet(f"{path}/cloud")
+        size = cloud.agg(F.sum(F.col("height").cast("long") * F.col("row_step"))).first()[0] or 0
+        stream = replayed(s, [cloud], f"{path}/in", max(4, -(-size // SLICE)))[0]
     else:
         stream = H.replay(s, f"{path}/in/0", s.read.parquet(f"{path}/in/0").schema, 1)
     return P.run(stream, sink)

@@ -135,21 +135,23 @@ def decode_messages(messages: DataFrame, keys: list[str], fields: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            # One message at a time, as a batch may hold many large payloads.
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 at = {f["name"]: f for f in row["fields"]}
                 missing = [f for f in fields if f not in at or at[f]["datatype"] != 7 or at[f]["count"] != 1]
                 if missing:
                     raise ValueError(f"no float fields {missing}")
                 order = ">" if row["is_bigendian"] else "<"
                 kind = np.dtype({"names": list(fields), "formats": [f"{order}f4"] * len(fields), "offsets": [at[f]["offset"] for f in fields], "itemsize": row["point_step"]})
-                data = np.ndarray((row["height"], row["width"]), kind, row["data"], strides=(row["row_step"], row["point_step"])).ravel()
-                columns = [data[f].astype(np.float32) for f in fields]
-                good = np.all([np.isfinite(c) for c in columns], axis=0)
-                if on_non_finite == "raise" and not good.all():
-                    raise ValueError("a point holds a non-finite value")
-                n = int(good.sum())
-                arrays = [pa.array([row[k]] * n, batch.schema.field(k).type) for k in keys] + [pa.array(np.flatnonzero(good))] + [pa.array(c[good]) for c in columns]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "row_idx", *fields])
+                data = np.ndarray((row["height"], row["width"]), kind, row["data"], strides=(row["row_step"], row["point_step"])).reshape(-1)
+                for low in range(0, max(1, len(data)), STEP):
+                    columns = [data[f][low : low + STEP].astype(np.float32) for f in fields]
+                    good = np.all([np.isfinite(c) for c in columns], axis=0)
+                    if on_non_finite == "raise" and not good.all():
+                        raise ValueError("a point holds a non-finite value")
+                    n = int(good.sum())
+                    arrays = [pa.array([row[k]] * n, batch.schema.field(k).type) for k in keys] + [pa.array(low + np.flatnonzero(good))] + [pa.array(c[good]) for c in columns]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "row_idx", *fields])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row_idx long, " + ", ".join(f"{f} float" for f in fields)
     return messages.select(*keys, "height", "width", "fields", "is_bigendian", "point_step", "row_step", "data").mapInArrow(run, schema)

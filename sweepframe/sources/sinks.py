@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +63,20 @@ def payloads(points: DataFrame, keys: list[str], fields: tuple[str, ...] = ("x",
     """Points of each frame as a little-endian float payload with its layout. A group is one frame."""
     step = 4 * len(fields)
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf.sort_values(list(order))[list(fields)].to_numpy("<f4").tobytes()
-        return pd.DataFrame([[*key, 1, len(pdf), False, step, step * len(pdf), data]], columns=[*keys, "height", "width", "is_bigendian", "point_step", "row_step", "data"])
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        own = {k: pa.array([v.as_py()], rows.schema.field(k).type) for k, v in zip(keys, key, strict=True)}
+        order_of = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order])
+        data = np.empty((len(rows), len(fields)), "<f4")
+        for i, f in enumerate(fields):
+            data[:, i] = rows.column(f).take(order_of).to_numpy()
+        n = len(data)
+        numbers = {"height": 1, "width": n}, {"point_step": step, "row_step": step * n}
+        ints = [{k: pa.array([v], pa.int32()) for k, v in part.items()} for part in numbers]
+        return pa.table(own | ints[0] | {"is_bigendian": pa.array([False])} | ints[1] | {"data": pa.array([data.data.cast("B")], pa.binary())})
 
     kinds = dict(points.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", height int, width int, is_bigendian boolean, point_step int, row_step int, data binary"
-    out = points.select(*keys, *dict.fromkeys((*fields, *order))).groupBy(*keys).applyInPandas(pack, schema)
+    out = points.select(*keys, *dict.fromkeys((*fields, *order))).groupBy(*keys).applyInArrow(pack, schema)
     layout = F.array(*(F.struct(F.lit(f).alias("name"), F.lit(4 * i).alias("offset"), F.lit(7).alias("datatype"), F.lit(1).alias("count")) for i, f in enumerate(fields)))
     return out.withColumn("fields", layout)
 

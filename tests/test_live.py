@@ -97,3 +97,14 @@ def test_model_points_after_a_restart(spark):
     again = PL.live_points(spark, DATA, seen.append, made[0])
     assert seen == [0, 1, 2, 2, 3]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, whole)) and again.select(*FRAME, "history_rank", "src_row_idx").distinct().count() == len(whole)
+
+
+def test_larger_payloads_give_more_slices(spark, monkeypatch):
+    from sweepframe.plans.sweeps import reconstructed
+
+    size = spark.read.parquet(f"{DATA}/lineitem.parquet").count() * 16
+    monkeypatch.setattr(PL, "SLICE", size // 6 + 1)
+    batches = []
+    got = PL.live_points(spark, DATA, batches.append)
+    columns = [*FRAME, "history_rank", "src_row_idx", "x", "y", "z", "time_lag"]
+    assert batches == list(range(6)) and sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, reconstructed(spark, DATA).select(*columns).collect()))
