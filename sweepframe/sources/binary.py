@@ -5,15 +5,19 @@ Files are read by Spark's binaryFile source, so any file system that Spark knows
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileType, LocalFileSystem
+import pyarrow.compute as pc
+from pyarrow import NativeFile
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from sweepframe.sources.ranges import file_system
 
@@ -22,13 +26,13 @@ STEP = 1 << 16
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 2, 5: 4, 6: 4, 7: 4, 8: 8}
 
 
-def decoded(spark: SparkSession, path: str, glob: str, read: Callable[[bytes], dict[str, np.ndarray]], schema: str) -> DataFrame:
+def decoded(spark: SparkSession, path: str, glob: str, read: Callable[[memoryview], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """(path, row_idx, ...) for each record of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                columns = read(content.as_buffer().to_pybytes())
+                columns = read(memoryview(content.as_buffer()))
                 n = len(next(iter(columns.values())))
                 for a in range(0, n, STEP):
                     m = min(STEP, n - a)
@@ -43,7 +47,7 @@ def read_points(spark: SparkSession, path: str, fields: tuple[str, ...] = ("x",
     """Little-endian float32 records. A size that isn't whole records fails the job; so do empty files and non-finite values where strict."""
     width = 4 * len(fields)
 
-    def read(data: bytes) -> dict[str, np.ndarray]:
+    def read(data: memoryview) -> dict[str, np.ndarray]:
         if len(data) % width or strict and not data:
             raise ValueError(f"{len(data)} bytes are not whole records of {width}")
         rows = np.frombuffer(data, "<f4").reshape(-1, len(fields))
@@ -57,7 +61,7 @@ def read_points(spark: SparkSession, path: str, fields: tuple[str, ...] = ("x",
 def read_labels(spark: SparkSession, path: str, glob: str = "*.label") -> DataFrame:
     """Packed 32-bit labels with their halves: semantic class and instance."""
 
-    def read(data: bytes) -> dict[str, np.ndarray]:
+    def read(data: memoryview) -> dict[str, np.ndarray]:
         if len(data) % 4:
             raise ValueError(f"{len(data)} bytes are not whole labels")
         return {"packed": np.frombuffer(data, "<u4").astype(np.int64)}
@@ -66,23 +70,36 @@ def read_labels(spark: SparkSession, path: str, glob: str = "*.label") -> DataFr
     return out.withColumns({"semantic_id": F.col("packed").bitwiseAND(F.lit(65535)).cast("int"), "instance_id": F.shiftrightunsigned("packed", 16).cast("int")})
 
 
-def las_tile(xyz: np.ndarray, classification: np.ndarray, scale: float = 0.001) -> bytes:
-    """A LAS 1.2 tile of point format 0."""
-    rows = np.zeros(len(xyz), np.dtype([("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("angle", "i1"), ("user_data", "u1"), ("point_source", "<u2")]))
-    rows["xyz"], rows["classification"] = np.rint(xyz / scale), classification
+#: A record of LAS point format 0.
+LAS_RECORD = np.dtype([("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("angle", "i1"), ("user_data", "u1"), ("point_source", "<u2")])
+
+
+def las_head(count: int, scale: float = 0.001) -> bytes:
+    """The header of a LAS 1.2 tile of so many records of point format 0."""
     head = bytearray(227)
     head[:4], head[24:26] = b"LASF", b"\x01\x02"
     head[94:100] = (227).to_bytes(2, "little") + (227).to_bytes(4, "little")
-    head[105:111] = rows.itemsize.to_bytes(2, "little") + len(rows).to_bytes(4, "little")
+    head[105:111] = LAS_RECORD.itemsize.to_bytes(2, "little") + count.to_bytes(4, "little")
     head[131:179] = np.array([scale] * 3 + [0.0] * 3, "<f8").tobytes()
-    return bytes(head) + rows.tobytes()
+    return bytes(head)
+
+
+def las_records(xyz: np.ndarray, classification: np.ndarray, scale: float = 0.001) -> bytes:
+    rows = np.zeros(len(xyz), LAS_RECORD)
+    rows["xyz"], rows["classification"] = np.rint(xyz / scale), classification
+    return rows.tobytes()
+
+
+def las_tile(xyz: np.ndarray, classification: np.ndarray, scale: float = 0.001) -> bytes:
+    """A LAS 1.2 tile of point format 0."""
+    return las_head(len(xyz), scale) + las_records(xyz, classification, scale)
 
 
 def read_las(spark: SparkSession, path: str, glob: str = "*.las", fields: tuple[str, ...] = ("x", "y", "z", "intensity", "classification")) -> DataFrame:
     """LAS 1.0-1.3 tiles of point formats 0-3: scaled coordinates and the wanted fields; others aren't built."""
     kinds = {"x": "double", "y": "double", "z": "double", "intensity": "int", "classification": "int", "user_data": "int", "point_source": "int", "gps_time": "double", "red": "int", "green": "int", "blue": "int"}
 
-    def read(data: bytes) -> dict[str, np.ndarray]:
+    def read(data: memoryview) -> dict[str, np.ndarray]:
         if data[:4] != b"LASF":
             raise ValueError("no LAS file")
         start = int.from_bytes(data[96:100], "little")
@@ -169,6 +186,20 @@ class ScanWriter(DataSource):
         return _Writer(self.options["path"], self.options.get("suffix", ".bin"))
 
 
+@contextmanager
+def whole_file(where: FileSystem, base: str, drive_id: str, frame_index: int, suffix: str) -> Iterator[NativeFile]:
+    """A stream into <base>/<drive_id>/<frame_index><suffix>, which appears by moving once all is written."""
+    folder = f"{base.rstrip('/')}/{drive_id}"
+    where.create_dir(folder, recursive=True)
+    name = f"{folder}/{frame_index:010d}{suffix}"
+    part = f"{name}.part{uuid.uuid4().hex}"
+    with where.open_output_stream(part) as f:
+        yield f
+    if not isinstance(where, LocalFileSystem) and where.get_file_info(name).type != FileType.NotFound:
+        where.delete_file(name)
+    where.move(part, name)
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, path: str, suffix: str):
         file_system(path)  # fails here, not on the executors
@@ -177,13 +208,54 @@ class _Writer(DataSourceWriter):
     def write(self, iterator):  # noqa: ANN001, ANN201
         where, base = file_system(self.path)
         for row in iterator:
-            folder = f"{base.rstrip('/')}/{row['drive_id']}"
-            where.create_dir(folder, recursive=True)
-            name = f"{folder}/{row['frame_index']:010d}{self.suffix}"
-            part = f"{name}.part{uuid.uuid4().hex}"
-            with where.open_output_stream(part) as f:
+            with whole_file(where, base, row["drive_id"], row["frame_index"], self.suffix) as f:
                 f.write(row["data"])
-            if not isinstance(where, LocalFileSystem) and where.get_file_info(name).type != FileType.NotFound:
-                where.delete_file(name)
-            where.move(part, name)
+        return WriterCommitMessage()
+
+
+class FrameWriter(DataSource):
+    """Sink of points (drive_id, frame_index, n_points, fields) that come frame by frame in their order: one file per frame, as ScanWriter's. Options: fields,
+    kind ('float' or 'las', whose fields are x, y, z and a class) and suffix."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "frame_files"
+
+    def writer(self, schema, overwrite):  # noqa: ANN001, ANN201
+        return _FrameWriter(self.options["path"], self.options["suffix"], self.options["fields"].split(","), self.options["kind"] == "las")
+
+
+class _FrameWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, suffix: str, fields: list[str], las: bool):
+        file_system(path)  # fails here, not on the executors
+        self.path, self.suffix, self.fields, self.las = path, suffix, fields, las
+
+    def pieces(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """((drive_id, frame_index, n_points), rows) of runs of one frame."""
+        for batch in batches:
+            keys = [batch.column(batch.schema.get_field_index(c)) for c in ("drive_id", "frame_index", "n_points")]
+            ends = pc.run_end_encode(keys[0]).run_ends.to_pylist() + pc.run_end_encode(keys[1]).run_ends.to_pylist()
+            low = 0
+            for end in sorted(set(ends)):
+                yield tuple(k[low].as_py() for k in keys), batch.slice(low, end - low)
+                low = end
+
+    def encoded(self, rows: pa.RecordBatch) -> bytes:
+        columns = [rows.column(rows.schema.get_field_index(f)).to_numpy(zero_copy_only=False) for f in self.fields]
+        if self.las:
+            return las_records(np.stack(columns[:3], axis=1).astype(float), columns[3])
+        return np.stack(columns, axis=1).astype("<f4").tobytes()
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        where, base = file_system(self.path)
+        for (drive, frame, n), pieces in itertools.groupby(self.pieces(iterator), key=lambda p: p[0]):
+            written = 0
+            with whole_file(where, base, drive, frame, self.suffix) as f:
+                if self.las:
+                    f.write(las_head(n))
+                for _, rows in pieces:
+                    f.write(self.encoded(rows))
+                    written += rows.num_rows
+                if written != n:
+                    raise ValueError(f"{written} of {n} points of a frame came together")
         return WriterCommitMessage()

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sweepframe.functions.geometry import yaw_quaternion
 from sweepframe.operators.boxes import PALETTE
@@ -89,19 +89,24 @@ def write_files(rows: DataFrame, path: str, suffix: str = ".bin") -> None:
     rows.select("drive_id", "frame_index", "data").write.format("scan_files").option("suffix", suffix).mode("append").save(path)
 
 
-def write_tiles(points: DataFrame, path: str) -> None:
-    """One LAS tile per frame, path/<drive_id>/<frame_index>.las, of points x, y, z, label. A group is one frame."""
-    from sweepframe.sources.binary import las_tile
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
-        return pd.DataFrame([[*key, las_tile(pdf[["x", "y", "z"]].to_numpy(float), pdf["label"].to_numpy())]], columns=["drive_id", "frame_index", "data"])
+def streamed(points: DataFrame, path: str, fields: tuple[str, ...], kind: str, suffix: str) -> None:
+    """One file per frame, path/<drive_id>/<frame_index><suffix>, of its points in the order of row_idx. They come to the writer in that order, a batch at a time,
+    and how many a frame has comes with them, so a task's memory in Python follows neither frame nor file."""
+    from sweepframe.sources.binary import FrameWriter
 
     keys = ["drive_id", "frame_index"]
-    write_files(points.select(*keys, "row_idx", "x", "y", "z", "label").groupBy(*keys).applyInPandas(pack, "drive_id string, frame_index long, data binary"), path, ".las")
+    whole = Window.partitionBy(*keys).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = points.select(*keys, "row_idx", *dict.fromkeys(fields)).withColumn("n_points", F.count("*").over(whole)).sortWithinPartitions(*keys, "row_idx")
+    points.sparkSession.dataSource.register(FrameWriter)
+    rows.write.format("frame_files").option("fields", ",".join(fields)).option("kind", kind).option("suffix", suffix).mode("append").save(path)
+
+
+def write_tiles(points: DataFrame, path: str) -> None:
+    """One LAS tile per frame, path/<drive_id>/<frame_index>.las, of points x, y, z, label."""
+    streamed(points, path, ("x", "y", "z", "label"), "las", ".las")
 
 
 def write_scans(points: DataFrame, path: str, fields: tuple[str, ...] = ("x", "y", "z", "remission")) -> None:
     """One binary file per frame, path/<drive_id>/<frame_index>.bin. path must be a folder that all executors share."""
-    write_files(payloads(points, ["drive_id", "frame_index"], fields), path)
+    streamed(points, path, fields, "float", ".bin")
 

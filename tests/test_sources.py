@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,23 @@ def test_history_leaves_a_task_in_steps(spark, tmp_path):
     assert {s: (r, d) for t in out for s, r, d in zip(t["arrival_seq"], t["reset"], t["depth"])} == want
     assert {None, "gap", "time_regression"} == {r for r, _ in want.values()}
     assert state.kept == ((n - 1) * 1_000_000 + 90_000_000, [n - 1, n - 2, n - 3, n - 4, n - 5])
+
+
+def test_a_frame_is_written_a_batch_at_a_time(spark, tmp_path):
+    """Frames larger than a batch, several of them in a task: the writer gets pieces, files are those of whole frames."""
+    rows = [("d0", f, k, float(k), float(f), 0.5, k % 7) for f in (3, 4) for k in range(25, -1, -1)]
+    df = spark.createDataFrame(rows, "drive_id string, frame_index long, row_idx long, x float, y float, z float, label int").repartition(3)
+    pieces = binary._FrameWriter(str(tmp_path), ".las", ["x", "y", "z", "label"], True)
+    t = pa.table({"drive_id": ["d0"] * 5, "frame_index": [3, 3, 3, 4, 4], "n_points": [3, 3, 3, 2, 2], "x": [0.0] * 5, "y": [0.0] * 5, "z": [0.0] * 5, "label": range(5)})
+    assert [(k, len(b)) for k, b in pieces.pieces(t.to_batches(max_chunksize=2))] == [(("d0", 3, 3), 2), (("d0", 3, 3), 1), (("d0", 4, 2), 1), (("d0", 4, 2), 1)]
+    with pytest.raises(ValueError, match="2 of 3 points"):
+        pieces.write(iter(t.slice(0, 2).to_batches()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        sinks.write_tiles(df, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch") if before is None else spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for f in (3, 4):
+        own = sorted((r for r in rows if r[1] == f), key=lambda r: r[2])
+        assert (tmp_path / "t" / "d0" / f"{f:010d}.las").read_bytes() == binary.las_tile(np.array([r[3:6] for r in own]), np.array([r[6] for r in own]))
