@@ -17,9 +17,14 @@ def compare_sets(a: DataFrame, b: DataFrame, on: list[str], keys: list[str], con
 
 
 def first_mismatch(a: DataFrame, b: DataFrame, on: list[str], columns: list[str], keys: list[str]) -> DataFrame:
-    """Per keys: compared and differing rows, and the first differing place in the order of `on`. Null equals null."""
-    left = a.select(*on, F.struct(*columns).alias("_a"))
-    right = b.select(*on, F.struct(*columns).alias("_b"))
+    """Per keys: compared and differing rows, and the first differing place in the order of `on`. Null equals null.
+
+    Both sides are dealt into a fixed number of parts: sorted rows shrink so much in a shuffle that parts put together by their bytes are large in memory.
+    """
+    spark = a.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32 * spark.sparkContext.defaultParallelism)
+    left = a.select(*on, F.struct(*columns).alias("_a")).repartition(parts, *on)
+    right = b.select(*on, F.struct(*columns).alias("_b")).repartition(parts, *on)
     differs = ~F.col("_a").eqNullSafe(F.col("_b"))
     both = left.join(right, on, "full")
     return both.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(differs).alias("mismatches"), F.min(F.when(differs, F.struct(*[c for c in on if c not in keys]))).alias("first"))

@@ -141,3 +141,14 @@ def test_a_filter_on_visibility_keeps_the_plan_small(spark):
     out = with_visibility(df.withColumn("corners", c), "corners", CAMERA).where("visible").select("id")
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 100_000
     assert {r.id for r in out.collect()} == {0, 1, 2} & {r.id for r in with_visibility(df.withColumn("corners", c), "corners", CAMERA).collect() if r.visible}
+
+
+def test_first_mismatch_is_dealt_by_number_of_parts(spark):
+    """Parts aren't put together by their size; null equals null, and a row that one side lacks differs."""
+    from sweepframe.operators.fidelity import first_mismatch
+
+    a = spark.createDataFrame([("d", 0, 1), ("d", 1, None), ("d", 2, 5), ("d", 3, 7)], "k string, i long, v int")
+    b = spark.createDataFrame([("d", 0, 1), ("d", 1, None), ("d", 2, 6)], "k string, i long, v int")
+    out = first_mismatch(a, b, ["k", "i"], ["v"], ["k"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert [(r.rows, r.mismatches, r["first"].i) for r in out.collect()] == [(4, 2, 2)]
