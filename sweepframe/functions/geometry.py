@@ -64,35 +64,47 @@ def aligned_iou(ax: Column, ay: Column, al: Column, aw: Column, bx: Column, by:
 
 
 def clipped_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Areas of the intersections of convex polygons (n, 4, 2), both counter-clockwise: vertices inside the other and edge crossings, ordered by angle."""
-    n = len(p)
-    points, valid = [], []
-    for a, b in ((p, q), (q, p)):
-        edge = np.roll(b, -1, axis=1) - b
-        rel = a[:, :, None, :] - b[:, None, :, :]
-        inside = (edge[:, None, :, 0] * rel[..., 1] - edge[:, None, :, 1] * rel[..., 0] >= -1e-12).all(axis=2)
-        points.append(a)
-        valid.append(inside)
-    pe, qe = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
-    cross = pe[:, :, None, 0] * qe[:, None, :, 1] - pe[:, :, None, 1] * qe[:, None, :, 0]
-    rel = q[:, None, :, :] - p[:, :, None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (rel[..., 0] * qe[:, None, :, 1] - rel[..., 1] * qe[:, None, :, 0]) / cross
-        u = (rel[..., 0] * pe[:, :, None, 1] - rel[..., 1] * pe[:, :, None, 0]) / cross
-    hit = (np.abs(cross) > 1e-12) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    points.append((p[:, :, None, :] + np.where(hit, t, 0)[..., None] * pe[:, :, None, :]).reshape(n, 16, 2))
-    valid.append(hit.reshape(n, 16))
-    x, ok = np.concatenate(points, axis=1), np.concatenate(valid, axis=1)
-    count = ok.sum(axis=1)
-    middle = np.where(ok[..., None], x, 0).sum(axis=1) / np.maximum(count, 1)[:, None]
-    rel = x - middle[:, None, :]
-    angle = np.where(ok, np.arctan2(rel[..., 1], rel[..., 0]), np.inf)
-    order = np.argsort(angle, axis=1)
-    rel = np.take_along_axis(rel, order[..., None], axis=1)
-    rel = np.where(np.take_along_axis(ok, order, axis=1)[..., None], rel, rel[:, :1])  # unused places repeat the first vertex
-    after = np.roll(rel, -1, axis=1)
-    area = np.abs((rel[..., 0] * after[..., 1] - rel[..., 1] * after[..., 0]).sum(axis=1)) / 2
-    return np.where(count >= 3, area, 0.0)
+    """Areas of the intersections of convex polygons (n, 4, 2), both counter-clockwise: vertices inside the other and edge crossings, ordered by angle.
+
+    Some thousand pairs at a time, and each of the 24 possible vertices as a row of all of these: numpy is slow over short inner axes and beyond the cache.
+    """
+    out = np.zeros(len(p))
+    for k in range(0, len(p), 4096):
+        out[k : k + 4096] = clipped_part(p[k : k + 4096], q[k : k + 4096])
+    return out
+
+
+def clipped_part(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    (px, py), (qx, qy) = (np.ascontiguousarray(v.transpose(2, 1, 0)) for v in (p, q))
+    (pu, pv), (qu, qv) = ((np.roll(x, -1, axis=0) - x, np.roll(y, -1, axis=0) - y) for x, y in ((px, py), (qx, qy)))
+    x, y, ok = np.empty((24, len(p))), np.empty((24, len(p))), np.empty((24, len(p)), bool)
+    for at, (ax, ay, bx, by, bu, bv) in ((0, (px, py, qx, qy, qu, qv)), (4, (qx, qy, px, py, pu, pv))):
+        x[at : at + 4], y[at : at + 4] = ax, ay
+        ok[at : at + 4] = np.logical_and.reduce([bu[m] * (ay - by[m]) - bv[m] * (ax - bx[m]) >= -1e-12 for m in range(4)])
+    for k in range(4):
+        at = slice(8 + 4 * k, 12 + 4 * k)
+        cross = pu[k] * qv - pv[k] * qu
+        rx, ry = qx - px[k], qy - py[k]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (rx * qv - ry * qu) / cross, (rx * pv[k] - ry * pu[k]) / cross
+        ok[at] = (np.abs(cross) > 1e-12) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        t = np.where(ok[at], t, 0)
+        x[at], y[at] = px[k] + t * pu[k], py[k] + t * pv[k]
+    count = ok.sum(axis=0)
+    # One row after the other, as numpy's own sum takes another order where there is one pair only.
+    x, y = (v - sum(np.where(ok, v, 0)[1:], np.where(ok[0], v[0], 0)) / np.maximum(count, 1) for v in (x, y))
+    angle = np.full(x.shape, np.inf)
+    angle[ok] = np.arctan2(y[ok], x[ok])
+    order = np.argsort(np.ascontiguousarray(angle.T), axis=1)
+    out = np.zeros(len(p))
+    for width, rows in ((8, np.flatnonzero((count >= 3) & (count <= 8))), (24, np.flatnonzero(count > 8))):
+        # Used vertices come first; unused places repeat the first one, and add nothing.
+        place = np.where(np.arange(width)[:, None] < count[rows], order[rows, :width].T, order[rows, 0])
+        rx, ry = (v[place, rows] for v in (x, y))
+        cross = rx * np.roll(ry, -1, axis=0) - ry * np.roll(rx, -1, axis=0)
+        c = cross if width == 8 else (cross[:8] + cross[8:16]) + cross[16:]
+        out[rows] = np.abs(((c[0] + c[1]) + (c[2] + c[3])) + ((c[4] + c[5]) + (c[6] + c[7]))) / 2
+    return out
 
 
 def box_array(b: pd.DataFrame) -> np.ndarray:

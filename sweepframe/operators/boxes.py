@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,20 +65,30 @@ def cells_of_boxes(boxes: DataFrame, size: float, side: float = 50.0, keys: list
     return out.where(G.axes_overlap(F.col("cx"), F.col("cy"), F.col("len"), F.col("wid"), F.col("yaw"), *mid, size / 2)).select(*keys, "track_id", "px", "py")
 
 
-def pairs(dets: DataFrame, boxes: DataFrame, keys: list[str], oriented: bool = False, measure: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """det_id, track_id and iou > 0 within keys. Boxes farther apart than their half diagonals are left out before the area is computed.
+def pairs(dets: DataFrame, boxes: DataFrame, keys: list[str], oriented: bool = False, measure: Callable[[np.ndarray, np.ndarray], np.ndarray] = G.oriented_overlap) -> DataFrame:
+    """det_id, track_id and iou > 0 within keys. Both sides of a group meet in a kernel that measures equal footprints once and hands its pairs on a block at a time,
+    so a task holds a group's rows, never its pairs.
 
-    measure: the variant for oriented boxes, G.oriented_iou (parity) unless given, or G.clipped_iou (evaluation).
+    measure: the variant for oriented boxes, G.oriented_overlap (parity) or G.clipped_overlap (evaluation).
     """
-    a = dets.select(*keys, "det_id", "score", *(F.col(c).alias(f"a_{c}") for c in ("cx", "cy", "len", "wid", *(["yaw"] if oriented else []))))
-    b = boxes.select(*keys, "track_id", *(F.col(c).alias(f"b_{c}") for c in ("cx", "cy", "len", "wid", *(["yaw"] if oriented else []))))
-    both = a.join(b, keys).where(F.hypot(F.col("a_cx") - F.col("b_cx"), F.col("a_cy") - F.col("b_cy")) <= F.hypot("a_len", "a_wid") / 2 + F.hypot("b_len", "b_wid") / 2)
-    if oriented:
-        box = {p: F.struct(*(F.col(f"{p}_{c}").alias(c) for c in ("cx", "cy", "len", "wid", "yaw"))) for p in "ab"}
-        iou = (measure or G.oriented_iou)(box["a"], box["b"])
-    else:
-        iou = G.aligned_iou(*(F.col(f"{p}_{c}") for p in "ab" for c in ("cx", "cy", "len", "wid")))
-    return both.select(*keys, "det_id", "score", "track_id", iou.alias("iou")).where("iou > 0")
+    overlap = G.screened(measure) if oriented else G.aligned_overlap
+    place = ["cx", "cy", "len", "wid", *(["yaw"] if oriented else [])]
+    left = dets.select(*keys, F.lit(True).alias("_det"), "det_id", "score", *place)
+    both = left.unionByName(boxes.select(*keys, F.lit(False).alias("_det"), "track_id", *place), allowMissingColumns=True)
+    kinds = dict(both.dtypes)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        a, b = (t.filter(m).combine_chunks() for m in (t.column("_det"), pc.invert(t.column("_det"))))
+        if not len(a) or not len(b) or not all(k.is_valid for k in key):
+            return
+        for i, j, v in K.near_rows(footprint_rows(a, oriented), footprint_rows(b, oriented), overlap):
+            if len(i):
+                out = group_table(key, keys, {"det_id": a.column("det_id").take(i), "score": a.column("score").take(i), "track_id": b.column("track_id").take(j), "iou": pa.array(v)})
+                yield from out.combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "det_id", "score", "track_id")) + ", iou double"
+    return dealt(both, keys).groupBy(*keys).applyInArrow(run, schema)
 
 
 def greedy(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:

@@ -69,20 +69,42 @@ def candidate_blocks(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tup
                 i = j
 
 
-def near_classes(a: np.ndarray, b: np.ndarray, measure: Measure, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, overlap) of all pairs of overlap above 0 and at least `least`, by the row of a and falling overlap."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+def near_blocks(a: np.ndarray, b: np.ndarray, measure: Measure, least: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of a, row of b, overlap) of all pairs of overlap above 0 and at least `least`, a block of candidates at a time."""
     for i, j in candidate_blocks(a, b, least):
         keep = (np.abs(a[i, 0] - b[j, 0]) <= (np.hypot(a[i, 2], a[i, 3]) + np.hypot(b[j, 2], b[j, 3])) / 2) if a.shape[1] > 4 else slice(None)
         i, j = i[keep], j[keep]
         v = measure(a[i], b[j])
         keep = (v > 0) & (v >= least)
-        found.append((i[keep], j[keep], v[keep]))
+        yield i[keep], j[keep], v[keep]
+
+
+def near_classes(a: np.ndarray, b: np.ndarray, measure: Measure, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """near_blocks together, by the row of a and falling overlap."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *near_blocks(a, b, measure, least)]
     i, j, v = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((j, -v, i))
     return i[order], j[order], v[order]
 
 
+def near_rows(a: np.ndarray, b: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of a, row of b, overlap) of all pairs of overlap above 0, in blocks of bounded size. Equal footprints are measured once."""
+    kinds, own = classes(list(a.T))
+    place, first = classes(list(b.T))
+    members = [np.argsort(c, kind="stable") for c in (kinds, place)]
+    size = [np.bincount(c, minlength=len(f)) for c, f in ((kinds, own), (place, first))]
+    start = [np.cumsum(n) - n for n in size]
+    for i, j, v in near_blocks(a[own], b[first], measure):
+        n, wide = size[0][i] * size[1][j], size[1][j]
+        ends = np.cumsum(n)
+        for low in range(0, int(n.sum()), BLOCK):
+            high = min(low + BLOCK, int(ends[-1]))
+            p = np.arange(np.searchsorted(ends, low, "right"), np.searchsorted(ends, high - 1, "right") + 1)
+            p = np.repeat(p, np.minimum(ends[p], high) - np.maximum(ends[p] - n[p], low))
+            k = np.arange(low, high) - (ends - n)[p]
+            yield members[0][start[0][i[p]] + k // wide[p]], members[1][start[1][j[p]] + k % wide[p]], v[p]
+
+
 class Near:
     """Classes of queries and items of one group, with the overlaps of near ones; ranks order the items where overlaps are equal, the least first."""
 

@@ -1,6 +1,7 @@
 """The matching kernel of groups against plain searches of all pairs, and matches of detections with other targets than their own."""
 
 import importlib
+import math
 import random
 from collections import Counter
 
@@ -105,3 +106,42 @@ def test_clipped_area_of_columns_and_arrays(spark):
         union = a[r.k, 2] * a[r.k, 3] + b[r.k, 2] * b[r.k, 3] - r.both
         assert abs(r.iou - r.both / union) < 1e-9
     assert sum(r.iou > 0 for r in got) > 20
+
+
+@pytest.mark.parametrize("oriented", [False, True])
+def test_pairs_of_equal_footprints_are_measured_once(spark, oriented, monkeypatch):
+    r = np.random.default_rng(5)
+    place = ["cx", "cy", "len", "wid", "yaw"]
+    shapes = [[float(x), float(y), 4.0, 2.0, float(k * math.pi / 8)] for x, y, k in r.integers(0, 7, (30, 3))]
+    dets = [("a", "Car", d, d / 100, *shapes[d % 20]) for d in range(60)] + [(None, "Car", 60, 0.5, *shapes[0]), ("a", "Car", 61, 0.5, None, *shapes[0][1:]), ("b", "Car", 62, 0.5, *shapes[0]), ("a", "Car", None, 0.5, *shapes[1])]
+    boxes = [("a", "Car", 1000 + t, *shapes[t % 30]) for t in range(90)] + [(None, "Car", 2000, *shapes[0]), ("c", "Car", 2001, *shapes[0])]
+    columns = ", ".join(f"{c} double" for c in place)
+    d, b = spark.createDataFrame(dets, f"drive string, class_name string, det_id long, score double, {columns}"), spark.createDataFrame(boxes, f"drive string, class_name string, track_id long, {columns}")
+    n = 5 if oriented else 4
+    measure = G.oriented_overlap if oriented else G.aligned_overlap
+    want = Counter()
+    for drive, _, det, score, *p in dets:
+        for other, _, track, *q in boxes:
+            if drive and drive == other and None not in p:
+                v = float(measure(np.array([p[:n]]), np.array([q[:n]]))[0])
+                want.update([(drive, "Car", det, score, track, v)] if v > 0 else [])
+    df = B.pairs(d, b, ["drive", "class_name"], oriented)
+    assert Counter(map(tuple, df.collect())) == want and len(want) > 1000
+    assert "Join" not in df._jdf.queryExecution().toString()
+    # The kernel itself: blocks are bounded, and 400 copies on either side are one measured pair.
+    monkeypatch.setattr(K, "BLOCK", 1000)
+    seen = []
+    one = np.array([shapes[0][:n]] * 400)
+    blocks = list(K.near_rows(one, one, lambda x, y: seen.append(len(x)) or measure(x, y)))
+    assert sum(seen) == 1 and max(len(i) for i, _, _ in blocks) == 1000
+    assert {(i, j) for x, y, _ in blocks for i, j in zip(x.tolist(), y.tolist(), strict=True)} == {(i, j) for i in range(400) for j in range(400)}
+
+
+def test_clipped_areas_beyond_one_part():
+    """Overlaps of many pairs equal those of each alone, by the plain cutting of polygons too."""
+    r = np.random.default_rng(6)
+    n = 9000
+    a, b = (np.stack([r.integers(-6, 7, n) / 4, r.integers(-6, 7, n) / 4, r.choice([2.0, 4.0], n), r.choice([1.0, 2.0], n), r.integers(0, 16, n) * (math.pi / 8)], axis=1) for _ in range(2))
+    got = G.oriented_overlap(a, b)
+    assert np.abs(got - G.clipped_overlap(a, b)).max() < 1e-9
+    assert all(got[k] == G.oriented_overlap(a[k : k + 1], b[k : k + 1])[0] for k in (*range(600), *range(4000, 4200), n - 1))
