@@ -92,7 +92,7 @@ def pairs(dets: DataFrame, boxes: DataFrame, keys: list[str], oriented: bool = F
 
 
 def greedy(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One frame's matches: predictions by falling score take their best free box; ties go to smaller ids."""
+    """One group's matches, plainly (`match` doesn't list single pairs): predictions by falling score take their best free box; ties go to smaller ids."""
     taken, rows = set(), []
     order = frame.drop_duplicates("det_id").sort_values(["score", "det_id"], ascending=[False, True])
     near = {k: list(zip(-g["iou"], g["track_id"], strict=True)) for k, g in frame[frame["iou"].notna()].groupby("det_id")}
@@ -109,21 +109,33 @@ def greedy(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def match(dets: DataFrame, targets: DataFrame, ignores: DataFrame, keys: list[str], threshold: float, oriented: bool = False) -> DataFrame:
-    """(keys, det_id, score, track_id, iou, disposition) per detection. A group is one frame and class: some hundred rows, whatever the corpus size."""
-    near = pairs(dets, targets, keys, oriented)
-    ignored = pairs(dets, ignores, keys, oriented).groupBy(*keys, "det_id").agg(F.max("iou").alias("ignore_iou"))
-    rows = dets.select(*keys, "det_id", "score").join(near.drop("score"), [*keys, "det_id"], "left").join(ignored, [*keys, "det_id"], "left").withColumn("ignore_iou", F.coalesce("ignore_iou", F.lit(0.0)))
+    """(keys, det_id, score, track_id, iou, disposition) per detection, an id that a group has several times once, with its highest score. iou: the overlap with
+    the best target that was free. Detections and boxes of a group (a frame and class) meet in a kernel, whose pairs never leave it.
+    """
+    overlap = G.screened(G.oriented_overlap) if oriented else G.aligned_overlap
+    place = ["cx", "cy", "len", "wid", *(["yaw"] if oriented else [])]
     kinds = dict(dets.dtypes)
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = greedy(frame, threshold)
-        out["track_id"] = out["track_id"].astype("Int64")
-        for name, value in zip(keys, key, strict=True):
-            out[name] = value
-        return out[[*keys, "det_id", "score", "track_id", "iou", "disposition"]]
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([("score", "descending"), *((c, "ascending") for c in ("det_id", *place))])
+        ids = left.column("det_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        left = left.take(np.sort(np.unique(ids, return_index=True)[1]))
+        if not len(left) or not all(k.is_valid for k in key):
+            right = right.slice(0, 0)
+        own, box, target = footprint_rows(left, oriented), footprint_rows(right, oriented), right.column("target").to_pandas().to_numpy(bool)
+        tracks = right.column("track_id").combine_chunks().filter(pa.array(target))
+        ranks = pc.rank(tracks, tiebreaker="dense").to_numpy().astype(np.int64) - 1
+        taken, best = (np.array(x) for x in K.Near(own, box[target], ranks, overlap).take(np.arange(len(left)), threshold))
+        hit = taken >= 0
+        ignore, _ = K.best_other(own, box[~target], np.zeros(int((~target).sum()), np.int64), overlap)
+        state = pa.array(["true_positive", "ignored", "false_positive"]).take(pa.array(np.where(hit, 0, np.where(ignore >= threshold, 1, 2)), pa.int64()))
+        track = tracks.take(pa.array(np.unique(ranks, return_index=True)[1], pa.int64())).take(pa.array(taken, pa.int64(), mask=~hit))
+        return group_table(key, keys, {"det_id": left.column("det_id"), "score": left.column("score"), "track_id": track, "iou": pa.array(best, pa.float64()), "disposition": state})
 
+    left = dets.select(*keys, F.col("det_id").cast("long").alias("det_id"), F.col("score").cast("double").alias("score"), *place)
+    right, other = (df.select(*keys, F.lit(t).alias("target"), F.col("track_id").cast("long").alias("track_id"), *place) for df, t in ((targets, True), (ignores, False)))
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", det_id long, score double, track_id long, iou double, disposition string"
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return dealt(left, keys).groupBy(*keys).cogroup(dealt(right.unionByName(other), keys).groupBy(*keys)).applyInArrow(run, schema)
 
 
 def match_counts(records: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

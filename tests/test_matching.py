@@ -58,6 +58,38 @@ def test_evaluation_takes_the_best_of_all_pairs(spark):
         assert {k[5] for k in want} == {"true_positive", "ignored", "false_positive"}
 
 
+@pytest.mark.parametrize("oriented", [False, True])
+def test_greedy_matches_hand_no_pairs_to_a_shuffle(spark, oriented):
+    r = np.random.default_rng(11)
+    a, b = made(30, 3), made(12, 4)
+    b[:30] = a[:30] + [0.1, 0.0, 0.0, 0.0, 0.1]
+    scores = r.random(len(a)).round(1)
+    target = r.random(len(b)) < 0.6
+    dets = [("f", k, float(s), *map(float, x)) for k, (s, x) in enumerate(zip(scores, a, strict=True))]
+    dets += [dets[0], (None, 500, 0.5, *dets[0][3:]), ("g", 501, 0.5, *dets[0][3:]), ("f", 502, None, *dets[1][3:]), ("f", 503, 0.9, None, *dets[1][4:])]
+    boxes = [("f", k, *map(float, x)) for k, x in enumerate(b)]
+    boxes += [(None, 900, *boxes[0][2:]), ("h", 901, *boxes[0][2:])]
+    columns = "cx double, cy double, len double, wid double, yaw double"
+    d = spark.createDataFrame(dets, f"frame string, det_id long, score double, {columns}")
+    own, other = (spark.createDataFrame([x for k, x in enumerate(boxes) if k >= len(b) or target[k] == t], f"frame string, track_id long, {columns}") for t in (True, False))
+    measure = G.oriented_overlap if oriented else G.aligned_overlap
+    rows = []
+    for f, k, s, *x in dict.fromkeys(dets):
+        v = measure(np.repeat(np.array(x, float)[None, :], len(b), 0), b) if f == "f" and None not in x else np.zeros(len(b))
+        near = [(f, k, s, t, v[t], max(0.0, *v[~target])) for t in range(len(b)) if v[t] > 0 and target[t]]
+        rows += near or [(f, k, s, None, None, max(0.0, *v[~target]))]
+    rows = pd.DataFrame(rows, columns=["frame", "det_id", "score", "track_id", "iou", "ignore_iou"])
+    want = Counter()
+    for f, g in rows.groupby("frame", dropna=False):
+        want.update((None if f != f else f, *(None if v is None or v != v else v for v in x)) for x in B.greedy(g, 0.5).itertuples(index=False, name=None))
+    got = B.match(d, own, other, ["frame"], 0.5, oriented)
+    assert Counter(map(tuple, got.collect())) == want
+    kinds = Counter(k[5] for k in want)
+    assert sum(kinds.values()) == len(dets) - 1 and min(kinds[k] for k in ("true_positive", "ignored", "false_positive")) > 2
+    assert any(k[5] == "ignored" and 0 < k[4] < 0.5 for k in want)
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
 def test_parity_takes_the_best_of_all_pairs(spark):
     a = made(25, 6)
     b = np.concatenate([a[10:] + [0.1, 0.0, 0.0, 0.0, 0.1], made(5, 7)])
