@@ -34,20 +34,36 @@ def sweep_transforms(index: DataFrame, poses: DataFrame) -> DataFrame:
     return both.select("drive_id", "frame_index", "history_rank", "source_index", F.array(*(f32(x) for x in a)).alias("a"), F.array(*(f32(-x) for x in back)).alias("b"))
 
 
+def moves(transforms: DataFrame, stamps: DataFrame) -> DataFrame:
+    """transforms with the times of both sweeps, cur_us and src_us. stamps: (drive_id, frame_index, ts_us)."""
+    cur = stamps.select("drive_id", "frame_index", F.col("ts_us").alias("cur_us"))
+    src = stamps.select("drive_id", F.col("frame_index").alias("source_index"), F.col("ts_us").alias("src_us"))
+    return transforms.join(cur, ["drive_id", "frame_index"]).join(src, ["drive_id", "source_index"])
+
+
 def model_points(points: DataFrame, transforms: DataFrame, stamps: DataFrame, radius: float = 1.0) -> DataFrame:
     """(drive_id, frame_index, history_rank, src_row_idx, x, y, z, time_lag): current and transformed history points inside the crop.
 
     History rows near the sensor are dropped before they are moved; the current sweep keeps its own. stamps: (drive_id, frame_index, ts_us).
     One join serves any smaller depth: keep history_rank <= n.
     """
-    cur = stamps.select("drive_id", "frame_index", F.col("ts_us").alias("cur_us"))
-    src = stamps.select("drive_id", F.col("frame_index").alias("source_index"), F.col("ts_us").alias("src_us"))
-    index = transforms.join(cur, ["drive_id", "frame_index"]).join(src, ["drive_id", "source_index"])
-    rows = points.withColumnRenamed("frame_index", "source_index").join(index, ["drive_id", "source_index"])
+    return moved_points(points, moves(transforms, stamps), radius)
+
+
+def moved_points(points: DataFrame, index: DataFrame, radius: float = 1.0) -> DataFrame:
+    """model_points of an index from `moves`.
+
+    What is the same for all points of a sweep is worked out before the join, and a moved point once, as the only row of a generator: a filter on it stays
+    above, and doesn't put the whole transform into the join's condition, whose code then is too long for the JVM to compile.
+    """
+    parts = [F.col(c)[i].cast("double").alias(f"{c}{i}") for c, n in (("a", 9), ("b", 3)) for i in range(n)]
+    flat = index.select("drive_id", "frame_index", "history_rank", "source_index", time_lag(F.col("cur_us"), F.col("src_us")).alias("time_lag"), *parts)
+    rows = points.withColumnRenamed("frame_index", "source_index").join(flat, ["drive_id", "source_index"])
     rows = rows.where((F.col("history_rank") == 0) | ~too_close(F.col("x"), F.col("y"), radius))
-    moved = rigid_rows(*(F.col(k).cast("double") for k in "xyz"), [F.col("a")[i].cast("double") for i in range(9)], [F.col("b")[i].cast("double") for i in range(3)])
+    moved = rigid_rows(*(F.col(k).cast("double") for k in "xyz"), [F.col(f"a{i}") for i in range(9)], [F.col(f"b{i}") for i in range(3)])
     here = F.col("history_rank") == 0
-    out = rows.select("drive_id", "frame_index", "history_rank", F.col("row_idx").alias("src_row_idx"), *(F.when(here, F.col(k)).otherwise(m).alias(k) for k, m in zip("xyz", moved, strict=True)), time_lag(F.col("cur_us"), F.col("src_us")).alias("time_lag"))
+    place = F.struct(*(F.when(here, F.col(k)).otherwise(m).alias(k) for k, m in zip("xyz", moved, strict=True)))
+    out = rows.select("drive_id", "frame_index", "history_rank", F.col("row_idx").alias("src_row_idx"), F.inline(F.array(place)), "time_lag")
     return out.where(in_crop(F.col("x"), F.col("y"), F.col("z")))
 
 

@@ -23,9 +23,23 @@ def arrival(ts_ns):
 
 
 #: Row groups of few messages: their size is looked at after each row, as a row may be a whole sweep.
-ROW_GROUPS = {"parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "1"}
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 #: Bytes of payloads of a slice, roughly; more of them give more slices.
 SLICE = 256 << 20
+#: Bytes of a point in a payload of x, y, z and time_lag.
+PAYLOAD = 16
+
+
+def sliced(rows, arrivals, store, path, slices):
+    """rows with `arrived` as one file in path for each of so many equal spans of `arrivals`, written one after the other. rows take work, so all are stored by
+    their slice first: each is worked out once, and read once by the task that copies its slice."""
+    s, at = rows.sparkSession, F.unix_micros("arrived")
+    low, high = arrivals.agg(F.coalesce(F.min(at), F.lit(0)), F.coalesce(F.max(at), F.lit(0))).first()
+    place = F.floor((at - low) / (high - low + 1) * slices).cast("int")
+    rows.withColumn("slice", F.least(place, F.lit(slices - 1))).write.partitionBy("slice").options(**ROW_GROUPS).parquet(store)
+    stored = s.read.schema(rows.schema.add("slice", "integer")).parquet(store)
+    for k in range(slices):
+        stored.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").options(**ROW_GROUPS).parquet(path)
 
 
 def replayed(s, tables, path, slices=4):
@@ -67,16 +81,16 @@ def stm_1_live(s, d):
 def live_points(s, d, before_commit=None, folder=None):
     """Each frame's points as a message, decoded and moved as they arrive; folder: one of an earlier run, which goes on where it was cut short."""
     path = folder or scratch_folder(s, "live")
-    sink = P.ModelPointSink(poses(s, d), path, DEPTH, 1.0, before_commit)
     if folder is None:
-        cloud = sinks.payloads(points(s, d).withColumn("time_lag", F.lit(0.0).cast("float")), FRAME).join(frames(s, d), FRAME)
-        cloud.withColumn("arrived", arrival(F.col("ts_ns"))).write.options(**ROW_GROUPS).parquet(f"{path}/cloud")
-        cloud = s.read.parquet(f"{path}/cloud")
-        size = cloud.agg(F.sum(F.col("height").cast("long") * F.col("row_step"))).first()[0] or 0
-        stream = replayed(s, [cloud], f"{path}/in", max(4, -(-size // SLICE)))[0]
-    else:
-        stream = H.replay(s, f"{path}/in/0", s.read.parquet(f"{path}/in/0").schema, 1)
-    return P.run(stream, sink)
+        # Poses come from all points, so they are stored, not worked out again by each micro-batch.
+        poses(s, d).write.parquet(f"{path}/poses")
+    known = s.read.parquet(f"{path}/poses")
+    sink = P.ModelPointSink(known, path, DEPTH, 1.0, before_commit)
+    if folder is None:
+        cloud = sinks.payloads(points(s, d).withColumn("time_lag", F.lit(0.0).cast("float")), FRAME).join(known.select(*FRAME, "ts_ns"), FRAME)
+        slices = max(4, -(-points(s, d).count() * PAYLOAD // SLICE))
+        sliced(cloud.withColumn("arrived", arrival(F.col("ts_ns"))), known.select(arrival(F.col("ts_ns")).alias("arrived")), f"{path}/cloud", f"{path}/in/0", slices)
+    return P.run(H.replay(s, f"{path}/in/0", s.read.parquet(f"{path}/in/0").schema, 1), sink)
 
 
 @query("stm_4_live_model_points", f"WITH {MOVED} SELECT {FR}, history_rank, count(*) AS n, min(time_lag) AS time_lag, round(min(x)::DOUBLE, 2) AS x, round(max(y)::DOUBLE, 2) AS y FROM model GROUP BY ALL")

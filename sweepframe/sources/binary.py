@@ -167,7 +167,7 @@ def decode_messages(messages: DataFrame, keys: list[str], fields: tuple[str, ...
                     if on_non_finite == "raise" and not good.all():
                         raise ValueError("a point holds a non-finite value")
                     n = int(good.sum())
-                    arrays = [pa.array([row[k]] * n, batch.schema.field(k).type) for k in keys] + [pa.array(low + np.flatnonzero(good))] + [pa.array(c[good]) for c in columns]
+                    arrays = [pa.repeat(pa.scalar(row[k], batch.schema.field(k).type), n) for k in keys] + [pa.array(low + np.flatnonzero(good))] + [pa.array(c[good]) for c in columns]
                     yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "row_idx", *fields])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row_idx long, " + ", ".join(f"{f} float" for f in fields)

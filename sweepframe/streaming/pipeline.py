@@ -17,8 +17,9 @@ FRAME = ["drive_id", "frame_index"]
 class ModelPointSink:
     """step is for foreachBatch of a stream of messages (drive_id, frame_index, ts_ns and the fields of a point cloud); points() is the result so far.
 
-    A micro-batch decodes its messages into a table of points by batch, finds the history of its frames among all frames so far, and moves the points
-    of just the batches that hold these into its frames by the given static poses. Each write replaces the whole folder of its batch, and the ledger's
+    A micro-batch deals its messages out, decodes them into a table of points by batch, finds the history of its frames among all frames so far, and moves the
+    points of just the batches that hold these into its frames by the given static poses. How each sweep moves is stored first: that is a few rows a frame,
+    which Spark broadcasts where they are few, so points are read where they lie. Each write replaces the whole folder of its batch, and the ledger's
     entry comes last: a batch that was cut short is written again, one that is in the ledger is left alone. So a restart changes no row.
     A frame's history is what had arrived by the end of its batch.
     """
@@ -36,16 +37,18 @@ class ModelPointSink:
         if batch_id in self.batches():
             return
         spark = batch.sparkSession
-        at = {name: f"{self.folder}/{name}/batch={batch_id}" for name in ("points", "frames", "out", "ledger")}
-        decode_messages(batch, FRAME).write.mode("overwrite").parquet(at["points"])
+        at = {name: f"{self.folder}/{name}/batch={batch_id}" for name in ("points", "frames", "moves", "out", "ledger")}
+        decode_messages(batch.repartition(2 * spark.sparkContext.defaultParallelism), FRAME).write.mode("overwrite").parquet(at["points"])
         batch.select(*FRAME, ns_to_us(F.col("ts_ns")).alias("ts_us")).write.mode("overwrite").parquet(at["frames"])
         own = spark.read.parquet(at["frames"])
         frames = spark.read.schema(own.schema.add("batch", "long")).parquet(f"{self.folder}/frames").where(F.col("batch") <= batch_id)
         index = S.history_index(frames, self.depth).join(own.select(*FRAME), FRAME, "left_semi")
-        sources = index.join(frames.select("drive_id", F.col("frame_index").alias("source_index"), "batch"), ["drive_id", "source_index"])
-        needed = [r["batch"] for r in sources.select("batch").distinct().collect()]  # numbers of micro-batches, a few for each of this one's frames
+        moves = S.moves(S.sweep_transforms(index, self.poses), frames.drop("batch")).join(frames.select("drive_id", F.col("frame_index").alias("source_index"), "batch"), ["drive_id", "source_index"])
+        moves.write.mode("overwrite").parquet(at["moves"])
+        moves = spark.read.schema(moves.schema).parquet(at["moves"])
+        needed = [r["batch"] for r in moves.select("batch").distinct().collect()]  # numbers of micro-batches, a few for each of this one's frames
         points = spark.read.schema(spark.read.parquet(at["points"]).schema.add("batch", "long")).parquet(f"{self.folder}/points").where(F.col("batch").isin(needed))
-        model = S.model_points(points.drop("batch"), S.sweep_transforms(index, self.poses), frames.drop("batch"), self.radius)
+        model = S.moved_points(points.drop("batch"), moves.drop("batch"), self.radius)
         model.write.mode("overwrite").parquet(at["out"])
         if self.before_commit:
             self.before_commit(batch_id)

@@ -108,3 +108,41 @@ def test_larger_payloads_give_more_slices(spark, monkeypatch):
     got = PL.live_points(spark, DATA, batches.append)
     columns = [*FRAME, "history_rank", "src_row_idx", "x", "y", "z", "time_lag"]
     assert batches == list(range(6)) and sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, reconstructed(spark, DATA).select(*columns).collect()))
+
+
+def test_slices_are_worked_out_once_and_lie_in_order_of_arrival(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    at = [0, 5, 7, 30, 31, 59, 90, 99, 100]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(at)], "k long, at long").select("k", F.timestamp_micros(F.col("at") + 1_700_000_000_000_000).alias("arrived"))
+    PL.sliced(rows.repartition(3).mapInArrow(counted, rows.schema), rows.select("arrived"), f"{tmp_path}/store", f"{tmp_path}/in", 5)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    got = [sorted(r.k for r in spark.read.parquet(str(f)).collect()) for f in files]
+    assert got == [[0, 1, 2], [3, 4], [5], [], [6, 7, 8]] and seen.value == len(at)
+    # A single time, and none at all.
+    for k, own in enumerate((rows.where("k = 3"), rows.where("k < 0"))):
+        PL.sliced(own, own.select("arrived"), f"{tmp_path}/store{k}", f"{tmp_path}/in{k}", 4)
+        assert spark.read.parquet(f"{tmp_path}/in{k}").count() == 1 - k and len(list((tmp_path / f"in{k}").glob("*.parquet"))) == 4
+
+
+def test_micro_batches_read_stored_poses(spark, monkeypatch):
+    made = []
+    sink = PL.P.ModelPointSink
+    monkeypatch.setattr(PL.P, "ModelPointSink", lambda poses, *rest: made.append(poses) or sink(poses, *rest))
+    monkeypatch.setattr(PL.P, "run", lambda stream, own: stream)
+    PL.live_points(spark, DATA)
+    assert made[0].inputFiles() and not any("lineitem" in f for f in made[0].inputFiles())
+    assert made[0].count() == PL.poses(spark, DATA).count() > 0
+
+
+def test_a_transform_is_no_part_of_the_join(spark):
+    """Its code, repeated for each face of the crop, is too long for the JVM to compile where it stands in a join's condition."""
+    from sweepframe.plans.sweeps import reconstructed
+
+    plan = reconstructed(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") == 3 and not any("Join" in line and "CASE WHEN" in line for line in plan.splitlines())
